@@ -30,7 +30,9 @@ ORDER_COL = "_ord"
 def keep_first(df: DataFrame, key: str, order_col: str = ORDER_COL) -> DataFrame:
     """Keep the first row of every ``key`` value in ``order_col`` order.
 
-    Null keys form one group (as in the reference).  Implemented as
+    Null keys form one group (as in the reference).  Ties on ``order_col`` are broken
+    by the remaining columns in their order (so the result is deterministic).
+    Implemented as
     ``groupBy(key).agg(min(struct(order, *rest)))``: partial aggregation collapses
     duplicates on the map side, so hot keys never land whole in one task.
     """

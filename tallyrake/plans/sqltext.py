@@ -100,7 +100,7 @@ def clean(src: str, name: str = "cleaned") -> Ctes:
     cols = ", ".join(SURVEY_COLS)
     return [
         (f, f"SELECT {cols} FROM {src} WHERE (voto IS NOT NULL OR imagen_del_candidato IS NOT NULL) AND edad >= 16"),
-        (d, f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY encuesta ORDER BY _ord) AS _rn FROM {f}) t "
+        (d, f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY encuesta ORDER BY _ord, fecha) AS _rn FROM {f}) t "
             f"WHERE _rn = 1"),
         (name, f"""SELECT encuesta, fecha, estrato, sexo, edad, {education_expr('nivel_educativo')} AS nivel_educativo,
   coalesce(CAST(integrantes_hogar AS VARCHAR), 'Desconocido') AS integrantes_hogar,
