@@ -200,6 +200,54 @@ def intervals_events_week() -> str:
     return S.with_query(ctes, _score_intervals("win_s"))
 
 
+# ----------------------------------------------------------------------- tests
+
+def _test_stats(ctes, src: str, window: str, pairs: str) -> str:
+    pair_sql = ("SELECT min(win) AS w1, max(win) AS w2 FROM mom" if pairs == "first_last" else
+                "SELECT * FROM (SELECT lag(win) OVER (ORDER BY win) AS w1, win AS w2 FROM mom) t WHERE w1 IS NOT NULL")
+    ctes = ctes + [
+        ("vals", f"SELECT {window} AS win, imagen_del_candidato AS x FROM {src} "
+                 f"WHERE {window} IS NOT NULL AND imagen_del_candidato IS NOT NULL"),
+        ("mom", "SELECT win, count(*) AS n, avg(x) AS mean, var_samp(x) AS var FROM vals GROUP BY win"),
+        ("zz", "SELECT v.win, avg(abs(v.x - m.mean)) AS z_mean, var_samp(abs(v.x - m.mean)) * (count(*) - 1) AS z_ss "
+               "FROM vals v JOIN mom m ON v.win = m.win GROUP BY v.win"),
+        ("prs", pair_sql),
+        ("hist", "SELECT win, x, count(*) AS c FROM vals GROUP BY win, x"),
+        ("pv", "SELECT p.w1, p.w2, h.x, sum(CASE WHEN h.win = p.w1 THEN h.c ELSE 0 END) AS n1, "
+               "sum(CASE WHEN h.win = p.w2 THEN h.c ELSE 0 END) AS n2 "
+               "FROM prs p JOIN hist h ON h.win = p.w1 OR h.win = p.w2 GROUP BY p.w1, p.w2, h.x"),
+        ("pvb", "SELECT *, coalesce(sum(n2) OVER (PARTITION BY w1, w2 ORDER BY x "
+                "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM pv"),
+        ("u", "SELECT w1, w2, sum(n1 * (below + n2 / 2.0)) AS u1, "
+              "sum(pow(n1 + n2, 3) - (n1 + n2)) AS tie_term FROM pvb GROUP BY w1, w2"),
+        ("j", """SELECT p.w1, p.w2, a.n AS n1, b.n AS n2, a.mean AS mean1, b.mean AS mean2, a.var AS var1, b.var AS var2,
+  za.z_mean AS zm1, zb.z_mean AS zm2, za.z_ss AS zs1, zb.z_ss AS zs2
+FROM prs p JOIN mom a ON a.win = p.w1 JOIN mom b ON b.win = p.w2
+JOIN zz za ON za.win = p.w1 JOIN zz zb ON zb.win = p.w2"""),
+    ]
+    sp2 = "((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)"
+    se = "(var1 / n1 + var2 / n2)"
+    zbar = "((n1 * zm1 + n2 * zm2) / (n1 + n2))"
+    lev = f"(n1 + n2 - 2) * (n1 * pow(zm1 - {zbar}, 2) + n2 * pow(zm2 - {zbar}, 2)) / (zs1 + zs2)"
+    final = f"""SELECT j.w1, j.w2, n1, n2, {_r('mean1', 'mean1')}, {_r('mean2', 'mean2')},
+  {_r(f'(mean1 - mean2) / sqrt({sp2} * (1.0 / n1 + 1.0 / n2))', 't_pooled')},
+  {_r('CAST(n1 + n2 - 2 AS DOUBLE)', 'df_pooled')},
+  {_r(f'(mean1 - mean2) / sqrt({se})', 't_welch')},
+  {_r(f'pow({se}, 2) / (pow(var1 / n1, 2) / (n1 - 1) + pow(var2 / n2, 2) / (n2 - 1))', 'df_welch')},
+  {_r(f'CASE WHEN zs1 + zs2 > 0 THEN {lev} END', 'levene_w')},
+  {_r('u.u1', 'u1')}, {_r('u.tie_term', 'tie_term')}
+FROM j LEFT JOIN u ON u.w1 = j.w1 AND u.w2 = j.w2"""
+    return S.with_query(ctes, final)
+
+
+def test_stats_first_last_week() -> str:
+    return _test_stats(_prepared(), "windowed", "win_s", "first_last")
+
+
+def test_stats_events_weeks() -> str:
+    return _test_stats(_events_w(), "ev", "win_s", "consecutive")
+
+
 ORACLES = {
     "survey_clean": survey_clean,
     "survey_dedup_lines": survey_dedup_lines,
@@ -222,6 +270,8 @@ ORACLES = {
     "track_events_day": track_events_day,
     "vote_events_week": vote_events_week,
     "intervals_events_week": intervals_events_week,
+    "test_stats_first_last_week": test_stats_first_last_week,
+    "test_stats_events_weeks": test_stats_events_weeks,
 }
 
 

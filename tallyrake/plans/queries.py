@@ -185,6 +185,37 @@ def intervals_events_week(spark: SparkSession, sf: str) -> DataFrame:
     return r6(trk.score_intervals(_events(spark, sf), "win_s", None))
 
 
+# ----------------------------------------------------------------------- tests
+
+def _test_stats(df, window, pairs):
+    from tallyrake.operators.hypothesis import pair_statistics
+    return r6(pair_statistics(df, window, "imagen_del_candidato", pairs))
+
+
+def test_stats_first_last_week(spark: SparkSession, sf: str) -> DataFrame:
+    """H1-H4 statistics, first vs last weekly window of the survey score (unweighted)."""
+    df, _ = _prepared(spark, sf)
+    return _test_stats(df, "win_s", "first_last")
+
+
+def test_stats_events_weeks(spark: SparkSession, sf: str) -> DataFrame:
+    """H1-H4 statistics for every week of the event stream vs the previous week."""
+    return _test_stats(_events(spark, sf), "win_s", "consecutive")
+
+
+def test_decision_first_last_week(spark: SparkSession, sf: str) -> DataFrame:
+    """H5: test choice, statistic, p-value and decision, first vs last week."""
+    from tallyrake.operators.hypothesis import test_change
+    df, _ = _prepared(spark, sf)
+    return r6(test_change(df, "win_s", "imagen_del_candidato", "first_last"))
+
+
+def test_decision_events_days(spark: SparkSession, sf: str) -> DataFrame:
+    """H5 over every pair of consecutive days of the event stream."""
+    from tallyrake.operators.hypothesis import test_change
+    return r6(test_change(_events(spark, sf), "win_d", "imagen_del_candidato", "consecutive"))
+
+
 QUERIES = {
     "survey_clean": survey_clean,
     "survey_dedup_lines": survey_dedup_lines,
@@ -207,6 +238,10 @@ QUERIES = {
     "track_events_day": track_events_day,
     "vote_events_week": vote_events_week,
     "intervals_events_week": intervals_events_week,
+    "test_stats_first_last_week": test_stats_first_last_week,
+    "test_stats_events_weeks": test_stats_events_weeks,
+    "test_decision_first_last_week": test_decision_first_last_week,
+    "test_decision_events_days": test_decision_events_days,
 }
 
 
