@@ -248,6 +248,81 @@ def test_stats_events_weeks() -> str:
     return _test_stats(_events_w(), "ev", "win_s", "consecutive")
 
 
+# ----------------------------------------------------------------------- report
+
+def _report_rows(population="pampeana"):
+    variables = calibration_variables(population, False)
+    tgt = targets_dict(population, False)
+    ctes = _prepared(population) + S.rake("windowed", None, variables, tgt, SWEEPS, trim_ratio=None, name="rr")
+    lvs = ", ".join(f"{S.level_expr(v)} AS {S.lv(v)}" for v in variables)
+    keys = ", ".join(S.lv(v) for v in variables)
+    ctes += [
+        ("rep_c", "SELECT *, sum(n * weight) OVER () / sum(n) OVER () AS _mean FROM rr_cells"),
+        ("rep_t", "SELECT *, least(weight, _mean * 3.0) AS _wt FROM rep_c"),
+        ("rep", f"SELECT {keys}, _wt * _mean / (sum(n * _wt) OVER () / sum(n) OVER ()) AS weight FROM rep_t"),
+        ("repw", f"SELECT r.*, c.weight AS w FROM (SELECT *, {lvs} FROM windowed) r JOIN rep c USING ({keys})"),
+    ]
+    tvals = " UNION ALL ".join(f"SELECT {S.q(v)} AS variable, {S.q(lvl)} AS level, {S.dbl(p)} AS target_prop"
+                               for v in variables for lvl, p in tgt[v].items())
+    shares = " UNION ALL ".join(
+        f"SELECT {S.q(v)} AS variable, {S.lv(v)} AS level, count(*) AS c, sum(w) AS cw FROM repw GROUP BY {S.lv(v)}"
+        for v in variables)
+    ctes += [
+        ("tg", tvals),
+        ("sh0", shares),
+        ("sh", "SELECT variable, level, c / sum(c) OVER (PARTITION BY variable) AS sample_prop, "
+               "cw / sum(cw) OVER (PARTITION BY variable) AS weighted_prop FROM sh0"),
+        ("svp", "SELECT t.variable, t.level, t.target_prop, coalesce(s.sample_prop, 0.0) AS sample_prop, "
+                "coalesce(s.weighted_prop, 0.0) AS weighted_prop FROM tg t "
+                "LEFT JOIN sh s ON s.variable = t.variable AND s.level = t.level"),
+    ]
+    return ctes
+
+
+def report_metrics() -> str:
+    return S.with_query(_report_rows(), f"""SELECT count(*) AS n, {_r('1 + var_samp(w) / pow(avg(w), 2)', 'deff')},
+  {_r('pow(sum(w), 2) / sum(w * w)', 'ess')}, {_r('pow(sum(w), 2) / sum(w * w) / count(*)', 'essp')},
+  {_r('max(w)', 'w_max')}, {_r('min(w)', 'w_min')} FROM repw""")
+
+
+def report_sample_vs_target() -> str:
+    return S.with_query(_report_rows(), f"SELECT variable, level, {_r('target_prop', 'target_prop')}, "
+                                        f"{_r('sample_prop', 'sample_prop')}, {_r('weighted_prop', 'weighted_prop')} FROM svp")
+
+
+def report_asmd() -> str:
+    ctes = _report_rows() + [
+        ("per", "SELECT variable, abs(sample_prop - target_prop) / sqrt(target_prop * (1 - target_prop)) AS b, "
+                "abs(weighted_prop - target_prop) / sqrt(target_prop * (1 - target_prop)) AS a FROM svp"),
+        ("bv", "SELECT variable, avg(b) AS asmd_before, avg(a) AS asmd_after FROM per GROUP BY variable"),
+        ("al", "SELECT * FROM bv UNION ALL SELECT 'mean(asmd)', avg(asmd_before), avg(asmd_after) FROM bv"),
+    ]
+    return S.with_query(ctes, f"""SELECT variable, {_r('asmd_before', 'asmd_before')}, {_r('asmd_after', 'asmd_after')},
+  {_r('CASE WHEN asmd_before > 0 THEN (1 - asmd_after / asmd_before) * 100.0 END', 'reduction_pct')} FROM al""")
+
+
+def report_weight_summary() -> str:
+    from tallyrake.operators.report import PROP_ABOVE, PROP_BELOW
+    stats = [("n", "CAST(count(*) AS DOUBLE)"), ("sum", "sum(w)"), ("mean", "avg(w)"), ("std", "stddev_samp(w)"),
+             ("min", "min(w)"), ("q25", "quantile_cont(w, 0.25)"), ("median", "quantile_cont(w, 0.5)"),
+             ("q75", "quantile_cont(w, 0.75)"), ("max", "max(w)")]
+    stats += [(f"prop(w < {t})", f"avg(CASE WHEN w < {t} THEN 1.0 ELSE 0.0 END)") for t in PROP_BELOW]
+    stats += [(f"prop(w >= {t})", f"avg(CASE WHEN w >= {t} THEN 1.0 ELSE 0.0 END)") for t in PROP_ABOVE]
+    stats += [("deff", "1 + var_samp(w) / pow(avg(w), 2)"), ("ess", "pow(sum(w), 2) / sum(w * w)"),
+              ("essp", "pow(sum(w), 2) / sum(w * w) / count(*)")]
+    parts = [f"SELECT {S.q(k)} AS stat, round(CAST({e} AS DOUBLE), 6) AS value FROM repw" for k, e in stats]
+    return S.with_query(_report_rows(), "\nUNION ALL\n".join(parts))
+
+
+def calibration_value_shares() -> str:
+    variables = calibration_variables("nacional", False)
+    parts = " UNION ALL ".join(f"SELECT {S.q(v)} AS variable, {S.level_expr(v)} AS level FROM windowed"
+                               for v in variables)
+    ctes = _prepared("nacional") + [("lng", parts),
+                                    ("g", "SELECT variable, level, count(*) AS c FROM lng GROUP BY variable, level")]
+    return S.with_query(ctes, f"SELECT variable, level, {_r('c / sum(c) OVER (PARTITION BY variable)', 'share')} FROM g")
+
+
 ORACLES = {
     "survey_clean": survey_clean,
     "survey_dedup_lines": survey_dedup_lines,
@@ -272,6 +347,11 @@ ORACLES = {
     "intervals_events_week": intervals_events_week,
     "test_stats_first_last_week": test_stats_first_last_week,
     "test_stats_events_weeks": test_stats_events_weeks,
+    "report_metrics": report_metrics,
+    "report_asmd": report_asmd,
+    "report_weight_summary": report_weight_summary,
+    "report_sample_vs_target": report_sample_vs_target,
+    "calibration_value_shares": calibration_value_shares,
 }
 
 

@@ -216,6 +216,47 @@ def test_decision_events_days(spark: SparkSession, sf: str) -> DataFrame:
     return r6(test_change(_events(spark, sf), "win_d", "imagen_del_candidato", "consecutive"))
 
 
+# ----------------------------------------------------------------------- report
+
+def _report(spark, sf, population="pampeana"):
+    from tallyrake.operators.report import report_rake
+    df, flag = _prepared(spark, sf, population)
+    return report_rake(df, calibration_variables(population, flag),
+                       calibration_targets(spark, population, flag), sweeps=ORACLE_SWEEPS)
+
+
+def report_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """C2 + A10: whole-survey rake, upper trim at 3x mean, deff / ess / essp / range."""
+    from tallyrake.operators.report import weight_metrics
+    return r6(weight_metrics(_report(spark, sf)))
+
+
+def report_asmd(spark: SparkSession, sf: str) -> DataFrame:
+    """ASMD per calibration variable before / after weighting, and the reduction."""
+    from tallyrake.operators.report import asmd
+    return r6(asmd(_report(spark, sf)))
+
+
+def report_weight_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """C4: weight distribution summary (quartiles exact, shares by threshold)."""
+    from tallyrake.operators.report import weight_summary
+    return r6(weight_summary(_report(spark, sf)))
+
+
+def report_sample_vs_target(spark: SparkSession, sf: str) -> DataFrame:
+    """C5 + J5: target vs sample vs weighted proportion per level (absent -> 0)."""
+    from tallyrake.operators.report import sample_vs_population
+    return r6(sample_vs_population(_report(spark, sf)))
+
+
+def calibration_value_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """A11 + F13: normalised value counts of the national calibration variables
+    (null region -> level 'nan')."""
+    from tallyrake.operators.report import value_shares
+    df, flag = _prepared(spark, sf, "nacional")
+    return r6(value_shares(df, calibration_variables("nacional", flag)))
+
+
 QUERIES = {
     "survey_clean": survey_clean,
     "survey_dedup_lines": survey_dedup_lines,
@@ -242,6 +283,11 @@ QUERIES = {
     "test_stats_events_weeks": test_stats_events_weeks,
     "test_decision_first_last_week": test_decision_first_last_week,
     "test_decision_events_days": test_decision_events_days,
+    "report_metrics": report_metrics,
+    "report_asmd": report_asmd,
+    "report_weight_summary": report_weight_summary,
+    "report_sample_vs_target": report_sample_vs_target,
+    "calibration_value_shares": calibration_value_shares,
 }
 
 
