@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrake.functions.recode import as_level
-from tallyrake.operators.rake import DEFAULT_MAX_ITER, DEFAULT_TOL, rake, targets_as_dict
+from tallyrake.operators.rake import BROADCAST_CELL_LIMIT, DEFAULT_MAX_ITER, DEFAULT_TOL, rake, targets_as_dict
 
 # Report trim ratio and the weight-summary thresholds.
 REPORT_TRIM_RATIO = 3.0
@@ -29,40 +29,50 @@ class Report:
     cells: DataFrame      # (levels, n, weight) of the whole-survey rake after trimming
     variables: list
     targets: dict
+    window_col: str | None = None
 
 
 def report_rake(df: DataFrame, variables: list[str], targets, ratio: float = REPORT_TRIM_RATIO,
                 weight_col: str = "peso_reporte", max_iter: int = DEFAULT_MAX_ITER,
-                tol: float = DEFAULT_TOL, sweeps: int | None = None) -> Report:
+                tol: float = DEFAULT_TOL, sweeps: int | None = None,
+                window_col: str | None = None) -> Report:
     """C2 (``generar_reporte``): rake the whole survey, trim weights above ``ratio``
-    times the mean and rescale so the mean is kept.  Weights have mean 1."""
+    times the mean and rescale so the mean is kept.  Weights have mean 1.
+
+    With ``window_col`` every window is treated as one survey (one report per batch).
+    """
     tgt = targets_as_dict(targets, variables)
-    res = rake(df, None, variables, tgt, weight_col="_w0", max_iter=max_iter, tol=tol,
+    res = rake(df, window_col, variables, tgt, weight_col="_w0", max_iter=max_iter, tol=tol,
                trim_ratio=None, sweeps=sweeps)
-    all_ = Window.partitionBy()      # one row per cell: a small, bounded table
+    grp = [window_col] if window_col else []
+    all_ = Window.partitionBy(*grp)      # cells of one window: a small, bounded table
     c = res.cells
     c = c.withColumn("_mean", F.sum(F.col("n") * F.col("weight")).over(all_) / F.sum("n").over(all_))
     c = c.withColumn("_wt", F.least(F.col("weight"), F.col("_mean") * ratio))
     c = c.withColumn("weight", F.col("_wt") * F.col("_mean")
                      / (F.sum(F.col("n") * F.col("_wt")).over(all_) / F.sum("n").over(all_)))
     lv = [f"_lv_{v}" for v in variables]
-    cells = c.select(*lv, "n", "status", "iterations", "weight")
-    lookup = cells.select(*lv, F.col("weight").alias(weight_col))
+    cells = c.select(*grp, *lv, "n", "status", "iterations", "weight")
+    lookup = cells.select(*grp, *lv, F.col("weight").alias(weight_col))
     rows = df.withColumns({f"_lv_{v}": as_level(v) for v in variables})
-    weighted = rows.join(F.broadcast(lookup), lv, "left").drop(*lv)
-    return Report(weighted, cells, variables, tgt)
+    if res.cells.count() <= BROADCAST_CELL_LIMIT:      # cell table is checkpointed: cheap
+        lookup = F.broadcast(lookup)
+    weighted = rows.join(lookup, grp + lv, "left").drop(*lv)
+    return Report(weighted, cells, variables, tgt, window_col)
 
 
 def weight_metrics(rep: Report) -> DataFrame:
-    """A10: deff with the sample variance (ddof 1), Kish ess, ess / n, max, min."""
+    """A10: deff with the sample variance (ddof 1), Kish ess, ess / n, max, min
+    (one row, or one row per window)."""
     c = rep.cells
-    agg = c.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("weight")).alias("sw"),
+    grp = [rep.window_col] if rep.window_col else []
+    agg = c.groupBy(*grp).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("weight")).alias("sw"),
                 F.sum(F.col("n") * F.col("weight") * F.col("weight")).alias("sww"),
                 F.max("weight").alias("w_max"), F.min("weight").alias("w_min"))
     mean = F.col("sw") / F.col("n")
     var_samp = (F.col("sww") - F.col("n") * F.pow(mean, 2)) / (F.col("n") - 1)
     ess = F.pow(F.col("sw"), 2) / F.col("sww")
-    return agg.select("n", (1 + var_samp / F.pow(mean, 2)).alias("deff"), ess.alias("ess"),
+    return agg.select(*grp, "n", (1 + var_samp / F.pow(mean, 2)).alias("deff"), ess.alias("ess"),
                       (ess / F.col("n")).alias("essp"), "w_max", "w_min")
 
 

@@ -323,6 +323,53 @@ def calibration_value_shares() -> str:
     return S.with_query(ctes, f"SELECT variable, level, {_r('c / sum(c) OVER (PARTITION BY variable)', 'share')} FROM g")
 
 
+# ----------------------------------------------------------------------- sources
+
+def survey_csv_load() -> str:
+    return S.with_query(S.survey(), f"SELECT {SURVEY_OUT} FROM survey")
+
+
+def calibration_targets_bsas() -> str:
+    tgt = targets_dict("buenos_aires", True)
+    rows = " UNION ALL ".join(f"SELECT {S.q(v)} AS variable, {S.q(lvl)} AS level, {S.dbl(p)} AS proportion"
+                              for v, d in tgt.items() for lvl, p in d.items())
+    ctes = _prepared("buenos_aires", restrict_bsas=True) + [("t", rows)]
+    return S.with_query(ctes, f"""SELECT variable, level, {_r('proportion', 'proportion')} FROM t
+WHERE variable <> 'estrato_bsas'
+   OR EXISTS (SELECT 1 FROM windowed WHERE lower(trim(estrato)) IN {S.in_list(S.GBA_MUNICIPALITIES)})""")
+
+
+def ledger_history() -> str:
+    variables = calibration_variables("pampeana", False)
+    tgt = targets_dict("pampeana", False)
+    ctes = _prepared() + S.rake("windowed", "win_m", variables, tgt, SWEEPS, trim_ratio=None, name="rr")
+    lvs = ", ".join(f"{S.level_expr(v)} AS {S.lv(v)}" for v in variables)
+    keys = ", ".join(["_win"] + [S.lv(v) for v in variables])
+    ctes += [
+        ("rep_c", "SELECT *, sum(n * weight) OVER (PARTITION BY _win) / sum(n) OVER (PARTITION BY _win) AS _mean "
+                  "FROM rr_cells"),
+        ("rep_t", "SELECT *, least(weight, _mean * 3.0) AS _wt FROM rep_c"),
+        ("rep", f"SELECT {keys}, _wt * _mean / (sum(n * _wt) OVER (PARTITION BY _win) / "
+                f"sum(n) OVER (PARTITION BY _win)) AS weight FROM rep_t"),
+        ("repw", f"SELECT r.*, c.weight AS w FROM (SELECT *, win_m AS _win, {lvs} FROM windowed) r "
+                 f"JOIN rep c USING ({keys})"),
+    ]
+    return S.with_query(ctes, f"""SELECT strftime(win_m, '%Y-%m') AS run_id, 'pampeana' AS population, count(*) AS n_rows,
+  {S.q(', '.join(variables))} AS calib_vars,
+  round(1 + var_samp(w) / pow(avg(w), 2), 3) AS deff, round(pow(sum(w), 2) / sum(w * w), 1) AS ess,
+  round(pow(sum(w), 2) / sum(w * w) / count(*), 3) AS essp, {_r('max(w)', 'w_max')}, {_r('min(w)', 'w_min')}
+FROM repw GROUP BY win_m""")
+
+
+def history_monthly_batches() -> str:
+    return S.with_query(_prepared(), """SELECT win_m, count(*) AS n_cases, CAST(1 AS BIGINT) AS n_ids,
+  sum(count(*)) OVER () AS appended_total
+FROM windowed
+WHERE edad IS NOT NULL AND sexo IS NOT NULL AND estrato IS NOT NULL AND nivel_educativo IS NOT NULL
+  AND voto_anterior IS NOT NULL
+GROUP BY win_m""")
+
+
 ORACLES = {
     "survey_clean": survey_clean,
     "survey_dedup_lines": survey_dedup_lines,
@@ -352,6 +399,10 @@ ORACLES = {
     "report_weight_summary": report_weight_summary,
     "report_sample_vs_target": report_sample_vs_target,
     "calibration_value_shares": calibration_value_shares,
+    "survey_csv_load": survey_csv_load,
+    "calibration_targets_bsas": calibration_targets_bsas,
+    "ledger_history": ledger_history,
+    "history_monthly_batches": history_monthly_batches,
 }
 
 

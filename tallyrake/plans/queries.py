@@ -257,6 +257,74 @@ def calibration_value_shares(spark: SparkSession, sf: str) -> DataFrame:
     return r6(value_shares(df, calibration_variables("nacional", flag)))
 
 
+# ----------------------------------------------------------------------- sources
+
+# Display headers used when the survey view is written as an uploaded CSV file.
+CSV_HEADERS = {"fecha": " Fecha", "encuesta": "Encuesta", "estrato": "Estrato", "sexo": "Sexo", "edad": "Edad",
+               "nivel_educativo": "Nivel educativo",
+               "integrantes_hogar": "Cantidad de integrantes en el hogar",
+               "imagen_del_candidato": "Imagen del candidato", "voto": "Voto", "voto_anterior": "Voto anterior "}
+
+
+def survey_csv_load(spark: SparkSession, sf: str) -> DataFrame:
+    """The survey view written as a CSV upload (display headers), read back
+    with header normalisation, the required-column check, date parse and rename."""
+    from tallyrake.session import scratch_path
+    from tallyrake.sources.survey_csv import load_survey_csv, write_survey_csv
+    path = scratch_path(spark, "survey-csv")
+    write_survey_csv(survey_view(spark, sf).select(*SURVEY_COLUMNS), path, CSV_HEADERS)
+    return r6(load_survey_csv(spark, path).select(*SURVEY_COLUMNS))
+
+
+def calibration_targets_bsas(spark: SparkSession, sf: str) -> DataFrame:
+    """Margins for the Buenos Aires survey; ``estrato_bsas`` is added because
+    the survey names a GBA municipality (checked on the data)."""
+    df, flag = _prepared(spark, sf, "buenos_aires", restrict=True)
+    return r6(calibration_targets(spark, "buenos_aires", flag))
+
+
+def ledger_history(spark: SparkSession, sf: str) -> DataFrame:
+    """S10-S14, J7, O3 with C2/A10 per batch: every month is one processed upload;
+    its whole-batch report (rake, upper trim 3) gives deff / ess / essp / range; run
+    and metric rows are appended to a ledger and read back newest first."""
+    from tallyrake.operators.report import report_rake, weight_metrics
+    from tallyrake.session import scratch_path
+    from tallyrake.sources import ledger as L
+    df, flag = _prepared(spark, sf)
+    variables = calibration_variables("pampeana", flag)
+    rep = report_rake(df, variables, calibration_targets(spark, "pampeana", flag),
+                      sweeps=ORACLE_SWEEPS, window_col="win_m")
+    met = weight_metrics(rep).withColumn("run_id", F.date_format("win_m", "yyyy-MM")).cache()
+    path = scratch_path(spark, "ledger")
+    runs = met.select("run_id", F.current_timestamp().alias("run_ts"), F.lit("pampeana").alias("population"),
+                      F.col("n").alias("n_rows"), F.array(*[F.lit(v) for v in variables]).alias("calib_vars"))
+    L.append_runs(runs, path)
+    L.append_metrics(met, path)
+    met.unpersist()
+    out = L.history_with_metrics(spark, path).drop("run_ts")
+    return r6(out)
+
+
+def history_monthly_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Each month is an upload with its own fingerprint; complete
+    cases of the previous-vote model are appended to the training history twice -
+    the second append adds nothing (anti-join on the survey id)."""
+    from tallyrake.session import scratch_path
+    from tallyrake.sources.history import SURVEY_ID, append_history, fingerprint, read_history
+    df, _ = _prepared(spark, sf)
+    cols = ["edad", "sexo", "estrato", "nivel_educativo", "voto_anterior"]
+    obs = df.select("win_m", *SURVEY_COLUMNS)
+    ids = fingerprint(obs, SURVEY_COLUMNS, by=["win_m"])
+    batch = obs.join(ids, "win_m").select(*cols, SURVEY_ID).dropna()
+    path = scratch_path(spark, "history")
+    first = append_history(spark, path, batch)
+    second = append_history(spark, path, batch)
+    hist = read_history(spark, path)
+    return (hist.join(ids, SURVEY_ID).groupBy("win_m")
+                .agg(F.count(F.lit(1)).alias("n_cases"), F.countDistinct(SURVEY_ID).alias("n_ids"))
+                .withColumn("appended_total", F.lit(first + second).cast("long")))
+
+
 QUERIES = {
     "survey_clean": survey_clean,
     "survey_dedup_lines": survey_dedup_lines,
@@ -288,6 +356,10 @@ QUERIES = {
     "report_weight_summary": report_weight_summary,
     "report_sample_vs_target": report_sample_vs_target,
     "calibration_value_shares": calibration_value_shares,
+    "survey_csv_load": survey_csv_load,
+    "calibration_targets_bsas": calibration_targets_bsas,
+    "ledger_history": ledger_history,
+    "history_monthly_batches": history_monthly_batches,
 }
 
 
