@@ -370,6 +370,17 @@ WHERE edad IS NOT NULL AND sexo IS NOT NULL AND estrato IS NOT NULL AND nivel_ed
 GROUP BY win_m""")
 
 
+# ----------------------------------------------------------------------- imputation
+
+def impute_score_gate() -> str:
+    """Median branch (the score of the survey view is unrelated to the predictors, so
+    the hold-out R2 is below the gate)."""
+    ctes = _prepared() + [("med", "SELECT median(imagen_del_candidato) AS m FROM windowed")]
+    return S.with_query(ctes, """SELECT encuesta,
+  round(least(greatest(coalesce(imagen_del_candidato, (SELECT m FROM med)), 0.0), 100.0), 6) AS imagen_del_candidato,
+  'median' AS method FROM windowed""")
+
+
 ORACLES = {
     "survey_clean": survey_clean,
     "survey_dedup_lines": survey_dedup_lines,
@@ -403,6 +414,7 @@ ORACLES = {
     "calibration_targets_bsas": calibration_targets_bsas,
     "ledger_history": ledger_history,
     "history_monthly_batches": history_monthly_batches,
+    "impute_score_gate": impute_score_gate,
 }
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyrake.functions.recode import norm_text
 from tallyrake.operators import tracking as trk
 from tallyrake.operators.clean import clean_survey, null_profile
 from tallyrake.operators.rake import rake
@@ -325,6 +326,52 @@ def history_monthly_batches(spark: SparkSession, sf: str) -> DataFrame:
                 .withColumn("appended_total", F.lit(first + second).cast("long")))
 
 
+# ----------------------------------------------------------------------- imputation
+
+def impute_score_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """M8 + A13 + F14: hold-out R2 of the score regression decides the branch; at
+    R2 <= 0.15 the exact median fills the missing scores; then clip to [0, 100]."""
+    from tallyrake.operators import impute as I
+    df, _ = _prepared(spark, sf)
+    out, method = I.impute_numeric(df, I.NUMERIC_TARGET, I.PREDICTORS[I.NUMERIC_TARGET], I.score_r2(df))
+    out = out.withColumn(I.NUMERIC_TARGET, F.least(F.greatest(F.col(I.NUMERIC_TARGET), F.lit(0.0)), F.lit(100.0)))
+    return r6(out.select("encuesta", I.NUMERIC_TARGET, F.lit(method).alias("method")))
+
+
+def impute_votes_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """M7 + M9 + F15 + F18: previous vote, then vote (using the imputed previous
+    vote), each with a logistic model fit on the survey's complete cases."""
+    from tallyrake.operators import impute as I
+    df, _ = _prepared(spark, sf)
+    for t in I.CATEGORICAL_TARGETS:
+        df = I.impute_categorical(df, t, I.PREDICTORS[t])
+    return df.select("encuesta", "win_m", norm_text("voto_anterior").alias("voto_anterior"),
+                     norm_text("voto").alias("voto"))
+
+
+def model_eval_vote(spark: SparkSession, sf: str) -> DataFrame:
+    """M4 + M5 + A14: 70/30 hash split, vote classifier, per-class report + accuracy."""
+    from tallyrake.operators import impute as I
+    df, _ = _prepared(spark, sf)
+    data = df.select(*I.PREDICTORS["voto"], "voto").dropna()
+    tr, te = I.split(data)
+    m = I.fit_classifier(tr, I.PREDICTORS["voto"], "voto", I.dummy_levels(data, I.PREDICTORS["voto"]))
+    return r6(I.classifier_report(m.transform(te), "voto"))
+
+
+def train_score_cold_start(spark: SparkSession, sf: str) -> DataFrame:
+    """Cold start (empty history) -> three models trained on
+    observed values and stored -> loaded back -> batch scoring of every interview."""
+    from tallyrake.operators import impute as I
+    from tallyrake.session import scratch_path
+    df, _ = _prepared(spark, sf)
+    model_dir = scratch_path(spark, "models")
+    I.update_all_models(df, model_dir)
+    scored = I.score(df.select("encuesta", *I.PREDICTORS[I.NUMERIC_TARGET]), model_dir)
+    return r6(scored.select("encuesta", "voto_anterior_pred", "voto_pred", "probabilidades_voto",
+                            "imagen_del_candidato_pred"))
+
+
 QUERIES = {
     "survey_clean": survey_clean,
     "survey_dedup_lines": survey_dedup_lines,
@@ -360,6 +407,10 @@ QUERIES = {
     "calibration_targets_bsas": calibration_targets_bsas,
     "ledger_history": ledger_history,
     "history_monthly_batches": history_monthly_batches,
+    "impute_score_gate": impute_score_gate,
+    "impute_votes_chain": impute_votes_chain,
+    "model_eval_vote": model_eval_vote,
+    "train_score_cold_start": train_score_cold_start,
 }
 
 
