@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -57,20 +57,28 @@ class ImputationError(ValueError):
 
 # ----------------------------------------------------------------------- encoding (M1)
 
-def dummy_levels(df: DataFrame, predictors: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct levels of each categorical predictor, first level dropped."""
+def level_sets(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Sorted distinct non-null values of several columns in **one** aggregation
+    (``collect_set`` per column with map-side combine; bounded by the cardinality)."""
+    if not columns:
+        return {}
+    row = df.agg(*[F.slice(F.collect_set(F.col(c).cast("string")), 1, MAX_LEVELS + 1).alias(c)
+                   for c in columns]).first()
     out = {}
-    for c in predictors:
-        if c in NUMERIC_PREDICTORS:
-            continue
-        vals = [r[0] for r in df.select(F.col(c).cast("string")).filter(F.col(c).isNotNull())
-                .distinct().limit(MAX_LEVELS + 1).collect()]
+    for c in columns:
+        vals = row[c] or []
         if len(vals) > MAX_LEVELS:
             raise ImputationError(f"too many levels in {c}")
-        out[c] = sorted(vals)[1:]
+        out[c] = sorted(vals)
     return out
 
 
+def dummy_levels(df: DataFrame, predictors: list[str]) -> dict[str, list[str]]:
+    """Sorted distinct levels of each categorical predictor, first level dropped."""
+    cats = [c for c in predictors if c not in NUMERIC_PREDICTORS]
+    return {c: v[1:] for c, v in level_sets(df, cats).items()}
+
+
 def _sql_lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -108,40 +116,82 @@ def split(df: DataFrame, fraction: float = TRAIN_FRACTION, seed: int = SPLIT_SEE
 
 # ----------------------------------------------------------------------- fits (M2, M3)
 
+WEIGHT = "_cases"
+# Distinct cases per partition of the (small) fitting table: every optimiser pass is
+# one task per partition, so the partition count follows the table size.
+CASES_PER_PARTITION = 200_000
+
+
+def aggregate_cases(df: DataFrame, predictors: list[str], target: str) -> DataFrame:
+    """Complete cases collapsed to distinct (predictors, target) rows with a count.
+
+    A weighted fit on this table has exactly the row-level likelihood (and the OLS
+    normal equations), while every optimiser pass reads at most the number of
+    distinct cases instead of every interview.  Pre-aggregation has map-side combine,
+    so duplicated profiles cost nothing extra."""
+    return (df.select(*predictors, target).dropna()
+              .groupBy(*predictors, target).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)))
+
+
+def _fit_table(df: DataFrame, predictors: list[str], target: str) -> DataFrame:
+    """Aggregated cases, sized to ~CASES_PER_PARTITION rows per partition, cached."""
+    agg = aggregate_cases(df, predictors, target).cache()
+    rows = agg.count()
+    parts = max(1, -(-rows // CASES_PER_PARTITION))
+    if parts < agg.rdd.getNumPartitions():
+        sized = agg.coalesce(parts).cache()
+        sized.count()
+        agg.unpersist()
+        return sized
+    return agg
+
+
 def fit_classifier(train: DataFrame, predictors: list[str], target: str,
                    levels: dict[str, list[str]] | None = None) -> PipelineModel:
     """Multinomial (or binary) logistic regression with L2, C = 1 in the reference's
-    scale (``regParam = 1 / (C n)``), no standardisation, intercept unpenalised."""
-    data = train.select(*predictors, target).dropna()
-    n = data.count()
-    classes = data.select(target).distinct().count()
-    if n == 0:
-        raise ImputationError(f"no complete cases to train {target}")
-    if classes < 2:
-        raise ImputationError(f"{target} has a single class; cannot train")
-    levels = levels or dummy_levels(data, predictors)
-    enc = encoding_stages(predictors, levels)
-    indexer = StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="alphabetAsc").fit(data)
-    feats = enc[1].transform(enc[0].transform(indexer.transform(data)))
-    lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PRED_INDEX,
-                            family="auto", regParam=1.0 / (C_INVERSE_REG * n), elasticNetParam=0.0,
-                            standardization=False, maxIter=MAX_ITER)
-    model = lr.fit(feats)
-    back = IndexToString(inputCol=PRED_INDEX, outputCol=f"{target}_pred", labels=indexer.labels)
+    scale (``regParam = 1 / (C n)``), no standardisation, intercept unpenalised;
+    fit on the aggregated complete cases with their counts as weights."""
+    data = _fit_table(train, predictors, target)
+    try:
+        cats = [c for c in predictors if c not in NUMERIC_PREDICTORS]
+        sets = level_sets(data, cats + [target])        # one job: levels, classes
+        n = data.agg(F.sum(WEIGHT)).first()[0] or 0.0
+        labels = sets[target]
+        if n == 0:
+            raise ImputationError(f"no complete cases to train {target}")
+        if len(labels) < 2:
+            raise ImputationError(f"{target} has a single class; cannot train")
+        levels = levels or {c: sets[c][1:] for c in cats}
+        enc = encoding_stages(predictors, levels)
+        indexer = StringIndexerModel.from_labels(labels, inputCol=target, outputCol=LABEL)
+        feats = (enc[1].transform(enc[0].transform(indexer.transform(data)))
+                 .select(FEATURES, LABEL, WEIGHT).cache())       # optimiser passes read this
+        lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PRED_INDEX,
+                                weightCol=WEIGHT, family="auto", regParam=1.0 / (C_INVERSE_REG * n),
+                                elasticNetParam=0.0, standardization=False, maxIter=MAX_ITER)
+        model = lr.fit(feats)
+        feats.unpersist()
+    finally:
+        data.unpersist()
+    back = IndexToString(inputCol=PRED_INDEX, outputCol=f"{target}_pred", labels=labels)
     return PipelineModel(stages=[*enc, model, back])
 
 
 def fit_regressor(train: DataFrame, predictors: list[str], target: str,
                   levels: dict[str, list[str]] | None = None) -> PipelineModel:
-    """Ordinary least squares (normal equations, no penalty)."""
-    data = train.select(*predictors, F.col(target).cast("double").alias(target)).dropna()
-    if data.isEmpty():
-        raise ImputationError(f"no complete cases to train {target}")
-    levels = levels or dummy_levels(data, predictors)
-    enc = encoding_stages(predictors, levels)
-    feats = enc[1].transform(enc[0].transform(data))
-    model = LinearRegression(featuresCol=FEATURES, labelCol=target, predictionCol=f"{target}_pred",
-                             regParam=0.0, solver="normal").fit(feats)
+    """Ordinary least squares (normal equations, no penalty) on aggregated cases."""
+    base = train.select(*predictors, F.col(target).cast("double").alias(target))
+    data = _fit_table(base, predictors, target)
+    try:
+        if data.isEmpty():
+            raise ImputationError(f"no complete cases to train {target}")
+        levels = levels or dummy_levels(data, predictors)
+        enc = encoding_stages(predictors, levels)
+        feats = enc[1].transform(enc[0].transform(data))
+        model = LinearRegression(featuresCol=FEATURES, labelCol=target, predictionCol=f"{target}_pred",
+                                 weightCol=WEIGHT, regParam=0.0, solver="normal").fit(feats)
+    finally:
+        data.unpersist()
     return PipelineModel(stages=[*enc, model])
 
 
@@ -162,7 +212,7 @@ class Evaluation:
 def classifier_report(pred: DataFrame, target: str) -> DataFrame:
     """M5: per class precision, recall, F1, support, plus accuracy, from the
     confusion table ``groupBy(label, prediction).count()`` (classes^2 rows)."""
-    conf = pred.groupBy(F.col(target).alias("actual"), F.col(f"{target}_pred").alias("predicted")).count()
+    conf = confusion(pred, target)
     tp = conf.filter(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("cls"),
                                                                    F.col("count").alias("tp"))
     sup = conf.groupBy(F.col("actual").alias("cls")).agg(F.sum("count").alias("support"))
@@ -178,16 +228,22 @@ def classifier_report(pred: DataFrame, target: str) -> DataFrame:
 
 
 def confusion(pred: DataFrame, target: str) -> DataFrame:
-    return pred.groupBy(F.col(target).alias("actual"), F.col(f"{target}_pred").alias("predicted")).count()
+    """Confusion counts; rows may carry a case count (aggregated cases)."""
+    w = F.col(WEIGHT) if WEIGHT in pred.columns else F.lit(1.0)
+    return (pred.groupBy(F.col(target).alias("actual"), F.col(f"{target}_pred").alias("predicted"))
+                .agg(F.sum(w).cast("long").alias("count")))
 
 
 def regression_report(pred: DataFrame, target: str) -> DataFrame:
     """M6: MAE, RMSE, R2 = 1 - SSE/SST in one aggregation."""
     y, p = F.col(target).cast("double"), F.col(f"{target}_pred")
-    a = pred.agg(F.avg(F.abs(y - p)).alias("mae"), F.sqrt(F.avg(F.pow(y - p, 2))).alias("rmse"),
-                 F.sum(F.pow(y - p, 2)).alias("_sse"), F.var_pop(y).alias("_vy"), F.count(y).alias("n"))
-    return a.select("n", "mae", "rmse",
-                    F.when(F.col("_vy") > 0, 1 - F.col("_sse") / (F.col("_vy") * F.col("n"))).alias("r2"))
+    w = F.col(WEIGHT) if WEIGHT in pred.columns else F.lit(1.0)
+    a = pred.agg(F.sum(w).alias("n"), F.sum(w * F.abs(y - p)).alias("_sae"), F.sum(w * F.pow(y - p, 2)).alias("_sse"),
+                 F.sum(w * y).alias("_sy"), F.sum(w * y * y).alias("_syy"))
+    sst = F.col("_syy") - F.pow(F.col("_sy"), 2) / F.col("n")
+    return a.select(F.col("n").cast("long").alias("n"), (F.col("_sae") / F.col("n")).alias("mae"),
+                    F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"),
+                    F.when(sst > 0, 1 - F.col("_sse") / sst).alias("r2"))
 
 
 def score_r2(df: DataFrame) -> float:
@@ -198,7 +254,7 @@ def score_r2(df: DataFrame) -> float:
         return float("-inf")
     tr, te = split(data)
     m = fit_regressor(tr, preds, NUMERIC_TARGET, dummy_levels(data, preds))
-    val = regression_report(m.transform(te), NUMERIC_TARGET).first()["r2"]
+    val = regression_report(m.transform(aggregate_cases(te, preds, NUMERIC_TARGET)), NUMERIC_TARGET).first()["r2"]
     return float(val) if val is not None else float("-inf")
 
 
@@ -215,7 +271,7 @@ def evaluate_models(df: DataFrame) -> Evaluation:
             tr, te = split(data)
             try:
                 m = fit_classifier(tr, preds, target, dummy_levels(data, preds))
-                out = m.transform(te)
+                out = m.transform(aggregate_cases(te, preds, target))
                 metrics[f"{target}_report"] = classifier_report(out, target)
                 metrics[f"{target}_confusion"] = confusion(out, target)
             except ImputationError:
@@ -226,7 +282,7 @@ def evaluate_models(df: DataFrame) -> Evaluation:
     if data.count() >= MIN_CASES:
         tr, te = split(data)
         m = fit_regressor(tr, preds, NUMERIC_TARGET, dummy_levels(data, preds))
-        rep = regression_report(m.transform(te), NUMERIC_TARGET)
+        rep = regression_report(m.transform(aggregate_cases(te, preds, NUMERIC_TARGET)), NUMERIC_TARGET)
         metrics[f"{NUMERIC_TARGET}_report"] = rep
         val = rep.first()["r2"]
         r2 = float(val) if val is not None else float("-inf")
@@ -281,13 +337,21 @@ class ImputeResult:
     evaluation: Evaluation
 
 
-def impute_survey(df: DataFrame, model_dir: str | None = None, evaluate: bool = True) -> ImputeResult:
+def impute_survey(df: DataFrame, model_dir: str | None = None, evaluate: str = "gate") -> ImputeResult:
     """``imputar``: evaluate, impute in chained order, clip the score, normalise votes.
 
-    ``model_dir`` holds stored models (``<dir>/<target>/model``); when absent or
-    missing a model, a temporary model is fit on this survey."""
+    ``evaluate``: ``'gate'`` computes only the score regression's hold-out R2 (the one
+    number the imputation uses), ``'all'`` also the classifier reports, ``'none'``
+    skips it (R2 = -inf, so the score takes the median).  ``model_dir`` holds stored
+    models (``<dir>/<target>/model``); when absent or missing a model, a temporary
+    model is fit on this survey."""
     spark = df.sparkSession
-    ev = evaluate_models(df) if evaluate else Evaluation(float("-inf"))
+    if evaluate == "all":
+        ev = evaluate_models(df)
+    elif evaluate == "gate":
+        ev = Evaluation(score_r2(df))
+    else:
+        ev = Evaluation(float("-inf"))
     out = df
     for target in CATEGORICAL_TARGETS:
         out = impute_categorical(out, target, PREDICTORS[target], load_model(spark, model_dir, target))

@@ -356,7 +356,7 @@ def model_eval_vote(spark: SparkSession, sf: str) -> DataFrame:
     data = df.select(*I.PREDICTORS["voto"], "voto").dropna()
     tr, te = I.split(data)
     m = I.fit_classifier(tr, I.PREDICTORS["voto"], "voto", I.dummy_levels(data, I.PREDICTORS["voto"]))
-    return r6(I.classifier_report(m.transform(te), "voto"))
+    return r6(I.classifier_report(m.transform(I.aggregate_cases(te, I.PREDICTORS["voto"], "voto")), "voto"))
 
 
 def train_score_cold_start(spark: SparkSession, sf: str) -> DataFrame:
@@ -425,3 +425,62 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["flagship_track_month"] = flagship
+
+
+# ----------------------------------------------------------------------- bench workloads
+# The production shapes (rake to convergence, tol 5e-4), timed by bench.py.
+
+def bench_rake_month(spark: SparkSession, sf: str) -> DataFrame:
+    df, flag = _prepared(spark, sf)
+    res = rake(df, "win_m", calibration_variables("pampeana", flag), calibration_targets(spark, "pampeana", flag))
+    return res.weighted
+
+
+def bench_rake_week(spark: SparkSession, sf: str) -> DataFrame:
+    df, flag = _prepared(spark, sf)
+    res = rake(df, "win_s", calibration_variables("pampeana", flag), calibration_targets(spark, "pampeana", flag))
+    return res.weighted
+
+
+def bench_tracking_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    w = bench_rake_month(spark, sf)
+    s = trk.score_intervals(w, "win_m", "peso")
+    v = trk.vote_intervals(w, "win_m", "peso", cands=["a", "b", "c"])
+    return v.join(s, "win_m")
+
+
+def bench_report(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyrake.operators.report import asmd, report_rake, weight_metrics, weight_summary
+    df, flag = _prepared(spark, sf)
+    rep = report_rake(df, calibration_variables("pampeana", flag), calibration_targets(spark, "pampeana", flag))
+    return (weight_summary(rep).select("stat", "value")
+            .unionByName(asmd(rep).select(F.col("variable").alias("stat"), F.col("asmd_after").alias("value")))
+            .unionByName(weight_metrics(rep).select(F.lit("deff").alias("stat"), F.col("deff").alias("value"))))
+
+
+def bench_test_consecutive(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyrake.operators.hypothesis import test_change
+    df, _ = _prepared(spark, sf)
+    return test_change(df, "win_s", "imagen_del_candidato", "consecutive")
+
+
+def bench_impute_score(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyrake.operators import impute as I
+    from tallyrake.session import scratch_path
+    from pyspark import StorageLevel
+    df, _ = _prepared(spark, sf)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)     # read by every fit and by the scoring
+    imputed = I.impute_survey(df).imputed
+    model_dir = scratch_path(spark, "bench-models")
+    I.update_all_models(df, model_dir)
+    return I.score(imputed.select("encuesta", *I.PREDICTORS[I.NUMERIC_TARGET]), model_dir)
+
+
+BENCH = {
+    "rake_month": bench_rake_month,
+    "rake_week": bench_rake_week,
+    "tracking_intervals": bench_tracking_intervals,
+    "report": bench_report,
+    "test_consecutive_weeks": bench_test_consecutive,
+    "impute_score": bench_impute_score,
+}
