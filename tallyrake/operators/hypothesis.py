@@ -23,6 +23,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyrake.functions import special
 
@@ -124,7 +125,10 @@ def pair_statistics(df: DataFrame, window_col: str, value_col: str = "imagen_del
     return stats.join(u, ["w1", "w2"], "left")
 
 
-@F.pandas_udf("p_levene double, p_pooled double, p_welch double, p_mwu double")
+_P_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in ("p_levene", "p_pooled", "p_welch", "p_mwu")])
+
+
+@F.pandas_udf(_P_SCHEMA)
 def _pvalues(n1: pd.Series, n2: pd.Series, lev: pd.Series, tp: pd.Series, dfp: pd.Series,
              tw: pd.Series, dfw: pd.Series, u1: pd.Series, ties: pd.Series) -> pd.DataFrame:
     nn = (n1 + n2).astype("float64")
