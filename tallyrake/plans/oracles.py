@@ -381,6 +381,10 @@ def impute_score_gate() -> str:
   'median' AS method FROM windowed""")
 
 
+def stream_week_weights() -> str:
+    return S.with_query(_raked("win_s"), "SELECT encuesta, win_s, round(peso, 6) AS peso FROM raked")
+
+
 ORACLES = {
     "survey_clean": survey_clean,
     "survey_dedup_lines": survey_dedup_lines,
@@ -415,6 +419,7 @@ ORACLES = {
     "ledger_history": ledger_history,
     "history_monthly_batches": history_monthly_batches,
     "impute_score_gate": impute_score_gate,
+    "stream_week_weights": stream_week_weights,
 }
 
 

@@ -372,6 +372,28 @@ def train_score_cold_start(spark: SparkSession, sf: str) -> DataFrame:
                             "imagen_del_candidato_pred"))
 
 
+# ----------------------------------------------------------------------- streaming
+
+def stream_week_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Structured Streaming: the survey view arrives as three CSV uploads (one per
+    micro-batch); each batch is cleaned, de-duplicated against stored interviews and
+    only its touched weeks are re-raked (6 sweeps).  The final weights equal the
+    batch weekly rake."""
+    from tallyrake.session import scratch_path
+    from tallyrake.sources.survey_csv import REQUIRED_COLUMNS
+    from tallyrake.streaming.incremental import start_incremental_rake
+    inbox, store, ckpt = (scratch_path(spark, n) for n in ("inbox", "store", "stream-ckpt"))
+    upload = survey_view(spark, sf).select(
+        *[F.col("integrantes_hogar" if c == "cantidad_de_integrantes_en_el_hogar" else c).alias(c)
+          for c in REQUIRED_COLUMNS])
+    (upload.repartition(3, "encuesta").write.option("header", True)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(inbox))
+    q = start_incremental_rake(spark, inbox, store, ckpt, "pampeana", unit="week",
+                               max_files_per_trigger=1, sweeps=ORACLE_SWEEPS)
+    q.awaitTermination()
+    return r6(spark.read.parquet(f"{store}/weighted").select("encuesta", "win_s", "peso"))
+
+
 QUERIES = {
     "survey_clean": survey_clean,
     "survey_dedup_lines": survey_dedup_lines,
@@ -411,6 +433,7 @@ QUERIES = {
     "impute_votes_chain": impute_votes_chain,
     "model_eval_vote": model_eval_vote,
     "train_score_cold_start": train_score_cold_start,
+    "stream_week_weights": stream_week_weights,
 }
 
 
