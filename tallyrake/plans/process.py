@@ -50,12 +50,20 @@ def territory(population: str) -> Column:
 
 
 def prepare_survey(raw: DataFrame, population: str, restrict: bool = False,
-                   order_col: str = "_ord") -> tuple[DataFrame, bool]:
-    """clean -> normalise -> buckets (no imputation)."""
+                   order_col: str = "_ord", persist: bool = False) -> tuple[DataFrame, bool]:
+    """clean -> normalise -> buckets (no imputation).
+
+    ``persist`` keeps the prepared survey (memory, spilling to disk) because every
+    later pass reads it: the cell aggregation and the weight join of each unit, the
+    model fits.  Without it each pass re-runs the scan and the de-duplication shuffle."""
     df = raw.filter(territory(population)) if restrict else raw
     cleaned = clean_survey(df, order_col)
     normed, flag = normalize_survey(cleaned, population)
-    return add_windows(normed), flag
+    out = add_windows(normed)
+    if persist:
+        from pyspark import StorageLevel
+        out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    return out, flag
 
 
 @dataclass
@@ -85,7 +93,7 @@ def process_survey(spark: SparkSession, raw: DataFrame, population: str,
                    units=("day", "week", "month"), restrict: bool = False,
                    impute: bool = False, model_dir: str | None = None, **rake_kw) -> ProcessResult:
     """The whole of Entry 1 up to the weights (report and ledger are separate calls)."""
-    df, flag = prepare_survey(raw, population, restrict)
+    df, flag = prepare_survey(raw, population, restrict, persist=True)
     if impute:
         from tallyrake.operators.impute import impute_survey
         df = impute_survey(df, model_dir=model_dir).imputed

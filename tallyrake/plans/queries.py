@@ -29,8 +29,8 @@ def r6(df: DataFrame) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
-def _prepared(spark, sf, population="pampeana", restrict=False):
-    return prepare_survey(survey_view(spark, sf), population, restrict=restrict)
+def _prepared(spark, sf, population="pampeana", restrict=False, persist=False):
+    return prepare_survey(survey_view(spark, sf), population, restrict=restrict, persist=persist)
 
 
 def _raked(spark, sf, window, population="pampeana", restrict=False, sweeps=ORACLE_SWEEPS, **kw):
@@ -454,13 +454,13 @@ QUERIES["flagship_track_month"] = flagship
 # The production shapes (rake to convergence, tol 5e-4), timed by bench.py.
 
 def bench_rake_month(spark: SparkSession, sf: str) -> DataFrame:
-    df, flag = _prepared(spark, sf)
+    df, flag = _prepared(spark, sf, persist=True)
     res = rake(df, "win_m", calibration_variables("pampeana", flag), calibration_targets(spark, "pampeana", flag))
     return res.weighted
 
 
 def bench_rake_week(spark: SparkSession, sf: str) -> DataFrame:
-    df, flag = _prepared(spark, sf)
+    df, flag = _prepared(spark, sf, persist=True)
     res = rake(df, "win_s", calibration_variables("pampeana", flag), calibration_targets(spark, "pampeana", flag))
     return res.weighted
 
@@ -474,7 +474,7 @@ def bench_tracking_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 def bench_report(spark: SparkSession, sf: str) -> DataFrame:
     from tallyrake.operators.report import asmd, report_rake, weight_metrics, weight_summary
-    df, flag = _prepared(spark, sf)
+    df, flag = _prepared(spark, sf, persist=True)
     rep = report_rake(df, calibration_variables("pampeana", flag), calibration_targets(spark, "pampeana", flag))
     return (weight_summary(rep).select("stat", "value")
             .unionByName(asmd(rep).select(F.col("variable").alias("stat"), F.col("asmd_after").alias("value")))
@@ -483,16 +483,14 @@ def bench_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def bench_test_consecutive(spark: SparkSession, sf: str) -> DataFrame:
     from tallyrake.operators.hypothesis import test_change
-    df, _ = _prepared(spark, sf)
+    df, _ = _prepared(spark, sf, persist=True)
     return test_change(df, "win_s", "imagen_del_candidato", "consecutive")
 
 
 def bench_impute_score(spark: SparkSession, sf: str) -> DataFrame:
     from tallyrake.operators import impute as I
     from tallyrake.session import scratch_path
-    from pyspark import StorageLevel
-    df, _ = _prepared(spark, sf)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)     # read by every fit and by the scoring
+    df, _ = _prepared(spark, sf, persist=True)       # read by every fit and by the scoring
     imputed = I.impute_survey(df).imputed
     model_dir = scratch_path(spark, "bench-models")
     I.update_all_models(df, model_dir)

@@ -66,9 +66,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one): survives executor loss."""
+    """Reliable checkpoint (never a local one): survives executor loss.
+
+    The frame is persisted first so the checkpoint write does not recompute it (an
+    un-persisted RDD is computed once for the action and again for the file write)."""
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
 
 
 def is_local_path(path: str) -> bool:
