@@ -73,30 +73,34 @@ def window_pairs(df: DataFrame, window_col: str, pairs: str = "first_last") -> D
 
 def mann_whitney_u(df: DataFrame, window_col: str, value_col: str, pair_df: DataFrame) -> DataFrame:
     """U of the first sample and the tie term sum(t^3 - t) for every pair."""
+    from pyspark import StorageLevel
     v = _values(df, window_col, value_col)
     hist = v.groupBy("win", "x").agg(F.count(F.lit(1)).alias("c"))
-    p = pair_df.select("w1", "w2")
-    first = hist.join(F.broadcast(p), hist.win == p.w1).select("w1", "w2", "x", F.col("c").alias("n1"),
-                                                               F.lit(0).cast("long").alias("n2"))
-    second = hist.join(F.broadcast(p), hist.win == p.w2).select("w1", "w2", "x", F.lit(0).cast("long").alias("n1"),
-                                                                F.col("c").alias("n2"))
-    pv = (first.unionByName(second).groupBy("w1", "w2", "x")
-               .agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")))
+    # side map: two rows per pair (window -> pair, side); one row per pair, broadcast
+    side = pair_df.select(F.explode(F.array(
+        F.struct(F.col("w1").alias("win"), "w1", "w2", F.lit(1).alias("s")),
+        F.struct(F.col("w2").alias("win"), "w1", "w2", F.lit(2).alias("s")))).alias("_m")).select("_m.*")
+    pv = (hist.join(F.broadcast(side), "win")
+              .groupBy("w1", "w2", "x")
+              .agg(F.sum(F.when(F.col("s") == 1, F.col("c")).otherwise(0)).alias("n1"),
+                   F.sum(F.when(F.col("s") == 2, F.col("c")).otherwise(0)).alias("n2"))
+              .persist(StorageLevel.MEMORY_AND_DISK))          # read by three branches below
     # level 1: approximate-quantile bucket boundaries per pair (mergeable aggregate)
     probs = [i / PREFIX_BUCKETS for i in range(1, PREFIX_BUCKETS)]
-    bounds = pv.groupBy("w1", "w2").agg(F.percentile_approx("x", probs, 10_000).alias("_b"))
-    pv = (pv.join(F.broadcast(bounds), ["w1", "w2"])
-            .withColumn("b", F.size(F.filter("_b", lambda y: y < F.col("x")))).drop("_b"))
-    tot = pv.groupBy("w1", "w2", "b").agg(F.sum("n2").alias("n2b"))
-    off = tot.withColumn("off", F.coalesce(F.sum("n2b").over(
-        Window.partitionBy("w1", "w2").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    bounds = pv.groupBy("w1", "w2").agg(F.percentile_approx("x", probs, 1000).alias("_b"))
+    pvb = (pv.join(F.broadcast(bounds), ["w1", "w2"])
+             .withColumn("b", F.size(F.filter("_b", lambda y: y < F.col("x")))).drop("_b"))
+    tot = pvb.groupBy("w1", "w2", "b").agg(F.sum("n2").alias("n2b"))
+    off = tot.select("w1", "w2", "b", F.coalesce(F.sum("n2b").over(
+        Window.partitionBy("w1", "w2").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("off"))
     # level 2: running count of the second sample strictly below x inside the bucket
     local = F.coalesce(F.sum("n2").over(
         Window.partitionBy("w1", "w2", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pv = pv.withColumn("below", local).join(off.select("w1", "w2", "b", "off"), ["w1", "w2", "b"])
-    return (pv.groupBy("w1", "w2")
-              .agg(F.sum(F.col("n1") * (F.col("below") + F.col("off") + F.col("n2") / 2.0)).alias("u1"),
-                   F.sum(F.pow(F.col("n1") + F.col("n2"), 3) - (F.col("n1") + F.col("n2"))).alias("tie_term")))
+    out = pvb.withColumn("below", local).join(off, ["w1", "w2", "b"])
+    return (out.groupBy("w1", "w2")
+               .agg(F.sum(F.col("n1") * (F.col("below") + F.col("off") + F.col("n2") / 2.0)).alias("u1"),
+                    F.sum(F.pow(F.col("n1") + F.col("n2"), 3) - (F.col("n1") + F.col("n2"))).alias("tie_term")))
 
 
 def pair_statistics(df: DataFrame, window_col: str, value_col: str = "imagen_del_candidato",

@@ -125,25 +125,47 @@ CASES_PER_PARTITION = 200_000
 def aggregate_cases(df: DataFrame, predictors: list[str], target: str) -> DataFrame:
     """Complete cases collapsed to distinct (predictors, target) rows with a count.
 
-    A weighted fit on this table has exactly the row-level likelihood (and the OLS
-    normal equations), while every optimiser pass reads at most the number of
-    distinct cases instead of every interview.  Pre-aggregation has map-side combine,
-    so duplicated profiles cost nothing extra."""
+    A weighted fit on this table has exactly the row-level likelihood, while every
+    optimiser pass reads at most the number of distinct cases instead of every
+    interview.  Pre-aggregation has map-side combine, so duplicated profiles cost
+    nothing extra."""
     return (df.select(*predictors, target).dropna()
               .groupBy(*predictors, target).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)))
 
 
-def _fit_table(df: DataFrame, predictors: list[str], target: str) -> DataFrame:
-    """Aggregated cases, sized to ~CASES_PER_PARTITION rows per partition, cached."""
-    agg = aggregate_cases(df, predictors, target).cache()
-    rows = agg.count()
-    parts = max(1, -(-rows // CASES_PER_PARTITION))
-    if parts < agg.rdd.getNumPartitions():
-        sized = agg.coalesce(parts).cache()
-        sized.count()
-        agg.unpersist()
-        return sized
-    return agg
+def aggregate_profiles(df: DataFrame, predictors: list[str], target: str) -> DataFrame:
+    """Complete cases collapsed to distinct predictor profiles: mean target and count.
+
+    Rows of one profile share the design row, so weighted least squares on
+    (profile, mean, count) has the row-level OLS normal equations; the table is
+    bounded by the product of the predictor levels, whatever the number of rows."""
+    return (df.select(*predictors, F.col(target).cast("double").alias(target)).dropna()
+              .groupBy(*predictors).agg(F.avg(target).alias(target),
+                                        F.count(F.lit(1)).cast("double").alias(WEIGHT)))
+
+
+def _fit_input(agg: DataFrame, predictors: list[str], extra_sets: list[str],
+               levels: dict[str, list[str]] | None, label_stages: list, label_col: str):
+    """One job for (rows, total weight, level sets); then the feature table, sized to
+    ~CASES_PER_PARTITION rows per partition and persisted for the optimiser passes."""
+    from pyspark import StorageLevel
+    cats = [c for c in predictors if c not in NUMERIC_PREDICTORS]
+    cols = cats + extra_sets
+    row = agg.agg(F.count(F.lit(1)).alias("_rows"), F.sum(WEIGHT).alias("_n"),
+                  *[F.slice(F.collect_set(F.col(c).cast("string")), 1, MAX_LEVELS + 1).alias(c)
+                    for c in cols]).first()
+    sets = {c: sorted(row[c] or []) for c in cols}
+    if any(len(v) > MAX_LEVELS for v in sets.values()):
+        raise ImputationError("too many levels")
+    levels = levels or {c: sets[c][1:] for c in cats}
+    enc = encoding_stages(predictors, levels)
+    x = agg
+    for st in label_stages:
+        x = st.transform(x)
+    feats = enc[1].transform(enc[0].transform(x)).select(FEATURES, label_col, WEIGHT)
+    parts = max(1, -(-(row["_rows"] or 0) // CASES_PER_PARTITION))
+    feats = feats.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    return feats, enc, sets, (row["_n"] or 0.0)
 
 
 def fit_classifier(train: DataFrame, predictors: list[str], target: str,
@@ -151,47 +173,37 @@ def fit_classifier(train: DataFrame, predictors: list[str], target: str,
     """Multinomial (or binary) logistic regression with L2, C = 1 in the reference's
     scale (``regParam = 1 / (C n)``), no standardisation, intercept unpenalised;
     fit on the aggregated complete cases with their counts as weights."""
-    data = _fit_table(train, predictors, target)
+    agg = aggregate_cases(train, predictors, target)
+    labels = level_sets(agg, [target])[target]
+    if len(labels) == 0:
+        raise ImputationError(f"no complete cases to train {target}")
+    if len(labels) < 2:
+        raise ImputationError(f"{target} has a single class; cannot train")
+    indexer = StringIndexerModel.from_labels(labels, inputCol=target, outputCol=LABEL)
+    feats, enc, _, n = _fit_input(agg, predictors, [], levels, [indexer], LABEL)
     try:
-        cats = [c for c in predictors if c not in NUMERIC_PREDICTORS]
-        sets = level_sets(data, cats + [target])        # one job: levels, classes
-        n = data.agg(F.sum(WEIGHT)).first()[0] or 0.0
-        labels = sets[target]
-        if n == 0:
-            raise ImputationError(f"no complete cases to train {target}")
-        if len(labels) < 2:
-            raise ImputationError(f"{target} has a single class; cannot train")
-        levels = levels or {c: sets[c][1:] for c in cats}
-        enc = encoding_stages(predictors, levels)
-        indexer = StringIndexerModel.from_labels(labels, inputCol=target, outputCol=LABEL)
-        feats = (enc[1].transform(enc[0].transform(indexer.transform(data)))
-                 .select(FEATURES, LABEL, WEIGHT).cache())       # optimiser passes read this
         lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PRED_INDEX,
                                 weightCol=WEIGHT, family="auto", regParam=1.0 / (C_INVERSE_REG * n),
                                 elasticNetParam=0.0, standardization=False, maxIter=MAX_ITER)
         model = lr.fit(feats)
-        feats.unpersist()
     finally:
-        data.unpersist()
+        feats.unpersist()
     back = IndexToString(inputCol=PRED_INDEX, outputCol=f"{target}_pred", labels=labels)
     return PipelineModel(stages=[*enc, model, back])
 
 
 def fit_regressor(train: DataFrame, predictors: list[str], target: str,
                   levels: dict[str, list[str]] | None = None) -> PipelineModel:
-    """Ordinary least squares (normal equations, no penalty) on aggregated cases."""
-    base = train.select(*predictors, F.col(target).cast("double").alias(target))
-    data = _fit_table(base, predictors, target)
+    """Ordinary least squares (normal equations, no penalty) on predictor profiles."""
+    agg = aggregate_profiles(train, predictors, target)
+    feats, enc, _, n = _fit_input(agg, predictors, [], levels, [], target)
     try:
-        if data.isEmpty():
+        if n == 0:
             raise ImputationError(f"no complete cases to train {target}")
-        levels = levels or dummy_levels(data, predictors)
-        enc = encoding_stages(predictors, levels)
-        feats = enc[1].transform(enc[0].transform(data))
         model = LinearRegression(featuresCol=FEATURES, labelCol=target, predictionCol=f"{target}_pred",
                                  weightCol=WEIGHT, regParam=0.0, solver="normal").fit(feats)
     finally:
-        data.unpersist()
+        feats.unpersist()
     return PipelineModel(stages=[*enc, model])
 
 
