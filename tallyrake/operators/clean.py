@@ -42,12 +42,14 @@ def keep_first(df: DataFrame, key: str, order_col: str = ORDER_COL) -> DataFrame
               .select(*[F.col(key) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns]))
 
 
-def clean_survey(df: DataFrame, order_col: str = ORDER_COL) -> DataFrame:
+def clean_survey(df: DataFrame, order_col: str = ORDER_COL, normalize_sex_first: bool = False) -> DataFrame:
     """``limpiar``: F1, F2, W1, F3, F5-F7, F4, F8 in the reference's order.
 
     The de-duplication runs after the vote/score and age filters and before the
     null and sex filters, exactly as in the reference; moving it would change which
-    duplicate survives.
+    duplicate survives.  The sex whitelist matches the raw text exactly (so
+    ``Femenino`` is dropped, as in the reference); ``normalize_sex_first`` trims and
+    lower-cases before matching instead.
     """
     out = (df
            .filter(F.col("voto").isNotNull() | F.col("imagen_del_candidato").isNotNull())   # F1
@@ -56,7 +58,7 @@ def clean_survey(df: DataFrame, order_col: str = ORDER_COL) -> DataFrame:
     out = out.dropna(subset=["fecha", "estrato", "nivel_educativo", "sexo", "edad"])        # F3
     out = out.withColumns({
         "nivel_educativo": education_level("nivel_educativo"),                               # F5-F7
-        "sexo": sex_whitelisted("sexo"),                                                     # F4
+        "sexo": sex_whitelisted(norm_text("sexo") if normalize_sex_first else F.col("sexo")),   # F4
     }).filter(F.col("sexo").isNotNull())
     if "integrantes_hogar" in out.columns:                                                   # F8
         out = out.withColumn("integrantes_hogar",

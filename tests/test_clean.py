@@ -95,3 +95,9 @@ def test_null_profile(spark):
     prof = {r["column"]: r["null_pct"] for r in null_profile(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert prof["voto"] == 50.0 and prof["edad"] == 0.0
     assert F is not None
+
+
+def test_sex_normalised_first_option(spark):
+    rows = [row(1, sexo="Femenino"), row(2, sexo=" masculino "), row(3, sexo="otro")]
+    out = clean_survey(spark.createDataFrame(rows, SCHEMA), normalize_sex_first=True)
+    assert sorted(r["sexo"] for r in out.collect()) == ["femenino", "masculino"]

@@ -33,3 +33,16 @@ def test_selected_oracles_match_at_small_scale(spark):
         b = sorted(tuple(str(dict(zip(names, r))[c]) for c in cols) for r in cur.fetchall())
         assert len(a) == len(b), name
         assert a == b, name
+
+
+def test_process_and_dashboard_end_to_end(spark):
+    from tallyrake.plans.dashboard import dashboard
+    from tallyrake.plans.process import process_survey
+    from tallyrake.sources.driver_view import survey_view
+    res = process_survey(spark, survey_view(spark, SMALL_SF), "pampeana")
+    w = res.weighted
+    assert {"peso_d", "peso_s", "peso_m"} <= set(w.columns)
+    assert w.filter("peso_d is null or peso_s is null or peso_m is null").count() == 0
+    d = dashboard(w, res.variables, res.targets, unit="m")
+    assert d.tracking_score.count() > 0 and d.test.count() == 1
+    assert d.report_weights.count() == 22
