@@ -7,9 +7,10 @@ Plan shape (never iterates over rows):
    rows costs no more than any other; the result has at most ``windows x prod(levels)``
    rows, independent of the row count.
 2. fallback status per window from the cells (JVM window functions over cells).
-3. IPF per window over its cells only: ``groupBy(window).applyInPandas`` (numpy
-   bincount sweeps, bounded group size), or ``sweeps=K`` unrolled as JVM window
-   functions after one ``repartition(window)``.
+3. IPF per window over its cells only: ``repartition(window).mapInPandas`` runs the
+   sweeps of all windows of a partition at once (numpy ``bincount`` on (window, level)
+   codes; each window stops at its own convergence), or ``sweeps=K`` unrolled as JVM
+   window functions after one ``repartition(window)``.
 4. trim (W3), fallback (W4), normalise to n (W2) and the diagnostics (A7-A9) are
    n-weighted window aggregates over the cells.
 5. **one** join of the cell weights back to the rows on ``(window, levels)``; the cell
@@ -157,6 +158,67 @@ def _ipf_cells_fn(variables: list[str], tgt: dict[str, dict[str, float]], max_it
     return fn
 
 
+def _ipf_partition_fn(variables: list[str], tgt: dict[str, dict[str, float]], max_iter: int, tol: float,
+                      fixed: bool = False):
+    """IPF for every window of one partition at once (cells arrive hash-partitioned by
+    window, so each window is whole).  Each window keeps sweeping until its own
+    max |margin - target| < tol; converged windows are frozen."""
+    order = sorted(variables)
+    level_lists = {v: sorted(tgt[v]) for v in order}
+    out_cols = [_WIN] + [_lv(v) for v in variables] + ["n", "status"]
+
+    def fn(batches):
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
+        out = pdf[out_cols].copy()
+        out["w_raw"] = 1.0
+        out["iterations"] = 0
+        ok = (pdf["status"] == STATUS_OK).to_numpy()
+        if ok.any():
+            sub = pdf.loc[ok]
+            win, _ = pd.factorize(sub[_WIN])
+            n_win = int(win.max()) + 1
+            n = sub["n"].to_numpy(dtype="float64")
+            w = n / np.bincount(win, weights=n, minlength=n_win)[win]
+            combos, targets, widths = [], [], []
+            for v in order:
+                levels = level_lists[v]
+                idx = {lvl: i for i, lvl in enumerate(levels)}
+                code = sub[_lv(v)].map(idx).to_numpy(dtype="int64")
+                combos.append(win * len(levels) + code)
+                targets.append((np.array([tgt[v][lvl] for lvl in levels], dtype="float64"), code))
+                widths.append(len(levels))
+            active = np.ones(n_win, dtype=bool)
+            converged = np.zeros(n_win, dtype=bool)
+            sweeps = np.zeros(n_win, dtype="int64")
+            for it in range(1, max_iter + 1):
+                live = active[win]
+                for comb, (t, code), width in zip(combos, targets, widths):
+                    tot = np.bincount(comb, weights=w, minlength=n_win * width)
+                    w = np.where(live, w * t[code] / tot[comb], w)
+                sweeps[active] = it
+                total = np.bincount(win, weights=w, minlength=n_win)
+                dev = np.zeros(n_win)
+                for comb, (t, _), width in zip(combos, targets, widths):
+                    m = np.bincount(comb, weights=w, minlength=n_win * width).reshape(n_win, width)
+                    dev = np.maximum(dev, np.abs(m / total[:, None] - t[None, :]).max(axis=1))
+                done = active & (dev < tol)
+                converged |= done
+                active &= ~done
+                if not active.any():
+                    break
+            out.loc[ok, "w_raw"] = w / n
+            out.loc[ok, "iterations"] = sweeps[win]
+            if not fixed:
+                out.loc[ok, "status"] = np.where(converged[win], STATUS_OK, STATUS_NOT_CONVERGED)
+        out["iterations"] = out["iterations"].astype("int32")
+        yield out
+
+    return fn
+
+
 def _ipf_python(cells: DataFrame, variables, tgt, max_iter, tol, fixed=False) -> DataFrame:
     win_type = cells.schema[_WIN].dataType
     schema = T.StructType(
@@ -164,7 +226,8 @@ def _ipf_python(cells: DataFrame, variables, tgt, max_iter, tol, fixed=False) ->
         + [T.StructField(_lv(v), T.StringType()) for v in variables]
         + [T.StructField("n", T.LongType()), T.StructField("status", T.StringType()),
            T.StructField("w_raw", T.DoubleType()), T.StructField("iterations", T.IntegerType())])
-    return cells.groupBy(_WIN).applyInPandas(_ipf_cells_fn(variables, tgt, max_iter, tol, fixed), schema)
+    # one shuffle of the (small) cell table puts every window wholly in one partition
+    return cells.repartition(_WIN).mapInPandas(_ipf_partition_fn(variables, tgt, max_iter, tol, fixed), schema)
 
 
 def _ipf_native(cells: DataFrame, variables, tgt, sweeps: int) -> DataFrame:
@@ -225,7 +288,7 @@ def rake(df: DataFrame, window_col: str | None, variables: list[str], targets,
     """Rake every window of ``df`` to the margins and attach ``weight_col``.
 
     ``method='cells'`` iterates to ``tol`` (max |margin - target|) or ``max_iter`` sweeps
-    with numpy inside ``applyInPandas`` over cells; ``method='native'`` runs exactly
+    with numpy inside ``mapInPandas`` over cells; ``method='native'`` runs exactly
     ``sweeps`` sweeps as JVM window functions.  ``sweeps`` with ``method='cells'`` means
     ``max_iter=sweeps, tol=0`` (exactly that many sweeps), so both methods agree.
     ``window_col=None`` rakes the whole survey as one window (C2).
