@@ -100,6 +100,16 @@ def encoding_stages(predictors: list[str], levels: dict[str, list[str]]) -> list
             VectorAssembler(inputCols=names, outputCol=FEATURES, handleInvalid="keep")]
 
 
+TEXT_COLUMNS = ["sexo", "estrato", "nivel_educativo", "voto", "voto_anterior"]
+
+
+def normalize_text_columns(df: DataFrame, columns: list[str] = TEXT_COLUMNS) -> DataFrame:
+    """F16: null-preserving trim + lower of the model's text columns.  Applied before
+    training *and* before imputation, so history never holds ``A`` and ``a`` as two
+    classes (D3)."""
+    return df.withColumns({c: norm_text(c) for c in columns if c in df.columns})
+
+
 # ----------------------------------------------------------------------- split (M4)
 
 def split(df: DataFrame, fraction: float = TRAIN_FRACTION, seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
@@ -358,6 +368,7 @@ def impute_survey(df: DataFrame, model_dir: str | None = None, evaluate: str = "
     models (``<dir>/<target>/model``); when absent or missing a model, a temporary
     model is fit on this survey."""
     spark = df.sparkSession
+    df = normalize_text_columns(df)
     if evaluate == "all":
         ev = evaluate_models(df)
     elif evaluate == "gate":
@@ -427,8 +438,9 @@ def update_model(df_observed: DataFrame, target: str, model_dir: str, survey_id:
 def update_all_models(df_observed: DataFrame, model_dir: str) -> dict[str, int]:
     """Retrain the three models on their histories (one fingerprint for the survey)."""
     from tallyrake.sources.history import SURVEY_ID, fingerprint
-    sid = fingerprint(df_observed).first()[SURVEY_ID]
-    return {t: update_model(df_observed, t, model_dir, sid)[1] for t in PREDICTORS}
+    observed = normalize_text_columns(df_observed)
+    sid = fingerprint(observed).first()[SURVEY_ID]
+    return {t: update_model(observed, t, model_dir, sid)[1] for t in PREDICTORS}
 
 
 # ----------------------------------------------------------------------- scoring

@@ -63,3 +63,9 @@ def test_retrain_and_score(spark, tmp_dir):
         assert sum(r["probabilidades_voto"].values()) == pytest.approx(1.0)
         assert r["voto_pred"] in ("a", "b")
         assert round(r["imagen_del_candidato_pred"], 1) == r["imagen_del_candidato_pred"]
+
+
+def test_text_normalised_before_training(spark):
+    df = survey(spark).withColumn("voto", F.when(F.col("voto") == "a", F.lit(" A")).otherwise(F.col("voto")))
+    out = I.impute_survey(df, evaluate="none").imputed
+    assert {r["voto"] for r in out.select("voto").distinct().collect()} == {"a", "b"}

@@ -101,3 +101,15 @@ def test_whole_survey_window(spark):
     res = rake(df, None, ["sexo", "edad_cat"], TGT, weight_col="peso")
     assert res.weighted.agg(F.sum("peso")).first()[0] == pytest.approx(100.0)
     assert "win" in res.weighted.columns
+
+
+def test_windows_are_independent(spark):
+    a = frame(spark, {("f", "a"): 17, ("f", "b"): 3, ("m", "a"): 9, ("m", "b"): 31}, "w1")
+    b = frame(spark, {("f", "a"): 2, ("f", "b"): 40, ("m", "a"): 12, ("m", "b"): 6}, "w2")
+    together = rake(a.unionByName(b), "win", ["sexo", "edad_cat"], TGT, weight_col="peso")
+    alone = rake(a, "win", ["sexo", "edad_cat"], TGT, weight_col="peso")
+    wt = {(r["win"], r["sexo"], r["edad_cat"]): r["peso"] for r in together.weighted.collect()}
+    for r in alone.weighted.collect():
+        assert wt[("w1", r["sexo"], r["edad_cat"])] == pytest.approx(r["peso"], rel=1e-12)
+    it = {r["win"]: r["iterations"] for r in together.diagnostics.collect()}
+    assert it["w1"] == alone.diagnostics.first()["iterations"]
