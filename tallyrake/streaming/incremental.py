@@ -31,6 +31,9 @@ from tallyrake.plans.process import UNIT_WINDOW
 from tallyrake.sources.census import calibration_targets, calibration_variables
 from tallyrake.sources.survey_csv import NUMERIC, RENAMES, REQUIRED_COLUMNS
 
+# Upload ids broadcast for the duplicate check up to this many distinct ids.
+BROADCAST_ID_LIMIT = 5_000_000
+
 # Columns of an upload, in file order (a streaming CSV source needs its schema).
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in REQUIRED_COLUMNS])
 
@@ -67,7 +70,13 @@ def make_batch_writer(store: str, population: str, unit: str = "week", has_bsas_
         cleaned = clean_survey(up)
         stored = _read_or_none(spark, rows_path)
         if stored is not None:
-            seen = stored.filter(F.col("_epoch") < epoch_id).select("encuesta").distinct()
+            # ids of this upload (broadcast when small) select the colliding stored ids:
+            # the stored table is scanned (one column), never shuffled
+            ids = cleaned.select("encuesta").distinct()
+            if ids.count() <= BROADCAST_ID_LIMIT:
+                ids = F.broadcast(ids)
+            seen = (stored.filter(F.col("_epoch") < epoch_id).select("encuesta")
+                          .join(ids, "encuesta", "left_semi").distinct())
             cleaned = cleaned.join(seen, "encuesta", "left_anti")
         normed, _ = normalize_survey(cleaned, population, has_bsas_municipalities)
         new = (add_windows(normed, units=(unit,)).withColumn("_part", part)
