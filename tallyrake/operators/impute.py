@@ -346,8 +346,10 @@ def impute_numeric(df: DataFrame, target: str, predictors: list[str], r2: float,
 
 
 def fill_median(df: DataFrame, target: str) -> DataFrame:
-    """Exact median of the observed values (a one-row aggregate) fills the nulls."""
-    med = df.agg(F.median(F.col(target).cast("double"))).first()[0]
+    """Exact median of the observed values fills the nulls (bounded selection,
+    see ``functions.quantile``; never one task holding the whole column)."""
+    from tallyrake.functions.quantile import exact_median
+    med = exact_median(df, target)
     return df.withColumn(target, F.coalesce(F.col(target).cast("double"), F.lit(med).cast("double")))
 
 
