@@ -57,17 +57,29 @@ def validate_metrics(metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
     return metrics.filter(ok), metrics.filter(~ok).withColumn("reason", F.lit("non-numeric metric"))
 
 
+def _new_only(spark: SparkSession, rows: DataFrame, path: str, schema) -> DataFrame:
+    """Idempotent append: rows whose run id is already stored are skipped, so a
+    retried job (e.g. after an executor loss) never duplicates ledger rows."""
+    try:
+        stored = spark.read.schema(schema).parquet(path).select("run_id").distinct()
+    except Exception:  # noqa: BLE001 - empty ledger
+        return rows
+    return rows.join(stored, "run_id", "left_anti")
+
+
 def append_runs(runs: DataFrame, ledger: str) -> DataFrame:
     """Validate and append run records; returns the rejected rows."""
     valid, rejected = validate_runs(runs.select(*[f.name for f in RUN_SCHEMA.fields]))
-    valid.write.mode("append").parquet(_p(ledger, "run"))
+    path = _p(ledger, "run")
+    _new_only(runs.sparkSession, valid, path, RUN_SCHEMA).write.mode("append").parquet(path)
     return rejected
 
 
 def append_metrics(metrics: DataFrame, ledger: str) -> DataFrame:
     """Validate and append run metrics; returns the rejected rows."""
     valid, rejected = validate_metrics(metrics.select(*[f.name for f in METRIC_SCHEMA.fields]))
-    valid.write.mode("append").parquet(_p(ledger, "run_metric"))
+    path = _p(ledger, "run_metric")
+    _new_only(metrics.sparkSession, valid, path, METRIC_SCHEMA).write.mode("append").parquet(path)
     return rejected
 
 

@@ -54,6 +54,7 @@ def test_ledger_roundtrip(spark, tmp_dir):
     mets = spark.createDataFrame([("r1", 1.5, 60.0, 0.6, 3.0, 0.3), ("r9", None, 1.0, 1.0, 1.0, 1.0)],
                                  ledger.METRIC_SCHEMA)
     assert ledger.append_metrics(mets, tmp_dir).count() == 1
+    ledger.append_runs(runs, tmp_dir)                      # retried job: no duplicates
     runs_sorted, total = ledger.list_runs(spark, tmp_dir)
     assert total == 2 and [r["run_id"] for r in runs_sorted.collect()] == ["r2", "r1"]
     hist = {r["run_id"]: r for r in ledger.history_with_metrics(spark, tmp_dir).collect()}
