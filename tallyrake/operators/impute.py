@@ -403,12 +403,10 @@ def _history_path(model_dir: str, target: str) -> str:
 
 def load_model(spark: SparkSession, model_dir: str | None, target: str) -> PipelineModel | None:
     """The stored pipeline, or None when absent."""
-    if not model_dir:
-        return None
-    try:
-        return PipelineModel.load(_model_path(model_dir, target))
-    except Exception:  # noqa: BLE001 - absent model
+    from tallyrake.session import path_exists
+    if not model_dir or not path_exists(spark, _model_path(model_dir, target)):
         return None
+    return PipelineModel.load(_model_path(model_dir, target))
 
 
 def update_model(df_observed: DataFrame, target: str, model_dir: str, survey_id: str | None = None,

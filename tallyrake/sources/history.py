@@ -56,10 +56,8 @@ def append_history(spark: SparkSession, path: str, batch: DataFrame) -> int:
     """S16 + U1: idempotent append of complete cases tagged with ``survey_id``.
 
     Returns the number of rows appended (0 when the survey was already stored)."""
-    try:
-        history = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no history yet
-        history = None
+    from tallyrake.session import path_exists
+    history = spark.read.parquet(path) if path_exists(spark, path) else None
     fresh = new_history_rows(history, batch)
     if history is not None:
         fresh = fresh.select(*history.columns) if set(history.columns) == set(fresh.columns) else fresh

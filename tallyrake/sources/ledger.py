@@ -60,10 +60,10 @@ def validate_metrics(metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _new_only(spark: SparkSession, rows: DataFrame, path: str, schema) -> DataFrame:
     """Idempotent append: rows whose run id is already stored are skipped, so a
     retried job (e.g. after an executor loss) never duplicates ledger rows."""
-    try:
-        stored = spark.read.schema(schema).parquet(path).select("run_id").distinct()
-    except Exception:  # noqa: BLE001 - empty ledger
+    from tallyrake.session import path_exists
+    if not path_exists(spark, path):
         return rows
+    stored = spark.read.schema(schema).parquet(path).select("run_id").distinct()
     return rows.join(stored, "run_id", "left_anti")
 
 

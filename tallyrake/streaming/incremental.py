@@ -51,10 +51,8 @@ def typed_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: int
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing stored yet
-        return None
+    from tallyrake.session import path_exists
+    return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
 def make_batch_writer(store: str, population: str, unit: str = "week", has_bsas_municipalities: bool = False,
