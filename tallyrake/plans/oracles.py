@@ -86,8 +86,12 @@ def rake_month_weights() -> str:
     return S.with_query(_raked("win_m"), "SELECT encuesta, win_m, round(peso, 6) AS peso FROM raked")
 
 
-def _diag(window) -> str:
-    return S.with_query(_raked(window), S.rake_diagnostics("raked_cells", window))
+def _diag(window, population="pampeana") -> str:
+    return S.with_query(_raked(window, population), S.rake_diagnostics("raked_cells", window))
+
+
+def rake_month_nacional_diagnostics() -> str:
+    return _diag("win_m", "nacional")
 
 
 def rake_month_diagnostics() -> str:
@@ -398,6 +402,7 @@ ORACLES = {
     "rake_day_diagnostics": rake_day_diagnostics,
     "rake_month_bsas": rake_month_bsas,
     "rake_month_native": rake_month_native,
+    "rake_month_nacional_diagnostics": rake_month_nacional_diagnostics,
     "track_score_month": track_score_month,
     "track_vote_month": track_vote_month,
     "track_vote_month_wide": track_vote_month_wide,

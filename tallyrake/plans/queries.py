@@ -123,6 +123,13 @@ def rake_month_bsas(spark: SparkSession, sf: str) -> DataFrame:
     return r6(res.weighted.select("encuesta", "win_m", "estrato_bsas", "peso"))
 
 
+def rake_month_nacional_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """Four-variable national rake (S9 region margin via J1): a window holding an
+    interview from an unmapped estrato has a level without target ('nan') and falls
+    back to weight 1 (W4), as the reference's raking failure does."""
+    return _diag(_raked(spark, sf, "win_m", population="nacional"), "win_m")
+
+
 def rake_month_native(spark: SparkSession, sf: str) -> DataFrame:
     """Same monthly rake through the JVM-only unrolled path (cross-check of C1)."""
     res = _raked(spark, sf, "win_m", method="native")
@@ -407,6 +414,7 @@ QUERIES = {
     "rake_day_diagnostics": rake_day_diagnostics,
     "rake_month_bsas": rake_month_bsas,
     "rake_month_native": rake_month_native,
+    "rake_month_nacional_diagnostics": rake_month_nacional_diagnostics,
     "track_score_month": track_score_month,
     "track_vote_month": track_vote_month,
     "track_vote_month_wide": track_vote_month_wide,
