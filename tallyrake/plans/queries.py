@@ -379,6 +379,15 @@ def train_score_cold_start(spark: SparkSession, sf: str) -> DataFrame:
                             "imagen_del_candidato_pred"))
 
 
+def process_impute_rake_track(spark: SparkSession, sf: str) -> DataFrame:
+    """Entry 1 + Entry 2 end to end: clean -> recode -> impute (temporary models) ->
+    day / week / month buckets -> rake each unit to convergence -> weekly vote shares
+    with 95 % intervals on the imputed, weighted survey."""
+    from tallyrake.plans.process import process_survey
+    res = process_survey(spark, survey_view(spark, sf), "pampeana", impute=True)
+    return r6(trk.vote_intervals(res.weighted, "win_s", "peso_s"))
+
+
 # ----------------------------------------------------------------------- streaming
 
 def stream_week_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -442,6 +451,7 @@ QUERIES = {
     "model_eval_vote": model_eval_vote,
     "train_score_cold_start": train_score_cold_start,
     "stream_week_weights": stream_week_weights,
+    "process_impute_rake_track": process_impute_rake_track,
 }
 
 
