@@ -114,7 +114,9 @@ def with_status(cells: DataFrame, variables: list[str], tgt: dict[str, dict[str,
 
 def _ipf_numpy(n: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
                max_iter: int, tol: float) -> tuple[np.ndarray, int, bool]:
-    """Cell-level IPF; returns cell totals (sum 1), sweeps done, converged flag."""
+    """IPF of one window's cells (the plain definition; the operator runs the
+    vectorised many-window form below).  Returns cell totals (sum 1), sweeps done,
+    converged flag."""
     w = n.astype("float64") / n.sum()
     sweeps = 0
     for sweeps in range(1, max_iter + 1):
@@ -129,35 +131,6 @@ def _ipf_numpy(n: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]
     return w, sweeps, False
 
 
-def _ipf_cells_fn(variables: list[str], tgt: dict[str, dict[str, float]], max_iter: int, tol: float,
-                  fixed: bool = False):
-    order = sorted(variables)                     # sweep order: alphabetical by variable
-    level_lists = {v: sorted(tgt[v]) for v in order}
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["n"].to_numpy(dtype="float64")
-        status = pdf["status"].iloc[0]
-        out = pdf[[_WIN] + [_lv(v) for v in variables] + ["n", "status"]].copy()
-        if status != STATUS_OK:
-            out["w_raw"] = 1.0
-            out["iterations"] = 0
-            return out
-        codes, tarr = [], []
-        for v in order:
-            levels = level_lists[v]
-            idx = {lvl: i for i, lvl in enumerate(levels)}
-            codes.append(pdf[_lv(v)].map(idx).to_numpy(dtype="int64"))
-            tarr.append(np.array([tgt[v][lvl] for lvl in levels], dtype="float64"))
-        w, sweeps, converged = _ipf_numpy(n, codes, tarr, max_iter, tol)
-        out["w_raw"] = w / n                      # weight of one row of the cell
-        out["iterations"] = sweeps
-        if not converged and not fixed:
-            out["status"] = STATUS_NOT_CONVERGED
-        return out
-
-    return fn
-
-
 def _ipf_partition_fn(variables: list[str], tgt: dict[str, dict[str, float]], max_iter: int, tol: float,
                       fixed: bool = False):
     """IPF for every window of one partition at once (cells arrive hash-partitioned by

@@ -113,3 +113,29 @@ def test_windows_are_independent(spark):
         assert wt[("w1", r["sexo"], r["edad_cat"])] == pytest.approx(r["peso"], rel=1e-12)
     it = {r["win"]: r["iterations"] for r in together.diagnostics.collect()}
     assert it["w1"] == alone.diagnostics.first()["iterations"]
+
+
+def test_vectorised_ipf_equals_single_window_definition():
+    import numpy as np
+    import pandas as pd
+
+    from tallyrake.operators.rake import _WIN, _ipf_numpy, _ipf_partition_fn, _lv
+
+    rng = np.random.default_rng(5)
+    tgt = {"sexo": {"f": 0.52, "m": 0.48}, "edad_cat": {"a": 0.2, "b": 0.3, "c": 0.5}}
+    rows = []
+    for w in range(6):
+        for s in ("f", "m"):
+            for e in ("a", "b", "c"):
+                rows.append((w, s, e, int(rng.integers(1, 40)), "ok"))
+    pdf = pd.DataFrame(rows, columns=[_WIN, _lv("sexo"), _lv("edad_cat"), "n", "status"])
+    out = next(_ipf_partition_fn(["sexo", "edad_cat"], tgt, 1000, 1e-9)(iter([pdf])))
+    for w in range(6):
+        sub = pdf[pdf[_WIN] == w]
+        codes = [sub[_lv("edad_cat")].map({"a": 0, "b": 1, "c": 2}).to_numpy(),
+                 sub[_lv("sexo")].map({"f": 0, "m": 1}).to_numpy()]
+        ref, sweeps, conv = _ipf_numpy(sub["n"].to_numpy(float), codes,
+                                       [np.array([0.2, 0.3, 0.5]), np.array([0.52, 0.48])], 1000, 1e-9)
+        got = out[out[_WIN] == w]
+        assert np.allclose(got["w_raw"].to_numpy(), ref / sub["n"].to_numpy(float), rtol=1e-10)
+        assert (got["iterations"] == sweeps).all() and conv
