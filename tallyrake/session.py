@@ -22,6 +22,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+    # local mode: the driver JVM is the executor, so its heap is the only memory knob
+    b = b.config("spark.driver.memory", os.environ.get("TALLYRAKE_DRIVER_MEMORY", "12g"))
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.adaptive.enabled", "true")
