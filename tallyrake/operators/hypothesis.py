@@ -37,6 +37,14 @@ BROADCAST_WINDOW_LIMIT = 1_000_000
 PREFIX_BUCKETS = 64
 
 
+def _small(df: DataFrame, limit: int = BROADCAST_WINDOW_LIMIT) -> DataFrame:
+    """Broadcast hint only after counting: pair tables are one row per window pair,
+    bounded by the calendar, but the bound is checked rather than assumed."""
+    from pyspark import StorageLevel
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def _values(df: DataFrame, window_col: str, value_col: str) -> DataFrame:
     return (df.select(F.col(window_col).alias("win"), F.col(value_col).cast("double").alias("x"))
               .filter(F.col("win").isNotNull() & F.col("x").isNotNull()))
@@ -80,7 +88,7 @@ def mann_whitney_u(df: DataFrame, window_col: str, value_col: str, pair_df: Data
     side = pair_df.select(F.explode(F.array(
         F.struct(F.col("w1").alias("win"), "w1", "w2", F.lit(1).alias("s")),
         F.struct(F.col("w2").alias("win"), "w1", "w2", F.lit(2).alias("s")))).alias("_m")).select("_m.*")
-    pv = (hist.join(F.broadcast(side), "win")
+    pv = (hist.join(_small(side), "win")
               .groupBy("w1", "w2", "x")
               .agg(F.sum(F.when(F.col("s") == 1, F.col("c")).otherwise(0)).alias("n1"),
                    F.sum(F.when(F.col("s") == 2, F.col("c")).otherwise(0)).alias("n2"))
@@ -88,7 +96,7 @@ def mann_whitney_u(df: DataFrame, window_col: str, value_col: str, pair_df: Data
     # level 1: approximate-quantile bucket boundaries per pair (mergeable aggregate)
     probs = [i / PREFIX_BUCKETS for i in range(1, PREFIX_BUCKETS)]
     bounds = pv.groupBy("w1", "w2").agg(F.percentile_approx("x", probs, 1000).alias("_b"))
-    pvb = (pv.join(F.broadcast(bounds), ["w1", "w2"])
+    pvb = (pv.join(_small(bounds), ["w1", "w2"])
              .withColumn("b", F.size(F.filter("_b", lambda y: y < F.col("x")))).drop("_b"))
     tot = pvb.groupBy("w1", "w2", "b").agg(F.sum("n2").alias("n2b"))
     off = tot.select("w1", "w2", "b", F.coalesce(F.sum("n2b").over(
