@@ -367,7 +367,7 @@ FROM repw GROUP BY win_m""")
 
 def history_monthly_batches() -> str:
     return S.with_query(_prepared(), """SELECT win_m, count(*) AS n_cases, CAST(1 AS BIGINT) AS n_ids,
-  sum(count(*)) OVER () AS appended_total
+  CAST(sum(count(*)) OVER () AS BIGINT) AS appended_total
 FROM windowed
 WHERE edad IS NOT NULL AND sexo IS NOT NULL AND estrato IS NOT NULL AND nivel_educativo IS NOT NULL
   AND voto_anterior IS NOT NULL

@@ -197,7 +197,7 @@ JOIN {name}_cells c USING ({keys})"""))
 
 def rake_diagnostics(cells: str, window: str | None) -> str:
     win = f"_win AS {window}, " if window else ""
-    return f"""SELECT {win}sum(n) AS n, count(*) AS n_cells, min(status) AS status,
+    return f"""SELECT {win}CAST(sum(n) AS BIGINT) AS n, count(*) AS n_cells, min(status) AS status,
   max(iterations) AS iterations, round(max(deff_pop), 6) AS deff_pop, round(max(cv), 6) AS cv,
   round(max(weight), 6) AS w_max, round(min(weight), 6) AS w_min,
   coalesce(max(deff_pop) > 2.5, false) AS warn_deff, coalesce(max(cv) > 80.0, false) AS warn_cv,
