@@ -43,7 +43,7 @@ def keep_first(df: DataFrame, key: str, order_col: str = ORDER_COL) -> DataFrame
 
 
 def clean_survey(df: DataFrame, order_col: str = ORDER_COL, normalize_sex_first: bool = False) -> DataFrame:
-    """``limpiar``: F1, F2, W1, F3, F5-F7, F4, F8 in the reference's order.
+    """Cleaning: F1, F2, W1, F3, F5-F7, F4, F8 in the reference's order.
 
     The de-duplication runs after the vote/score and age filters and before the
     null and sex filters, exactly as in the reference; moving it would change which
@@ -78,7 +78,7 @@ def has_bsas_municipalities(df: DataFrame, population: str) -> bool:
 
 def normalize_survey(df: DataFrame, population: str,
                      bsas_flag: bool | None = None) -> tuple[DataFrame, bool]:
-    """``normalizar`` plus the region column of the national margins.
+    """Recoding plus the region column of the national margins.
 
     F9 trim+lower estrato and sexo; F10 age bins; F11/F12 GBA/interior recode when
     ``population == 'buenos_aires'`` and municipalities are present; J1 region for
@@ -102,7 +102,7 @@ WINDOW_COLUMNS = {"day": "win_d", "week": "win_s", "month": "win_m"}
 
 def add_windows(df: DataFrame, ts_col: str = "fecha", units=("day", "week", "month"),
                 labels: bool = False) -> DataFrame:
-    """``crear_ventanas``: bucket starts (and optional labels) for each unit.
+    """Calendar buckets: bucket starts (and optional labels) for each unit.
 
     Day buckets are truncated to the date (the reference kept the time part).
     The reference's sort by date is an output concern and is not applied here.

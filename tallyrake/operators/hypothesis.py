@@ -156,7 +156,7 @@ def _pvalues(n1: pd.Series, n2: pd.Series, lev: pd.Series, tp: pd.Series, dfp: p
 
 def test_change(df: DataFrame, window_col: str, value_col: str = "imagen_del_candidato",
                 pairs: str = "first_last", alpha: float = ALPHA) -> DataFrame:
-    """``test_hipotesis``: choose the test per pair and decide at ``alpha`` (H5).
+    """Test of change: choose the test per pair and decide at ``alpha`` (H5).
 
     Output: ``w1, w2, n1, n2, test, statistic, p_value, reject, p_levene``.
     Pairs with an empty window do not appear (the reference raises instead).

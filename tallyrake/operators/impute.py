@@ -281,7 +281,7 @@ def score_r2(df: DataFrame) -> float:
 
 
 def evaluate_models(df: DataFrame) -> Evaluation:
-    """``evaluar_modelos``: hold-out evaluation of the three models on complete cases.
+    """Hold-out evaluation of the three models on complete cases.
 
     Classifiers need >= 10 cases and >= 2 classes; the regression needs >= 10 cases,
     else its R2 is -inf (which sends the score to the median branch)."""
@@ -362,7 +362,7 @@ class ImputeResult:
 
 
 def impute_survey(df: DataFrame, model_dir: str | None = None, evaluate: str = "gate") -> ImputeResult:
-    """``imputar``: evaluate, impute in chained order, clip the score, normalise votes.
+    """Imputation: evaluate, impute in chained order, clip the score, normalise votes.
 
     ``evaluate``: ``'gate'`` computes only the score regression's hold-out R2 (the one
     number the imputation uses), ``'all'`` also the classifier reports, ``'none'``

@@ -299,7 +299,7 @@ def rake(df: DataFrame, window_col: str | None, variables: list[str], targets,
 
 def rake_windows(df: DataFrame, variables: list[str], targets,
                  units=("day", "week", "month"), **kw) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """``ponderar``: one rake per unit; adds ``peso_d``/``peso_s``/``peso_m``."""
+    """One rake per calendar unit; adds ``peso_d``/``peso_s``/``peso_m``."""
     from tallyrake.operators.clean import WINDOW_COLUMNS
     suffix = {"day": "d", "week": "s", "month": "m"}
     diags = {}

@@ -36,7 +36,7 @@ def report_rake(df: DataFrame, variables: list[str], targets, ratio: float = REP
                 weight_col: str = "peso_reporte", max_iter: int = DEFAULT_MAX_ITER,
                 tol: float = DEFAULT_TOL, sweeps: int | None = None,
                 window_col: str | None = None) -> Report:
-    """C2 (``generar_reporte``): rake the whole survey, trim weights above ``ratio``
+    """Rake the whole survey, trim weights above ``ratio``
     times the mean and rescale so the mean is kept.  Weights have mean 1.
 
     With ``window_col`` every window is treated as one survey (one report per batch).

@@ -31,7 +31,7 @@ def score_sums(df: DataFrame, window_col: str, weight_col: str | None,
 
 def track_score(df: DataFrame, window_col: str, weight_col: str | None,
                 score_col: str = "imagen_del_candidato") -> DataFrame:
-    """A1 (``trackeo``): weighted mean score per window."""
+    """A1: weighted mean score per window (column ``trackeo``)."""
     s = score_sums(df, window_col, weight_col, score_col)
     return s.select(window_col, (F.col("_swx") / F.col("_sw")).alias("trackeo"))
 

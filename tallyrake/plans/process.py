@@ -77,7 +77,7 @@ class ProcessResult:
 
 def weight_survey(spark: SparkSession, prepared: DataFrame, population: str, flag: bool,
                   units=("day", "week", "month"), **rake_kw) -> ProcessResult:
-    """``obtener_targets_desde_censo`` + ``ponderar``: one weight column per unit."""
+    """Census targets for the population, then one rake per unit (one weight column each)."""
     variables = calibration_variables(population, flag)
     targets = calibration_targets(spark, population, flag)
     out = prepared
