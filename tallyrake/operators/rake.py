@@ -86,10 +86,40 @@ def targets_as_dict(targets, variables: list[str]) -> dict[str, dict[str, float]
     return norm
 
 
-def build_cells(df: DataFrame, window_col: str | None, variables: list[str]) -> DataFrame:
+LUMPED = "_lumped_other"
+
+
+def lump_targets(tgt: dict[str, dict[str, float]], lump_below: float | None):
+    """Optional merge of the levels whose target share is below ``lump_below`` into
+    one level (only when at least two levels are that small).  Returns the new targets
+    and ``{variable: merged levels}``."""
+    if not lump_below:
+        return tgt, {}
+    out, lumps = {}, {}
+    for v, d in tgt.items():
+        small = sorted(k for k, p in d.items() if p < lump_below)
+        if len(small) >= 2:
+            out[v] = {k: p for k, p in d.items() if k not in small}
+            out[v][LUMPED] = sum(d[k] for k in small)
+            lumps[v] = small
+        else:
+            out[v] = dict(d)
+    return out, lumps
+
+
+def level_of(v: str, lumps: dict[str, list[str]] | None = None):
+    """Level of a calibration variable as text (F13), with optional lumping."""
+    lv = as_level(v)
+    if lumps and v in lumps:
+        return F.when(lv.isin(lumps[v]), F.lit(LUMPED)).otherwise(lv)
+    return lv
+
+
+def build_cells(df: DataFrame, window_col: str | None, variables: list[str],
+                lumps: dict[str, list[str]] | None = None) -> DataFrame:
     """Cell table ``(_win, _lv_*, n)``; null calibration values become level ``'nan'``."""
     win = F.col(window_col) if window_col else F.lit(0)
-    return (df.select(win.alias(_WIN), *[as_level(v).alias(_lv(v)) for v in variables])
+    return (df.select(win.alias(_WIN), *[level_of(v, lumps).alias(_lv(v)) for v in variables])
               .groupBy(_WIN, *[_lv(v) for v in variables])
               .agg(F.count(F.lit(1)).alias("n")))
 
@@ -257,18 +287,20 @@ def diagnostics_from_cells(cells: DataFrame) -> DataFrame:
 def rake(df: DataFrame, window_col: str | None, variables: list[str], targets,
          weight_col: str = "peso", max_iter: int = DEFAULT_MAX_ITER, tol: float = DEFAULT_TOL,
          trim_ratio: float | None = DEFAULT_TRIM_RATIO, sweeps: int | None = None,
-         method: str = "cells", broadcast_limit: int = BROADCAST_CELL_LIMIT) -> RakeResult:
+         method: str = "cells", broadcast_limit: int = BROADCAST_CELL_LIMIT,
+         lump_below: float | None = None) -> RakeResult:
     """Rake every window of ``df`` to the margins and attach ``weight_col``.
 
     ``method='cells'`` iterates to ``tol`` (max |margin - target|) or ``max_iter`` sweeps
     with numpy inside ``mapInPandas`` over cells; ``method='native'`` runs exactly
     ``sweeps`` sweeps as JVM window functions.  ``sweeps`` with ``method='cells'`` means
     ``max_iter=sweeps, tol=0`` (exactly that many sweeps), so both methods agree.
-    ``window_col=None`` rakes the whole survey as one window (C2).
+    ``window_col=None`` rakes the whole survey as one window (C2).  ``lump_below``
+    (default off) merges target levels under that share into one level first.
     """
     variables = list(variables)
-    tgt = targets_as_dict(targets, variables)
-    cells = with_status(build_cells(df, window_col, variables), variables, tgt)
+    tgt, lumps = lump_targets(targets_as_dict(targets, variables), lump_below)
+    cells = with_status(build_cells(df, window_col, variables, lumps), variables, tgt)
     if method == "native":
         raked = _ipf_native(cells, variables, tgt, sweeps or 6)
     elif method == "cells":
@@ -285,7 +317,7 @@ def rake(df: DataFrame, window_col: str | None, variables: list[str], targets,
     if n_cells <= broadcast_limit:
         lookup = F.broadcast(lookup)
     win = F.col(window_col) if window_col else F.lit(0)
-    rows = df.withColumns({_WIN: win, **{_lv(v): as_level(v) for v in variables}})
+    rows = df.withColumns({_WIN: win, **{_lv(v): level_of(v, lumps) for v in variables}})
     weighted = rows.join(lookup, on=keys, how="left").drop(*keys)
     diag = diagnostics_from_cells(done)
     if window_col:

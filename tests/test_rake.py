@@ -139,3 +139,14 @@ def test_vectorised_ipf_equals_single_window_definition():
         got = out[out[_WIN] == w]
         assert np.allclose(got["w_raw"].to_numpy(), ref / sub["n"].to_numpy(float), rtol=1e-10)
         assert (got["iterations"] == sweeps).all() and conv
+
+
+def test_lump_below_merges_small_levels(spark):
+    tgt = {"sexo": {"f": 0.5, "m": 0.5}, "edad_cat": {"a": 0.9, "b": 0.06, "c": 0.04}}
+    df = frame(spark, {("f", "a"): 30, ("f", "b"): 4, ("m", "a"): 40, ("m", "c"): 6})
+    # without lumping: ('f','c') and ('m','b') exist neither; levels b and c each present -> raked
+    res = rake(df, "win", ["sexo", "edad_cat"], tgt, weight_col="peso", lump_below=0.05 + 0.02)
+    marg = {r["edad_cat"]: r["s"] for r in res.weighted.groupBy("edad_cat").agg(F.sum("peso").alias("s")).collect()}
+    assert (marg["b"] + marg["c"]) / 80 == pytest.approx(0.10, abs=1e-3)
+    assert marg["a"] / 80 == pytest.approx(0.90, abs=1e-3)
+    assert res.diagnostics.first()["status"] == "ok"
