@@ -107,6 +107,9 @@ def vote_intervals(df: DataFrame, window_col: str, weight_col: str | None,
                    candidate_col: str = "voto", cands: list | None = None, z: float = Z95) -> DataFrame:
     """P, MOE = z*sqrt(p(1-p)/n_eff), bounds; all x100 and not clamped."""
     cands = candidates(df, candidate_col) if cands is None else cands
+    if not cands:
+        return df.sparkSession.createDataFrame(
+            [], f"{window_col} string, candidate string, share double, moe double, li double, ls double")
     wide = _vote_wide_sums(df, window_col, weight_col, candidate_col, cands)
     long = _long(wide, window_col, cands, {})
     p = F.col("_wc") / F.col("_sw")

@@ -40,3 +40,9 @@ def test_vote_intervals(spark):
     iv = {(r["win"], r["candidate"]): r for r in trk.vote_intervals(df, "win", "peso").collect()}
     p, neff = 0.5, 36 / 14
     assert iv[("w1", "a")]["moe"] == pytest.approx(100 * 1.96 * (p * (1 - p) / neff) ** 0.5)
+
+
+def test_no_candidates(spark):
+    df = spark.createDataFrame([("w1", 1.0, None, 1.0)], "win string, imagen_del_candidato double, voto string, peso double")
+    assert trk.vote_intervals(df, "win", "peso").count() == 0
+    assert trk.track_vote(df, "win", "peso").count() == 0
