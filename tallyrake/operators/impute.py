@@ -361,12 +361,23 @@ class ImputeResult:
     evaluation: Evaluation
 
 
-def impute_survey(df: DataFrame, model_dir: str | None = None, evaluate: str = "gate") -> ImputeResult:
+def model_r2(df: DataFrame, model: PipelineModel) -> float:
+    """R2 of a given score model on this survey's complete cases (D8 option)."""
+    preds = PREDICTORS[NUMERIC_TARGET]
+    cases = aggregate_cases(df, preds, NUMERIC_TARGET)
+    val = regression_report(model.transform(cases), NUMERIC_TARGET).first()["r2"]
+    return float(val) if val is not None else float("-inf")
+
+
+def impute_survey(df: DataFrame, model_dir: str | None = None, evaluate: str = "gate",
+                  gate_on: str = "fresh") -> ImputeResult:
     """Imputation: evaluate, impute in chained order, clip the score, normalise votes.
 
     ``evaluate``: ``'gate'`` computes only the score regression's hold-out R2 (the one
     number the imputation uses), ``'all'`` also the classifier reports, ``'none'``
-    skips it (R2 = -inf, so the score takes the median).  ``model_dir`` holds stored
+    skips it (R2 = -inf, so the score takes the median).  ``gate_on='used'`` gates on
+    the R2 of the stored score model when one is used (the reference always gates on
+    a fresh model of this survey, D8).  ``model_dir`` holds stored
     models (``<dir>/<target>/model``); when absent or missing a model, a temporary
     model is fit on this survey."""
     spark = df.sparkSession
@@ -380,8 +391,11 @@ def impute_survey(df: DataFrame, model_dir: str | None = None, evaluate: str = "
     out = df
     for target in CATEGORICAL_TARGETS:
         out = impute_categorical(out, target, PREDICTORS[target], load_model(spark, model_dir, target))
-    out, method = impute_numeric(out, NUMERIC_TARGET, PREDICTORS[NUMERIC_TARGET], ev.r2_score,
-                                 load_model(spark, model_dir, NUMERIC_TARGET))
+    stored = load_model(spark, model_dir, NUMERIC_TARGET)
+    r2 = ev.r2_score
+    if gate_on == "used" and stored is not None:
+        r2 = model_r2(df, stored)
+    out, method = impute_numeric(out, NUMERIC_TARGET, PREDICTORS[NUMERIC_TARGET], r2, stored)
     lo, hi = SCORE_RANGE
     out = out.withColumns({
         NUMERIC_TARGET: F.least(F.greatest(F.col(NUMERIC_TARGET), F.lit(lo)), F.lit(hi)),   # F14

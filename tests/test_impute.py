@@ -69,3 +69,11 @@ def test_text_normalised_before_training(spark):
     df = survey(spark).withColumn("voto", F.when(F.col("voto") == "a", F.lit(" A")).otherwise(F.col("voto")))
     out = I.impute_survey(df, evaluate="none").imputed
     assert {r["voto"] for r in out.select("voto").distinct().collect()} == {"a", "b"}
+
+
+def test_gate_on_used_model(spark, tmp_dir):
+    df = survey(spark)
+    I.update_all_models(df, tmp_dir)
+    res = I.impute_survey(df, model_dir=tmp_dir, evaluate="none", gate_on="used")
+    assert res.score_method == "regression"          # the stored model explains the score well
+    assert I.impute_survey(df, model_dir=tmp_dir, evaluate="none").score_method == "median"
