@@ -68,7 +68,8 @@ def window_moments(df: DataFrame, window_col: str, value_col: str) -> DataFrame:
 
 def window_pairs(df: DataFrame, window_col: str, pairs: str = "first_last") -> DataFrame:
     """``(w1, w2)`` pairs - first vs last window, or each window vs the
-    previous one.  Built from the distinct windows (one row per window)."""
+    previous one.  Built from the distinct windows (one row per window); pass a
+    per-window table (``window_col='win'``) to avoid another pass over the rows."""
     wins = df.select(F.col(window_col).alias("win")).filter(F.col("win").isNotNull()).distinct()
     if pairs == "first_last":
         return wins.agg(F.min("win").alias("w1"), F.max("win").alias("w2"))
@@ -115,7 +116,7 @@ def pair_statistics(df: DataFrame, window_col: str, value_col: str = "imagen_del
                     pairs: str = "first_last") -> DataFrame:
     """H1-H4 statistics for every pair: pooled t, Welch t (+ df), Levene W, U1, ties."""
     mom = window_moments(df, window_col, value_col)
-    pr = window_pairs(df, window_col, pairs)
+    pr = window_pairs(mom, "win", pairs)          # from the one-row-per-window moments
     a = mom.select(*[F.col(c).alias(f"{c}1") for c in mom.columns])
     b = mom.select(*[F.col(c).alias(f"{c}2") for c in mom.columns])
     j = pr.join(a, pr.w1 == a.win1).join(b, pr.w2 == b.win2).drop("win1", "win2")
@@ -159,7 +160,8 @@ def test_change(df: DataFrame, window_col: str, value_col: str = "imagen_del_can
     """Test of change: choose the test per pair and decide at ``alpha`` (H5).
 
     Output: ``w1, w2, n1, n2, test, statistic, p_value, reject, p_levene``.
-    Pairs with an empty window do not appear (the reference raises instead).
+    Windows without any observed value are skipped when forming pairs (the
+    reference raises on an empty window instead).
     """
     st = pair_statistics(df, window_col, value_col, pairs)
     pv = st.withColumn("_p", _pvalues("n1", "n2", "levene_w", "t_pooled", "df_pooled",
