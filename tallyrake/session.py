@@ -26,6 +26,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = b.config("spark.driver.memory", os.environ.get("TALLYRAKE_DRIVER_MEMORY", "12g"))
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
+          # delete reliable-checkpoint files (the small cell tables) once unreferenced
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
