@@ -9,6 +9,40 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups at 85 % of 5-word shingles."""
+    from .near_dedup import near_duplicates
+    out = near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of near equal bytes by sampled splitters."""
+    from .sharding import shard_by_bytes
+    out = shard_by_bytes(table(spark, sf_dir, "documents"), 40)
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written to frame files and read back from them."""
+    import public_tokenizers
+
+    from tallyrake.session import scratch_path
+
+    from .token_files import document_starts, write_token_files
+    path = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return document_starts(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by error-correcting output codes."""
+    from .language import languages
+    return languages(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word windows seen in an earlier document, removed."""
     from .window_dedup import dedup_windows
@@ -16,6 +50,34 @@ def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items, substitutions tolerated."""
+    from .decontam import contaminated
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_equal", "n_compared")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .html_text import extract
+    return extract(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "url", "text", "n_chars")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the distinct-word table and decoded again."""
+    import public_tokenizers
+
+    from .bpe import round_trip
+    out = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best candidates of every 50th vector."""
+    from .maxscore import top_k
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """200-byte strings that start at two places, removed at both."""
     from .suffix_dedup import dedup_bytes
@@ -23,5 +85,32 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_window_dedup, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_near_dedup, op2_sharding, op3_token_files, op4_language, op5_window_dedup, op6_decontaminate, op7_html_text,
+    op8_bpe, op9_maxscore, op10_suffix_dedup)}
+
+#: The others can't be said in SQL, or not at whole-table cost: see tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op9_maxscore": """
+        WITH t AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                   FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                     CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+              FROM t q JOIN t c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op5_window_dedup": r"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+                   FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+        k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM p),
+        f AS (SELECT g, min(doc_id) AS low FROM k GROUP BY g HAVING min(doc_id) < max(doc_id)),
+        h AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k JOIN f USING (g) WHERE doc_id > low),
+        gone AS (SELECT doc_id, list(j) AS js FROM h GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN js IS NULL THEN ws ELSE
+                   list_transform(list_filter(range(1, len(ws) + 1), i -> NOT list_contains(js, i)), i -> ws[i]) END, ' '), '')) AS kept_sha256
+        FROM w LEFT JOIN gone USING (doc_id)""",
+}

@@ -110,7 +110,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
            .filter("id is not null"))
     runs = src.mapInArrow(_runs_of(length, seed), RUNS)
-    again = runs.groupBy("m").agg(F.count("*").alias("k")).filter("k > 1").select("m")
+    # a table of its own, so that the join's shuffles are plain ones and Spark may split a hot rank
+    again = staged(runs.groupBy("m").agg(F.count("*").alias("k")).filter("k > 1").select("m"), "suffix-again")
     active = staged(runs.join(again, "m", "left_semi"), "suffix-active")
 
     # whole runs; shuffle joins only: the sides grow with the corpus
