@@ -165,7 +165,7 @@ def _ipf_partition_fn(variables: list[str], tgt: dict[str, dict[str, float]], ma
                       fixed: bool = False):
     """IPF for every window of one partition at once (cells arrive hash-partitioned by
     window, so each window is whole).  Each window keeps sweeping until its own
-    max |margin - target| < tol; converged windows are frozen."""
+    max |margin - target| < tol; converged windows leave the sweep."""
     order = sorted(variables)
     level_lists = {v: sorted(tgt[v]) for v in order}
     out_cols = [_WIN] + [_lv(v) for v in variables] + ["n", "status"]
@@ -181,41 +181,44 @@ def _ipf_partition_fn(variables: list[str], tgt: dict[str, dict[str, float]], ma
         ok = (pdf["status"] == STATUS_OK).to_numpy()
         if ok.any():
             sub = pdf.loc[ok]
-            win, _ = pd.factorize(sub[_WIN])
-            n_win = int(win.max()) + 1
+            first_win, _ = pd.factorize(sub[_WIN])
+            n_win = int(first_win.max()) + 1
             n = sub["n"].to_numpy(dtype="float64")
-            w = n / np.bincount(win, weights=n, minlength=n_win)[win]
-            combos, targets, widths = [], [], []
+            shares, codes = [], []
             for v in order:
-                levels = level_lists[v]
-                idx = {lvl: i for i, lvl in enumerate(levels)}
-                code = sub[_lv(v)].map(idx).to_numpy(dtype="int64")
-                combos.append(win * len(levels) + code)
-                targets.append((np.array([tgt[v][lvl] for lvl in levels], dtype="float64"), code))
-                widths.append(len(levels))
-            active = np.ones(n_win, dtype=bool)
-            converged = np.zeros(n_win, dtype=bool)
-            sweeps = np.zeros(n_win, dtype="int64")
+                idx = {lvl: i for i, lvl in enumerate(level_lists[v])}
+                shares.append(np.array([tgt[v][lvl] for lvl in level_lists[v]], dtype="float64"))
+                codes.append(sub[_lv(v)].map(idx).to_numpy(dtype="int64"))
+            w = n / np.bincount(first_win, weights=n, minlength=n_win)[first_win]
+            w_out, converged, sweeps = w.copy(), np.zeros(n_win, dtype=bool), np.zeros(n_win, dtype="int64")
+            # only windows still moving are swept: cells of finished ones leave the arrays
+            cells, win, names = np.arange(len(w)), first_win, np.arange(n_win)
             for it in range(1, max_iter + 1):
-                live = active[win]
-                for comb, (t, code), width in zip(combos, targets, widths):
-                    tot = np.bincount(comb, weights=w, minlength=n_win * width)
-                    w = np.where(live, w * t[code] / tot[comb], w)
-                sweeps[active] = it
-                total = np.bincount(win, weights=w, minlength=n_win)
-                dev = np.zeros(n_win)
-                for comb, (t, _), width in zip(combos, targets, widths):
-                    m = np.bincount(comb, weights=w, minlength=n_win * width).reshape(n_win, width)
-                    dev = np.maximum(dev, np.abs(m / total[:, None] - t[None, :]).max(axis=1))
-                done = active & (dev < tol)
-                converged |= done
-                active &= ~done
-                if not active.any():
+                for t, code in zip(shares, codes):
+                    comb = win * len(t) + code
+                    tot = np.bincount(comb, weights=w, minlength=len(names) * len(t))
+                    w = w * t[code] / tot[comb]
+                sweeps[names] = it
+                total = np.bincount(win, weights=w, minlength=len(names))
+                dev = np.zeros(len(names))
+                for t, code in zip(shares, codes):
+                    m = np.bincount(win * len(t) + code, weights=w, minlength=len(names) * len(t))
+                    dev = np.maximum(dev, np.abs(m.reshape(-1, len(t)) / total[:, None] - t[None, :]).max(axis=1))
+                done = dev < tol
+                if done.any():
+                    converged[names[done]] = True
+                    gone = done[win]
+                    w_out[cells[gone]] = w[gone]
+                    cells, w, codes = cells[~gone], w[~gone], [c[~gone] for c in codes]
+                    win = (np.cumsum(~done) - 1)[win[~gone]]
+                    names = names[~done]
+                if not len(names):
                     break
-            out.loc[ok, "w_raw"] = w / n
-            out.loc[ok, "iterations"] = sweeps[win]
+            w_out[cells] = w
+            out.loc[ok, "w_raw"] = w_out / n
+            out.loc[ok, "iterations"] = sweeps[first_win]
             if not fixed:
-                out.loc[ok, "status"] = np.where(converged[win], STATUS_OK, STATUS_NOT_CONVERGED)
+                out.loc[ok, "status"] = np.where(converged[first_win], STATUS_OK, STATUS_NOT_CONVERGED)
         out["iterations"] = out["iterations"].astype("int32")
         yield out
 
@@ -328,16 +331,3 @@ def rake(df: DataFrame, window_col: str | None, variables: list[str], targets,
         cells_out = done.drop(_WIN)
     return RakeResult(weighted=weighted, diagnostics=diag, cells=cells_out)
 
-
-def rake_windows(df: DataFrame, variables: list[str], targets,
-                 units=("day", "week", "month"), **kw) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """One rake per calendar unit; adds ``peso_d``/``peso_s``/``peso_m``."""
-    from tallyrake.operators.clean import WINDOW_COLUMNS
-    suffix = {"day": "d", "week": "s", "month": "m"}
-    diags = {}
-    out = df
-    for u in units:
-        res = rake(out, WINDOW_COLUMNS[u], variables, targets, weight_col=f"peso_{suffix[u]}", **kw)
-        out = res.weighted
-        diags[u] = res.diagnostics
-    return out, diags

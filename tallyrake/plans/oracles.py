@@ -1,6 +1,7 @@
 """DuckDB oracle SQL for the registered queries (same names as ``plans.queries``).
 
-Written independently of the Spark operators as plain SQL over the driver tables.
+Plain SQL over the driver tables; fixed values (bins, whitelists, margins, thresholds)
+come from the library, the logic does not.
 Static SQL cannot change its own schema, so two data-dependent choices are fixed
 here from FIXTURES.md: the Buenos Aires survey does contain a GBA municipality
 (``la matanza``), and the candidates of the survey view are ``a``, ``b``, ``c``.
@@ -12,7 +13,7 @@ from tallyrake.plans import sqltext as S
 from tallyrake.sources.census import calibration_variables, targets_dict
 from tallyrake.sources.driver_view import SURVEY_COLUMNS
 
-SWEEPS = 6
+NATIVE_SWEEPS = 6     # of the fixed-sweep cross-check only
 CANDIDATES = ["a", "b", "c"]  # fixed by the survey view mapping (FIXTURES.md)
 EVENT_TYPES_CTE = "SELECT DISTINCT voto AS candidate FROM ev WHERE voto IS NOT NULL"
 
@@ -33,7 +34,7 @@ def _prepared(population="pampeana", restrict_bsas=False, dups=False):
     return ctes
 
 
-def _raked(window, population="pampeana", restrict_bsas=False, sweeps=SWEEPS):
+def _raked(window, population="pampeana", restrict_bsas=False, sweeps=None):
     bsas = population == "buenos_aires"
     variables = calibration_variables(population, bsas)
     ctes = _prepared(population, restrict_bsas)
@@ -112,7 +113,7 @@ def rake_month_bsas() -> str:
 
 
 def rake_month_native() -> str:
-    return rake_month_weights()
+    return S.with_query(_raked("win_m", sweeps=NATIVE_SWEEPS), "SELECT encuesta, win_m, round(peso, 6) AS peso FROM raked")
 
 
 # ----------------------------------------------------------------------- tracking
@@ -257,7 +258,7 @@ def test_stats_events_weeks() -> str:
 def _report_rows(population="pampeana"):
     variables = calibration_variables(population, False)
     tgt = targets_dict(population, False)
-    ctes = _prepared(population) + S.rake("windowed", None, variables, tgt, SWEEPS, trim_ratio=None, name="rr")
+    ctes = _prepared(population) + S.rake("windowed", None, variables, tgt, trim_ratio=None, name="rr")
     lvs = ", ".join(f"{S.level_expr(v)} AS {S.lv(v)}" for v in variables)
     keys = ", ".join(S.lv(v) for v in variables)
     ctes += [
@@ -346,7 +347,7 @@ WHERE variable <> 'estrato_bsas'
 def ledger_history() -> str:
     variables = calibration_variables("pampeana", False)
     tgt = targets_dict("pampeana", False)
-    ctes = _prepared() + S.rake("windowed", "win_m", variables, tgt, SWEEPS, trim_ratio=None, name="rr")
+    ctes = _prepared() + S.rake("windowed", "win_m", variables, tgt, trim_ratio=None, name="rr")
     lvs = ", ".join(f"{S.level_expr(v)} AS {S.lv(v)}" for v in variables)
     keys = ", ".join(["_win"] + [S.lv(v) for v in variables])
     ctes += [

@@ -20,7 +20,7 @@ from tallyrake.plans.process import prepare_survey
 from tallyrake.sources.census import calibration_targets, calibration_variables
 from tallyrake.sources.driver_view import SURVEY_COLUMNS, events_survey, survey_view, survey_with_duplicates
 
-ORACLE_SWEEPS = 6
+NATIVE_SWEEPS = 6     # of the fixed-sweep cross-check only
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -33,11 +33,11 @@ def _prepared(spark, sf, population="pampeana", restrict=False, persist=False):
     return prepare_survey(survey_view(spark, sf), population, restrict=restrict, persist=persist)
 
 
-def _raked(spark, sf, window, population="pampeana", restrict=False, sweeps=ORACLE_SWEEPS, **kw):
+def _raked(spark, sf, window, population="pampeana", restrict=False, **kw):
     df, flag = _prepared(spark, sf, population, restrict)
     variables = calibration_variables(population, flag)
     res = rake(df, window, variables, calibration_targets(spark, population, flag),
-               weight_col="peso", sweeps=sweeps, **kw)
+               weight_col="peso", **kw)
     return res
 
 
@@ -92,7 +92,7 @@ def window_counts(spark: SparkSession, sf: str) -> DataFrame:
 # ----------------------------------------------------------------------- rake
 
 def rake_month_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """C1 + W2-W4 + J4: monthly rake (pampeana margins, 6 sweeps), weight per interview."""
+    """C1 + W2-W4 + J4: monthly rake (pampeana margins, to tolerance), weight per interview."""
     res = _raked(spark, sf, "win_m")
     return r6(res.weighted.select("encuesta", "win_m", "peso"))
 
@@ -131,8 +131,9 @@ def rake_month_nacional_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rake_month_native(spark: SparkSession, sf: str) -> DataFrame:
-    """Same monthly rake through the JVM-only unrolled path (cross-check of C1)."""
-    res = _raked(spark, sf, "win_m", method="native")
+    """Monthly rake by exactly 6 sweeps through the JVM-only unrolled path: a fixed-sweep
+    cross-check, the only one; production weights are raked to tolerance."""
+    res = _raked(spark, sf, "win_m", method="native", sweeps=NATIVE_SWEEPS)
     return r6(res.weighted.select("encuesta", "win_m", "peso"))
 
 
@@ -230,7 +231,7 @@ def _report(spark, sf, population="pampeana"):
     from tallyrake.operators.report import report_rake
     df, flag = _prepared(spark, sf, population)
     return report_rake(df, calibration_variables(population, flag),
-                       calibration_targets(spark, population, flag), sweeps=ORACLE_SWEEPS)
+                       calibration_targets(spark, population, flag))
 
 
 def report_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,8 +301,7 @@ def ledger_history(spark: SparkSession, sf: str) -> DataFrame:
     from tallyrake.sources import ledger as L
     df, flag = _prepared(spark, sf)
     variables = calibration_variables("pampeana", flag)
-    rep = report_rake(df, variables, calibration_targets(spark, "pampeana", flag),
-                      sweeps=ORACLE_SWEEPS, window_col="win_m")
+    rep = report_rake(df, variables, calibration_targets(spark, "pampeana", flag), window_col="win_m")
     met = weight_metrics(rep).withColumn("run_id", F.date_format("win_m", "yyyy-MM")).cache()
     path = scratch_path(spark, "ledger")
     runs = met.select("run_id", F.current_timestamp().alias("run_ts"), F.lit("pampeana").alias("population"),
@@ -393,7 +393,7 @@ def process_impute_rake_track(spark: SparkSession, sf: str) -> DataFrame:
 def stream_week_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Structured Streaming: the survey view arrives as three CSV uploads (one per
     micro-batch); each batch is cleaned, de-duplicated against stored interviews and
-    only its touched weeks are re-raked (6 sweeps).  The final weights equal the
+    only its touched weeks are re-raked, to tolerance.  The final weights equal the
     batch weekly rake."""
     from tallyrake.session import scratch_path
     from tallyrake.sources.survey_csv import REQUIRED_COLUMNS
@@ -405,7 +405,7 @@ def stream_week_weights(spark: SparkSession, sf: str) -> DataFrame:
     (upload.repartition(3, "encuesta").write.option("header", True)
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(inbox))
     q = start_incremental_rake(spark, inbox, store, ckpt, "pampeana", unit="week",
-                               max_files_per_trigger=1, sweeps=ORACLE_SWEEPS)
+                               max_files_per_trigger=1)
     q.awaitTermination()
     return r6(spark.read.parquet(f"{store}/weighted").select("encuesta", "win_s", "peso"))
 

@@ -3,8 +3,9 @@
 These builders only emit SQL strings over the driver tables (``orders``, ``customer``,
 ``lineitem``, ``events``); they are never executed by the library itself.  Each
 builder returns a list of ``(cte_name, sql)`` pairs so chains can be composed, and
-``with_query`` renders the final statement.  Raking is written as K unrolled sweeps
-(the native form), which is exact for the fixed-K queries it checks.
+``with_query`` renders the final statement.  Raking is a recursive query, one sweep a
+step with each window stopping at its own convergence; the fixed-K form (the native
+cross-check) is written as K unrolled sweeps.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def dbl(x: float) -> str:
 def with_query(ctes: Ctes, final: str) -> str:
     if not ctes:
         return final
-    return "WITH " + ",\n".join(f"{n} AS (\n{s}\n)" for n, s in ctes) + "\n" + final
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS (\n{s}\n)" for n, s in ctes) + "\n" + final
 
 
 def in_list(values) -> str:
@@ -143,10 +144,27 @@ def level_expr(v: str) -> str:
     return f"coalesce(CAST({v} AS VARCHAR), 'nan')"
 
 
+TOL = 5e-4
+MAX_ITER = 1000
+
+
+def _target_expr(v: str, tgt: dict[str, dict[str, float]]) -> str:
+    return "CASE " + lv(v) + " " + " ".join(f"WHEN {q(k)} THEN {dbl(p)}" for k, p in sorted(tgt[v].items())) + " END"
+
+
+def _swept(prev: str, variables: list[str], tgt: dict[str, dict[str, float]], keep: str) -> str:
+    """One sweep over all variables in name order, as nested selects over ``prev``."""
+    for v in sorted(variables):
+        prev = (f"(SELECT {keep}, w * ({_target_expr(v, tgt)}) / sum(w) OVER (PARTITION BY _win, {lv(v)}) AS w "
+                f"FROM {prev}) AS by_{lv(v)}")
+    return prev
+
+
 def rake(src: str, window: str | None, variables: list[str], tgt: dict[str, dict[str, float]],
-         sweeps: int, trim_ratio: float | None = 3.0, weight: str = "peso",
+         sweeps: int | None = None, trim_ratio: float | None = 3.0, weight: str = "peso",
          name: str = "raked") -> Ctes:
-    """Rows of ``src`` plus ``weight``; also defines ``{name}_cells`` (per-cell results)."""
+    """Rows of ``src`` plus ``weight``; also defines ``{name}_cells`` (per-cell results).
+    ``sweeps``: exactly that many; default: to TOL per window, at most MAX_ITER."""
     win = window if window else "0"
     lvs = ", ".join(f"{level_expr(v)} AS {lv(v)}" for v in variables)
     keys = ", ".join(["_win"] + [lv(v) for v in variables])
@@ -163,21 +181,31 @@ FROM {name}_c0 GROUP BY _win"""))
     prev = f"{name}_s0"
     ctes.append((prev, f"SELECT c.*, s.status, c.n / sum(c.n) OVER (PARTITION BY c._win) AS w "
                        f"FROM {name}_c0 c JOIN {name}_st s ON c._win = s._win"))
-    step = 0
     cols = ", ".join(["_win"] + [lv(v) for v in variables] + ["n", "status"])
-    for _ in range(sweeps):
-        for v in sorted(variables):
-            step += 1
-            t = "CASE " + lv(v) + " " + " ".join(
-                f"WHEN {q(k)} THEN {dbl(p)}" for k, p in sorted(tgt[v].items())) + " END"
-            cur = f"{name}_s{step}"
-            ctes.append((cur, f"SELECT {cols}, w * ({t}) / sum(w) OVER (PARTITION BY _win, {lv(v)}) AS w FROM {prev}"))
-            prev = cur
     ok = "status IN ('ok', 'not_converged')"
-    ctes.append((f"{name}_r", f"""SELECT {cols},
+    if sweeps is not None:
+        for step in range(1, sweeps + 1):
+            ctes.append((f"{name}_s{step}", f"SELECT {cols}, w FROM {_swept(prev, variables, tgt, cols)}"))
+            prev = f"{name}_s{step}"
+        ctes.append((f"{name}_r", f"""SELECT {cols},
   CASE WHEN status = 'ok' THEN w / n ELSE 1.0 END AS w_raw,
   CASE WHEN status = 'ok' THEN {sweeps} ELSE 0 END AS iterations
 FROM {prev}"""))
+    else:
+        keep = cols + ", it"
+        dev = ", ".join(f"abs(sum(w) OVER (PARTITION BY _win, {lv(v)}) / sum(w) OVER (PARTITION BY _win) - ({_target_expr(v, tgt)}))"
+                        for v in variables)
+        ctes.append((f"{name}_it", f"""SELECT {cols}, 0 AS it, w, false AS done FROM {prev} WHERE status = 'ok'
+UNION ALL
+SELECT {keep}, w, max(dev) OVER (PARTITION BY _win) < {dbl(TOL)} AS done
+FROM (SELECT {keep}, w, greatest({dev}) AS dev
+      FROM {_swept(f"(SELECT {cols}, it + 1 AS it, w FROM {name}_it WHERE NOT done AND it < {MAX_ITER}) AS live", variables, tgt, keep)}) AS swept"""))
+        plain = ", ".join(["_win"] + [lv(v) for v in variables] + ["n"])
+        ctes.append((f"{name}_r", f"""SELECT {plain}, CASE WHEN done THEN 'ok' ELSE 'not_converged' END AS status,
+  w / n AS w_raw, it AS iterations
+FROM {name}_it WHERE done OR it = {MAX_ITER}
+UNION ALL
+SELECT {cols}, 1.0 AS w_raw, 0 AS iterations FROM {prev} WHERE status <> 'ok'"""))
     ctes.append((f"{name}_m", f"""SELECT *, sum(n * w_raw) OVER (PARTITION BY _win) / sum(n) OVER (PARTITION BY _win) AS _mean,
   sum(n) OVER (PARTITION BY _win) AS _sum_n FROM {name}_r"""))
     trimmed = (f"least(greatest(w_raw, _mean / {float(trim_ratio)}), _mean * {float(trim_ratio)})"
