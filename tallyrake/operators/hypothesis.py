@@ -121,19 +121,22 @@ def pair_statistics(df: DataFrame, window_col: str, value_col: str = "imagen_del
     b = mom.select(*[F.col(c).alias(f"{c}2") for c in mom.columns])
     j = pr.join(a, pr.w1 == a.win1).join(b, pr.w2 == b.win2).drop("win1", "win2")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    sp2 = ((n1 - 1) * F.col("var1") + (n2 - 1) * F.col("var2")) / (n1 + n2 - 2)
-    se_w = F.col("var1") / n1 + F.col("var2") / n2
+    # a pair of constant or single-interview windows has no spread: its statistics are null
+    over = F.try_divide
+    v1, v2 = over(F.col("var1"), n1), over(F.col("var2"), n2)
+    sp2 = over((n1 - 1) * F.coalesce("var1", F.lit(0.0)) + (n2 - 1) * F.coalesce("var2", F.lit(0.0)), n1 + n2 - 2)
+    se_w = v1 + v2
     zbar = (n1 * F.col("z_mean1") + n2 * F.col("z_mean2")) / (n1 + n2)
-    lev = ((n1 + n2 - 2) * (n1 * F.pow(F.col("z_mean1") - zbar, 2) + n2 * F.pow(F.col("z_mean2") - zbar, 2))
-           / (F.col("z_ss1") + F.col("z_ss2")))
+    zss = F.coalesce("z_ss1", F.lit(0.0)) + F.coalesce("z_ss2", F.lit(0.0))
+    lev = over((n1 + n2 - 2) * (n1 * F.pow(F.col("z_mean1") - zbar, 2) + n2 * F.pow(F.col("z_mean2") - zbar, 2)), zss)
+    gap = F.col("mean1") - F.col("mean2")
     stats = j.select(
         "w1", "w2", "n1", "n2", F.col("mean1"), F.col("mean2"),
-        ((F.col("mean1") - F.col("mean2")) / F.sqrt(sp2 * (1 / n1 + 1 / n2))).alias("t_pooled"),
+        over(gap, F.sqrt(sp2 * (1 / n1 + 1 / n2))).alias("t_pooled"),
         (n1 + n2 - 2).alias("df_pooled"),
-        ((F.col("mean1") - F.col("mean2")) / F.sqrt(se_w)).alias("t_welch"),
-        (F.pow(se_w, 2) / (F.pow(F.col("var1") / n1, 2) / (n1 - 1)
-                           + F.pow(F.col("var2") / n2, 2) / (n2 - 1))).alias("df_welch"),
-        F.when((F.col("z_ss1") + F.col("z_ss2")) > 0, lev).alias("levene_w"))
+        over(gap, F.sqrt(se_w)).alias("t_welch"),
+        over(F.pow(se_w, 2), over(F.pow(v1, 2), n1 - 1) + over(F.pow(v2, 2), n2 - 1)).alias("df_welch"),
+        F.when(zss > 0, lev).alias("levene_w"))
     u = mann_whitney_u(df, window_col, value_col, pr)
     return stats.join(u, ["w1", "w2"], "left")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrake.functions.recode import as_level
-from tallyrake.operators.rake import BROADCAST_CELL_LIMIT, DEFAULT_MAX_ITER, DEFAULT_TOL, rake, targets_as_dict
+from tallyrake.operators.rake import DEFAULT_MAX_ITER, DEFAULT_TOL, rake, targets_as_dict
 
 # Report trim ratio and the weight-summary thresholds.
 REPORT_TRIM_RATIO = 3.0
@@ -55,8 +55,6 @@ def report_rake(df: DataFrame, variables: list[str], targets, ratio: float = REP
     cells = c.select(*grp, *lv, "n", "status", "iterations", "weight")
     lookup = cells.select(*grp, *lv, F.col("weight").alias(weight_col))
     rows = df.withColumns({f"_lv_{v}": as_level(v) for v in variables})
-    if res.cells.count() <= BROADCAST_CELL_LIMIT:      # cell table is checkpointed: cheap
-        lookup = F.broadcast(lookup)
     weighted = rows.join(lookup, grp + lv, "left").drop(*lv)
     return Report(weighted, cells, variables, tgt, window_col)
 
@@ -64,13 +62,15 @@ def report_rake(df: DataFrame, variables: list[str], targets, ratio: float = REP
 def weight_metrics(rep: Report) -> DataFrame:
     """A10: deff with the sample variance (ddof 1), Kish ess, ess / n, max, min
     (one row, or one row per window)."""
-    c = rep.cells
     grp = [rep.window_col] if rep.window_col else []
+    own = Window.partitionBy(*grp)               # cells of one window: a small, bounded table
+    c = rep.cells.withColumn("_m", F.sum(F.col("n") * F.col("weight")).over(own) / F.sum("n").over(own))
     agg = c.groupBy(*grp).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("weight")).alias("sw"),
                 F.sum(F.col("n") * F.col("weight") * F.col("weight")).alias("sww"),
+                F.sum(F.col("n") * F.pow(F.col("weight") - F.col("_m"), 2)).alias("_ss"),
                 F.max("weight").alias("w_max"), F.min("weight").alias("w_min"))
     mean = F.col("sw") / F.col("n")
-    var_samp = (F.col("sww") - F.col("n") * F.pow(mean, 2)) / (F.col("n") - 1)
+    var_samp = F.try_divide(F.col("_ss"), F.col("n") - 1)      # null for a single interview
     ess = F.pow(F.col("sw"), 2) / F.col("sww")
     return agg.select(*grp, "n", (1 + var_samp / F.pow(mean, 2)).alias("deff"), ess.alias("ess"),
                       (ess / F.col("n")).alias("essp"), "w_max", "w_min")
@@ -122,8 +122,9 @@ def asmd(rep: Report) -> DataFrame:
     variable, before and after weighting, plus the overall mean and the reduction."""
     svp = sample_vs_population(rep)
     sd = F.sqrt(F.col("target_prop") * (1 - F.col("target_prop")))
-    per = svp.select("variable", (F.abs(F.col("sample_prop") - F.col("target_prop")) / sd).alias("b"),
-                     (F.abs(F.col("weighted_prop") - F.col("target_prop")) / sd).alias("a"))
+    # a level with target share 0 or 1 has no spread: it is left out of the averages
+    per = svp.select("variable", F.try_divide(F.abs(F.col("sample_prop") - F.col("target_prop")), sd).alias("b"),
+                     F.try_divide(F.abs(F.col("weighted_prop") - F.col("target_prop")), sd).alias("a"))
     by_var = per.groupBy("variable").agg(F.avg("b").alias("asmd_before"), F.avg("a").alias("asmd_after"))
     overall = by_var.agg(F.lit("mean(asmd)").alias("variable"), F.avg("asmd_before").alias("asmd_before"),
                          F.avg("asmd_after").alias("asmd_after"))
@@ -134,16 +135,20 @@ def asmd(rep: Report) -> DataFrame:
 
 
 def weight_summary(rep: Report) -> DataFrame:
-    """C4: weight distribution as ``(stat, value)`` rows.
+    """C4: weight distribution as ``(stat, value)`` rows (per window on a windowed report).
 
     n, sum, mean, std (ddof 1), min, exact quartiles (linear interpolation), max,
     shares of weights below / at-or-above fixed multiples of the mean, deff, ess, essp.
     """
-    c = rep.cells.select("n", F.col("weight").alias("w"))
-    order = Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)   # cells only
-    c = c.withColumn("cum", F.sum("n").over(order)).withColumn("_tot", F.sum("n").over(Window.partitionBy()))
+    grp = [rep.window_col] if rep.window_col else []
+    own = Window.partitionBy(*grp)
+    c = rep.cells.select(*grp, "n", F.col("weight").alias("w"))
+    order = own.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)   # cells only
+    c = (c.withColumn("cum", F.sum("n").over(order)).withColumn("_tot", F.sum("n").over(own))
+          .withColumn("_m", F.sum(F.col("n") * F.col("w")).over(own) / F.col("_tot")))
     aggs = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("w")).alias("sum"),
             F.sum(F.col("n") * F.col("w") * F.col("w")).alias("_sww"),
+            F.sum(F.col("n") * F.pow(F.col("w") - F.col("_m"), 2)).alias("_ss"),
             F.min("w").alias("min"), F.max("w").alias("max")]
     for name, p in QUANTILES:
         h = (F.col("_tot") - 1) * p
@@ -154,9 +159,9 @@ def weight_summary(rep: Report) -> DataFrame:
         aggs.append(F.sum(F.when(F.col("w") < t, F.col("n")).otherwise(0)).alias(f"_lt{i}"))
     for i, t in enumerate(PROP_ABOVE):
         aggs.append(F.sum(F.when(F.col("w") >= t, F.col("n")).otherwise(0)).alias(f"_ge{i}"))
-    a = c.agg(*aggs)
+    a = c.groupBy(*grp).agg(*aggs)
     mean = F.col("sum") / F.col("n")
-    std = F.sqrt((F.col("_sww") - F.col("n") * F.pow(mean, 2)) / (F.col("n") - 1))
+    std = F.sqrt(F.try_divide(F.col("_ss"), F.col("n") - 1))   # null for a single interview
     ess = F.pow(F.col("sum"), 2) / F.col("_sww")
     stats = [("n", F.col("n").cast("double")), ("sum", F.col("sum")), ("mean", mean), ("std", std),
              ("min", F.col("min"))]
@@ -169,5 +174,5 @@ def weight_summary(rep: Report) -> DataFrame:
     for i, t in enumerate(PROP_ABOVE):
         stats.append((f"prop(w >= {t})", F.col(f"_ge{i}") / F.col("n")))
     stats += [("deff", 1 + F.pow(std, 2) / F.pow(mean, 2)), ("ess", ess), ("essp", ess / F.col("n"))]
-    return a.select(F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), v.cast("double").alias("value"))
-                                        for k, v in stats])).alias("_s")).select("_s.stat", "_s.value")
+    return a.select(*grp, F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), v.cast("double").alias("value"))
+                                              for k, v in stats])).alias("_s")).select(*grp, "_s.stat", "_s.value")

@@ -68,3 +68,31 @@ def test_special_functions():
     assert sum(special.mwu_counts(4, 6)) == math.comb(10, 4)
     assert special.mwu_exact_two_sided(3, 4, 5) == pytest.approx(14 / 126)
     assert special.norm_sf(1.959963984540054) == pytest.approx(0.025, rel=1e-9)
+
+
+def test_tails_hold_for_large_samples_and_small_probabilities():
+    import math
+
+    from tallyrake.functions import special as S
+    for df in (1e8, 1e10, 1e12):
+        for t in (0.01, 1.0, 3.0):
+            assert abs(S.t_two_sided(t, df) / math.erfc(t / math.sqrt(2)) - 1) < 1e-5
+    assert 1e-24 < S.t_two_sided(10.0, 1e6) < 2e-23
+    assert S.f1_sf(4.0, 50.0) == S.t_two_sided(2.0, 50.0)
+
+
+def test_exact_mann_whitney_tail_equals_the_table():
+    from tallyrake.functions import special as S
+    for m, n in ((1, 1), (2, 5), (3, 3), (8, 8), (8, 20)):
+        counts = S.mwu_counts(m, n)
+        assert all(S.mwu_tail(m, n, k) == sum(counts[k:]) for k in range(m * n + 2))
+    assert 0 <= S.mwu_exact_two_sided(3e8, 8, 10 ** 8) <= 1
+
+
+def test_constant_and_single_windows_have_no_statistics(spark):
+    from tallyrake.operators.hypothesis import test_change
+    rows = [("a", 5.0)] * 40 + [("b", 5.0)] * 40 + [("c", 1.0)] + [("d", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "win string, x double")
+    got = {r["w2"]: r for r in test_change(df, "win", "x", "consecutive").collect()}
+    assert set(got) == {"b", "c", "d"}
+    assert got["b"]["p_value"] is None or got["b"]["p_value"] != got["b"]["p_value"]

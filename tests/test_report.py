@@ -23,3 +23,23 @@ def test_report_metrics_match_rows(spark):
     assert svp[("sexo", "f")]["weighted_prop"] == pytest.approx(0.5, abs=1e-3)
     a = {r["variable"]: r for r in asmd(rep).collect()}
     assert a["mean(asmd)"]["asmd_after"] < a["mean(asmd)"]["asmd_before"]
+
+
+def test_single_interview_and_equal_weight_windows(spark):
+    from tallyrake.operators.report import report_rake, weight_metrics, weight_summary
+    rows = [("m1", "a")] + [("m2", "a"), ("m2", "b")] * 3
+    df = spark.createDataFrame(rows, "win string, v string")
+    rep = report_rake(df, ["v"], {"v": {"a": 0.5, "b": 0.5}}, window_col="win")
+    met = {r["win"]: r for r in weight_metrics(rep).collect()}
+    assert met["m1"]["deff"] is None and met["m1"]["n"] == 1
+    assert met["m2"]["deff"] == 1.0 and met["m2"]["ess"] == 6.0
+    summary = {(r["win"], r["stat"]): r["value"] for r in weight_summary(rep).collect()}
+    assert summary["m2", "std"] == 0.0 and summary["m2", "n"] == 6.0 and summary["m1", "std"] is None
+
+
+def test_a_target_share_of_one_is_left_out_of_the_averages(spark):
+    from tallyrake.operators.report import asmd, report_rake
+    df = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "x")], "v string, u string")
+    rep = report_rake(df, ["v", "u"], {"v": {"a": 0.5, "b": 0.5}, "u": {"x": 1.0}})
+    got = {r["variable"]: r["asmd_before"] for r in asmd(rep).collect()}
+    assert got["u"] is None and got["v"] > 0
