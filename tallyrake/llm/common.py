@@ -14,19 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark's cleaner deletes them once the
+    frames that made them are collected, which a driver with little garbage puts off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a step's rows to the shared scratch folder and read them back.
 
-    The lineage ends there, so a lost executor costs at most the running step.  Shuffle
-    files of the finished step are let go (Spark's cleaner acts on collected references)."""
+    The lineage ends there, so a lost executor costs at most the running step."""
     spark = df.sparkSession
+    release(spark)                               # of the steps before; this one's frame is still held
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 BUCKETS = 1 << 15
 CODE_BITS = 31
 MAX_LANGUAGES = 512
@@ -148,7 +150,8 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
     spark = rows.sparkSession
     known = rows.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"),
                                                             F.col(text_col).cast("string").alias("text"))
-    sums = (known.mapInArrow(_counts, "lang string, bucket int, k long").groupBy("lang", "bucket").agg(F.sum("k").alias("k")))
+    sums = staged(known.mapInArrow(_counts, "lang string, bucket int, k long").groupBy("lang", "bucket")
+                  .agg(F.sum("k").alias("k")), "language-counts")
     langs = sorted(r[0] for r in sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")

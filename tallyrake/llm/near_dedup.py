@@ -10,13 +10,20 @@ empty set, linked with nothing).  Two documents are linked where
    similarity 0.85 shares no bucket with a chance of 1e-11, at 0.80 of 4e-7.
 2. All samples are folded into an *odd sketch* of 1,024 bits: sample i with value v flips the
    bit hash(i, v).  The population count of the XOR of two sketches estimates the number of
-   differing samples; candidates further off than six standard deviations go.
-3. Equal sets are one document from here on (their smallest id).  In a first round every
-   member of a bucket is paired with the bucket's smallest id only and takes its most similar
-   such partner; then components are formed, and a second round tries the pairs of members of
-   one bucket that are in different components still.  So a group of m copies gives about m
-   pairs, and no link between different components is left untried.
-4. Links are confirmed on the full sets, from the whole texts.
+   differing samples; candidates further off than six standard deviations go.  A second odd
+   sketch is folded from all shingles: the population count of its XOR never exceeds the number
+   of shingles that differ, so it drops pairs without any error, sharply for sets up to about a
+   thousand shingles.
+3. Equal sets are one document from here on (their smallest id).  Among the documents that
+   share a bucket with another, shingles that no other one has are counted (``own``).  They
+   count in full against every partner, so similarity is at most m / (m + own_a + own_b) with
+   m the smaller number of shared shingles; pairs under the threshold by this bound can't be
+   links and are not formed, and documents that reach it with nobody leave.
+4. In a first round every member of a bucket is paired with the bucket's most shared document
+   only, and takes its most similar such partner; then components are formed, and a second
+   round tries the pairs of members of one bucket that are in different components still.  So
+   a group of m copies gives about m pairs, and no link between components is left untried.
+5. Links are confirmed on the full sets, from the whole texts.
 
 Defined cases: a null id is never linked and its component is null (kept: true); a repeated
 row shares the component of its id; rows of one id must be equal.  Only the id and text
@@ -89,6 +96,12 @@ def odd_sketch(sample: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def whole_sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS parity bits of the set itself."""
+    at = (tv.mix(shingles ^ U(0x2545F4914F6CDD1D)) >> U(64 - (SKETCH_BITS.bit_length() - 1))).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _signatures(batches):
     for batch in batches:
         ids = np.asarray(batch.column(0))
@@ -98,17 +111,29 @@ def _signatures(batches):
                 s = shingle_set(w.hashes[w.offsets[r]:w.offsets[r + 1]])
                 i = int(ids[w.first + r])
                 if not len(s):
-                    rows.append((i, 0, None, None, None, None))
+                    rows.append((i, 0, None, None, None, None, None))
                     continue
                 with np.errstate(over="ignore"):
                     d = tv.signed(np.array([tv.mix(s).sum(dtype=U), tv.mix(s ^ U(0x5BD1E9955BD1E995)).sum(dtype=U)]))
                 x = samples(s)
-                rows.append((i, len(s), int(d[0]), int(d[1]), tv.signed(band_keys(x)), odd_sketch(x)))
-        cols = list(zip(*rows)) if rows else [[]] * 6
+                rows.append((i, len(s), int(d[0]), int(d[1]), tv.signed(band_keys(x)), odd_sketch(x), whole_sketch(s)))
+        cols = list(zip(*rows)) if rows else [[]] * 7
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(),
-                                                   pa.list_(pa.int64()), pa.list_(pa.int64())))],
-            ["id", "n_shingles", "d1", "d2", "bands", "sketch"])
+                                                   pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())))],
+            ["id", "n_shingles", "d1", "d2", "bands", "sketch", "whole"])
+
+
+def _shingle_rows(batches):
+    """(hash, id) of every distinct shingle of every document."""
+    for batch in batches:
+        ids = np.asarray(batch.column(0))
+        for w in tv.words(batch.column(1), lower=True):
+            sets = [shingle_set(w.hashes[w.offsets[r]:w.offsets[r + 1]]) for r in range(w.rows)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(tv.signed(np.concatenate(sets))),
+                    pa.array(np.repeat(ids[w.first:w.first + w.rows], [len(x) for x in sets]))], ["h", "id"])
 
 
 def _count_common(batches):
@@ -153,36 +178,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     known = src.filter("id is not null")
     sig = staged(known.mapInArrow(_signatures, "id long, n_shingles long, d1 long, d2 long, "
-                                               "bands array<long>, sketch array<long>"), "near-sig")
+                                               "bands array<long>, sketch array<long>, whole array<long>"), "near-sig")
     sets = sig.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     member = staged(sig.select("id", "n_shingles", "d1", "d2").join(sets, ["d1", "d2"], "left")
                     .select("id", "n_shingles", "rep"), "near-member")
     reps = member.filter("id = rep").select("id").distinct()
-    sketches = sig.join(reps, "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "sketch", "bands")
+    sketches = sig.join(reps, "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "sketch", "whole", "bands")
 
     keyed = sketches.select("id", F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    buckets = staged(keyed.join(full.select("key", "low"), "key").distinct(), "near-buckets")
-    active = buckets.select("id").distinct()
-    sketches = staged(sketches.join(active, "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"]),
-                      "near-sketches")
+    shared = staged(keyed.join(full.select("key"), "key", "left_semi").distinct(), "near-shared")
+    active = shared.select("id").distinct()
     texts = staged(known.join(active, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
-
-    # round 1: a member and the smallest id of one of its buckets, the most similar one
-    star = buckets.filter("low < id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    best = _plausible(star, sketches, percent).groupBy("b").agg(F.min(F.struct("off", "a")).alias("at")).select("at.a", "b")
+    own = (texts.mapInArrow(_shingle_rows, "h long, id long").groupBy("h")
+           .agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("own")))
+    sketches = staged(sketches.select("id", "n", "sketch", "whole").dropDuplicates(["id"]).join(active, "id", "left_semi")
+                      .join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+                      .filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "near-sketches")
+    buckets = shared.join(sketches.select("id", "n", "own"), "id")
+
+    # round 1: a member and the most shared document of one of its buckets, the most similar one
+    centre = buckets.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("r"), "id", "n", "own")).alias("c"),
+                                        F.count("*").alias("k")).filter("k > 1").select("key", "c")
+    buckets = staged(buckets.join(centre, "key").select("key", "id", "n", "own", F.col("c.id").alias("cid"),
+                                                        F.col("c.n").alias("cn"), F.col("c.own").alias("cown")), "near-buckets")
+
+    def within(n1, own1, n2, own2):
+        most = F.least(F.col(n1) - F.col(own1), F.col(n2) - F.col(own2))
+        return 100 * most >= percent * (most + F.col(own1) + F.col(own2))
+
+    star = buckets.filter((F.col("cid") != F.col("id")) & within("n", "own", "cn", "cown")).select(
+        F.least("cid", "id").alias("a"), F.greatest("cid", "id").alias("b"), "id").distinct()
+    near = _plausible(star.select("a", "b").distinct(), sketches, percent)
+    best = (star.join(near, ["a", "b"]).groupBy("id").agg(F.min(F.struct("off", "a", "b")).alias("at"))
+            .select("at.a", "at.b").distinct())
     tried = staged(_confirmed(best, texts, percent), "near-tried")
     edges = tried.filter("linked").select("a", "b")
     comp = components(edges)
 
     # round 2: pairs of one bucket that are in different components
     placed = buckets.join(comp.withColumnRenamed("v", "id"), "id", "left").select(
-        "key", "id", F.coalesce("comp", "id").alias("comp"))
+        "key", "id", "n", "own", F.coalesce("comp", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("key")
-    open_ = staged(placed.join(mixed, "key", "left_semi"), "near-open")
-    left = open_.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
-    right = open_.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    more = (left.join(right, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
+    words = [F.col("whole")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)]
+    open_ = staged(placed.join(mixed, "key", "left_semi").join(sketches.select("id", *words), "id"), "near-open")
+    names = ("id", "n", "own", "comp", *[f"s{i}" for i in range(SKETCH_BITS // 64)])
+    left, right = (open_.select("key", *[F.col(c).alias(c + side) for c in names]) for side in "ab")
+    differ = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(1, SKETCH_BITS // 64)),
+                 F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))))
+    # sketches are compared inside the join: only pairs that may be links are made
+    more = (left.join(right, (left["key"] == right["key"]) & (F.col("ida") < F.col("idb")) & (F.col("compa") != F.col("compb"))
+                      & within("na", "owna", "nb", "ownb")
+                      & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))))
+            .select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
             .join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     likely = staged(_plausible(more, sketches, percent), "near-likely")
     extra = staged(_confirmed(likely, texts, percent).filter("linked").select("a", "b"), "near-extra")

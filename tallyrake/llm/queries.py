@@ -92,17 +92,17 @@ QUERIES = {f.__name__: f for f in (
 #: The others can't be said in SQL, or not at whole-table cost: see tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op9_maxscore": """
-        WITH t AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
                    FROM embeddings
                    WHERE embedding IS NOT NULL AND len(embedding) > 0
-                     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, c.vec_id,
-                     CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+                     CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
               FROM t q JOIN t c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op5_window_dedup": r"""
-        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
                    FROM documents),
         p AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
         k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM p),
@@ -111,6 +111,6 @@ ORACLE_SQL: dict[str, str] = {
         gone AS (SELECT doc_id, list(j) AS js FROM h GROUP BY doc_id)
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
                sha256(coalesce(array_to_string(CASE WHEN js IS NULL THEN ws ELSE
-                   list_transform(list_filter(range(1, len(ws) + 1), i -> NOT list_contains(js, i)), i -> ws[i]) END, ' '), '')) AS kept_sha256
+                   list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(js, i)), lambda i: ws[i]) END, ' '), '')) AS kept_sha256
         FROM w LEFT JOIN gone USING (doc_id)""",
 }

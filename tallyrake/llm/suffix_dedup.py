@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import staged
+from .common import release, staged
 
 LENGTH = 200
 SEED = 100
@@ -185,6 +185,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept binary, kept_sha256)`` per row of ``docs``."""
     spans = repeated_spans(docs, id_col, text_col, length, seed)
+    release(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     return src.join(spans, "id", "left").select("id", "body", "spans").mapInArrow(
         _apply(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

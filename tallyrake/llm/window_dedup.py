@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import staged
+from .common import release, staged
 
 WINDOW = 13
 PART = 7
@@ -179,6 +179,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   part: int = PART, max_cells: int = MAX_CELLS) -> DataFrame:
     """``(id, n_words, n_removed, kept binary, kept_sha256)`` per row; kept: words joined by one space."""
     places = repeated_places(docs, id_col, text_col, window, part, max_cells)
+    release(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     return src.join(places, "id", "left").select("id", "body", "places").mapInArrow(
         _apply(window), "id long, n_words long, n_removed long, kept binary, kept_sha256 string")
