@@ -6,8 +6,6 @@ whole-stage codegen and is pushed/pruned like any other projection.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,10 +29,19 @@ def clean_header(name: str) -> str:
     return name.strip().lower().replace(" ", "_")
 
 
+# Leading and trailing white space of any kind, as a text's strip removes it.
+_EDGES = r"^[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]+|[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]+$"
+
+
+def strip_text(c: Column) -> Column:
+    """Without white space at both ends (tabs, line ends, no-break spaces too)."""
+    return F.regexp_replace(c, _EDGES, "")
+
+
 def norm_text(c: Column | str) -> Column:
-    """``lower(trim(x))``; null stays null."""
+    """Stripped and lower-cased; null stays null."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.lower(F.trim(c))
+    return F.lower(strip_text(c))
 
 
 def education_level(c: Column | str) -> Column:
@@ -103,7 +110,3 @@ def window_label(start: Column | str, unit: str) -> Column:
         return F.date_format(s, "yyyy-MM")
     raise ValueError(f"unknown window unit {unit!r}")
 
-
-def safe_name(value: str) -> str:
-    """Column-name-safe text for a data value (used only at the wide edge, R1)."""
-    return re.sub(r"[^0-9A-Za-z_]", "_", str(value))

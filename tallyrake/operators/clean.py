@@ -42,6 +42,11 @@ def keep_first(df: DataFrame, key: str, order_col: str = ORDER_COL) -> DataFrame
               .select(*[F.col(key) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns]))
 
 
+def eligible(df: DataFrame) -> DataFrame:
+    """F1, F2: rows with a vote or a score, of interviewees of 16 and over."""
+    return df.filter(F.col("voto").isNotNull() | F.col("imagen_del_candidato").isNotNull()).filter(F.col("edad") >= 16)
+
+
 def clean_survey(df: DataFrame, order_col: str = ORDER_COL, normalize_sex_first: bool = False) -> DataFrame:
     """Cleaning: F1, F2, W1, F3, F5-F7, F4, F8 in the reference's order.
 
@@ -51,10 +56,7 @@ def clean_survey(df: DataFrame, order_col: str = ORDER_COL, normalize_sex_first:
     ``Femenino`` is dropped, as in the reference); ``normalize_sex_first`` trims and
     lower-cases before matching instead.
     """
-    out = (df
-           .filter(F.col("voto").isNotNull() | F.col("imagen_del_candidato").isNotNull())   # F1
-           .filter(F.col("edad") >= 16))                                                     # F2
-    out = keep_first(out, "encuesta", order_col)                                             # W1
+    out = keep_first(eligible(df), "encuesta", order_col)                                    # F1, F2, W1
     out = out.dropna(subset=["fecha", "estrato", "nivel_educativo", "sexo", "edad"])        # F3
     out = out.withColumns({
         "nivel_educativo": education_level("nivel_educativo"),                               # F5-F7
@@ -123,7 +125,3 @@ def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     agg = df.agg(*[(F.avg(F.col(c).isNull().cast("double")) * 100.0).alias(c) for c in columns])
     return agg.unpivot([], columns, "column", "null_pct")
 
-
-def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    """Distinct values of one column."""
-    return df.select(col).distinct()

@@ -31,18 +31,18 @@ from tallyrake.functions import special
 ALPHA = 0.05
 LARGE_SAMPLE = 30
 
-# Windows table joined back by broadcast up to this many windows.
-BROADCAST_WINDOW_LIMIT = 1_000_000
+# Per-window and per-pair tables are joined back by broadcast up to this many bytes.
+BROADCAST_BYTES = 32 << 20
 # Buckets of the two-level prefix sum (per pair).
 PREFIX_BUCKETS = 64
 
 
-def _small(df: DataFrame, limit: int = BROADCAST_WINDOW_LIMIT) -> DataFrame:
+def _small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     """Broadcast hint only after counting: pair tables are one row per window pair,
     bounded by the calendar, but the bound is checked rather than assumed."""
     from pyspark import StorageLevel
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.count() <= limit else kept
+    return F.broadcast(kept) if kept.count() * row_bytes <= BROADCAST_BYTES else kept
 
 
 def _values(df: DataFrame, window_col: str, value_col: str) -> DataFrame:
@@ -58,7 +58,7 @@ def window_moments(df: DataFrame, window_col: str, value_col: str) -> DataFrame:
                              F.var_samp("x").alias("var"))
     n_windows = m.count()
     means = m.select("win", F.col("mean").alias("_m"))
-    if n_windows <= BROADCAST_WINDOW_LIMIT:
+    if n_windows * 64 <= BROADCAST_BYTES:
         means = F.broadcast(means)
     z = (v.join(means, "win").select("win", F.abs(F.col("x") - F.col("_m")).alias("z"))
           .groupBy("win").agg(F.avg("z").alias("z_mean"),
@@ -97,7 +97,7 @@ def mann_whitney_u(df: DataFrame, window_col: str, value_col: str, pair_df: Data
     # level 1: approximate-quantile bucket boundaries per pair (mergeable aggregate)
     probs = [i / PREFIX_BUCKETS for i in range(1, PREFIX_BUCKETS)]
     bounds = pv.groupBy("w1", "w2").agg(F.percentile_approx("x", probs, 1000).alias("_b"))
-    pvb = (pv.join(_small(bounds), ["w1", "w2"])
+    pvb = (pv.join(_small(bounds, 64 + 8 * PREFIX_BUCKETS), ["w1", "w2"])
              .withColumn("b", F.size(F.filter("_b", lambda y: y < F.col("x")))).drop("_b"))
     tot = pvb.groupBy("w1", "w2", "b").agg(F.sum("n2").alias("n2b"))
     off = tot.select("w1", "w2", "b", F.coalesce(F.sum("n2b").over(

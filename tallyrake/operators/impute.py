@@ -112,16 +112,38 @@ def normalize_text_columns(df: DataFrame, columns: list[str] = TEXT_COLUMNS) ->
 
 # ----------------------------------------------------------------------- split (M4)
 
-def split(df: DataFrame, fraction: float = TRAIN_FRACTION, seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
-    """Deterministic 70/30 split by a row-content hash (stable under recomputation).
-
-    Every row falls in train with probability ``fraction`` independently, so each
-    class is split in the same proportion in expectation (stratified in
-    expectation, not row-identical to the reference's split)."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns], F.monotonically_increasing_id()), 10_000)
-    tagged = df.withColumn("_h", h)
-    cut = int(round(fraction * 10_000))
-    return tagged.filter(F.col("_h") < cut).drop("_h"), tagged.filter(F.col("_h") >= cut).drop("_h")
+SPLIT_ID = "encuesta"
+
+
+def split(df: DataFrame, target: str | None = None, fraction: float = TRAIN_FRACTION, seed: int = SPLIT_SEED,
+          ) -> tuple[DataFrame, DataFrame]:
+    """Deterministic 70/30 split, stratified by ``target``: of each class the first
+    ``floor(fraction * n + 0.5)`` interviews in the order of ``md5(seed|id)`` are the
+    training side (without an id column: of all columns; equal rows are interchangeable).
+
+    The hash depends on the interview alone, so membership is the same under any
+    partitioning and when a stage is run again.  Ranks are taken inside (class, 16-bit
+    hash bucket): bucket counts say how many rows of each bucket train, so no class has
+    to be sorted in one task."""
+    cls = F.coalesce(F.col(target).cast("string"), F.lit("")) if target else F.lit("")
+    key = [SPLIT_ID] if SPLIT_ID in df.columns else df.columns
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    tagged = (df.withColumns({"_cls": cls, "_h": F.md5(text)})
+                .withColumn("_bucket", F.substring("_h", 1, 4)))
+    own = Window.partitionBy("_cls")             # at most 65,536 buckets a class
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = (tagged.groupBy("_cls", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+             .select("_cls", "_bucket", (F.floor(fraction * F.sum("_n").over(own) + 0.5) - before).alias("_left")))
+    rank = F.row_number().over(Window.partitionBy("_cls", "_bucket").orderBy("_h", *key))
+    sides = tagged.join(share, ["_cls", "_bucket"]).withColumn("_train", rank <= F.col("_left"))
+    tidy = ["_cls", "_h", "_bucket", "_left", "_train"]
+    return sides.filter("_train").drop(*tidy), sides.filter("not _train").drop(*tidy)
+
+
+def with_id(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Complete cases of ``columns``, with the interview id where the survey has one."""
+    extra = [SPLIT_ID] if SPLIT_ID in df.columns and SPLIT_ID not in columns else []
+    return df.select(*extra, *columns).dropna(subset=columns)
 
 
 # ----------------------------------------------------------------------- fits (M2, M3)
@@ -260,18 +282,19 @@ def regression_report(pred: DataFrame, target: str) -> DataFrame:
     """M6: MAE, RMSE, R2 = 1 - SSE/SST in one aggregation."""
     y, p = F.col(target).cast("double"), F.col(f"{target}_pred")
     w = F.col(WEIGHT) if WEIGHT in pred.columns else F.lit(1.0)
+    mean = pred.agg(F.try_divide(F.sum(w * y), F.sum(w))).first()[0]        # centred: no difference of large sums
     a = pred.agg(F.sum(w).alias("n"), F.sum(w * F.abs(y - p)).alias("_sae"), F.sum(w * F.pow(y - p, 2)).alias("_sse"),
-                 F.sum(w * y).alias("_sy"), F.sum(w * y * y).alias("_syy"))
-    sst = F.col("_syy") - F.pow(F.col("_sy"), 2) / F.col("n")
-    return a.select(F.col("n").cast("long").alias("n"), (F.col("_sae") / F.col("n")).alias("mae"),
-                    F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"),
+                 F.sum(w * F.pow(y - F.lit(mean).cast("double"), 2)).alias("_sst"))
+    sst = F.col("_sst")
+    return a.select(F.col("n").cast("long").alias("n"), F.try_divide(F.col("_sae"), F.col("n")).alias("mae"),
+                    F.sqrt(F.try_divide(F.col("_sse"), F.col("n"))).alias("rmse"),
                     F.when(sst > 0, 1 - F.col("_sse") / sst).alias("r2"))
 
 
 def score_r2(df: DataFrame) -> float:
     """Hold-out R2 of the score regression (-inf below 10 complete cases)."""
     preds = PREDICTORS[NUMERIC_TARGET]
-    data = df.select(*preds, NUMERIC_TARGET).dropna()
+    data = with_id(df, [*preds, NUMERIC_TARGET])
     if data.count() < MIN_CASES:
         return float("-inf")
     tr, te = split(data)
@@ -288,9 +311,9 @@ def evaluate_models(df: DataFrame) -> Evaluation:
     metrics: dict[str, DataFrame] = {}
     for target in CATEGORICAL_TARGETS:
         preds = PREDICTORS[target]
-        data = df.select(*preds, target).dropna()
+        data = with_id(df, [*preds, target])
         if data.count() >= MIN_CASES and data.select(target).distinct().count() >= 2:
-            tr, te = split(data)
+            tr, te = split(data, target)
             try:
                 m = fit_classifier(tr, preds, target, dummy_levels(data, preds))
                 out = m.transform(aggregate_cases(te, preds, target))
@@ -299,7 +322,7 @@ def evaluate_models(df: DataFrame) -> Evaluation:
             except ImputationError:
                 pass
     preds = PREDICTORS[NUMERIC_TARGET]
-    data = df.select(*preds, NUMERIC_TARGET).dropna()
+    data = with_id(df, [*preds, NUMERIC_TARGET])
     r2 = float("-inf")
     if data.count() >= MIN_CASES:
         tr, te = split(data)
@@ -428,14 +451,14 @@ def update_model(df_observed: DataFrame, target: str, model_dir: str, survey_id:
     """Append this survey's complete cases (observed values only) to the
     target's history unless the survey is already there, refit on the whole history
     and store the model.  Returns (model or None, rows appended)."""
-    from tallyrake.sources.history import SURVEY_ID, append_history, fingerprint
+    from tallyrake.sources.history import SURVEY_ID, append_history, fingerprint, survey_columns
     spark = df_observed.sparkSession
     preds = PREDICTORS[target]
     data = df_observed.select(*preds, target).dropna()
     if data.isEmpty():
         return load_model(spark, model_dir, target), 0
     if survey_id is None:
-        survey_id = fingerprint(df_observed).first()[SURVEY_ID]
+        survey_id = fingerprint(df_observed, survey_columns(df_observed)).first()[SURVEY_ID]
     appended = append_history(spark, _history_path(model_dir, target), data.withColumn(SURVEY_ID, F.lit(survey_id)))
     hist = spark.read.parquet(_history_path(model_dir, target)).drop(SURVEY_ID)
     try:
@@ -451,9 +474,9 @@ def update_model(df_observed: DataFrame, target: str, model_dir: str, survey_id:
 
 def update_all_models(df_observed: DataFrame, model_dir: str) -> dict[str, int]:
     """Retrain the three models on their histories (one fingerprint for the survey)."""
-    from tallyrake.sources.history import SURVEY_ID, fingerprint
+    from tallyrake.sources.history import SURVEY_ID, fingerprint, survey_columns
     observed = normalize_text_columns(df_observed)
-    sid = fingerprint(observed).first()[SURVEY_ID]
+    sid = fingerprint(observed, survey_columns(observed)).first()[SURVEY_ID]
     return {t: update_model(observed, t, model_dir, sid)[1] for t in PREDICTORS}
 
 

@@ -14,7 +14,7 @@ Plan shape (never iterates over rows):
 4. trim (W3), fallback (W4), normalise to n (W2) and the diagnostics (A7-A9) are
    n-weighted window aggregates over the cells.
 5. **one** join of the cell weights back to the rows on ``(window, levels)``; the cell
-   table is checkpointed and counted first, and broadcast only under a row limit,
+   table is checkpointed and counted first, and broadcast only under a limit in bytes,
    otherwise a shuffle join.
 """
 
@@ -43,8 +43,9 @@ STATUS_NOT_CONVERGED = "not_converged"
 STATUS_NO_TARGET = "fallback_no_target"
 STATUS_EMPTY_LEVEL = "fallback_empty_level"
 
-# Largest cell table joined back by broadcast (rows); above it a shuffle join is used.
-BROADCAST_CELL_LIMIT = 2_000_000
+# Largest cell table joined back by broadcast (estimated bytes); above it a shuffle join is used.
+BROADCAST_BYTES = 64 << 20
+CELL_BYTES, LEVEL_BYTES = 32, 64
 # Largest target table accepted (it is a census dimension, collected as a dict).
 MAX_TARGET_ROWS = 100_000
 
@@ -290,7 +291,7 @@ def diagnostics_from_cells(cells: DataFrame) -> DataFrame:
 def rake(df: DataFrame, window_col: str | None, variables: list[str], targets,
          weight_col: str = "peso", max_iter: int = DEFAULT_MAX_ITER, tol: float = DEFAULT_TOL,
          trim_ratio: float | None = DEFAULT_TRIM_RATIO, sweeps: int | None = None,
-         method: str = "cells", broadcast_limit: int = BROADCAST_CELL_LIMIT,
+         method: str = "cells", broadcast_bytes: int = BROADCAST_BYTES,
          lump_below: float | None = None) -> RakeResult:
     """Rake every window of ``df`` to the margins and attach ``weight_col``.
 
@@ -317,7 +318,7 @@ def rake(df: DataFrame, window_col: str | None, variables: list[str], targets,
 
     keys = [_WIN] + [_lv(v) for v in variables]
     lookup = done.select(*keys, F.col("weight").alias(weight_col))
-    if n_cells <= broadcast_limit:
+    if n_cells * (CELL_BYTES + LEVEL_BYTES * len(variables)) <= broadcast_bytes:
         lookup = F.broadcast(lookup)
     win = F.col(window_col) if window_col else F.lit(0)
     rows = df.withColumns({_WIN: win, **{_lv(v): level_of(v, lumps) for v in variables}})

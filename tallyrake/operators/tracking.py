@@ -67,54 +67,43 @@ def candidates(df: DataFrame, candidate_col: str = "voto") -> list:
     return sorted(vals)
 
 
-def _vote_wide_sums(df, window_col, weight_col, candidate_col, cands):
-    """Per window: total weight, sum of squared weights and weight per candidate.
+def _vote_sums(df, window_col, weight_col, candidate_col, cands) -> DataFrame:
+    """``(window, candidate, _wc, _sw, _sww)`` for every window and candidate, zero-filled.
 
-    Conditional sums with a literal candidate list (``pivot`` with known values): one
-    aggregation, no join and no product of windows x candidates.
-    """
+    One aggregation of the rows per (window, vote); window totals and the candidate list are
+    taken from it.  The zero-filled table is windows x candidates by definition, built by
+    Spark from the two lists; nothing is collected."""
     w = _w(weight_col)
-    c = F.col(candidate_col)
-    per = [F.sum(F.when(c == F.lit(k), w).otherwise(F.lit(0.0))).alias(f"_c{i}")
-           for i, k in enumerate(cands)]
-    return df.groupBy(window_col).agg(F.sum(w).alias("_sw"), F.sum(w * w).alias("_sww"), *per)
-
-
-def _long(wide: DataFrame, window_col: str, cands: list, value_cols: dict[str, str]) -> DataFrame:
-    """Unpivot ``_c{i}`` columns to ``(window, candidate, ...)`` rows (R2-style melt)."""
-    stacked = F.explode(F.array(*[
-        F.struct(F.lit(k).cast("string").alias("candidate"), F.col(f"_c{i}").alias("_wc"))
-        for i, k in enumerate(cands)]))
-    return wide.select(window_col, "_sw", "_sww", stacked.alias("_s")).select(
-        window_col, "_sw", "_sww", F.col("_s.candidate").alias("candidate"), F.col("_s._wc").alias("_wc"))
+    votes = df.groupBy(window_col, F.col(candidate_col).cast("string").alias("candidate")).agg(
+        F.sum(w).alias("_wc"), F.sum(w * w).alias("_wcc"))
+    totals = votes.groupBy(window_col).agg(F.sum("_wc").alias("_sw"), F.sum("_wcc").alias("_sww"))
+    if cands is None:
+        names = votes.agg(F.sort_array(F.collect_set("candidate"))).scalar()       # a subquery: one array
+    else:
+        names = F.array(*[F.lit(str(c)) for c in cands]).cast("array<string>")
+    cast = votes.filter("candidate is not null").select(F.col(window_col).alias("_w"), F.col("candidate").alias("_c"), "_wc")
+    grid = totals.withColumn("candidate", F.explode(names))
+    return (grid.join(cast, grid[window_col].eqNullSafe(F.col("_w")) & (F.col("candidate") == F.col("_c")), "left")
+                .select(window_col, "candidate", F.coalesce("_wc", F.lit(0.0)).alias("_wc"), "_sw", "_sww"))
 
 
 def track_vote(df: DataFrame, window_col: str, weight_col: str | None,
                candidate_col: str = "voto", cands: list | None = None) -> DataFrame:
     """A2: weighted share x100 per window and candidate, zero for absent candidates.
 
-    Long form ``(window, candidate, share)``.
+    Long form ``(window, candidate, share)``; no candidate at all gives no rows.
     """
-    cands = candidates(df, candidate_col) if cands is None else cands
-    if not cands:
-        return df.sparkSession.createDataFrame([], f"{window_col} string, candidate string, share double")
-    wide = _vote_wide_sums(df, window_col, weight_col, candidate_col, cands)
-    long = _long(wide, window_col, cands, {})
+    long = _vote_sums(df, window_col, weight_col, candidate_col, cands)
     return long.select(window_col, "candidate", (F.col("_wc") / F.col("_sw") * 100.0).alias("share"))
 
 
 def vote_intervals(df: DataFrame, window_col: str, weight_col: str | None,
                    candidate_col: str = "voto", cands: list | None = None, z: float = Z95) -> DataFrame:
     """P, MOE = z*sqrt(p(1-p)/n_eff), bounds; all x100 and not clamped."""
-    cands = candidates(df, candidate_col) if cands is None else cands
-    if not cands:
-        return df.sparkSession.createDataFrame(
-            [], f"{window_col} string, candidate string, share double, moe double, li double, ls double")
-    wide = _vote_wide_sums(df, window_col, weight_col, candidate_col, cands)
-    long = _long(wide, window_col, cands, {})
+    long = _vote_sums(df, window_col, weight_col, candidate_col, cands)
     p = F.col("_wc") / F.col("_sw")
     neff = n_effective(F.col("_sw"), F.col("_sww"))
-    moe = F.lit(z) * F.sqrt(p * (1 - p) / neff)
+    moe = F.lit(z) * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / neff)
     return long.select(window_col, "candidate", (p * 100).alias("share"), (moe * 100).alias("moe"),
                        ((p - moe) * 100).alias("li"), ((p + moe) * 100).alias("ls"))
 
@@ -140,4 +129,4 @@ def melt_wide(wide: DataFrame, id_col: str, prefix: str = "vota_",
     """R2: wide -> long over the columns that start with ``prefix``."""
     value_cols = [c for c in wide.columns if c.startswith(prefix)]
     return (wide.unpivot([id_col], value_cols, var_name, value_name)
-                .withColumn(var_name, F.substring(F.col(var_name), len(prefix) + 1, 10_000)))
+                .withColumn(var_name, F.substr(F.col(var_name), F.lit(len(prefix) + 1))))

@@ -207,7 +207,7 @@ def intervals_events_week() -> str:
 
 # ----------------------------------------------------------------------- tests
 
-def _test_stats(ctes, src: str, window: str, pairs: str) -> str:
+def _stat_ctes(ctes, src: str, window: str, pairs: str) -> list:
     pair_sql = ("SELECT min(win) AS w1, max(win) AS w2 FROM mom" if pairs == "first_last" else
                 "SELECT * FROM (SELECT lag(win) OVER (ORDER BY win) AS w1, win AS w2 FROM mom) t WHERE w1 IS NOT NULL")
     ctes = ctes + [
@@ -234,15 +234,74 @@ JOIN zz za ON za.win = p.w1 JOIN zz zb ON zb.win = p.w2"""),
     se = "(var1 / n1 + var2 / n2)"
     zbar = "((n1 * zm1 + n2 * zm2) / (n1 + n2))"
     lev = f"(n1 + n2 - 2) * (n1 * pow(zm1 - {zbar}, 2) + n2 * pow(zm2 - {zbar}, 2)) / (zs1 + zs2)"
-    final = f"""SELECT j.w1, j.w2, n1, n2, {_r('mean1', 'mean1')}, {_r('mean2', 'mean2')},
-  {_r(f'(mean1 - mean2) / sqrt({sp2} * (1.0 / n1 + 1.0 / n2))', 't_pooled')},
-  {_r('CAST(n1 + n2 - 2 AS DOUBLE)', 'df_pooled')},
-  {_r(f'(mean1 - mean2) / sqrt({se})', 't_welch')},
-  {_r(f'pow({se}, 2) / (pow(var1 / n1, 2) / (n1 - 1) + pow(var2 / n2, 2) / (n2 - 1))', 'df_welch')},
-  {_r(f'CASE WHEN zs1 + zs2 > 0 THEN {lev} END', 'levene_w')},
-  {_r('u.u1', 'u1')}, {_r('u.tie_term', 'tie_term')}
-FROM j LEFT JOIN u ON u.w1 = j.w1 AND u.w2 = j.w2"""
-    return S.with_query(ctes, final)
+    ctes.append(("st", f"""SELECT j.w1, j.w2, n1, n2, mean1, mean2,
+  (mean1 - mean2) / nullif(sqrt({sp2} * (1.0 / n1 + 1.0 / n2)), 0) AS t_pooled,
+  CAST(n1 + n2 - 2 AS DOUBLE) AS df_pooled,
+  (mean1 - mean2) / nullif(sqrt({se}), 0) AS t_welch,
+  pow({se}, 2) / nullif(pow(var1 / n1, 2) / (n1 - 1) + pow(var2 / n2, 2) / (n2 - 1), 0) AS df_welch,
+  CASE WHEN zs1 + zs2 > 0 THEN {lev} END AS levene_w, u.u1, u.tie_term
+FROM j LEFT JOIN u ON u.w1 = j.w1 AND u.w2 = j.w2"""))
+    return ctes
+
+
+def _test_stats(ctes, src: str, window: str, pairs: str) -> str:
+    cols = ["mean1", "mean2", "t_pooled", "df_pooled", "t_welch", "df_welch", "levene_w", "u1", "tie_term"]
+    return S.with_query(_stat_ctes(ctes, src, window, pairs),
+                        "SELECT w1, w2, n1, n2, " + ", ".join(_r(c, c) for c in cols) + " FROM st")
+
+
+STEPS = 2000       # of Simpson's rule
+
+
+def _tails(name: str, t: str, df: str) -> list:
+    """Two-sided tail of Student's t by integrating its density: with t = sqrt(df) tan(a) it is
+    a constant times the integral of cos(a) ** (df - 1) from a0 to the right angle."""
+    return [(f"{name}_a", f"SELECT w1, w2, {df} AS d, atan(abs({t}) / sqrt({df})) AS a0 FROM st "
+                          f"WHERE {t} IS NOT NULL AND {df} > 0"),
+            (f"{name}_h", f"SELECT *, (least(pi() / 2, a0 + 16 / sqrt(d)) - a0) / {STEPS} AS h FROM {name}_a"),
+            (name, f"""SELECT w1, w2, 2 * exp(lgamma((any_value(d) + 1) / 2) - lgamma(any_value(d) / 2)) / sqrt(pi())
+  * any_value(h) / 3 * sum((CASE WHEN i = 0 OR i = {STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                           * pow(greatest(cos(a0 + i * h), 0), d - 1)) AS p
+FROM {name}_h, generate_series(0, {STEPS}) AS g(i) GROUP BY w1, w2""")]
+
+
+def _test_decision(ctes, src: str, window: str, pairs: str) -> str:
+    """Test choice, statistic and p-value; Mann-Whitney by the normal tail, integrated likewise, or
+    with a sample of at most 8 values and no ties by counting the arrangements: the smaller
+    sample's ranks give 0 <= x1 <= .. <= xm <= n with U = sum of x."""
+    ctes = _stat_ctes(ctes, src, window, pairs)
+    ctes += _tails("pl", "sqrt(levene_w)", "(n1 + n2 - 2)") + _tails("pp", "t_pooled", "df_pooled") + _tails("pw", "t_welch", "df_welch")
+    ctes += [("mz", """SELECT w1, w2, (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5)
+  / nullif(sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie_term / ((n1 + n2) * (n1 + n2 - 1.0)))), 0) AS z FROM st"""),
+             ("pm", f"""SELECT w1, w2, least(1.0, 2 / sqrt(2 * pi()) * (12.0 / {STEPS}) / 3
+  * sum((CASE WHEN i = 0 OR i = {STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(z + i * 12.0 / {STEPS}, 2) / 2))) AS p
+FROM mz, generate_series(0, {STEPS}) AS g(i) WHERE z IS NOT NULL GROUP BY w1, w2"""),
+             ("ex", """SELECT w1, w2, CAST(least(n1, n2) AS BIGINT) AS m, CAST(greatest(n1, n2) AS BIGINT) AS n,
+  greatest(u1, n1 * n2 - u1) AS u, 0 AS k, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS s, CAST(1 AS HUGEINT) AS ways
+FROM st WHERE least(n1, n2) <= 8 AND tie_term = 0
+UNION ALL
+SELECT w1, w2, m, n, u, k, x, s, sum(ways) AS ways
+FROM (SELECT w1, w2, m, n, u, k + 1 AS k, y AS x, s + y AS s, ways
+      FROM (SELECT *, unnest(generate_series(x, n)) AS y FROM ex WHERE k < m) AS wider) AS summed
+GROUP BY w1, w2, m, n, u, k, x, s"""),
+             ("pe", """SELECT w1, w2, least(1.0, 2.0 * sum(CASE WHEN s >= u THEN ways ELSE 0 END) / sum(ways)) AS p
+FROM ex WHERE k = m GROUP BY w1, w2"""),
+             ("ch", """SELECT st.*, pl.p AS p_levene, pp.p AS p_pooled, pw.p AS p_welch, coalesce(pe.p, pm.p) AS p_mwu,
+  CASE WHEN n1 >= 30 AND n2 >= 30 AND pl.p >= 0.05 THEN 'student' WHEN n1 >= 30 AND n2 >= 30 THEN 'welch' ELSE 'mann_whitney' END AS test
+FROM st LEFT JOIN pl USING (w1, w2) LEFT JOIN pp USING (w1, w2) LEFT JOIN pw USING (w1, w2) LEFT JOIN pm USING (w1, w2)
+LEFT JOIN pe USING (w1, w2)"""),
+             ("de", """SELECT *, CASE test WHEN 'student' THEN t_pooled WHEN 'welch' THEN t_welch ELSE u1 END AS statistic,
+  CASE test WHEN 'student' THEN p_pooled WHEN 'welch' THEN p_welch ELSE p_mwu END AS p_value FROM ch""")]
+    return S.with_query(ctes, f"SELECT w1, w2, n1, n2, test, {_r('statistic', 'statistic')}, {_r('p_value', 'p_value')}, "
+                              f"p_value < 0.05 AS reject, {_r('p_levene', 'p_levene')} FROM de")
+
+
+def test_decision_first_last_week() -> str:
+    return _test_decision(_prepared(), "windowed", "win_s", "first_last")
+
+
+def test_decision_events_days() -> str:
+    return _test_decision(_events_w(), "ev", "win_d", "consecutive")
 
 
 def test_stats_first_last_week() -> str:
@@ -386,6 +445,36 @@ def impute_score_gate() -> str:
   'median' AS method FROM windowed""")
 
 
+_CASES = ("cases", "SELECT encuesta, win_m, edad, sexo, estrato, nivel_educativo, voto_anterior, voto, imagen_del_candidato "
+          "FROM windowed WHERE edad IS NOT NULL AND sexo IS NOT NULL AND estrato IS NOT NULL AND nivel_educativo IS NOT NULL "
+          "AND voto_anterior IS NOT NULL AND voto IS NOT NULL")
+
+
+def split_vote_counts() -> str:
+    ctes = _prepared() + [_CASES, ("rk", """SELECT *, row_number() OVER (PARTITION BY voto ORDER BY md5('42|' || encuesta), encuesta) AS k,
+  count(*) OVER (PARTITION BY voto) AS n FROM cases"""),
+        ("sd", "SELECT *, CASE WHEN k <= floor(0.7 * n + 0.5) THEN 'train' ELSE 'test' END AS side FROM rk")]
+    return S.with_query(ctes, f"""SELECT voto, side, count(*) AS n, {_r('avg(edad)', 'mean_age')},
+  CAST(sum(CAST(encuesta AS BIGINT)) AS BIGINT) AS id_sum FROM sd GROUP BY voto, side""")
+
+
+def report_vote_rule() -> str:
+    ctes = _prepared() + [_CASES, ("pr", "SELECT voto AS actual, CASE WHEN voto_anterior = 'no_voto' THEN 'c' ELSE voto_anterior END AS pred FROM cases"),
+        ("cl", "SELECT actual AS cls FROM pr UNION SELECT pred FROM pr"),
+        ("ct", """SELECT cls, (SELECT count(*) FROM pr WHERE actual = cls AND pred = cls) AS tp,
+  (SELECT count(*) FROM pr WHERE actual = cls) AS support, (SELECT count(*) FROM pr WHERE pred = cls) AS n_pred FROM cl"""),
+        ("rc", """SELECT *, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS r FROM ct""")]
+    return S.with_query(ctes, f"""SELECT cls, support, n_pred, tp, {_r('p', 'precision')}, {_r('r', 'recall')},
+  {_r('CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END', 'f1')},
+  {_r('(SELECT sum(tp) FROM ct) / (SELECT sum(support) FROM ct)', 'accuracy')} FROM rc""")
+
+
+def report_score_rule() -> str:
+    ctes = _prepared() + [_CASES, ("y", "SELECT imagen_del_candidato AS y, edad * 0.5 + 20 AS p FROM cases WHERE imagen_del_candidato IS NOT NULL")]
+    return S.with_query(ctes, f"""SELECT count(*) AS n, {_r('avg(abs(y - p))', 'mae')}, {_r('sqrt(avg(pow(y - p, 2)))', 'rmse')},
+  {_r('1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*))', 'r2')} FROM y""")
+
+
 def stream_week_weights() -> str:
     return S.with_query(_raked("win_s"), "SELECT encuesta, win_s, round(peso, 6) AS peso FROM raked")
 
@@ -426,6 +515,11 @@ ORACLES = {
     "history_monthly_batches": history_monthly_batches,
     "impute_score_gate": impute_score_gate,
     "stream_week_weights": stream_week_weights,
+    "test_decision_first_last_week": test_decision_first_last_week,
+    "test_decision_events_days": test_decision_events_days,
+    "split_vote_counts": split_vote_counts,
+    "report_vote_rule": report_vote_rule,
+    "report_score_rule": report_score_rule,
 }
 
 

@@ -357,15 +357,43 @@ def impute_votes_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_eval_vote(spark: SparkSession, sf: str) -> DataFrame:
-    """M4 + M5 + A14: 70/30 hash split, vote classifier, per-class report + accuracy."""
+    """M4 + M5 + A14: stratified 70/30 split, vote classifier, per-class report + accuracy."""
     from tallyrake.operators import impute as I
     df, _ = _prepared(spark, sf)
-    data = df.select(*I.PREDICTORS["voto"], "voto").dropna()
-    tr, te = I.split(data)
+    data = I.with_id(df, [*I.PREDICTORS["voto"], "voto"])
+    tr, te = I.split(data, "voto")
     m = I.fit_classifier(tr, I.PREDICTORS["voto"], "voto", I.dummy_levels(data, I.PREDICTORS["voto"]))
     return r6(I.classifier_report(m.transform(I.aggregate_cases(te, I.PREDICTORS["voto"], "voto")), "voto"))
 
 
+def split_vote_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: interviews of each class on either side of the stratified split."""
+    from tallyrake.operators import impute as I
+    df, _ = _prepared(spark, sf)
+    sides = I.split(I.with_id(df, [*I.PREDICTORS["voto"], "voto"]), "voto")
+    both = [x.withColumn("side", F.lit(name)) for name, x in zip(("train", "test"), sides)]
+    return r6(both[0].unionByName(both[1]).groupBy("voto", "side").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("edad").alias("mean_age"), F.sum(F.col("encuesta").cast("long")).alias("id_sum")))
+
+
+def report_vote_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """M5: the classifier report, with "votes as before" as the prediction."""
+    from tallyrake.operators import impute as I
+    df, _ = _prepared(spark, sf)
+    cases = I.aggregate_cases(df, I.PREDICTORS["voto"], "voto").withColumn(
+        "voto_pred", F.when(F.col("voto_anterior") == "no_voto", "c").otherwise(F.col("voto_anterior")))
+    return r6(I.classifier_report(cases, "voto").select("cls", "support", "n_pred", "tp", "precision", "recall", "f1", "accuracy"))
+
+
+def report_score_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """M6: the regression report, with a line in the age as the prediction."""
+    from tallyrake.operators import impute as I
+    df, _ = _prepared(spark, sf)
+    cases = I.aggregate_cases(df, I.PREDICTORS[I.NUMERIC_TARGET], I.NUMERIC_TARGET).withColumn(
+        f"{I.NUMERIC_TARGET}_pred", F.col("edad") * 0.5 + 20)
+    return r6(I.regression_report(cases, I.NUMERIC_TARGET))
+
+
 def train_score_cold_start(spark: SparkSession, sf: str) -> DataFrame:
     """Cold start (empty history) -> three models trained on
     observed values and stored -> loaded back -> batch scoring of every interview."""
@@ -449,6 +477,9 @@ QUERIES = {
     "impute_score_gate": impute_score_gate,
     "impute_votes_chain": impute_votes_chain,
     "model_eval_vote": model_eval_vote,
+    "split_vote_counts": split_vote_counts,
+    "report_vote_rule": report_vote_rule,
+    "report_score_rule": report_score_rule,
     "train_score_cold_start": train_score_cold_start,
     "stream_week_weights": stream_week_weights,
     "process_impute_rake_track": process_impute_rake_track,

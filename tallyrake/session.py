@@ -82,15 +82,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_local_dir(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(path.replace("file://", ""), exist_ok=True)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop FileSystem of the path (any scheme)."""
     jvm = spark.sparkContext._jvm

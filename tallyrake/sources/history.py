@@ -17,6 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SURVEY_ID = "survey_id"
+# Columns of a survey that identify it: not the file order, nor buckets and recodes added later.
+SURVEY_FIELDS = ["fecha", "encuesta", "estrato", "sexo", "edad", "nivel_educativo", "integrantes_hogar",
+                 "imagen_del_candidato", "voto", "voto_anterior"]
+
+
+def survey_columns(df: DataFrame) -> list[str]:
+    """The survey's own columns that ``df`` has."""
+    return [c for c in SURVEY_FIELDS if c in df.columns]
+
 
 
 def row_hash(df: DataFrame, columns: list[str] | None = None):
@@ -38,43 +47,28 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None, by: list[str] |
                                             F.col("_x").cast("string")), 256).alias(SURVEY_ID))
 
 
-def complete_cases(df: DataFrame, predictors: list[str], target: str) -> DataFrame:
-    """predictors + target, rows without any null."""
-    return df.select(*predictors, target).dropna()
-
-
-def new_history_rows(history: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Rows of ``batch`` whose survey is not yet in ``history`` (left anti-join on
-    the distinct survey ids already stored, a small table)."""
-    if history is None:
-        return batch
-    seen = history.select(SURVEY_ID).distinct()
-    return batch.join(seen, SURVEY_ID, "left_anti")
-
-
 def append_history(spark: SparkSession, path: str, batch: DataFrame) -> int:
-    """S16 + U1: idempotent append of complete cases tagged with ``survey_id``.
+    """S16 + U1 + J3: idempotent append of complete cases tagged with ``survey_id``.
 
-    Returns the number of rows appended (0 when the survey was already stored)."""
+    The table is partitioned by survey and each survey is written by dynamic partition
+    overwrite, so a survey whose write died half way is completed by the next try: stored
+    means "holds as many rows as the upload", not "has some rows".  Returns the rows
+    appended (0 when every survey of the batch was already stored whole)."""
     from tallyrake.session import path_exists
-    history = spark.read.parquet(path) if path_exists(spark, path) else None
-    fresh = new_history_rows(history, batch)
-    if history is not None:
-        fresh = fresh.select(*history.columns) if set(history.columns) == set(fresh.columns) else fresh
-    fresh = fresh.cache()
+    batch = batch.cache()
+    sizes = batch.groupBy(SURVEY_ID).agg(F.count(F.lit(1)).alias("n_new"))
+    if path_exists(spark, path):
+        stored = spark.read.parquet(path).groupBy(SURVEY_ID).agg(F.count(F.lit(1)).alias("n_old"))
+        sizes = sizes.join(stored, SURVEY_ID, "left").filter("n_old is null or n_old < n_new")
+    fresh = batch.join(sizes.select(SURVEY_ID), SURVEY_ID, "left_semi")
     n = fresh.count()
     if n:
-        fresh.write.mode("append").partitionBy(SURVEY_ID).parquet(path)
-    fresh.unpersist()
+        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+              .partitionBy(SURVEY_ID).parquet(path))
+    batch.unpersist()
     return n
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
-
-def union_history(history: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """History plus the new batch (columns aligned by name)."""
-    if history is None:
-        return batch
-    return history.unionByName(new_history_rows(history, batch), allowMissingColumns=True)

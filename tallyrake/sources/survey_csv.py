@@ -1,15 +1,21 @@
 """Survey CSV scan: S1-S5.
 
-Read every column as text (no schema inference pass over the data), normalise the
-header names, check the required-column contract, then cast by name.  Many files
-or a glob are one scan; the file order of the rows is kept in an order column for
-the keep-first de-duplication (exact within a file split; give an explicit order
-column for multi-file inputs when the order across files matters).
+Every column is read as text (no schema inference pass), headers are normalised, the
+required columns are checked, and values are cast by name:
+
+* columns are matched by each file's own header, so files may order them differently and
+  may hold extra columns;
+* the texts that stand for a missing value become null;
+* dates are ISO by default; ``date_formats`` names others (``dd/MM/yyyy``), tried in order;
+* a number or date that does not parse is an error, as the load fails on it; with
+  ``strict=False`` such rows go to ``rejected_rows`` instead of vanishing in a later filter;
+* the order column for the keep-first de-duplication is (file path, block, place), so which
+  duplicate wins does not follow the cluster's packing of files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrake.functions.recode import clean_header
@@ -37,31 +43,88 @@ def check_required(df: DataFrame, required=REQUIRED_COLUMNS) -> None:
         raise MissingColumnsError(f"missing required columns: {missing}")
 
 
-def load_survey_csv(spark: SparkSession, path, strict_dates: bool = True,
-                    order_col: str | None = "_ord") -> DataFrame:
-    """Header CSV (UTF-8) -> typed survey frame.
-
-    ``strict_dates`` parses with ``to_timestamp_ntz`` (with ANSI mode on a bad date
-    fails the job, as the reference fails the load); otherwise bad dates become null
-    (``try_to_timestamp``) and are dropped later by the null filter.
-    """
-    raw = (spark.read.option("header", True).option("encoding", "UTF-8")
-           .option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
-    df = normalize_headers(raw)
-    check_required(df)
-    if strict_dates:
-        fecha = F.to_timestamp_ntz(F.col("fecha"))
-    else:
-        fecha = F.try_to_timestamp(F.col("fecha")).cast("timestamp_ntz")
-    casts = {"fecha": fecha, **{c: F.col(c).try_cast("double") for c in NUMERIC}}
-    out = df.withColumns(casts)
+# Texts read as a missing value (besides the empty text).
+MISSING_TEXTS = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                 "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+ISO_DATES: tuple[str, ...] = ()
+
+
+def text_or_null(c) -> Column:
+    x = F.col(c) if isinstance(c, str) else c
+    return F.when(~F.trim(x).isin("", *MISSING_TEXTS), x)
+
+
+def parse_date(c, date_formats: tuple[str, ...] = ISO_DATES) -> Column:
+    """Null where the text fits no format."""
+    x = F.col(c) if isinstance(c, str) else c
+    x = F.trim(x)
+    tries = [F.try_to_timestamp(x, F.lit(f)) for f in date_formats] or [F.try_to_timestamp(x)]
+    return F.coalesce(*tries).cast("timestamp_ntz")
+
+
+def typed_survey(texts: DataFrame, date_formats: tuple[str, ...] = ISO_DATES) -> DataFrame:
+    """Text columns with normal headers -> typed survey, plus ``_bad``: the columns whose text
+    did not parse."""
+    texts = texts.withColumns({c: text_or_null(c) for c in REQUIRED_COLUMNS if c in texts.columns})
+    typed = {"fecha": parse_date("fecha", date_formats),
+             **{c: F.expr(f"try_cast(trim(`{c}`) as double)") for c in NUMERIC}}
+    bad = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & x.isNull(), F.lit(c)) for c, x in typed.items()]))
+    out = texts.withColumn("_bad", bad).withColumns(typed)
     for src, dst in RENAMES.items():
         out = out.withColumnRenamed(src, dst)                                  # S5
-    if order_col:
-        out = out.withColumn(order_col, F.monotonically_increasing_id())
     return out
 
 
+def _header(spark: SparkSession, path: str) -> list[str]:
+    return spark.read.option("header", True).option("encoding", "UTF-8").csv(path).columns
+
+
+def survey_texts(spark: SparkSession, path, order_col: str | None = "_ord") -> DataFrame:
+    """All files under ``path`` as text columns with normal headers, joined by column name.
+
+    Files with one header are one scan; the driver reads the first line of each file."""
+    names = [r[0] for r in (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                            .option("pathGlobFilter", "[!_.]*").load(path).filter("length > 0").select("path").collect())]
+    groups: dict[tuple, list[str]] = {}
+    for name in sorted(names):
+        groups.setdefault(tuple(_header(spark, name)), []).append(name)
+    if not groups:
+        raise MissingColumnsError("no file with a header")
+    out = None
+    for files in groups.values():
+        raw = (spark.read.option("header", True).option("encoding", "UTF-8").option("inferSchema", False)
+               .option("mode", "PERMISSIVE").csv(files))
+        check_required(normalize_headers(raw))
+        place = F.concat_ws("\u0001", F.col("_metadata.file_path"),
+                            F.lpad(F.col("_metadata.file_block_start").cast("string"), 16, "0"),
+                            F.lpad(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("string"), 10, "0"))
+        df = raw.select(*[F.col(f"`{c}`").alias(clean_header(c)) for c in raw.columns], *([place.alias(order_col)] if order_col else []))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def load_survey_csv(spark: SparkSession, path, strict: bool = True, order_col: str | None = "_ord",
+                    date_formats: tuple[str, ...] = ISO_DATES) -> DataFrame:
+    """Header CSV files (UTF-8) -> typed survey frame.
+
+    ``strict`` fails the job on a date or number that does not parse; otherwise those rows
+    are left out here and come from ``rejected_rows``."""
+    out = typed_survey(survey_texts(spark, path, order_col), date_formats)
+    if not strict:
+        return out.filter(F.size("_bad") == 0).drop("_bad")
+    check = F.when(F.size("_bad") > 0, F.raise_error(F.concat(
+        F.lit("malformed survey values in "), F.array_join("_bad", ", "), F.lit(" of interview "),
+        F.coalesce(F.col("encuesta"), F.lit("?")))).cast("timestamp_ntz")).otherwise(F.col("fecha"))
+    return out.withColumn("fecha", check).drop("_bad")
+
+
+def rejected_rows(spark: SparkSession, path, date_formats: tuple[str, ...] = ISO_DATES) -> DataFrame:
+    """The files' rows with a malformed date or number, as read, with the columns at fault."""
+    texts = survey_texts(spark, path)
+    bad = typed_survey(texts, date_formats).filter(F.size("_bad") > 0).select("_ord", F.col("_bad").alias("columns"))
+    return texts.join(bad, "_ord").drop("_ord")
+
+
 def write_survey_csv(df: DataFrame, path: str, headers: dict[str, str] | None = None) -> None:
     """Write a survey frame as header CSV (optionally with display headers)."""
     headers = headers or {}

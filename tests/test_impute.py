@@ -77,3 +77,20 @@ def test_gate_on_used_model(spark, tmp_dir):
     res = I.impute_survey(df, model_dir=tmp_dir, evaluate="none", gate_on="used")
     assert res.score_method == "regression"          # the stored model explains the score well
     assert I.impute_survey(df, model_dir=tmp_dir, evaluate="none").score_method == "median"
+
+
+def test_split_is_the_same_under_any_partitioning(spark):
+    df = survey(spark).select("encuesta", "sexo", "voto").dropna()
+    sides = [tuple(sorted(r[0] for r in x.select("encuesta").collect()) for x in I.split(df.repartition(k), "voto")) for k in (1, 4, 7)]
+    assert sides[0] == sides[1] == sides[2]
+    train, test = (set(x) for x in sides[0])
+    assert not train & test and len(train) + len(test) == df.count()
+    for cls in ("a", "b"):
+        ids = {r[0] for r in df.filter(F.col("voto") == cls).select("encuesta").collect()}
+        assert len(ids & train) == int(0.7 * len(ids) + 0.5)
+
+
+def test_split_without_ids_divides_equal_rows(spark):
+    df = spark.createDataFrame([("a",)] * 10 + [("b",)] * 7, "x string")
+    train, test = I.split(df)
+    assert train.count() == 12 and test.count() == 5

@@ -82,3 +82,56 @@ def test_history_append_idempotent(spark, tmp_dir):
     other = batch.withColumn(SURVEY_ID, F.lit("s2"))
     assert append_history(spark, path, other) == 2
     assert read_history(spark, path).count() == 4
+
+
+HEAD = ["Fecha", "Encuesta", "Estrato", "Sexo", "Edad", "Nivel educativo", "Cantidad de integrantes en el hogar",
+        "Imagen del candidato", "Voto", "Voto anterior"]
+
+
+def write(path, head, rows):
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join(",".join(r) for r in [head, *rows]) + "\n")
+
+
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_dir):
+    from tallyrake.sources.survey_csv import rejected_rows
+    row = ["2024-01-05", "1", "Salta", "femenino", "30", "Secundario", "3", "NaN", "NA", "b"]
+    flip = [9, 2, 3, 1, 0, 4, 5, 6, 7, 8]
+    write(os.path.join(tmp_dir, "a.csv"), HEAD, [row, ["2024-01-05", "2", *row[2:]]])
+    write(os.path.join(tmp_dir, "b.csv"), [HEAD[k] for k in flip], [[["2024-01-06", "3", "Jujuy", "masculino", *row[4:]][k] for k in flip]])
+    got = {r["encuesta"]: r for r in load_survey_csv(spark, tmp_dir).collect()}
+    assert (got["3"]["estrato"], got["3"]["sexo"], got["1"]["sexo"]) == ("Jujuy", "masculino", "femenino")
+    assert got["1"]["imagen_del_candidato"] is None and got["1"]["voto"] is None
+    assert [i for i, _ in sorted((r["encuesta"], r["_ord"]) for r in got.values())] == sorted(got, key=lambda i: got[i]["_ord"])
+    bad = os.path.join(tmp_dir, "bad")
+    os.mkdir(bad)
+    write(os.path.join(bad, "c.csv"), HEAD, [["05/01/2024", *row[1:]], ["2024-01-05", "9", "Salta", "femenino", "old", *row[5:]]])
+    with pytest.raises(Exception, match="malformed"):
+        load_survey_csv(spark, bad).collect()
+    assert load_survey_csv(spark, bad, strict=False).count() == 0
+    assert sorted(r["columns"][0] for r in rejected_rows(spark, bad).collect()) == ["edad", "fecha"]
+    fixed = load_survey_csv(spark, bad, strict=False, date_formats=("yyyy-MM-dd", "dd/MM/yyyy")).collect()
+    assert [r["fecha"] for r in fixed] == [dt.datetime(2024, 1, 5)]
+
+
+def test_a_survey_loaded_twice_in_another_order_is_one_survey(spark, tmp_dir):
+    from tallyrake.sources.history import survey_columns
+    rows = [["2024-01-05", str(i), "Salta", "femenino", str(20 + i), "Secundario", "3", "50", "a", "b"] for i in range(9)]
+    for name, order in (("x", rows), ("y", rows[::-1])):
+        os.mkdir(os.path.join(tmp_dir, name))
+        write(os.path.join(tmp_dir, name, "s.csv"), HEAD, order)
+    x, y = (load_survey_csv(spark, os.path.join(tmp_dir, n)) for n in "xy")
+    assert fingerprint(x, survey_columns(x)).first() == fingerprint(y, survey_columns(y)).first()
+
+
+def test_a_half_written_survey_is_completed(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "hist")
+    whole = spark.createDataFrame([(1.0, "s1"), (2.0, "s1"), (3.0, "s1")], f"edad double, {SURVEY_ID} string")
+    whole.limit(1).write.partitionBy(SURVEY_ID).parquet(path)
+    assert append_history(spark, path, whole) == 3 and read_history(spark, path).count() == 3
+
+
+def test_text_is_stripped_of_all_white_space(spark):
+    from tallyrake.functions.recode import norm_text
+    df = spark.createDataFrame([("\tSecundario \n",), ("\u00a0A b\u3000",), (None,)], "x string")
+    assert [r[0] for r in df.select(norm_text("x")).collect()] == ["secundario", "a b", None]

@@ -53,3 +53,25 @@ def test_incremental_rake_touched_partitions(spark, tmp_dir):
     for r in sums:
         assert r["s"] == pytest.approx(r["n"])
     assert [os.path.getmtime(f) for f in sorted(glob.glob(f"{store}/weighted/_part=2024-01-01/*.parquet"))] == mtimes
+
+
+def test_stream_keeps_what_one_batch_keeps(spark, tmp_dir):
+    """The first copy of an id decides, also when a later filter drops it (F4 here); columns may
+    come in another order, and malformed rows are set aside."""
+    inbox, store, ckpt = (os.path.join(tmp_dir, d) for d in ("inbox", "store", "ckpt"))
+    first = batch(0, "2024-01-03")
+    upload(inbox, "u1.csv", first + [interview(900, "2024-01-03", "otro", 30, "Primario"),
+                                     interview(901, "2024-01-03", "femenino", "x", "Primario")])
+    q = start_incremental_rake(spark, inbox, store, ckpt, "salta", unit="week")
+    q.awaitTermination()
+    order = [3, 0, 1, 2, 9, 8, 7, 6, 5, 4]
+    second = [interview(900, "2024-01-04", "femenino", 30, "Primario"), interview(902, "2024-01-04", "femenino", 30, "Primario")]
+    with open(os.path.join(inbox, "u2.csv"), "w", encoding="utf-8") as f:
+        f.write(",".join(REQUIRED_COLUMNS[k] for k in order) + "\n")
+        f.writelines(",".join(r[k] for k in order) + "\n" for r in second)
+    q = start_incremental_rake(spark, inbox, store, ckpt, "salta", unit="week")
+    q.awaitTermination()
+    kept = {r[0] for r in spark.read.parquet(f"{store}/weighted").select("encuesta").collect()}
+    assert kept == {r[1] for r in first} | {"902"}
+    assert [r[0] for r in spark.read.parquet(f"{store}/rejected").select("encuesta").collect()] == ["901"]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode", "STATIC").upper() == "STATIC"
