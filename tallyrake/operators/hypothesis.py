@@ -124,10 +124,10 @@ def pair_statistics(df: DataFrame, window_col: str, value_col: str = "imagen_del
     # a pair of constant or single-interview windows has no spread: its statistics are null
     over = F.try_divide
     v1, v2 = over(F.col("var1"), n1), over(F.col("var2"), n2)
-    sp2 = over((n1 - 1) * F.coalesce("var1", F.lit(0.0)) + (n2 - 1) * F.coalesce("var2", F.lit(0.0)), n1 + n2 - 2)
+    sp2 = over((n1 - 1) * F.col("var1") + (n2 - 1) * F.col("var2"), n1 + n2 - 2)
     se_w = v1 + v2
     zbar = (n1 * F.col("z_mean1") + n2 * F.col("z_mean2")) / (n1 + n2)
-    zss = F.coalesce("z_ss1", F.lit(0.0)) + F.coalesce("z_ss2", F.lit(0.0))
+    zss = F.col("z_ss1") + F.col("z_ss2")
     lev = over((n1 + n2 - 2) * (n1 * F.pow(F.col("z_mean1") - zbar, 2) + n2 * F.pow(F.col("z_mean2") - zbar, 2)), zss)
     gap = F.col("mean1") - F.col("mean2")
     stats = j.select(

@@ -288,20 +288,19 @@ def diagnostics_from_cells(cells: DataFrame) -> DataFrame:
                                "warn_fallback": F.col("status").startswith("fallback")}))
 
 
-def rake(df: DataFrame, window_col: str | None, variables: list[str], targets,
-         weight_col: str = "peso", max_iter: int = DEFAULT_MAX_ITER, tol: float = DEFAULT_TOL,
-         trim_ratio: float | None = DEFAULT_TRIM_RATIO, sweeps: int | None = None,
-         method: str = "cells", broadcast_bytes: int = BROADCAST_BYTES,
-         lump_below: float | None = None) -> RakeResult:
-    """Rake every window of ``df`` to the margins and attach ``weight_col``.
-
-    ``method='cells'`` iterates to ``tol`` (max |margin - target|) or ``max_iter`` sweeps
-    with numpy inside ``mapInPandas`` over cells; ``method='native'`` runs exactly
-    ``sweeps`` sweeps as JVM window functions.  ``sweeps`` with ``method='cells'`` means
-    ``max_iter=sweeps, tol=0`` (exactly that many sweeps), so both methods agree.
-    ``window_col=None`` rakes the whole survey as one window (C2).  ``lump_below``
-    (default off) merges target levels under that share into one level first.
-    """
+@dataclass
+class RakedCells:
+    cells: DataFrame          # (_win, _lv_*, n, status, iterations, weight, ...), checkpointed
+    n_cells: int
+    variables: list[str]
+    lumps: dict
+
+
+def rake_cells(df: DataFrame, window_col: str | None, variables: list[str], targets,
+               max_iter: int = DEFAULT_MAX_ITER, tol: float = DEFAULT_TOL,
+               trim_ratio: float | None = DEFAULT_TRIM_RATIO, sweeps: int | None = None,
+               method: str = "cells", lump_below: float | None = None) -> RakedCells:
+    """The weight of every cell of every window (see ``rake`` for the parameters)."""
     variables = list(variables)
     tgt, lumps = lump_targets(targets_as_dict(targets, variables), lump_below)
     cells = with_status(build_cells(df, window_col, variables, lumps), variables, tgt)
@@ -314,21 +313,35 @@ def rake(df: DataFrame, window_col: str | None, variables: list[str], targets,
     else:
         raise ValueError(f"unknown rake method {method!r}")
     done = cut_lineage(finish_cells(raked, trim_ratio))
-    n_cells = done.count()
+    return RakedCells(done, done.count(), variables, lumps)
+
 
-    keys = [_WIN] + [_lv(v) for v in variables]
-    lookup = done.select(*keys, F.col("weight").alias(weight_col))
-    if n_cells * (CELL_BYTES + LEVEL_BYTES * len(variables)) <= broadcast_bytes:
+def attach_weights(df: DataFrame, raked: RakedCells, window_col: str | None, weight_col: str = "peso",
+                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows plus the weight of their cell, by one join."""
+    keys = [_WIN] + [_lv(v) for v in raked.variables]
+    lookup = raked.cells.select(*keys, F.col("weight").alias(weight_col))
+    if raked.n_cells * (CELL_BYTES + LEVEL_BYTES * len(raked.variables)) <= broadcast_bytes:
         lookup = F.broadcast(lookup)
     win = F.col(window_col) if window_col else F.lit(0)
-    rows = df.withColumns({_WIN: win, **{_lv(v): level_of(v, lumps) for v in variables}})
-    weighted = rows.join(lookup, on=keys, how="left").drop(*keys)
-    diag = diagnostics_from_cells(done)
-    if window_col:
-        diag = diag.withColumnRenamed(_WIN, window_col)
-        cells_out = done.withColumnRenamed(_WIN, window_col)
-    else:
-        diag = diag.drop(_WIN)
-        cells_out = done.drop(_WIN)
-    return RakeResult(weighted=weighted, diagnostics=diag, cells=cells_out)
+    rows = df.withColumns({_WIN: win, **{_lv(v): level_of(v, raked.lumps) for v in raked.variables}})
+    return rows.join(lookup, on=keys, how="left").drop(*keys)
+
 
+def rake(df: DataFrame, window_col: str | None, variables: list[str], targets,
+         weight_col: str = "peso", broadcast_bytes: int = BROADCAST_BYTES, **how) -> RakeResult:
+    """Rake every window of ``df`` to the margins and attach ``weight_col``.
+
+    ``method='cells'`` iterates to ``tol`` (max |margin - target|) or ``max_iter`` sweeps
+    with numpy inside ``mapInPandas`` over cells; ``method='native'`` runs exactly
+    ``sweeps`` sweeps as JVM window functions.  ``sweeps`` with ``method='cells'`` means
+    ``max_iter=sweeps, tol=0`` (exactly that many sweeps), so both methods agree.
+    ``window_col=None`` rakes the whole survey as one window (C2).  ``lump_below``
+    (default off) merges target levels under that share into one level first.
+    """
+    raked = rake_cells(df, window_col, variables, targets, **how)
+    weighted = attach_weights(df, raked, window_col, weight_col, broadcast_bytes)
+    diag, cells = diagnostics_from_cells(raked.cells), raked.cells
+    if window_col:
+        return RakeResult(weighted, diag.withColumnRenamed(_WIN, window_col), cells.withColumnRenamed(_WIN, window_col))
+    return RakeResult(weighted, diag.drop(_WIN), cells.drop(_WIN))

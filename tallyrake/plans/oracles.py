@@ -475,6 +475,43 @@ def report_score_rule() -> str:
   {_r('1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*))', 'r2')} FROM y""")
 
 
+def survey_null_profile_imputed() -> str:
+    filled = ("voto", "voto_anterior", "imagen_del_candidato")
+    parts = [f"SELECT '{c}' AS \"column\", " + ("0.0" if c in filled else f"round(avg(CAST({c} IS NULL AS DOUBLE)) * 100.0, 6)")
+             + " AS null_pct" + ("" if c in filled else " FROM windowed") for c in SURVEY_COLUMNS]
+    return S.with_query(_prepared(), "\nUNION ALL\n".join(parts))
+
+
+def ols_level_means() -> str:
+    where = "WHERE imagen_del_candidato IS NOT NULL"
+    parts = [f"SELECT '{v}' AS variable, {v} AS level, count(*) AS n, round(avg(imagen_del_candidato), 4) AS mean_pred "
+             f"FROM cases {where} GROUP BY {v}" for v in ("sexo", "estrato", "nivel_educativo", "voto", "voto_anterior")]
+    return S.with_query(_prepared() + [_CASES], "\nUNION ALL\n".join(parts))
+
+
+def logit_class_shares() -> str:
+    return S.with_query(_prepared() + [_CASES], "SELECT voto AS cls, (SELECT count(*) FROM cases) AS n, "
+                        "round(count(*) / (SELECT count(*) FROM cases), 3) AS mean_prob FROM cases GROUP BY voto")
+
+
+def ledger_checks() -> str:
+    from tallyrake.sources.census import POPULATIONS
+    ctes = _prepared() + [("r", "SELECT estrato AS population, count(*) AS n_rows FROM windowed GROUP BY estrato"),
+                          ("t", f"SELECT *, population IN {S.in_list(POPULATIONS)} AS known FROM r")]
+    return S.with_query(ctes, "SELECT 'run-' || population AS run_id, population, n_rows, "
+                        "CASE WHEN known THEN 'stored' ELSE 'rejected' END AS state, "
+                        "(SELECT count(*) FROM t WHERE known) AS total FROM t")
+
+
+def process_entry_ledger() -> str:
+    variables = calibration_variables("pampeana", False)
+    return S.with_query(_report_rows(), f"""SELECT 'run-1' AS run_id, 'pampeana' AS population, count(*) AS n_rows,
+  {S.q(', '.join(variables))} AS calib_vars,
+  round(1 + var_samp(w) / pow(avg(w), 2), 3) AS deff, round(pow(sum(w), 2) / sum(w * w), 1) AS ess,
+  round(pow(sum(w), 2) / sum(w * w) / count(*), 3) AS essp, {_r('max(w)', 'w_max')}, {_r('min(w)', 'w_min')},
+  0.0 AS null_pct_left FROM repw""")
+
+
 def stream_week_weights() -> str:
     return S.with_query(_raked("win_s"), "SELECT encuesta, win_s, round(peso, 6) AS peso FROM raked")
 
@@ -520,6 +557,11 @@ ORACLES = {
     "split_vote_counts": split_vote_counts,
     "report_vote_rule": report_vote_rule,
     "report_score_rule": report_score_rule,
+    "survey_null_profile_imputed": survey_null_profile_imputed,
+    "ols_level_means": ols_level_means,
+    "logit_class_shares": logit_class_shares,
+    "ledger_checks": ledger_checks,
+    "process_entry_ledger": process_entry_ledger,
 }
 
 

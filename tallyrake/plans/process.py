@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyrake.functions.recode import is_gba_municipality, norm_text
 from tallyrake.operators.clean import add_windows, clean_survey, normalize_survey
-from tallyrake.operators.rake import rake
+from tallyrake.operators.rake import attach_weights, diagnostics_from_cells, rake_cells, targets_as_dict
 from tallyrake.sources.census import (
     POPULATIONS,
     PROVINCE_REGION,
@@ -77,15 +77,18 @@ class ProcessResult:
 
 def weight_survey(spark: SparkSession, prepared: DataFrame, population: str, flag: bool,
                   units=("day", "week", "month"), **rake_kw) -> ProcessResult:
-    """Census targets for the population, then one rake per unit (one weight column each)."""
+    """Census targets for the population, then one rake per unit (one weight column each).
+
+    Every unit's cells are built from the prepared rows, not from the rows already weighted
+    for another unit; the weights are joined at the end."""
     variables = calibration_variables(population, flag)
-    targets = calibration_targets(spark, population, flag)
+    targets = targets_as_dict(calibration_targets(spark, population, flag), variables)
+    raked = {u: rake_cells(prepared, UNIT_WINDOW[u], variables, targets, **rake_kw) for u in units}
     out = prepared
-    diags = {}
     for u in units:
-        res = rake(out, UNIT_WINDOW[u], variables, targets, weight_col=f"peso_{UNIT_SUFFIX[u]}", **rake_kw)
-        out = res.weighted
-        diags[u] = res.diagnostics
+        out = attach_weights(out, raked[u], UNIT_WINDOW[u], f"peso_{UNIT_SUFFIX[u]}")
+    diags = {u: diagnostics_from_cells(r.cells).withColumnRenamed("_win", UNIT_WINDOW[u]) for u, r in raked.items()}
+    targets = calibration_targets(spark, population, flag)
     return ProcessResult(out, variables, targets, diags, flag)
 
 
@@ -98,3 +101,36 @@ def process_survey(spark: SparkSession, raw: DataFrame, population: str,
         from tallyrake.operators.impute import impute_survey
         df = impute_survey(df, model_dir=model_dir).imputed
     return weight_survey(spark, df, population, flag, units, **rake_kw)
+
+
+@dataclass
+class EntryResult:
+    process: ProcessResult
+    score_method: str
+    null_profile: DataFrame          # per column, after imputation
+    metrics: DataFrame               # of the whole-survey report, as stored in the ledger
+    retrained: dict[str, int]        # rows added to each model's history
+
+
+def process_entry(spark: SparkSession, raw: DataFrame, population: str, run_id: str, ledger: str,
+                  model_dir: str | None = None, units=("day", "week", "month"), restrict: bool = False,
+                  **rake_kw) -> EntryResult:
+    """Entry 1 as one call: clean, recode, impute, retrain the stored models on the observed
+    values, rake every unit, report the whole survey, and append run and metrics to the ledger."""
+    from tallyrake.operators.clean import null_profile
+    from tallyrake.operators.impute import impute_survey, update_all_models
+    from tallyrake.operators.report import report_rake, weight_metrics
+    from tallyrake.sources import ledger as L
+    from tallyrake.sources.history import survey_columns
+    observed, flag = prepare_survey(raw, population, restrict, persist=True)
+    result = impute_survey(observed, model_dir=model_dir)
+    retrained = update_all_models(observed, model_dir) if model_dir else {}
+    weighted = weight_survey(spark, result.imputed, population, flag, units, **rake_kw)
+    report = report_rake(result.imputed, weighted.variables, weighted.targets, **rake_kw)
+    met = weight_metrics(report).withColumn("run_id", F.lit(run_id)).cache()
+    L.append_runs(met.select("run_id", F.current_timestamp().alias("run_ts"), F.lit(population).alias("population"),
+                             F.col("n").alias("n_rows"), F.array(*[F.lit(v) for v in weighted.variables]).alias("calib_vars")),
+                  ledger)
+    L.append_metrics(met, ledger)
+    return EntryResult(weighted, result.score_method,
+                       null_profile(result.imputed.select(*survey_columns(result.imputed))), met, retrained)

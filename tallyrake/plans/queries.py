@@ -349,7 +349,7 @@ def impute_votes_chain(spark: SparkSession, sf: str) -> DataFrame:
     """M7 + M9 + F15 + F18: previous vote, then vote (using the imputed previous
     vote), each with a logistic model fit on the survey's complete cases."""
     from tallyrake.operators import impute as I
-    df, _ = _prepared(spark, sf)
+    df, _ = _prepared(spark, sf, persist=True)         # read by every fit of the chain
     for t in I.CATEGORICAL_TARGETS:
         df = I.impute_categorical(df, t, I.PREDICTORS[t])
     return df.select("encuesta", "win_m", norm_text("voto_anterior").alias("voto_anterior"),
@@ -416,6 +416,78 @@ def process_impute_rake_track(spark: SparkSession, sf: str) -> DataFrame:
     return r6(trk.vote_intervals(res.weighted, "win_s", "peso_s"))
 
 
+def survey_null_profile_imputed(spark: SparkSession, sf: str) -> DataFrame:
+    """A12 after imputation: null percentage per column once the chain has filled the votes
+    and the score."""
+    from tallyrake.operators.impute import impute_survey
+    df, _ = _prepared(spark, sf, persist=True)
+    return r6(null_profile(impute_survey(df).imputed.select(*SURVEY_COLUMNS)))
+
+
+def ols_level_means(spark: SparkSession, sf: str) -> DataFrame:
+    """M1, M3: score regression on all complete cases; a least-squares fit with dummies gives
+    each level its observed mean, so the mean prediction per level is checked against SQL."""
+    from tallyrake.operators import impute as I
+    df, _ = _prepared(spark, sf, persist=True)
+    preds = I.PREDICTORS[I.NUMERIC_TARGET]
+    cases = I.aggregate_cases(df, preds, I.NUMERIC_TARGET)
+    out = I.fit_regressor(df, preds, I.NUMERIC_TARGET).transform(cases)
+    long = out.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("level"))
+                                          for c in preds if c not in I.NUMERIC_PREDICTORS])).alias("l"),
+                      F.col(f"{I.NUMERIC_TARGET}_pred").alias("p"), F.col(I.WEIGHT).alias("w"))
+    return long.groupBy("l.variable", "l.level").agg(
+        F.sum("w").cast("long").alias("n"), F.round(F.sum(F.col("p") * F.col("w")) / F.sum("w"), 4).alias("mean_pred"))
+
+
+def logit_class_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """M1, M2: vote classifier on all complete cases; with a free intercept the mean probability
+    of a class is its share of the cases, which SQL counts."""
+    from pyspark.ml.functions import vector_to_array
+
+    from tallyrake.operators import impute as I
+    df, _ = _prepared(spark, sf, persist=True)
+    preds = I.PREDICTORS["voto"]
+    cases = I.aggregate_cases(df, preds, "voto")
+    model = I.fit_classifier(df, preds, "voto")
+    labels = model.stages[-1].getLabels()
+    prob = vector_to_array(F.col("probability"))
+    long = model.transform(cases).select(F.col(I.WEIGHT).alias("w"), F.explode(F.arrays_zip(
+        F.array(*[F.lit(x) for x in labels]).alias("cls"), prob.alias("p"))).alias("z"))
+    return long.groupBy(F.col("z.cls").alias("cls")).agg(
+        F.sum("w").cast("long").alias("n"), F.round(F.sum(F.col("z.p") * F.col("w")) / F.sum("w"), 3).alias("mean_prob"))
+
+
+def ledger_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """A run per territory name; names outside the population catalogue are
+    rejected, the others are stored and listed newest first with the total."""
+    from tallyrake.session import scratch_path
+    from tallyrake.sources import ledger as L
+    df, _ = _prepared(spark, sf)
+    runs = df.groupBy("estrato").agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.concat(F.lit("run-"), F.col("estrato")).alias("run_id"), F.current_timestamp().alias("run_ts"),
+        F.col("estrato").alias("population"), "n_rows", F.array(F.lit("sexo")).alias("calib_vars"))
+    path = scratch_path(spark, "ledger")
+    bad = L.append_runs(runs, path)
+    L.append_runs(runs, path)                          # a repeated job adds nothing
+    listed, total = L.list_runs(spark, path)
+    return (listed.select("run_id", "population", "n_rows", F.lit("stored").alias("state"))
+            .unionByName(bad.select("run_id", "population", "n_rows", F.lit("rejected").alias("state")))
+            .withColumn("total", F.lit(total).cast("long")))
+
+
+def process_entry_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Entry 1 as one call: impute, retrain, rake, report and ledger; the stored run with its
+    metrics and the nulls left in the imputed columns."""
+    from tallyrake.plans.process import process_entry
+    from tallyrake.session import scratch_path
+    from tallyrake.sources import ledger as L
+    path = scratch_path(spark, "ledger")
+    res = process_entry(spark, survey_view(spark, sf), "pampeana", "run-1", path, scratch_path(spark, "models"), units=("month",))
+    nulls = res.null_profile.filter(F.col("column").isin("voto", "voto_anterior", "imagen_del_candidato")).agg(
+        F.sum("null_pct").alias("null_pct_left")).first()[0]
+    return r6(L.history_with_metrics(spark, path).drop("run_ts").withColumn("null_pct_left", F.lit(nulls)))
+
+
 # ----------------------------------------------------------------------- streaming
 
 def stream_week_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -481,6 +553,11 @@ QUERIES = {
     "report_vote_rule": report_vote_rule,
     "report_score_rule": report_score_rule,
     "train_score_cold_start": train_score_cold_start,
+    "survey_null_profile_imputed": survey_null_profile_imputed,
+    "ols_level_means": ols_level_means,
+    "logit_class_shares": logit_class_shares,
+    "ledger_checks": ledger_checks,
+    "process_entry_ledger": process_entry_ledger,
     "stream_week_weights": stream_week_weights,
     "process_impute_rake_track": process_impute_rake_track,
 }
