@@ -512,6 +512,18 @@ def process_entry_ledger() -> str:
   0.0 AS null_pct_left FROM repw""")
 
 
+def impute_score_regression() -> str:
+    return S.with_query(_prepared(), """SELECT encuesta,
+  round(edad * 0.5 + CASE WHEN sexo = 'femenino' THEN 20.0 ELSE 0.0 END, 4) AS imagen_del_candidato, 'regression' AS method FROM windowed""")
+
+
+def flagship_track_month() -> str:
+    ctes = _raked("win_m") + [
+        ("sums", _score_sums("raked", "win_m", "peso")), ("iv", _score_intervals("win_m")),
+        ("dg", "SELECT _win AS win_m, min(status) AS status, max(iterations) AS iterations FROM raked_cells GROUP BY _win")]
+    return S.with_query(ctes, "SELECT iv.*, dg.status, dg.iterations FROM iv LEFT JOIN dg USING (win_m)")
+
+
 def stream_week_weights() -> str:
     return S.with_query(_raked("win_s"), "SELECT encuesta, win_s, round(peso, 6) AS peso FROM raked")
 
@@ -562,6 +574,8 @@ ORACLES = {
     "logit_class_shares": logit_class_shares,
     "ledger_checks": ledger_checks,
     "process_entry_ledger": process_entry_ledger,
+    "impute_score_regression": impute_score_regression,
+    "flagship_track_month": flagship_track_month,
 }
 
 
