@@ -29,8 +29,8 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TABLE_WORDS = 1 << 17
-TASK_WORDS = 1 << 19
+TASK_WORDS = 3 << 18
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 #: Texts of these characters only: the two patterns split them alike.
@@ -55,10 +55,14 @@ class Codec:
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.model = self.tok.model
+        self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.written = {b: c for c, b in _byte_of().items()}
         self.piece = pieces(spec)
+        self.table: dict | None = None
+        self.known = _Known({}, self._pair)
+        self.alone = _Known({}, lambda word: array("I", self.ids(word)).tobytes())
 
     def words(self, text: str) -> list[str]:
         """The words of a text; their concatenation is the text."""
@@ -76,27 +80,40 @@ class Codec:
         spans = [s for _, s in got]
         return [text[a:b] for a, b in spans]
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """Packed little-endian 32-bit ids of each word."""
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+    def ids(self, word: str) -> list[int]:
+        """Ids of one word, by the library's own BPE model."""
+        if word in self.added:
+            return [self.added[word]]
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.written))]
 
-    def encode(self, texts: list[str], table: dict) -> list[list[tuple[bytes, bytes]]]:
+    def _pair(self, word: str) -> tuple[bytes, bytes]:
+        ids = self.ids(word)
+        return array("I", ids).tobytes(), b"".join([self.piece[i] for i in ids])
+
+    def entries(self, texts: list[str], table: dict) -> list[list[tuple[bytes, bytes]]]:
         """Per text its words' (packed ids, decoded bytes), joined by position with the table;
         words outside of it are encoded once and kept."""
-        split = [self.words(t) for t in texts]
-        if len(self.known) > TASK_WORDS:
-            self.known.clear()
-        known, piece = self.known, self.piece
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in table and w not in known]
-        for w, ids in zip(new, self.ids_of(new)):
-            known[w] = ids, b"".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        out = []
-        for ws in split:
-            got = list(map(table.get, ws)) if table else list(map(known.__getitem__, ws))
-            if None in got:
-                got = [known[w] if g is None else g for w, g in zip(ws, got)]
-            out.append(got)
-        return out
+        if self.table is not table or len(self.known) > len(table) + TASK_WORDS:
+            self.table, self.known = table, _Known(table, self._pair)
+        return [list(map(self.known.__getitem__, self.words(t))) for t in texts]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Per text its ids as little-endian 32-bit integers; a word is encoded once and kept."""
+        if len(self.alone) > TASK_WORDS:
+            self.alone.clear()
+        return [b"".join(map(self.alone.__getitem__, self.words(t))) for t in texts]
+
+
+class _Known(dict):
+    """Words and their entries; a new word's entry is made when it is met."""
+
+    def __init__(self, table: dict, make):
+        super().__init__(table)
+        self.make = make
+
+    def __missing__(self, word: str):
+        entry = self[word] = self.make(word)
+        return entry
 
 
 @lru_cache(maxsize=2)
@@ -165,7 +182,7 @@ def _encode_words(spec):
         c = codec(spec.value)
         for batch in batches:
             ws = batch.column(0).to_pylist()
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in c.ids_of(ws)]
+            ids = [c.ids(w) for w in ws]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
     return run
 
@@ -193,7 +210,7 @@ def _round_trip(spec, table, keep_text: bool):
         for batch in batches:
             ids_in, n, sha_ids, sha_text, texts_out = batch.column(0), [], [], [], []
             for texts in _batches(batch.column(1)):
-                for got in c.encode(texts, of_word):
+                for got in c.entries(texts, of_word):
                     packed = b"".join([g[0] for g in got])
                     text = b"".join([g[1] for g in got]).decode("utf-8", "replace")
                     n.append(len(packed) // 4)
@@ -228,7 +245,7 @@ def _ids(spec):
     def run(batches):
         c = codec(spec.value)
         for batch in batches:
-            packed = [b"".join([g[0] for g in got]) for texts in _batches(batch.column(1)) for got in c.encode(texts, {})]
+            packed = [p for texts in _batches(batch.column(1)) for p in c.packed(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
     return run
 

@@ -123,8 +123,8 @@ def _records(spec, end_id: int, frame_bytes: int):
             ids, at = batch.column(0).to_pylist(), 0
             for texts in _batches(batch.column(1)):
                 out = []
-                for got in c.encode(texts, {}):
-                    out += build.add(ids[at], b"".join([g[0] for g in got]) + tail)
+                for packed in c.packed(texts):
+                    out += build.add(ids[at], packed + tail)
                     at += 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
         yield pa.RecordBatch.from_arrays([pa.array(list(build.end()), pa.binary())], ["value"])

@@ -24,9 +24,10 @@ def test_words_give_the_same_ids_for_all_characters():
     texts = ODD + ["".join(r.choice([" ", "a", "B", "'s", "7", "\n", "!", c]) for c in chars[i:i + 50] for _ in (0, 1)) for i in range(0, len(chars), 50)]
     texts += ["".join(r.choice("ab é9 '\n\t.s") for _ in range(40)) for _ in range(2000)]
     want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
-    got = [np.frombuffer(b"".join(g[0] for g in x), "<u4").tolist() for x in codec.encode(texts, {})]
-    assert got == want
-    back = [b"".join(g[1] for g in x).decode("utf-8", "replace") for x in codec.encode(texts, {})]
+    entries = codec.entries(texts, {})
+    assert [np.frombuffer(b"".join(g[0] for g in x), "<u4").tolist() for x in entries] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.packed(texts)] == want
+    back = [b"".join(g[1] for g in x).decode("utf-8", "replace") for x in entries]
     assert back == [tok.decode(x, skip_special_tokens=False) for x in want]
 
 
