@@ -38,20 +38,24 @@ FILTER_BITS = 1 << 27
 U = np.uint64
 _TOKEN = re.compile(r"[^\W_]+")
 _SALT = tv.stream(97, len(MASKS))
-_KNOWN: dict[str, int] = {}
+
+
+class _Hashes(dict):
+    """Hashes of the tokens met so far."""
+
+    def __missing__(self, token: str) -> int:
+        h = self[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace"))
+        return h
+
+
+_KNOWN = _Hashes()
 
 
 def tokens(text: str | None) -> np.ndarray:
     """64-bit hashes of a text's tokens."""
-    if len(_KNOWN) > 1 << 18:
+    if len(_KNOWN) > 1 << 19:
         _KNOWN.clear()
-    ws = _TOKEN.findall(text.lower()) if text else []
-    got = list(map(_KNOWN.get, ws))
-    if None in got:
-        for i, w in enumerate(ws):
-            if got[i] is None:
-                got[i] = _KNOWN[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
-    return np.array(got, U)
+    return np.array(list(map(_KNOWN.__getitem__, _TOKEN.findall(text.lower()))) if text else [], U)
 
 
 def seeds(t: np.ndarray):
@@ -125,7 +129,8 @@ def _hits(sent):
                 t = tokens(text.as_py())
                 for _, h in seeds(t):
                     a, b = _bits(h)
-                    at = np.flatnonzero((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1)
+                    at = np.flatnonzero((bits[a >> 3] >> (a & 7)) & 1)
+                    at = at[(bits[b[at] >> 3] >> (b[at] & 7)) & 1 == 1]
                     for p in at.tolist():       # the tokens around the hit go along: no text is moved
                         lo = max(0, p - WINDOW)
                         rows.append((int(tv.signed(h[p:p + 1])[0]), doc, p, lo, tv.signed(t[lo:p + WINDOW])))
