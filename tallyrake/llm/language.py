@@ -38,7 +38,7 @@ from .common import staged
 BUCKETS = 1 << 15
 CODE_BITS = 31
 MAX_LANGUAGES = 512
-AMBIGUOUS = 0.6
+AMBIGUOUS = 0.5
 SHARP = 6.0                                     # of the softmax over codewords
 UND = "und"
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
