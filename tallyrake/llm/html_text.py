@@ -55,21 +55,28 @@ SCORED = {"p", "pre", "td", "blockquote", "li", "dd", "div", "section", "article
 MIN_PARAGRAPH = 25
 
 
+KEEP, NAMED, NEVER = 0, 1, 2                     # an element's verdict: kept, left out by its names, left out
+
+
 class Node:
-    __slots__ = ("name", "parent", "kids", "drop", "points", "chars", "linked", "good")
+    __slots__ = ("name", "parent", "kids", "verdict", "drop", "points", "chars", "linked", "good", "inside")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False, good: bool = False):
-        self.name, self.parent, self.drop, self.good = name, parent, drop, good
+    def __init__(self, name: str, parent: Node | None, verdict: int = KEEP, good: bool = False):
+        self.name, self.parent, self.good = name, parent, good
+        self.verdict = NEVER if parent is not None and parent.verdict == NEVER else verdict
+        self.drop = self.verdict != KEEP
+        self.inside = parent is not None and (parent.inside or parent.name in ("article", "main"))
         self.kids: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
-def _judge(name: str, attrs: str, parent: Node) -> tuple[bool, bool]:
-    """(leave out, looks like the article) of a start tag."""
-    if name in DROP:
-        return True, False
+def _judge(name: str, attrs: str, parent: Node) -> tuple[int, bool]:
+    """(verdict, looks like the article) of a start tag."""
+    inside = parent.inside or parent.name in ("article", "main")
+    if name in DROP and not (name == "header" and inside):      # an article's own header holds its title
+        return NEVER, False
     if not attrs.strip() or name in ("html", "body"):
-        return False, name in ("article", "main")
+        return KEEP, name in ("article", "main")
     words, good = set(), name in ("article", "main")
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), html.unescape(values[0] or values[1] or values[2])
@@ -77,19 +84,41 @@ def _judge(name: str, attrs: str, parent: Node) -> tuple[bool, bool]:
             words |= {w.lower() for w in _PART.findall(value)}
         elif key == "role":
             if value.lower() in DROP_ROLE:
-                return True, False
+                return NEVER, False
             good |= value.lower() in ("main", "article")
         elif key == "itemprop" and value.lower() in ("articlebody", "text"):
             good = True
         elif key == "hidden" or key == "aria-hidden" and value == "true" or (
                 key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True, False
-    if name in ("article", "main"):
-        return bool(words & {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related"}), True
+            return NEVER, False
+    if name == "article":                        # comments and teasers may be articles too
+        bad = words & {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related"}
+        return NEVER if bad else KEEP, not bad
+    if name == "main":
+        return KEEP, True
     box = name in ("div", "section", "ul", "ol", "dl", "table", "p", "span", "a", "li", "details", "figure", "blockquote", "center")
-    if box and words & DROP_WORD:
-        return True, False
-    return False, good or bool(name in ("div", "section") and words & KEEP_WORD)
+    bad = words & DROP_WORD
+    if inside or words & KEEP_WORD:              # article-header, post-title-header
+        bad -= {"header"}
+    if box and bad:
+        return NAMED, False
+    return KEEP, good or bool(name in ("div", "section") and words & KEEP_WORD)
+
+
+def _spare_wrappers(root: Node) -> None:
+    """A box named after one of its parts (``page with-sidebar``) that holds the article stays."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.verdict == NEVER:
+            continue
+        if node.name in ("article", "main") and node.verdict == KEEP:
+            up = node.parent
+            while up is not None:
+                if up.verdict == NAMED:
+                    up.verdict, up.drop = KEEP, False
+                up = up.parent
+        stack += [k for k in node.kids if isinstance(k, Node)]
 
 
 def parse(page: str) -> Node:
@@ -99,7 +128,7 @@ def parse(page: str) -> Node:
     while at < size:
         tag = _TAG.search(page, at)
         end = tag.start() if tag else size
-        if end > at and not now.drop:
+        if end > at and now.verdict != NEVER:
             now.kids.append(html.unescape(page[at:end]))
         if not tag:
             break
@@ -125,8 +154,8 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node is not None and node.name in ends:
                 now = node.parent
-        drop, good = _judge(name, tag.group(3), now)
-        node = Node(name, now, now.drop or drop, good)
+        verdict, good = _judge(name, tag.group(3), now)
+        node = Node(name, now, verdict, good)
         now.kids.append(node)
         if name in VOID or tag.group(3).endswith("/") and name not in BLOCK and name not in RAW:
             continue
@@ -135,6 +164,7 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else size
             continue
         now = node
+    _spare_wrappers(root)
     return root
 
 

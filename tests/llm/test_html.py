@@ -35,6 +35,20 @@ def test_cookie_notice_and_link_lists_go():
     assert main_text(PAGE % body) == LONG
 
 
+def test_headers_of_articles_and_wrappers_named_after_parts_stay():
+    body = (f'<header><h1>Site</h1></header><div class="page with-sidebar"><main><article><header><h1>Head</h1></header><p>{LONG}</p>'
+            f'<div class="article-header"><p>Sub</p></div></article></main><div class="sidebar"><p>{LONG}</p></div></div>'
+            f'<section id="comments"><article class="comment"><p>{LONG}</p></article></section>')
+    assert main_text(PAGE % body).split("\n") == ["Head", LONG, "Sub"]
+
+
+def test_content_boxes_without_semantic_elements():
+    body = (f'<div id="header"><p>{LONG}</p></div><div id="content"><div class="post"><h1>Head</h1><div class="entry"><p>{LONG}</p>'
+            f'<p>Second, short.</p><div class="share-buttons"><a href=1>Share</a></div><p>{LONG}</p></div></div>'
+            f'<div class="cookie-banner">We use cookies, as all do, and more.</div><form><p>{LONG}</p></form></div><div id="footer">{LONG}</div>')
+    assert main_text(PAGE % body).split("\n") == ["Head", LONG, "Second, short.", LONG]
+
+
 def test_defined_cases(spark):
     assert main_text(None) == main_text("") == main_text("<html></html>") == ""
     assert main_text("just text < 5 & more") == "just text < 5 & more"
