@@ -1,12 +1,10 @@
 """Exact order statistics without gathering a column into one task.
 
-``exact_quantile`` returns the linear-interpolated quantile (the pandas / numpy
-default).  The distinct-value histogram ``groupBy(x).count()`` is built in a
-distributed way; when it has at most ``collect_limit`` rows it is small enough to
-select from directly.  Otherwise approximate-quantile boundaries split the values into
-buckets, the bucket counts (a few rows) locate the bucket that holds the wanted rank,
-and the search repeats inside that bucket until it is small.  Each round is one pass
-over the column, and no task or driver ever holds more than ``collect_limit`` values.
+``exact_quantile`` returns the linear-interpolated quantile (the pandas / numpy default).
+One route whatever the size: the values between the current smallest and largest are counted
+in ``collect_limit`` equal-width buckets, the counts say which bucket holds the wanted rank,
+and its own smallest and largest value are the next bounds, until both are the same value.
+Each round is one pass with map-side combining; a row per bucket reaches the driver.
 """
 
 from __future__ import annotations
@@ -16,58 +14,40 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COLLECT_LIMIT = 200_000
-BUCKETS = 1_000
-
-
-def _kth(df: DataFrame, col: str, k: int, collect_limit: int) -> float:
-    """Value of 0-based rank ``k`` (ties counted) among the non-null values of ``col``."""
-    x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    lo, hi = None, None           # current bracket: lo < x <= hi (None = open)
-    offset = 0                    # values at or below lo
-    while True:
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("x") > lo)
-        if hi is not None:
-            cond = cond & (F.col("x") <= hi)
-        part = x.filter(cond)
-        hist = part.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-        rows = hist.limit(collect_limit + 1).collect()
-        if len(rows) <= collect_limit:
-            acc = offset
-            for r in sorted(rows, key=lambda r: r["x"]):
-                acc += r["c"]
-                if acc > k:
-                    return float(r["x"])
-            raise ValueError("rank out of range")
-        probs = [i / BUCKETS for i in range(1, BUCKETS)]
-        bounds = sorted(set(part.agg(F.percentile_approx("x", probs, 10 * BUCKETS)).first()[0]))
-        b = F.size(F.filter(F.array(*[F.lit(v) for v in bounds]), lambda y: y < F.col("x")))
-        counts = sorted((r["b"], r["count"]) for r in part.groupBy(b.alias("b")).count().collect())
-        acc = offset
-        for bi, c in counts:
-            if acc + c > k:
-                new_lo = bounds[bi - 1] if bi > 0 else lo
-                new_hi = bounds[bi] if bi < len(bounds) else hi
-                if (new_lo, new_hi) == (lo, hi):
-                    raise ValueError("cannot narrow the bracket")
-                lo, hi, offset = new_lo, new_hi, acc
+BUCKETS = 4096
+
+
+def _kth(values: DataFrame, k: int, low: float, high: float, buckets: int) -> float:
+    """Value of 0-based rank ``k`` (ties counted) of the column ``x``; ``low`` and ``high`` are
+    its extremes.  Every round parts them, so the rounds end."""
+    while low < high:
+        scale = 2.0 if math.isinf(high - low) else 1.0        # keeps the width finite
+        share = (F.col("x") / scale - low / scale) / (high / scale - low / scale)
+        bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1))
+        rows = (values.filter(F.col("x").between(low, high)).groupBy(bucket.alias("b"))
+                .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("low"), F.max("x").alias("high")).collect())
+        for r in sorted(rows, key=lambda r: r["b"]):
+            if k < r["c"]:
+                low, high = r["low"], r["high"]
                 break
-            acc += c
+            k -= r["c"]
+        else:
+            raise ValueError("rank out of range")
+    return low
 
 
-def exact_quantile(df: DataFrame, col: str, p: float, collect_limit: int = COLLECT_LIMIT) -> float | None:
-    """Linear-interpolated ``p`` quantile of the non-null values of ``col``."""
-    n = df.filter(F.col(col).isNotNull()).count()
+def exact_quantile(df: DataFrame, col: str, p: float, collect_limit: int = BUCKETS) -> float | None:
+    """Linear-interpolated ``p`` quantile of the values of ``col`` (nulls and NaN left out)."""
+    x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    n, low, high = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
     if n == 0:
         return None
     h = (n - 1) * p
     k_lo, k_hi = math.floor(h), math.ceil(h)
-    v_lo = _kth(df, col, k_lo, collect_limit)
-    v_hi = v_lo if k_hi == k_lo else _kth(df, col, k_hi, collect_limit)
+    v_lo = _kth(x, k_lo, low, high, collect_limit)
+    v_hi = v_lo if k_hi == k_lo else _kth(x, k_hi, low, high, collect_limit)
     return v_lo + (h - k_lo) * (v_hi - v_lo)
 
 
-def exact_median(df: DataFrame, col: str, collect_limit: int = COLLECT_LIMIT) -> float | None:
+def exact_median(df: DataFrame, col: str, collect_limit: int = BUCKETS) -> float | None:
     return exact_quantile(df, col, 0.5, collect_limit)

@@ -20,3 +20,12 @@ def test_bucket_narrowing_path_is_exact(spark):
     for p in (0.5, 0.1, 0.93):
         got = exact_quantile(df, "x", p, collect_limit=200)     # force several narrowing rounds
         assert got == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-12)
+
+
+def test_extremes_ties_and_one_bucket_of_spread(spark):
+    vals = [-1e308, 1e308, 5e-324, 0.0, -0.0, 1e-300, float("nan")] + [7.0] * 50
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    clean = [v for v in vals if v == v]
+    for p in (0.0, 0.05, 0.5, 1.0):
+        assert exact_quantile(df, "x", p, collect_limit=2) == pytest.approx(float(np.quantile(clean, p)))
+    assert exact_median(df.filter("x is null"), "x") is None
