@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps: Spark's cleaner deletes them once the
-    frames that made them are collected, which a driver with little garbage puts off for long."""
+    frames that made them are collected, which a driver with little garbage puts off for long.
+    Python's dropped references reach the JVM with a delay of about a second."""
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -26,7 +30,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     The lineage ends there, so a lost executor costs at most the running step."""
     spark = df.sparkSession
-    release(spark)                               # of the steps before; this one's frame is still held
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -145,6 +145,7 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = staged(body.mapInArrow(_suspects(window, part, cells, sketch, False), "h long, id long")
                    .groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"))
                    .filter("low < high").select("h", "low"), "window-first")
+    release(spark)
     hits = (body.mapInArrow(_suspects(window, part, cells, sketch, True), "h long, id long, at int")
             .join(first, "h").filter("id > low"))
     out = staged(hits.groupBy("id").agg(F.collect_list("at").alias("places")), "window-places")
