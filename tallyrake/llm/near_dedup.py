@@ -179,7 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = src.filter("id is not null")
     sig = staged(known.mapInArrow(_signatures, "id long, n_shingles long, d1 long, d2 long, "
                                                "bands array<long>, sketch array<long>, whole array<long>"), "near-sig")
-    sets = sig.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    # a table of its own: the join's shuffles are then plain ones and Spark may split a hot set
+    sets = staged(sig.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "near-sets")
     member = staged(sig.select("id", "n_shingles", "d1", "d2").join(sets, ["d1", "d2"], "left")
                     .select("id", "n_shingles", "rep"), "near-member")
     reps = member.filter("id = rep").select("id").distinct()
