@@ -221,7 +221,7 @@ def _score(nodes: list[Node]) -> Node | None:
 
 
 def _link_box(node: Node) -> bool:
-    return node.name in ("ul", "ol", "dl", "div", "section", "table", "p") and _density(node) > 0.5 and node.chars > 0
+    return node.name in ("ul", "ol", "dl", "div", "section") and _density(node) > 0.5 and node.chars > 0
 
 
 def _reads_like_text(node: Node, best: Node) -> bool:

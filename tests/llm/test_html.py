@@ -49,6 +49,11 @@ def test_content_boxes_without_semantic_elements():
     assert main_text(PAGE % body).split("\n") == ["Head", LONG, "Second, short.", LONG]
 
 
+def test_linked_paragraphs_of_the_article_stay():
+    body = f'<article><p>{LONG}</p><p><a href="/r">The full report</a></p><p>{LONG}</p></article>'
+    assert main_text(PAGE % body).split("\n") == [LONG, "The full report", LONG]
+
+
 def test_defined_cases(spark):
     assert main_text(None) == main_text("") == main_text("<html></html>") == ""
     assert main_text("just text < 5 & more") == "just text < 5 & more"
