@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TABLE_WORDS = 1 << 17
+ROUND_TRIP_WORDS = 1 << 18                       # rare words kept in a task, beside the table
 TASK_WORDS = 3 << 18
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -93,10 +94,14 @@ class Codec:
     def entries(self, texts: list[str], table: dict) -> list[list[tuple[bytes, bytes]]]:
         """Per text its words' (packed ids, decoded bytes), joined by position with the table;
         words outside of it are encoded once and kept."""
-        if self.table is not table or len(self.known) > len(table) + TASK_WORDS:
+        if self.table is not table or len(self.known) > len(table) + ROUND_TRIP_WORDS:
             self.table, self.known = table, _Known(table, self._pair)
         return [list(map(self.known.__getitem__, self.words(t))) for t in texts]
 
+    def forget(self) -> None:
+        """Let go of the words of a task: the process stays and serves other steps."""
+        self.table, self.known = None, _Known({}, self._pair)
+
     def packed(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian 32-bit integers; a word is encoded once and kept."""
         if len(self.alone) > TASK_WORDS:
@@ -170,7 +175,7 @@ def _count_words(spec):
             for texts in _batches(batch.column(0)):
                 for t in texts:
                     seen.update(c.words(t))
-                if len(seen) > TASK_WORDS:
+                if len(seen) > ROUND_TRIP_WORDS:
                     yield out()
                     seen.clear()
         yield out()
@@ -207,23 +212,26 @@ def _round_trip(spec, table, keep_text: bool):
     def run(batches):
         c = codec(spec.value)
         of_word = table.value
-        for batch in batches:
-            ids_in, n, sha_ids, sha_text, texts_out = batch.column(0), [], [], [], []
-            for texts in _batches(batch.column(1)):
-                for got in c.entries(texts, of_word):
-                    packed = b"".join([g[0] for g in got])
-                    text = b"".join([g[1] for g in got]).decode("utf-8", "replace")
-                    n.append(len(packed) // 4)
-                    sha_ids.append(hashlib.sha256(packed).hexdigest())
-                    sha_text.append(hashlib.sha256(text.encode()).hexdigest())
-                    if keep_text:
-                        texts_out.append(text)
-            cols = [ids_in, pa.array(n, pa.int64()), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_text:
-                cols.append(pa.array(texts_out, pa.string()))
-                names.append("decoded")
-            yield pa.RecordBatch.from_arrays(cols, names)
+        try:
+            for batch in batches:
+                ids_in, n, sha_ids, sha_text, texts_out = batch.column(0), [], [], [], []
+                for texts in _batches(batch.column(1)):
+                    for got in c.entries(texts, of_word):
+                        packed = b"".join([g[0] for g in got])
+                        text = b"".join([g[1] for g in got]).decode("utf-8", "replace")
+                        n.append(len(packed) // 4)
+                        sha_ids.append(hashlib.sha256(packed).hexdigest())
+                        sha_text.append(hashlib.sha256(text.encode()).hexdigest())
+                        if keep_text:
+                            texts_out.append(text)
+                cols = [ids_in, pa.array(n, pa.int64()), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string())]
+                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if keep_text:
+                    cols.append(pa.array(texts_out, pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(cols, names)
+        finally:
+            c.forget()
     return run
 
 
