@@ -37,7 +37,7 @@ from .common import release, staged
 WINDOW = 13
 PART = 7
 BLOCK = 1 << 16
-MAX_CELLS = 1 << 29
+MAX_CELLS = 1 << 28
 U = np.uint64
 
 
