@@ -53,7 +53,7 @@ _KNOWN = _Hashes()
 
 def tokens(text: str | None) -> np.ndarray:
     """64-bit hashes of a text's tokens."""
-    if len(_KNOWN) > 1 << 19:
+    if len(_KNOWN) > 1 << 18:
         _KNOWN.clear()
     return np.array(list(map(_KNOWN.__getitem__, _TOKEN.findall(text.lower()))) if text else [], U)
 
@@ -123,20 +123,23 @@ def seed_filter(rows: DataFrame) -> np.ndarray:
 def _hits(sent):
     def run(batches):
         bits = sent.value
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = tokens(text.as_py())
-                for _, h in seeds(t):
-                    a, b = _bits(h)
-                    at = np.flatnonzero((bits[a >> 3] >> (a & 7)) & 1)
-                    at = at[(bits[b[at] >> 3] >> (b[at] & 7)) & 1 == 1]
-                    for p in at.tolist():       # the tokens around the hit go along: no text is moved
-                        lo = max(0, p - WINDOW)
-                        rows.append((int(tv.signed(h[p:p + 1])[0]), doc, p, lo, tv.signed(t[lo:p + WINDOW])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (
-                pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))],
-                ["h", "doc", "p", "lo", "near"])
+        try:
+            for batch in batches:
+                rows = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    t = tokens(text.as_py())
+                    for _, h in seeds(t):
+                        a, b = _bits(h)
+                        at = np.flatnonzero((bits[a >> 3] >> (a & 7)) & 1)
+                        at = at[(bits[b[at] >> 3] >> (b[at] & 7)) & 1 == 1]
+                        for p in at.tolist():   # the tokens around the hit go along: no text is moved
+                            lo = max(0, p - WINDOW)
+                            rows.append((int(tv.signed(h[p:p + 1])[0]), doc, p, lo, tv.signed(t[lo:p + WINDOW])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (
+                    pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))],
+                    ["h", "doc", "p", "lo", "near"])
+        finally:
+            _KNOWN.clear()                       # the process stays and serves other tasks
     return run
 
 
