@@ -3,9 +3,11 @@
 Paragraphs pass points for their length and commas to their ancestors (parent: all, next: half,
 then a third of that each), a container's points are discounted by its share of linked text,
 the best container is taken, widened to the article element it stands in, and joined by those
-of its siblings that read like text.  Elements whose name, role, class or id says that they
-are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
-comments are left out, and so are lists and boxes that consist of links.
+of its siblings that read like text.  Elements whose name or role says that they are menus,
+headers, footers, sidebars, notices, forms, scripts or styles are left out, and so are lists and
+boxes that consist of links.  A class or id that says so only discounts the points of its box:
+the box is left out unless it is the best container, holds it, or is a part of it with text of
+its own (boxes of the same words count together; adverts and reader comments are no parts).
 
 Output: character references decoded, white space inside a block turned into one space,
 blocks trimmed and joined in page order by one line feed; nothing else is dropped or cut.
@@ -50,75 +52,77 @@ cookie cookies consent gdpr notice notices notification alert popup modal overla
 comment comments commentlist respond reply replies disqus discussion
 share sharing social related recommended recommendations newsletter subscribe subscription signup login
 pagination pager toolbar widget widgets skip tags taglist copyright legal""".split())
+#: Words of adverts and reader comments: such boxes are no part of an article around them.
+FIRM_WORD = set("ad ads adv advert adverts advertisement advertising sponsored comment comments commentlist disqus respond reply replies".split())
+#: ``has-sidebar``, ``no-ads``: the class names a part of the box, not the box.
+PART_WORD = {"has", "no", "with", "without"}
+DISCOUNT, FIRM_DISCOUNT = 0.25, 0.05
 KEEP_WORD = set("article articlebody content main post entry story body text page".split())
 SCORED = {"p", "pre", "td", "blockquote", "li", "dd", "div", "section", "article", "main", "body", "h2", "h3"}
 MIN_PARAGRAPH = 25
 
 
-KEEP, NAMED, NEVER = 0, 1, 2                     # an element's verdict: kept, left out by its names, left out
+KEEP, NAMED, NEVER = 0, 1, 2                     # an element's verdict: kept, discounted by its names, left out
 
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "verdict", "drop", "points", "chars", "linked", "good", "inside")
+    __slots__ = ("name", "parent", "kids", "verdict", "drop", "points", "chars", "linked", "good", "inside",
+                 "words", "bad", "weight", "share", "mass", "long")
 
-    def __init__(self, name: str, parent: Node | None, verdict: int = KEEP, good: bool = False):
-        self.name, self.parent, self.good = name, parent, good
+    def __init__(self, name: str, parent: Node | None, verdict: int = KEEP, good: bool = False,
+                 words: frozenset = frozenset(), bad: frozenset = frozenset()):
+        self.name, self.parent, self.good, self.words, self.bad = name, parent, good, words, bad
         self.verdict = NEVER if parent is not None and parent.verdict == NEVER else verdict
-        self.drop = self.verdict != KEEP
+        self.drop = self.verdict == NEVER
+        self.weight = 1.0 if verdict != NAMED else FIRM_DISCOUNT if bad & FIRM_WORD else DISCOUNT
+        self.share = min(self.weight, parent.share) if parent is not None else self.weight
+        self.mass, self.long = 0.0, 0            # points and characters of the paragraphs in it, as they are
         self.inside = parent is not None and (parent.inside or parent.name in ("article", "main"))
         self.kids: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
-def _judge(name: str, attrs: str, parent: Node) -> tuple[int, bool]:
-    """(verdict, looks like the article) of a start tag."""
+NONE = frozenset()
+
+
+def _judge(name: str, attrs: str, parent: Node) -> tuple[int, bool, frozenset, frozenset]:
+    """(verdict, looks like the article, name words, those that discount it) of a start tag."""
     inside = parent.inside or parent.name in ("article", "main")
     if name in DROP and not (name == "header" and inside):      # an article's own header holds its title
-        return NEVER, False
+        return NEVER, False, NONE, NONE
     if not attrs.strip() or name in ("html", "body"):
-        return KEEP, name in ("article", "main")
-    words, good = set(), name in ("article", "main")
+        return KEEP, name in ("article", "main"), NONE, NONE
+    words, parts, good = set(), set(), name in ("article", "main")
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), html.unescape(values[0] or values[1] or values[2])
         if key in ("class", "id"):
-            words |= {w.lower() for w in _PART.findall(value)}
+            for token in value.split():
+                found = {w.lower() for w in _PART.findall(token)}
+                words |= found
+                if found & PART_WORD:
+                    parts |= found & DROP_WORD
         elif key == "role":
             if value.lower() in DROP_ROLE:
-                return NEVER, False
+                return NEVER, False, NONE, NONE
             good |= value.lower() in ("main", "article")
         elif key == "itemprop" and value.lower() in ("articlebody", "text"):
             good = True
         elif key == "hidden" or key == "aria-hidden" and value == "true" or (
                 key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return NEVER, False
+            return NEVER, False, NONE, NONE
+    words = frozenset(words)
     if name == "article":                        # comments and teasers may be articles too
-        bad = words & {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related"}
-        return NEVER if bad else KEEP, not bad
+        bad = words & {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related"} - parts
+        return NAMED if bad else KEEP, not bad, words, bad
     if name == "main":
-        return KEEP, True
+        return KEEP, True, words, NONE
     box = name in ("div", "section", "ul", "ol", "dl", "table", "p", "span", "a", "li", "details", "figure", "blockquote", "center")
-    bad = words & DROP_WORD
+    bad = (words & DROP_WORD) - parts
     if inside or words & KEEP_WORD:              # article-header, post-title-header
         bad -= {"header"}
     if box and bad:
-        return NAMED, False
-    return KEEP, good or bool(name in ("div", "section") and words & KEEP_WORD)
-
-
-def _spare_wrappers(root: Node) -> None:
-    """A box named after one of its parts (``page with-sidebar``) that holds the article stays."""
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if node.verdict == NEVER:
-            continue
-        if node.name in ("article", "main") and node.verdict == KEEP:
-            up = node.parent
-            while up is not None:
-                if up.verdict == NAMED:
-                    up.verdict, up.drop = KEEP, False
-                up = up.parent
-        stack += [k for k in node.kids if isinstance(k, Node)]
+        return NAMED, False, words, bad
+    return KEEP, good or bool(name in ("div", "section") and words & KEEP_WORD), words, NONE
 
 
 def parse(page: str) -> Node:
@@ -154,8 +158,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node is not None and node.name in ends:
                 now = node.parent
-        verdict, good = _judge(name, tag.group(3), now)
-        node = Node(name, now, verdict, good)
+        node = Node(name, now, *_judge(name, tag.group(3), now))
         now.kids.append(node)
         if name in VOID or tag.group(3).endswith("/") and name not in BLOCK and name not in RAW:
             continue
@@ -164,7 +167,6 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else size
             continue
         now = node
-    _spare_wrappers(root)
     return root
 
 
@@ -181,8 +183,8 @@ def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         own = sum(len(" ".join(k.split())) for k in node.kids if isinstance(k, str))
         kids = [k for k in node.kids if isinstance(k, Node) and not k.drop]
-        node.chars = own + sum(k.chars for k in kids)
-        node.linked = node.chars if node.name == "a" else sum(k.linked for k in kids)
+        node.chars = own + sum(k.chars * k.weight for k in kids)
+        node.linked = node.chars if node.name == "a" else sum(k.linked * k.weight for k in kids)
 
 
 def _density(node: Node) -> float:
@@ -209,17 +211,76 @@ def _score(nodes: list[Node]) -> Node | None:
         if len(text) < MIN_PARAGRAPH:
             continue
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - _density(node))
-        share, up = 1.0, node.parent if node.name not in ("article", "main", "body", "section", "div") else node
+        up = node
+        while up is not None:
+            up.mass, up.long = up.mass + points, up.long + len(text)
+            up = up.parent
+        share, up = node.share, node.parent if node.name not in ("article", "main", "body", "section", "div") else node
         level = 0
         while up is not None:
             up.points += points * share
             level += 1
-            share = 0.5 if level == 1 else share / 3
+            share = node.share * 0.5 if level == 1 else share / 3
             up = up.parent
     best = max(nodes, key=lambda n: n.points * (1 - _density(n)))
     return best if best.points else None
 
 
+def _settle(nodes: list[Node], best: Node) -> None:
+    """What holds the best container stays; other boxes with names against them wait for _parts."""
+    up = best
+    while up is not None:
+        if up.verdict == NAMED:
+            up.verdict = KEEP
+        up.weight, up = 1.0, up.parent
+    for node in nodes:
+        if node.verdict == NAMED:
+            node.drop = True
+
+
+def _repeated(best: Node) -> Node:
+    """The outermost box around the best container that stands among boxes of its own name and
+    words which hold text too (page builders put every paragraph into boxes of its own)."""
+    wide, node = best, best
+    while node.parent is not None:
+        if node.words and any(isinstance(k, Node) and k is not node and k.verdict != NEVER and k.name == node.name and k.words == node.words
+                              and k.mass >= 0.2 * node.mass and _density(k) < 0.5 for k in node.parent.kids):
+            wide = node
+        node = node.parent
+    return wide
+
+
+def _parts(best: Node, wide: Node, tops: list[Node]) -> None:
+    """Boxes with names against them that are parts of the best container, or of the article element,
+    are taken up again; those named like a box around the best container as well."""
+    same, up = set(), best
+    while up is not None:
+        if up.bad:
+            same.add(up.bad)
+        if up is wide:
+            break
+        up = up.parent
+    stack = [(t, t is best or t.name in ("article", "main")) for t in tops]
+    waiting: dict[frozenset, list[Node]] = {}
+    while stack:
+        node, part = stack.pop()
+        for k in node.kids:
+            if isinstance(k, Node) and k.verdict != NEVER:
+                own = part or k is best
+                if k.drop and (k.bad in same or own and not k.bad & FIRM_WORD):
+                    waiting.setdefault(k.bad, []).append(k)
+                if not k.drop or k.bad in same or own and not k.bad & FIRM_WORD:
+                    stack.append((k, own))
+    for bad, boxes in waiting.items():
+        if bad in same or _has_text(boxes):
+            for k in boxes:
+                k.drop, k.weight = False, 1.0
+
+
+def _has_text(boxes: list[Node]) -> bool:
+    return sum(k.long for k in boxes) > 80 and sum(k.linked for k in boxes) < 0.25 * sum(k.chars for k in boxes)
+
+
 def _link_box(node: Node) -> bool:
     return node.name in ("ul", "ol", "dl", "div", "section") and _density(node) > 0.5 and node.chars > 0
 
@@ -270,10 +331,16 @@ def main_text(page: str | None) -> str:
     nodes = list(_walk(root))
     _measure(nodes)
     best = _score(nodes)
-    if best is None:                             # no paragraph: what an article element holds, else the page
-        best = next((n for n in nodes if n.name in ("article", "main") and n.chars), root)
-        return "\n".join(_blocks([best]))
-    wide, up = best, best.parent
+    own = next((n for n in nodes if n.name in ("article", "main") and n.chars and n.verdict == KEEP), None)
+    if best is None or own is not None and best.share < 1 and best.points < 3 and not own.points:
+        best = own or root                       # no paragraph, or only an advert's: what an article element holds, else the page
+        text = _blocks([best])
+        _settle(nodes, best)
+        return "\n".join(_blocks([best]) or text)
+    _settle(nodes, best)
+    wide = _repeated(best)
+    _measure([n for n in nodes if not n.drop])
+    up = wide.parent
     while up is not None:                        # the outermost article-like element it stands in
         if up.good and _density(up) < 0.5:
             wide = up
@@ -285,7 +352,14 @@ def main_text(page: str | None) -> str:
             tops = [k for k in parent.kids if isinstance(k, Node) and not k.drop and (
                 k is wide or k.name == wide.name and _reads_like_text(k, best))]
     else:
-        tops = [k for k in parent.kids if isinstance(k, Node) and not k.drop and (k is wide or _reads_like_text(k, best))]
+        for k in parent.kids:                    # boxes named like this one, sections of a text
+            if isinstance(k, Node) and k.verdict == NAMED and (
+                    wide.bad and k.bad == wide.bad or k.name == wide.name == "section" and not k.bad & FIRM_WORD and _has_text([k])):
+                k.drop, k.weight = False, 1.0
+        tops = [k for k in parent.kids if isinstance(k, Node) and not k.drop and (
+            k is wide or k.bad or _reads_like_text(k, best))]
+    _parts(best, wide, tops)
+    _measure([n for n in nodes if not n.drop])
     return "\n".join(_blocks(tops))
 
 

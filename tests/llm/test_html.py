@@ -54,6 +54,21 @@ def test_linked_paragraphs_of_the_article_stay():
     assert main_text(PAGE % body).split("\n") == [LONG, "The full report", LONG]
 
 
+def test_names_only_discount_a_box():
+    box = f'<div class="elementor-widget elementor-widget-text-editor"><div class="elementor-widget-container"><p>{LONG}</p></div></div>'
+    title = '<div class="elementor-widget elementor-widget-heading"><h2>Head</h2></div>'
+    foot = "<div>All rights reserved by the site and its owners.</div>"
+    assert main_text(f"<div id=content class='site-content has-sidebar'><div>{LONG}</div><div>{LONG}</div></div>{foot}").split("\n")[:2] == [LONG] * 2
+    assert main_text(PAGE % f"<article>{title}{box}{box}</article>") == f"Head\n{LONG}\n{LONG}"
+    assert main_text(PAGE % f'<div class="elementor">{title}{box}{box}</div>') == f"Head\n{LONG}\n{LONG}"
+    paper = f'<section id="intro"><p>{LONG}</p><p>{LONG}</p></section><section class="related-work"><p>{LONG}</p></section><section id=discussion><p>{LONG}</p></section>'
+    for around in ("article", "div"):
+        assert main_text(PAGE % f"<{around}>{paper}</{around}>").split("\n") == [LONG] * 4
+    notes = f'<section class="comments"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section>'
+    assert main_text(PAGE % f"<article>{paper}{notes}</article>").split("\n") == [LONG] * 4
+    assert main_text(PAGE % "<article><h1>Tiny head.</h1><p>Tiny.</article>") == "Tiny head.\nTiny."
+
+
 def test_defined_cases(spark):
     assert main_text(None) == main_text("") == main_text("<html></html>") == ""
     assert main_text("just text < 5 & more") == "just text < 5 & more"
