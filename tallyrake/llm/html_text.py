@@ -3,9 +3,10 @@
 Paragraphs pass points for their length and commas to their ancestors (parent: all, next: half,
 then a third of that each), a container's points are discounted by its share of linked text,
 the best container is taken, widened to the article element it stands in, and joined by those
-of its siblings that read like text.  Elements whose name or role says that they are menus,
+of its siblings that read like text and by the bare text beside it.  Elements whose name or role says that they are menus,
 headers, footers, sidebars, notices, forms, scripts or styles are left out, and so are lists and
-boxes that consist of links.  A class or id that says so only discounts the points of its box:
+boxes beside the container that consist of links, and inside of it menus (nothing but two or
+more short links, not under a heading of the text).  A class or id that says so only discounts the points of its box:
 the box is left out unless it is the best container, holds it, or is a part of it with text of
 its own (boxes of the same words count together; adverts and reader comments are no parts).
 
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_WORD = re.compile(r"[^\W_]")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,16 +60,19 @@ FIRM_WORD = set("ad ads adv advert adverts advertisement advertising sponsored c
 PART_WORD = {"has", "no", "with", "without"}
 DISCOUNT, FIRM_DISCOUNT = 0.25, 0.05
 KEEP_WORD = set("article articlebody content main post entry story body text page".split())
-SCORED = {"p", "pre", "td", "blockquote", "li", "dd", "div", "section", "article", "main", "body", "h2", "h3"}
+SCORED = {"p", "pre", "td", "blockquote", "li", "dd", "div", "section", "article", "main", "body", "html", "center", "details", "h2", "h3"}
+#: Containers that may hold text of their own; ``html`` is the page.
+HOLDS = {"article", "main", "body", "section", "div", "html", "center", "details"}
 MIN_PARAGRAPH = 25
 
 
+HEADING = object()
 KEEP, NAMED, NEVER = 0, 1, 2                     # an element's verdict: kept, discounted by its names, left out
 
 
 class Node:
     __slots__ = ("name", "parent", "kids", "verdict", "drop", "points", "chars", "linked", "good", "inside",
-                 "words", "bad", "weight", "share", "mass", "long")
+                 "words", "bad", "weight", "share", "mass", "long", "links", "plain")
 
     def __init__(self, name: str, parent: Node | None, verdict: int = KEEP, good: bool = False,
                  words: frozenset = frozenset(), bad: frozenset = frozenset()):
@@ -80,6 +85,7 @@ class Node:
         self.inside = parent is not None and (parent.inside or parent.name in ("article", "main"))
         self.kids: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
+        self.links, self.plain = 0, False        # link elements, and whether words stand outside of them
 
 
 NONE = frozenset()
@@ -185,6 +191,8 @@ def _measure(nodes: list[Node]) -> None:
         kids = [k for k in node.kids if isinstance(k, Node) and not k.drop]
         node.chars = own + sum(k.chars * k.weight for k in kids)
         node.linked = node.chars if node.name == "a" else sum(k.linked * k.weight for k in kids)
+        node.links = (node.name == "a") + sum(k.links for k in kids)
+        node.plain = node.name != "a" and (any(k.plain for k in kids) or any(isinstance(k, str) and _WORD.search(k) for k in node.kids))
 
 
 def _density(node: Node) -> float:
@@ -215,7 +223,7 @@ def _score(nodes: list[Node]) -> Node | None:
         while up is not None:
             up.mass, up.long = up.mass + points, up.long + len(text)
             up = up.parent
-        share, up = node.share, node.parent if node.name not in ("article", "main", "body", "section", "div") else node
+        share, up = node.share, node.parent if node.name not in HOLDS else node
         level = 0
         while up is not None:
             up.points += points * share
@@ -285,6 +293,10 @@ def _link_box(node: Node) -> bool:
     return node.name in ("ul", "ol", "dl", "div", "section") and _density(node) > 0.5 and node.chars > 0
 
 
+def _menu(node: Node) -> bool:
+    return _link_box(node) and not node.plain and node.links > 1 and node.linked < MIN_PARAGRAPH * node.links
+
+
 def _reads_like_text(node: Node, best: Node) -> bool:
     if _link_box(node):
         return False
@@ -295,31 +307,61 @@ def _reads_like_text(node: Node, best: Node) -> bool:
     return node.name == "p" and (node.chars > 80 and _density(node) < 0.25 or node.chars > 0 and not node.linked)
 
 
-def _blocks(tops: list[Node]) -> list[str]:
+def _beside(parent: Node, wide: Node, best: Node) -> list:
+    """The container and what of its parent reads like text, in page order: elements, and runs of
+    bare text and inline elements that are not mostly links (None ends a run)."""
     out, run = [], []
 
+    def end():
+        chars = sum(len(" ".join(k.split())) if isinstance(k, str) else k.chars for k in run)
+        if 2 * sum(k.linked for k in run if isinstance(k, Node)) <= chars and any(
+                _WORD.search(k) if isinstance(k, str) else k.chars for k in run):
+            out.extend([None, *run, None])
+        run.clear()
+
+    for k in parent.kids:
+        if isinstance(k, str) or k is not wide and k.name not in BLOCK:
+            if isinstance(k, str) or not k.drop:
+                run.append(k)
+        elif not k.drop:
+            end()
+            if k is wide or k.bad or _reads_like_text(k, best):
+                out.append(k)
+    end()
+    return out
+
+
+def _blocks(tops: list) -> list[str]:
+    out, run, head = [], [], [0]                 # head: blocks there were when the last heading ended
+    chosen = {id(t) for t in tops}
+
     def end():
         text = " ".join("".join(run).split())
         if text:
             out.append(text)
         run.clear()
 
-    for top in tops:
-        stack: list = [top]
-        while stack:
-            x = stack.pop()
-            if x is None:
+    def titled():
+        return head[0] and head[0] == len(out) and not "".join(run).strip() and not DROP_WORD & set(_PART.findall(out[-1].lower()))
+
+    stack: list = list(reversed(tops))
+    while stack:
+        x = stack.pop()
+        if x is None:
+            end()
+        elif x is HEADING:
+            end()
+            head[0] = len(out)
+        elif isinstance(x, str):
+            run.append(x)
+        elif x.name == "br":
+            run.append(" ")
+        elif not x.drop and (id(x) in chosen or not _menu(x) or titled()):
+            if x.name in BLOCK:
                 end()
-            elif isinstance(x, str):
-                run.append(x)
-            elif x.name == "br":
-                run.append(" ")
-            elif not x.drop and not (x not in tops and _link_box(x)):
-                if x.name in BLOCK:
-                    end()
-                    stack.append(None)
-                stack += reversed(x.kids)
-        end()
+                stack.append(HEADING if x.name in ("h1", "h2", "h3", "h4", "h5", "h6") else None)
+            stack += reversed(x.kids)
+    end()
     return out
 
 
@@ -342,7 +384,7 @@ def main_text(page: str | None) -> str:
     _measure([n for n in nodes if not n.drop])
     up = wide.parent
     while up is not None:                        # the outermost article-like element it stands in
-        if up.good and _density(up) < 0.5:
+        if up.good and (up.name == "article" or _density(up) < 0.5):
             wide = up
         up = up.parent
     parent = wide.parent
@@ -356,9 +398,8 @@ def main_text(page: str | None) -> str:
             if isinstance(k, Node) and k.verdict == NAMED and (
                     wide.bad and k.bad == wide.bad or k.name == wide.name == "section" and not k.bad & FIRM_WORD and _has_text([k])):
                 k.drop, k.weight = False, 1.0
-        tops = [k for k in parent.kids if isinstance(k, Node) and not k.drop and (
-            k is wide or k.bad or _reads_like_text(k, best))]
-    _parts(best, wide, tops)
+        tops = _beside(parent, wide, best)
+    _parts(best, wide, [t for t in tops if isinstance(t, Node)])
     _measure([n for n in nodes if not n.drop])
     return "\n".join(_blocks(tops))
 

@@ -69,6 +69,27 @@ def test_names_only_discount_a_box():
     assert main_text(PAGE % "<article><h1>Tiny head.</h1><p>Tiny.</article>") == "Tiny head.\nTiny."
 
 
+def test_bare_text_is_kept():
+    lines = [f"{LONG} Line {k}." for k in range(3)]
+    foot = "Copyright of the site and its owners."
+    assert main_text("<html><body>" + "<br>".join(lines) + f"<div>{foot}</div></body></html>") == " ".join(lines) + "\n" + foot
+    body = f'<div>Lead <b>in bold</b>.<div class="x"><p>{LONG}</p><p>{LONG}</p></div>Tail text.<a href=1>Home</a></div>'
+    assert main_text(PAGE % body).split("\n") == ["Lead in bold.", LONG, LONG, "Tail text.Home"]
+    body = f'<div><a href=1>Home</a> | <a href=2>About</a><div class="x"><p>{LONG}</p><p>{LONG}</p></div></div>'
+    assert main_text(PAGE % body).split("\n") == [LONG, LONG]
+
+
+def test_only_menus_are_left_out_of_the_article():
+    refs = '<ol><li>Ada: <a href=1>On the engine, its notes and its numbers</a></li><li><a href=2>A second work with a rather long title</a></li></ol>'
+    lead = f'<div><a href="/r">{LONG}</a></div>'
+    short = "<h2>Sources</h2><ul><li><a href=1>Reuters</a><li><a href=2>AP</a></ul>"
+    menu = "<h3>Related</h3><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div><a href=1>Home</a> | <a href=2>About</a></div>"
+    body = f"<article>{lead}<div><p>{LONG}</p><p>{LONG}</p></div>{refs}{short}{menu}</article>"
+    assert main_text(PAGE % body).split("\n") == [
+        LONG, LONG, LONG, "Ada: On the engine, its notes and its numbers", "A second work with a rather long title",
+        "Sources", "Reuters", "AP", "Related"]
+
+
 def test_defined_cases(spark):
     assert main_text(None) == main_text("") == main_text("<html></html>") == ""
     assert main_text("just text < 5 & more") == "just text < 5 & more"
