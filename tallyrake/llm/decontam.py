@@ -4,7 +4,8 @@ A *mask* is a fixed pattern of used and ignored token positions.  Hashing only t
 lets two texts agree although some tokens between them were replaced.
 
 1. Tokens are runs of letters and digits, lower-cased.  Every position of every
-   benchmark item and of every document gives one hash per mask.
+   benchmark item and of every document gives one hash per mask.  Items under 12 tokens have
+   masks of their own, which documents are hashed by only if there are such items.
 2. The benchmark's hashes are merged by Spark into a bit filter of fixed size (2 bits a hash),
    which the tasks use to pass over positions that match nothing; what is left is joined with
    the benchmark's hashes by Spark.  A full filter lets more through and loses none.
@@ -30,8 +31,12 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 
-#: Used token positions of the masks (spans 6 to 13).
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 9, 10), (0, 3, 5, 6, 10, 12))
+#: Used token positions of the masks (spans 6 to 13), and of those for items under LONG tokens:
+#: some mask fits at whatever tokens the tolerance lets differ (the tests try all ways).
+LONG_MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 9, 10), (0, 3, 5, 6, 10, 12))
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4))
+MASKS = LONG_MASKS + SHORT_MASKS
+LONG = 12
 WINDOW, EQUAL = 16, 13
 SHORT, SHORT_SHARE = 6, 0.8
 FILTER_BITS = 1 << 27
@@ -58,10 +63,16 @@ def tokens(text: str | None) -> np.ndarray:
     return np.array(list(map(_KNOWN.__getitem__, _TOKEN.findall(text.lower()))) if text else [], U)
 
 
-def seeds(t: np.ndarray):
+def item_masks(n: int) -> range:
+    """The masks of an item of n tokens."""
+    return range(len(LONG_MASKS)) if n >= LONG else range(len(LONG_MASKS), len(MASKS))
+
+
+def seeds(t: np.ndarray, masks=range(len(MASKS))):
     """(mask, hashes) of all positions where the mask fits."""
     with np.errstate(over="ignore"):
-        for k, mask in enumerate(MASKS):
+        for k in masks:
+            mask = MASKS[k]
             m = len(t) - mask[-1]
             if m > 0:
                 h = np.full(m, _SALT[k], U)
@@ -96,10 +107,10 @@ def _item_rows(batches):
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             t = tokens(text)
             if len(t) >= SHORT:
-                for _, h in seeds(t):
-                    rows += [(int(x), item, p) for p, x in enumerate(tv.signed(h))]
+                for k, h in seeds(t, item_masks(len(t))):
+                    rows += [(int(x), item, p, k) for p, x in enumerate(tv.signed(h))]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.int32()))], ["h", "item", "at"])
+            zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "item", "at", "mask"])
 
 
 def _item_tokens(batches):
@@ -120,7 +131,7 @@ def seed_filter(rows: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
-def _hits(sent):
+def _hits(sent, masks):
     def run(batches):
         bits = sent.value
         try:
@@ -128,7 +139,7 @@ def _hits(sent):
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     t = tokens(text.as_py())
-                    for _, h in seeds(t):
+                    for _, h in seeds(t, masks):
                         a, b = _bits(h)
                         at = np.flatnonzero((bits[a >> 3] >> (a & 7)) & 1)
                         at = at[(bits[b[at] >> 3] >> (b[at] & 7)) & 1 == 1]
@@ -170,10 +181,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     most 16 tokens before a hit and holds its first token."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    rows = items.mapInArrow(_item_rows, "h long, item long, at int")
+    rows = items.mapInArrow(_item_rows, "h long, item long, at int, mask int")
+    masks = sorted(rows.select("mask").distinct().toArrow()["mask"].to_pylist())
     sent = spark.sparkContext.broadcast(seed_filter(rows))
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    hits = src.mapInArrow(_hits(sent), "h long, doc long, p int, lo int, near array<long>")
+    hits = src.mapInArrow(_hits(sent, masks), "h long, doc long, p int, lo int, near array<long>")
     laid = hits.join(rows, "h").select("doc", "item", (F.col("p") - F.col("at")).alias("shift"), "lo", "near").distinct()
     texts = items.mapInArrow(_item_tokens, "item long, tokens array<long>").dropDuplicates(["item"])
     found = laid.join(texts, "item").select("doc", "item", "shift", "lo", "near", "tokens").mapInArrow(

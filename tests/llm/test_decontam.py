@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from tallyrake.llm.decontam import EQUAL, MASKS, SHORT, WINDOW, contaminated, drop_contaminated, overlap, seeds, tokens
@@ -81,3 +82,29 @@ def test_every_window_with_three_substitutions_has_a_seed_mostly():
             u[k] = 0
         missed += not any((dict(seeds(t))[k][:len(h)] == h).any() for k, h in seeds(u))
     assert missed / n < 0.02
+
+
+def every_alignment(rows, items):
+    """All alignments of all pairs, without seeds; items under WINDOW tokens only."""
+    out = {}
+    for d, text in rows:
+        t = tokens(text)
+        for i, item in items:
+            x = tokens(item)
+            for shift in range(1 - len(x), len(t)):
+                got = overlap(x, t, shift)
+                if got and (d, i) not in out or got and got > out[d, i]:
+                    out[d, i] = got
+    return sorted((d, i, *b) for (d, i), b in out.items())
+
+
+def test_short_items_are_found_however_they_are_altered(spark):
+    items, rows = [], []
+    for n in range(6, WINDOW):
+        item = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for gone in itertools.combinations(range(n), n - max(6, -(-8 * n // 10))):
+            rows.append((len(rows), "before " + " ".join("other" if k in gone else w for k, w in enumerate(item)) + " after"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, contaminated(frame(spark, rows), bench).collect()))
+    assert len(got) == len(rows) and got == every_alignment(rows, items)
