@@ -3,7 +3,8 @@
 A *mask* is a fixed pattern of used and ignored token positions.  Hashing only the used ones
 lets two texts agree although some tokens between them were replaced.
 
-1. Tokens are runs of letters and digits, lower-cased.  Every position of every
+1. Tokens are runs of letters and digits, lower-cased; in scripts written without spaces every
+   character is a token.  Every position of every
    benchmark item and of every document gives one hash per mask.  Items under 12 tokens have
    masks of their own, which documents are hashed by only if there are such items.
 2. The benchmark's hashes are merged by Spark into a bit filter of fixed size (2 bits a hash),
@@ -11,10 +12,10 @@ lets two texts agree although some tokens between them were replaced.
    the benchmark's hashes by Spark.  A full filter lets more through and loses none.
 3. A hit fixes how item and document lie on each other.  Around it the aligned tokens are
    compared, and the document is contaminated if some ``WINDOW`` = 16 aligned tokens have at
-   least 13 equal ones (an item under 16 tokens: all of it, with at least 80 % and 6 equal).
+   least 13 equal ones (an item under 16 tokens: all of it, with at least 80 % and 6 equal; an
+   item under 6 tokens: all of it, with all equal).
 
-Defined cases: null or empty texts and items match nothing; items under 6 tokens are left out
-(they say too little); repeated items and rows give the same results once per id; a null
+Defined cases: null or empty texts and items match nothing, as do items without a token; repeated items and rows give the same results once per id; a null
 document id is kept as its own row.  The result has one row per contaminated (document,
 item), with the best overlap.
 """
@@ -35,13 +36,23 @@ from . import textvec as tv
 #: some mask fits at whatever tokens the tolerance lets differ (the tests try all ways).
 LONG_MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 9, 10), (0, 3, 5, 6, 10, 12))
 SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4))
-MASKS = LONG_MASKS + SHORT_MASKS
+#: Items under LEAST tokens are matched as they are, by the mask of their length.
+LEAST = 6
+EXACT_MASKS = tuple(tuple(range(n)) for n in range(1, LEAST))
+MASKS = LONG_MASKS + SHORT_MASKS + EXACT_MASKS
+EXACT_AT = len(LONG_MASKS) + len(SHORT_MASKS)
 LONG = 12
 WINDOW, EQUAL = 16, 13
-SHORT, SHORT_SHARE = 6, 0.8
+SHORT, SHORT_SHARE = 1, 0.8                      # items under SHORT tokens are left out
 FILTER_BITS = 1 << 27
 U = np.uint64
 _TOKEN = re.compile(r"[^\W_]+")
+#: Letters and signs of Thai, Lao, Burmese, Khmer, kana, bopomofo, Yi and Chinese characters.
+_UNSPACED = ("\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u1000-\u103f\u1050-\u109d\uaa60-\uaa7f\u1780-\u17d3\u17d7\u17dc"
+             "\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f\u31a0-\u31bf\u31f0-\u31ff"
+             "\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48c\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+_ONE = re.compile(f"[{_UNSPACED}]")
+_MIXED = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 _SALT = tv.stream(97, len(MASKS))
 
 
@@ -60,12 +71,18 @@ def tokens(text: str | None) -> np.ndarray:
     """64-bit hashes of a text's tokens."""
     if len(_KNOWN) > 1 << 18:
         _KNOWN.clear()
-    return np.array(list(map(_KNOWN.__getitem__, _TOKEN.findall(text.lower()))) if text else [], U)
+    if not text:
+        return np.array([], U)
+    text = text.lower()
+    pattern = _TOKEN if text.isascii() or not _ONE.search(text) else _MIXED
+    return np.array(list(map(_KNOWN.__getitem__, pattern.findall(text))), U)
 
 
 def item_masks(n: int) -> range:
     """The masks of an item of n tokens."""
-    return range(len(LONG_MASKS)) if n >= LONG else range(len(LONG_MASKS), len(MASKS))
+    if n < LEAST:
+        return range(EXACT_AT + n - 1, EXACT_AT + n)
+    return range(len(LONG_MASKS)) if n >= LONG else range(len(LONG_MASKS), EXACT_AT)
 
 
 def seeds(t: np.ndarray, masks=range(len(MASKS))):
@@ -94,7 +111,7 @@ def overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int] |
     same = item[a:b] == doc[a + shift:b + shift]
     if len(item) < WINDOW:
         got = int(same.sum())
-        return (got, len(item)) if got >= SHORT and got >= SHORT_SHARE * len(item) else None
+        return (got, len(item)) if got >= min(LEAST, len(item)) and got >= SHORT_SHARE * len(item) else None
     if len(same) < WINDOW:
         return None
     run = np.convolve(same, np.ones(WINDOW, int), "valid")
@@ -139,10 +156,12 @@ def _hits(sent, masks):
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     t = tokens(text.as_py())
-                    for _, h in seeds(t, masks):
+                    for k, h in seeds(t, masks):
                         a, b = _bits(h)
                         at = np.flatnonzero((bits[a >> 3] >> (a & 7)) & 1)
                         at = at[(bits[b[at] >> 3] >> (b[at] & 7)) & 1 == 1]
+                        if k >= EXACT_AT:                   # one place says as much as all
+                            at = at[np.unique(h[at], return_index=True)[1]]
                         for p in at.tolist():   # the tokens around the hit go along: no text is moved
                             lo = max(0, p - WINDOW)
                             rows.append((int(tv.signed(h[p:p + 1])[0]), doc, p, lo, tv.signed(t[lo:p + WINDOW])))

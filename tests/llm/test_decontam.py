@@ -108,3 +108,23 @@ def test_short_items_are_found_however_they_are_altered(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(map(tuple, contaminated(frame(spark, rows), bench).collect()))
     assert len(got) == len(rows) and got == every_alignment(rows, items)
+
+
+def test_items_under_six_tokens_are_found_as_they_are(spark):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 6)]
+    rows = [(10 * n + k, t) for n, item in items for k, t in enumerate((
+        f"before {item.upper()}, after {item}", item, f"before{item}after", "other " + " ".join(item.split()[1:])))]
+    bench = spark.createDataFrame(items + [(8, "..."), (9, "")], "item_id long, text string")
+    got = sorted(map(tuple, contaminated(frame(spark, rows), bench).collect()))
+    assert got == [(10 * n + k, n, n, n) for n in range(1, 6) for k in (0, 1)] == every_alignment(rows, items)
+
+
+def test_scripts_without_spaces_have_a_token_for_every_character(spark):
+    assert len(tokens("水在多少度沸腾？答案是")) == 10 and len(tokens("カタカナ and 漢字 2024年")) == 9
+    item = "中国的首都在哪里，它有多少人口？请写出答案"
+    near = item.replace("首都", "首府").replace("人口", "居民")
+    thai = "เมืองหลวงของประเทศไทยคือ"
+    rows = [(1, "题目：" + item + "。谢谢"), (2, "题目：" + near.replace("居民", "人口") + "。谢谢"), (3, "完全不同的一句话，没有任何关系，也不重复任何内容"), (4, "x" + thai + "y"), (5, "東京はどこ")]
+    bench = spark.createDataFrame([(1, item), (2, thai), (3, "東京")], "item_id long, text string")
+    got = {(r["id"], r["item"]) for r in contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1), (2, 1), (4, 2), (5, 3)}
