@@ -164,11 +164,17 @@ def read_token_files(spark: SparkSession, path: str, wanted: Iterable[int] | Non
     return files.mapInArrow(_documents(ask), "file string, id long, at long, n_tokens long, ids_crc32 long, packed binary")
 
 
+def file_starts(files: DataFrame) -> DataFrame:
+    """``(file, base)``: sum of ``total`` over the files before, by part number (Spark does not
+    pad or cut numbers from 100000 on, so names do not sort)."""
+    part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
+    before = Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+
+
 def document_starts(spark: SparkSession, path: str) -> DataFrame:
     """``(id, start, n_tokens, ids_crc32)`` read from the files; ``start`` counts the ids of all
     documents before.  The running sum is over files (one row each), not documents."""
     docs = read_token_files(spark, path).drop("packed")
-    files = docs.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    base = file_starts(docs.groupBy("file").agg(F.sum("n_tokens").alias("total")))
     return docs.join(base, "file").select("id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

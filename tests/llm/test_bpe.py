@@ -98,3 +98,17 @@ def test_readers_touch_only_the_frames_asked_for(spark, tmp_dir):
 def test_empty_tables_make_no_documents(spark, tmp_dir):
     write_token_files(frame(spark, corpus(4)).limit(0), f"{tmp_dir}/none", PATH)
     assert document_starts(spark, f"{tmp_dir}/none").collect() == []
+
+
+def test_files_are_counted_by_part_number(spark, tmp_dir):
+    import glob
+    import os
+    import shutil
+    rows = corpus(4)
+    write_token_files(frame(spark, rows), f"{tmp_dir}/tokens", PATH, file_bytes=100_000)
+    files = sorted(glob.glob(f"{tmp_dir}/tokens/part-*"))
+    assert len(files) > 2
+    os.mkdir(f"{tmp_dir}/part-7-many")
+    for k, f in enumerate(files):                # 99999, 100000, ...: names as Spark gives them
+        shutil.copy(f, f"{tmp_dir}/part-7-many/" + os.path.basename(f).replace(f"part-{k:05d}", f"part-{99_999 + k:05d}"))
+    assert sorted(map(tuple, document_starts(spark, f"{tmp_dir}/part-7-many").collect())) == brute_starts(rows)
