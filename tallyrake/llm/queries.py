@@ -85,9 +85,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of every language."""
+    from .phrases import collocations
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_sharding, op3_token_files, op4_language, op5_window_dedup, op6_decontaminate, op7_html_text,
-    op8_bpe, op9_maxscore, op10_suffix_dedup)}
+    op8_bpe, op9_maxscore, op10_suffix_dedup, op12_phrases)}
 
 #: The others can't be said in SQL, or not at whole-table cost: see tests/llm.
 ORACLE_SQL: dict[str, str] = {
@@ -113,4 +119,29 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(array_to_string(CASE WHEN js IS NULL THEN ws ELSE
                    list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(js, i)), lambda i: ws[i]) END, ' '), '')) AS kept_sha256
         FROM w LEFT JOIN gone USING (doc_id)""",
+    "op12_phrases": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+        g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+              FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+                    FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(ws) >= m)),
+        f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY lang, m, phrase),
+        n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+        c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 10),
+        k AS (SELECT lang, m, phrase, a, k, array_to_string(ws[1:k], ' ') AS p1, array_to_string(ws[k + 1:m], ' ') AS p2
+              FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+        s AS (SELECT k.lang, k.m, k.phrase, k.a, k.k, x.a AS l, y.a AS r,
+                     CAST((CAST(1000000 AS HUGEINT) * k.a * k.a) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+              FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.p1 AND x.m = k.k
+                     JOIN f y ON y.lang = k.lang AND y.phrase = k.p2 AND y.m = k.m - k.k),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s) WHERE o = 1),
+        d AS (SELECT lang, part, max(a) AS longer
+              FROM (SELECT lang, a, p2 AS part FROM k WHERE m = 3 AND k = 1
+                    UNION ALL SELECT lang, a, p1 FROM k WHERE m = 3 AND k = 2) GROUP BY lang, part),
+        o AS (SELECT b.*, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(phrase)) AS INTEGER) AS rank
+              FROM b LEFT JOIN d ON d.lang = b.lang AND d.part = b.phrase AND b.m = 2
+              WHERE d.longer IS NULL OR 100 * d.longer < 50 * b.a)
+        SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, n.n, o.score FROM o JOIN n ON n.lang = o.lang WHERE o.rank <= 2000""",
 }
