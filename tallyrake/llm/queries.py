@@ -85,15 +85,30 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or link-graph verdict of every page's url."""
+    from .url_filter import judge_urls
+    return judge_urls(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 phrases of two or three words of every language."""
     from .phrases import collocations
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding whitened along the first 8 principal directions."""
+    from .whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"),
+        "whitened", "explained", "identity_error")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_sharding, op3_token_files, op4_language, op5_window_dedup, op6_decontaminate, op7_html_text,
-    op8_bpe, op9_maxscore, op10_suffix_dedup, op12_phrases)}
+    op8_bpe, op9_maxscore, op10_suffix_dedup, op11_url_filter, op12_phrases,
+    op13_whitening)}
 
 #: The others can't be said in SQL, or not at whole-table cost: see tests/llm.
 ORACLE_SQL: dict[str, str] = {
@@ -119,6 +134,38 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(array_to_string(CASE WHEN js IS NULL THEN ws ELSE
                    list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(js, i)), lambda i: ws[i]) END, ' '), '')) AS kept_sha256
         FROM w LEFT JOIN gone USING (doc_id)""",
+    "op11_url_filter": r"""
+        WITH RECURSIVE rules(action, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+                                                     ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+        u AS (SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)', 1), ''),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     coalesce(regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        x AS (SELECT host AS src, unnest(regexp_extract_all(html,
+                  '(?is)<a(?:rea)?\s[^<>]*?href\s*=\s*["'']?\s*((?:https?:)?//[^"''\s<>]*)', 1)) AS raw FROM u),
+        y AS (SELECT src, regexp_extract(raw, '(?s)//([^/?#]*)', 1) AS dst0, regexp_extract(raw, '(?s)//[^/?#]*([^?#]*)', 1) AS path FROM x),
+        z AS (SELECT src, translate(dst0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst, path, false AS own FROM y
+              UNION ALL SELECT host, host, path, true FROM u),
+        d AS (SELECT DISTINCT dst AS host, path FROM z),
+        f AS (SELECT host, path, arg_max(action, length(h || p)) AS action, arg_max(h || p, length(h || p)) AS rule
+              FROM d JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path),
+        s AS (SELECT z.dst AS host, count(*) AS n, sum(CASE WHEN action = 'allow' THEN 1 ELSE 0 END) AS a,
+                     sum(CASE WHEN action = 'block' THEN 1 ELSE 0 END) AS b
+              FROM z LEFT JOIN f ON f.host = z.dst AND f.path = z.path WHERE z.dst <> '' GROUP BY z.dst),
+        e AS (SELECT src, dst, count(*) AS n FROM z WHERE NOT own AND src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+        o AS (SELECT src, sum(n) AS total FROM e GROUP BY src),
+        flow AS (SELECT 'trust' AS kind, e.src AS host, e.dst AS target, n / total AS share FROM e JOIN o ON o.src = e.src
+                 UNION ALL SELECT 'distrust', e.dst, e.src, n / total FROM e JOIN o ON o.src = e.src),
+        m(k, kind, host, mass) AS (
+            SELECT 0, 'trust', host, CAST(1 AS DOUBLE) FROM s WHERE a >= 0.9 * n
+            UNION ALL SELECT 0, 'distrust', host, CAST(1 AS DOUBLE) FROM s WHERE b >= 0.9 * n
+            UNION ALL
+            SELECT m.k + 1, m.kind, flow.target, sum(0.85 * m.mass * flow.share)
+            FROM m JOIN flow ON flow.kind = m.kind AND flow.host = m.host WHERE m.k < 29 GROUP BY m.k, m.kind, flow.target),
+        t AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN mass ELSE 0 END) AS trust,
+                     sum(CASE WHEN kind = 'distrust' THEN mass ELSE 0 END) AS distrust FROM m GROUP BY host)
+        SELECT u.page_id, u.host, u.path, f.rule,
+               coalesce(f.action, CASE WHEN t.distrust >= 0.25 AND t.distrust > t.trust THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u LEFT JOIN f ON f.host = u.host AND f.path = u.path LEFT JOIN t ON t.host = u.host""",
     "op12_phrases": r"""
         WITH p AS (SELECT coalesce(lang, 'und') AS lang,
                           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
