@@ -393,6 +393,14 @@ def survey_csv_load() -> str:
     return S.with_query(S.survey(), f"SELECT {SURVEY_OUT} FROM survey")
 
 
+def survey_csv_quoted() -> str:
+    level = """CASE WHEN k % 3 = 0 THEN chr(9) || nivel_educativo || chr(10) ELSE nivel_educativo END"""
+    return S.with_query(S.survey() + [("keyed", "SELECT *, CAST(encuesta AS BIGINT) AS k FROM survey")], f"""SELECT encuesta,
+CASE k % 5 WHEN 0 THEN 'la' || chr(10) || estrato WHEN 1 THEN '"' || estrato || '", x'
+     WHEN 2 THEN estrato || chr(13) || chr(10) || chr(13) || chr(10) || '""fin' ELSE estrato END AS estrato,
+{level} AS nivel_educativo, lower(trim({level}, ' ' || chr(9) || chr(10))) AS nivel, edad, voto_anterior FROM keyed""")
+
+
 def calibration_targets_bsas() -> str:
     tgt = targets_dict("buenos_aires", True)
     rows = " UNION ALL ".join(f"SELECT {S.q(v)} AS variable, {S.q(lvl)} AS level, {S.dbl(p)} AS proportion"
@@ -559,6 +567,7 @@ ORACLES = {
     "report_sample_vs_target": report_sample_vs_target,
     "calibration_value_shares": calibration_value_shares,
     "survey_csv_load": survey_csv_load,
+    "survey_csv_quoted": survey_csv_quoted,
     "calibration_targets_bsas": calibration_targets_bsas,
     "ledger_history": ledger_history,
     "history_monthly_batches": history_monthly_batches,

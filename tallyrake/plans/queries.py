@@ -285,6 +285,24 @@ def survey_csv_load(spark: SparkSession, sf: str) -> DataFrame:
     return r6(load_survey_csv(spark, path).select(*SURVEY_COLUMNS))
 
 
+def survey_csv_quoted(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 on uploads whose texts hold line breaks of both kinds, delimiters, doubled quotes and
+    white space at the edges, then F5/F9 on what was read."""
+    from tallyrake.functions.recode import norm_text
+    from tallyrake.session import scratch_path
+    from tallyrake.sources.survey_csv import load_survey_csv, write_survey_csv
+    path = scratch_path(spark, "survey-csv-quoted")
+    key = F.col("encuesta").cast("long")
+    texts = survey_view(spark, sf).select(*SURVEY_COLUMNS).withColumns({
+        "estrato": F.when(key % 5 == 0, F.concat(F.lit("la\n"), "estrato")).when(key % 5 == 1, F.concat(F.lit('"'), "estrato", F.lit('", x')))
+        .when(key % 5 == 2, F.concat("estrato", F.lit("\r\n\r\n\"\"fin"))).otherwise(F.col("estrato")),
+        "nivel_educativo": F.when(key % 3 == 0, F.concat(F.lit("\t"), "nivel_educativo", F.lit("\n")))
+        .otherwise(F.col("nivel_educativo"))})
+    write_survey_csv(texts, path, CSV_HEADERS)
+    got = load_survey_csv(spark, path)
+    return got.select("encuesta", "estrato", "nivel_educativo", norm_text("nivel_educativo").alias("nivel"), "edad", "voto_anterior")
+
+
 def calibration_targets_bsas(spark: SparkSession, sf: str) -> DataFrame:
     """Margins for the Buenos Aires survey; ``estrato_bsas`` is added because
     the survey names a GBA municipality (checked on the data)."""
@@ -554,6 +572,7 @@ QUERIES = {
     "report_sample_vs_target": report_sample_vs_target,
     "calibration_value_shares": calibration_value_shares,
     "survey_csv_load": survey_csv_load,
+    "survey_csv_quoted": survey_csv_quoted,
     "calibration_targets_bsas": calibration_targets_bsas,
     "ledger_history": ledger_history,
     "history_monthly_batches": history_monthly_batches,
