@@ -6,14 +6,17 @@ Mann-Whitney U otherwise; reject at alpha 0.05.
 
 Plan (no row ever leaves the JVM):
 
+* the pairs are chosen first, from the distinct windows; only rows of their windows go on (a
+  broadcast semi-join under a size check);
 * per-window moments ``(n, mean, var_samp)`` - one aggregation with map-side combine;
 * Levene needs ``|x - mean_window|``: the window means (one row per window) are joined
   back by broadcast under a size check, then a second aggregation gives the moments of
   the absolute deviations;
 * Mann-Whitney U from value histograms ``(window, value) -> count``: the count of the
-  other sample below each value is a **two-level prefix sum** - approximate-quantile
-  buckets per pair (mergeable sketch), bucket offsets over a tiny table, then a running
-  sum inside each (pair, bucket) - so no task ever holds a whole window;
+  other sample below each value is a **two-level prefix sum** - Spark range-partitions
+  (pair, value) by sampled splitters, as many ranges as the data need; the counts of the ranges
+  give offsets over a small table, then a running sum inside each (pair, range) - so no task
+  ever holds a whole window;
 * any number of window pairs at once (first/last, or every window vs the previous);
 * p-values in one pandas UDF over the pair table (one row per pair).
 """
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyrake.functions import special
+from tallyrake.session import cut_lineage
 
 # Decision thresholds.
 ALPHA = 0.05
@@ -33,16 +37,14 @@ LARGE_SAMPLE = 30
 
 # Per-window and per-pair tables are joined back by broadcast up to this many bytes.
 BROADCAST_BYTES = 32 << 20
-# Buckets of the two-level prefix sum (per pair).
-PREFIX_BUCKETS = 64
+# Distinct (pair, value) rows of one range of the prefix sum.
+RANGE_ROWS = 1 << 18
 
 
 def _small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
-    """Broadcast hint only after counting: pair tables are one row per window pair,
-    bounded by the calendar, but the bound is checked rather than assumed."""
-    from pyspark import StorageLevel
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.count() * row_bytes <= BROADCAST_BYTES else kept
+    """Broadcast hint only after counting: window and pair tables are bounded by the calendar,
+    but the bound is checked rather than assumed.  ``df`` is a checkpointed table."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def _values(df: DataFrame, window_col: str, value_col: str) -> DataFrame:
@@ -56,11 +58,8 @@ def window_moments(df: DataFrame, window_col: str, value_col: str) -> DataFrame:
     v = _values(df, window_col, value_col)
     m = v.groupBy("win").agg(F.count("x").alias("n"), F.avg("x").alias("mean"),
                              F.var_samp("x").alias("var"))
-    n_windows = m.count()
-    means = m.select("win", F.col("mean").alias("_m"))
-    if n_windows * 64 <= BROADCAST_BYTES:
-        means = F.broadcast(means)
-    z = (v.join(means, "win").select("win", F.abs(F.col("x") - F.col("_m")).alias("z"))
+    m = cut_lineage(m)
+    z = (v.join(_small(m.select("win", F.col("mean").alias("_m"))), "win").select("win", F.abs(F.col("x") - F.col("_m")).alias("z"))
           .groupBy("win").agg(F.avg("z").alias("z_mean"),
                               (F.var_samp("z") * (F.count("z") - 1)).alias("z_ss")))
     return m.join(z, "win")
@@ -80,30 +79,27 @@ def window_pairs(df: DataFrame, window_col: str, pairs: str = "first_last") -> D
     raise ValueError(f"unknown pairs mode {pairs!r}")
 
 
-def mann_whitney_u(df: DataFrame, window_col: str, value_col: str, pair_df: DataFrame) -> DataFrame:
+def mann_whitney_u(df: DataFrame, window_col: str, value_col: str, pair_df: DataFrame,
+                   range_rows: int = RANGE_ROWS) -> DataFrame:
     """U of the first sample and the tie term sum(t^3 - t) for every pair."""
-    from pyspark import StorageLevel
     v = _values(df, window_col, value_col)
     hist = v.groupBy("win", "x").agg(F.count(F.lit(1)).alias("c"))
-    # side map: two rows per pair (window -> pair, side); one row per pair, broadcast
+    # side map: two rows per pair (window -> pair, side)
     side = pair_df.select(F.explode(F.array(
         F.struct(F.col("w1").alias("win"), "w1", "w2", F.lit(1).alias("s")),
         F.struct(F.col("w2").alias("win"), "w1", "w2", F.lit(2).alias("s")))).alias("_m")).select("_m.*")
-    pv = (hist.join(_small(side), "win")
-              .groupBy("w1", "w2", "x")
-              .agg(F.sum(F.when(F.col("s") == 1, F.col("c")).otherwise(0)).alias("n1"),
-                   F.sum(F.when(F.col("s") == 2, F.col("c")).otherwise(0)).alias("n2"))
-              .persist(StorageLevel.MEMORY_AND_DISK))          # read by three branches below
-    # level 1: approximate-quantile bucket boundaries per pair (mergeable aggregate)
-    probs = [i / PREFIX_BUCKETS for i in range(1, PREFIX_BUCKETS)]
-    bounds = pv.groupBy("w1", "w2").agg(F.percentile_approx("x", probs, 1000).alias("_b"))
-    pvb = (pv.join(_small(bounds, 64 + 8 * PREFIX_BUCKETS), ["w1", "w2"])
-             .withColumn("b", F.size(F.filter("_b", lambda y: y < F.col("x")))).drop("_b"))
+    pv = cut_lineage(hist.join(_small(cut_lineage(side)), "win")
+                     .groupBy("w1", "w2", "x")
+                     .agg(F.sum(F.when(F.col("s") == 1, F.col("c")).otherwise(0)).alias("n1"),
+                          F.sum(F.when(F.col("s") == 2, F.col("c")).otherwise(0)).alias("n2")))
+    # level 1: ranges of (pair, value); the range of every row is fixed before it is read again
+    ranges = max(1, -(-pv.count() // range_rows))
+    pvb = cut_lineage(pv.repartitionByRange(ranges, "w1", "w2", "x").withColumn("b", F.spark_partition_id()))
     tot = pvb.groupBy("w1", "w2", "b").agg(F.sum("n2").alias("n2b"))
     off = tot.select("w1", "w2", "b", F.coalesce(F.sum("n2b").over(
         Window.partitionBy("w1", "w2").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("off"))
-    # level 2: running count of the second sample strictly below x inside the bucket
+    # level 2: running count of the second sample strictly below x inside the range
     local = F.coalesce(F.sum("n2").over(
         Window.partitionBy("w1", "w2", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = pvb.withColumn("below", local).join(off, ["w1", "w2", "b"])
@@ -112,11 +108,18 @@ def mann_whitney_u(df: DataFrame, window_col: str, value_col: str, pair_df: Data
                     F.sum(F.pow(F.col("n1") + F.col("n2"), 3) - (F.col("n1") + F.col("n2"))).alias("tie_term")))
 
 
+def chosen_rows(df: DataFrame, window_col: str, value_col: str, pair_df: DataFrame) -> DataFrame:
+    """``(win, x)`` of the windows that some pair names."""
+    wanted = cut_lineage(pair_df.select(F.explode(F.array("w1", "w2")).alias("win")).distinct())
+    return _values(df, window_col, value_col).join(_small(wanted), "win", "left_semi")
+
+
 def pair_statistics(df: DataFrame, window_col: str, value_col: str = "imagen_del_candidato",
                     pairs: str = "first_last") -> DataFrame:
     """H1-H4 statistics for every pair: pooled t, Welch t (+ df), Levene W, U1, ties."""
-    mom = window_moments(df, window_col, value_col)
-    pr = window_pairs(mom, "win", pairs)          # from the one-row-per-window moments
+    pr = cut_lineage(window_pairs(_values(df, window_col, value_col), "win", pairs))
+    rows = chosen_rows(df, window_col, value_col, pr)
+    mom = cut_lineage(window_moments(rows, "win", "x"))
     a = mom.select(*[F.col(c).alias(f"{c}1") for c in mom.columns])
     b = mom.select(*[F.col(c).alias(f"{c}2") for c in mom.columns])
     j = pr.join(a, pr.w1 == a.win1).join(b, pr.w2 == b.win2).drop("win1", "win2")
@@ -137,7 +140,7 @@ def pair_statistics(df: DataFrame, window_col: str, value_col: str = "imagen_del
         over(gap, F.sqrt(se_w)).alias("t_welch"),
         over(F.pow(se_w, 2), over(F.pow(v1, 2), n1 - 1) + over(F.pow(v2, 2), n2 - 1)).alias("df_welch"),
         F.when(zss > 0, lev).alias("levene_w"))
-    u = mann_whitney_u(df, window_col, value_col, pr)
+    u = mann_whitney_u(rows, "win", "x", pr)
     return stats.join(u, ["w1", "w2"], "left")
 
 

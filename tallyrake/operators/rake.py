@@ -303,9 +303,16 @@ def rake_cells(df: DataFrame, window_col: str | None, variables: list[str], targ
     """The weight of every cell of every window (see ``rake`` for the parameters)."""
     variables = list(variables)
     tgt, lumps = lump_targets(targets_as_dict(targets, variables), lump_below)
-    cells = with_status(build_cells(df, window_col, variables, lumps), variables, tgt)
+    return _rake_built(build_cells(df, window_col, variables, lumps), variables, tgt, lumps, max_iter, tol, trim_ratio, sweeps, method)
+
+
+def _rake_built(cells: DataFrame, variables: list[str], tgt, lumps, max_iter: int = DEFAULT_MAX_ITER, tol: float = DEFAULT_TOL,
+                trim_ratio: float | None = DEFAULT_TRIM_RATIO, sweeps: int | None = None, method: str = "cells") -> RakedCells:
+    cells = with_status(cells, variables, tgt)
     if method == "native":
-        raked = _ipf_native(cells, variables, tgt, sweeps or 6)
+        if sweeps is None:
+            raise ValueError("method='native' runs a fixed number of sweeps: say how many")
+        raked = _ipf_native(cells, variables, tgt, sweeps)
     elif method == "cells":
         if sweeps is not None:
             max_iter, tol = sweeps, 0.0
@@ -328,6 +335,41 @@ def attach_weights(df: DataFrame, raked: RakedCells, window_col: str | None, wei
     return rows.join(lookup, on=keys, how="left").drop(*keys)
 
 
+@dataclass
+class RakedUnits:
+    weighted: DataFrame                  # input rows + one weight column per window column
+    diagnostics: dict[str, DataFrame]    # by window column
+    cells: DataFrame                     # (window columns, _lv_*, n, weight columns) per finest cell
+
+
+def rake_units(df: DataFrame, weight_cols: dict[str, str], variables: list[str], targets,
+               lump_below: float | None = None, broadcast_bytes: int = BROADCAST_BYTES, **how) -> RakedUnits:
+    """Rake several window columns from one pass over the rows.
+
+    ``weight_cols``: window column -> weight column.  The rows are counted once, by all window
+    columns and levels together; every unit's cells are sums of that table, however the windows
+    overlap (weeks need not nest in months).  The weights of all units go back to the rows by one
+    join on that table's key."""
+    variables, windows = list(variables), list(weight_cols)
+    tgt, lumps = lump_targets(targets_as_dict(targets, variables), lump_below)
+    levels = [_lv(v) for v in variables]
+    finest = cut_lineage(df.select(*windows, *[level_of(v, lumps).alias(_lv(v)) for v in variables])
+                         .groupBy(*windows, *levels).agg(F.count(F.lit(1)).alias("n")))
+    lookup, diagnostics = finest, {}
+    for win, weight in weight_cols.items():
+        cells = finest.groupBy(F.col(win).alias(_WIN), *levels).agg(F.sum("n").alias("n"))
+        raked = _rake_built(cells, variables, tgt, lumps, **how)
+        diagnostics[win] = diagnostics_from_cells(raked.cells).withColumnRenamed(_WIN, win)
+        lookup = lookup.join(raked.cells.select(F.col(_WIN).alias(win), *levels, F.col("weight").alias(weight)), [win, *levels], "left")
+    lookup = cut_lineage(lookup.select(*windows, *levels, "n", *weight_cols.values()))
+    found = lookup.drop("n")
+    if finest.count() * (CELL_BYTES + 16 * len(windows) + LEVEL_BYTES * len(variables)) <= broadcast_bytes:
+        found = F.broadcast(found)
+    rows = df.withColumns({_lv(v): level_of(v, lumps) for v in variables})
+    return RakedUnits(rows.join(found, [*windows, *levels], "left").drop(*levels).select(*df.columns, *weight_cols.values()),
+                      diagnostics, lookup)
+
+
 def rake(df: DataFrame, window_col: str | None, variables: list[str], targets,
          weight_col: str = "peso", broadcast_bytes: int = BROADCAST_BYTES, **how) -> RakeResult:
     """Rake every window of ``df`` to the margins and attach ``weight_col``.

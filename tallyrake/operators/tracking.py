@@ -1,18 +1,20 @@
 """Weighted tracking and 95 % intervals: A1-A6, R1, R2.
 
-Every estimate is a one-pass hash aggregation over the rows (sums of w, w*x, w*x^2,
-per window or per window and candidate) with map-side combine, so skewed windows are
-pre-aggregated before the shuffle.  Results stay in long form; ``pivot`` is only used
+Every estimate is a one-pass hash aggregation over the rows (per window or per window and
+candidate) with map-side combine, so skewed windows are pre-aggregated before the shuffle.
+Spreads come from sums around a nearby centre, so a score far from zero keeps its digits.  Results stay in long form; ``pivot`` is only used
 at the wide edge (R1) with an explicit, sorted candidate list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: normal quantile of the 95 % intervals.
 Z95 = 1.96
+# Scores are summed around the multiples of this.
+STRETCH = 1024.0
 
 
 def _w(weight_col: str | None):
@@ -21,34 +23,49 @@ def _w(weight_col: str | None):
 
 def score_sums(df: DataFrame, window_col: str, weight_col: str | None,
                score_col: str = "imagen_del_candidato") -> DataFrame:
-    """Per-window sums; rows with a null score do not count (neither weight nor value)."""
+    """Per window: sum of weights and of their squares, n, weighted mean and weighted population
+    variance; rows with a null score do not count (neither weight nor value).
+
+    Rows are summed by window and stretch of ``STRETCH`` score units, each score taken from the
+    middle of its stretch; a window's few stretches are then put together around its own mean.  A
+    score far from zero keeps its digits, and no second pass over the rows is needed."""
     x = F.col(score_col).cast("double")
     w = F.when(x.isNotNull(), _w(weight_col))
-    return (df.groupBy(window_col)
-              .agg(F.sum(w).alias("_sw"), F.sum(w * x).alias("_swx"), F.sum(w * x * x).alias("_swxx"),
-                   F.sum(w * w).alias("_sww"), F.count(x).alias("n")))
+    rows = df.select(window_col, w.alias("_w"), F.rint(x / STRETCH).alias("_b"), (x - F.rint(x / STRETCH) * STRETCH).alias("_d"))
+    d = F.col("_d")
+    parts = rows.groupBy(window_col, "_b").agg(
+        F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_w")).alias("_sww"), F.count(d).alias("n"),
+        F.sum(F.col("_w") * d).alias("_swd"), F.sum(F.col("_w") * d * d).alias("_swdd"))
+    here = Window.partitionBy(window_col)
+    far = (F.col("_b") - F.min("_b").over(here)) * STRETCH         # from the window's first stretch
+    parts = parts.withColumn("_far", far).withColumn(
+        "_m", F.try_divide(F.sum(F.col("_swd") + F.col("_sw") * F.col("_far")).over(here), F.sum("_sw").over(here)))
+    off = F.col("_m") - F.col("_far")
+    return parts.groupBy(window_col).agg(
+        F.sum("n").alias("n"), F.sum("_sw").alias("_sw"), F.sum("_sww").alias("_sww"),
+        (F.min("_b") * STRETCH + F.min("_m")).alias("_mean"),
+        F.greatest(F.try_divide(F.sum(F.col("_swdd") - 2 * off * F.col("_swd") + off * off * F.col("_sw")), F.sum("_sw")),
+                   F.lit(0.0)).alias("_var"))
 
 
 def track_score(df: DataFrame, window_col: str, weight_col: str | None,
                 score_col: str = "imagen_del_candidato") -> DataFrame:
     """A1: weighted mean score per window (column ``trackeo``)."""
     s = score_sums(df, window_col, weight_col, score_col)
-    return s.select(window_col, (F.col("_swx") / F.col("_sw")).alias("trackeo"))
+    return s.select(window_col, F.col("_mean").alias("trackeo"))
 
 
 def n_effective(sw, sww):
     """A3: Kish effective sample size ``(sum w)^2 / sum w^2``."""
-    return F.pow(sw, 2) / sww
+    return F.try_divide(F.pow(sw, 2), sww)
 
 
 def score_intervals(df: DataFrame, window_col: str, weight_col: str | None,
                     score_col: str = "imagen_del_candidato", z: float = Z95) -> DataFrame:
     """A4/A5: weighted mean, weighted population sd, MOE = z*sd/sqrt(n_eff), bounds."""
     s = score_sums(df, window_col, weight_col, score_col)
-    mean = F.col("_swx") / F.col("_sw")
-    var = F.greatest(F.col("_swxx") / F.col("_sw") - F.pow(mean, 2), F.lit(0.0))
     neff = n_effective(F.col("_sw"), F.col("_sww"))
-    out = s.select(window_col, "n", mean.alias("imagen_media"), F.sqrt(var).alias("sd_w"),
+    out = s.select(window_col, "n", F.col("_mean").alias("imagen_media"), F.sqrt("_var").alias("sd_w"),
                    neff.alias("n_eff"))
     moe = F.lit(z) * F.col("sd_w") / F.sqrt(F.col("n_eff"))
     return out.select(window_col, "n", "n_eff", "imagen_media", moe.alias("moe_95"),

@@ -116,6 +116,19 @@ def rake_month_native() -> str:
     return S.with_query(_raked("win_m", sweeps=NATIVE_SWEEPS), "SELECT encuesta, win_m, round(peso, 6) AS peso FROM raked")
 
 
+def _three_units():
+    variables, tgt = calibration_variables("pampeana", False), targets_dict("pampeana", False)
+    ctes = _prepared()
+    for unit in "dsm":
+        ctes = ctes + S.rake("windowed", f"win_{unit}", variables, tgt, weight=f"peso_{unit}", name=f"r{unit}")
+    return ctes
+
+
+def rake_units_weights() -> str:
+    return S.with_query(_three_units(), """SELECT rd.encuesta, round(peso_d, 6) AS peso_d, round(peso_s, 6) AS peso_s, round(peso_m, 6) AS peso_m
+FROM rd JOIN rs ON rs.encuesta = rd.encuesta JOIN rm ON rm.encuesta = rd.encuesta""")
+
+
 # ----------------------------------------------------------------------- tracking
 
 def _score_sums(src: str, window: str, w: str) -> str:
@@ -181,6 +194,11 @@ def intervals_score_month() -> str:
     return S.with_query(ctes, _score_intervals("win_m"))
 
 
+def intervals_score_shifted() -> str:
+    ctes = _raked("win_m") + [("sums", _score_sums("raked", "win_m", "peso")), ("iv", _score_intervals("win_m"))]
+    return S.with_query(ctes, "SELECT win_m, n, n_eff, moe_95, round(imagen_media, 3) AS over_1e9 FROM iv")
+
+
 def intervals_vote_month() -> str:
     ctes = _raked("win_m") + _vote_long("raked", "win_m", "peso", SURVEY_CANDS)
     return S.with_query(ctes, _vote_intervals("win_m"))
@@ -513,7 +531,12 @@ def ledger_checks() -> str:
 
 def process_entry_ledger() -> str:
     variables = calibration_variables("pampeana", False)
-    return S.with_query(_report_rows(), f"""SELECT 'run-1' AS run_id, 'pampeana' AS population, count(*) AS n_rows,
+    units = {"day": "rd", "week": "rs", "month": "rm"}
+    counts = ", ".join(f"""(SELECT count(DISTINCT _win) FROM {t}_cells) AS {u}s_all,
+  (SELECT count(DISTINCT _win) FROM {t}_cells WHERE status = 'ok') AS {u}s_raked""" for u, t in units.items())
+    done = {name for name, _ in _report_rows()}
+    ctes = _report_rows() + [c for c in _three_units() if c[0] not in done]
+    return S.with_query(ctes, f"""SELECT {counts}, 'run-1' AS run_id, 'pampeana' AS population, count(*) AS n_rows,
   {S.q(', '.join(variables))} AS calib_vars,
   round(1 + var_samp(w) / pow(avg(w), 2), 3) AS deff, round(pow(sum(w), 2) / sum(w * w), 1) AS ess,
   round(pow(sum(w), 2) / sum(w * w) / count(*), 3) AS essp, {_r('max(w)', 'w_max')}, {_r('min(w)', 'w_min')},
@@ -547,6 +570,7 @@ ORACLES = {
     "rake_month_diagnostics": rake_month_diagnostics,
     "rake_week_diagnostics": rake_week_diagnostics,
     "rake_day_diagnostics": rake_day_diagnostics,
+    "rake_units_weights": rake_units_weights,
     "rake_month_bsas": rake_month_bsas,
     "rake_month_native": rake_month_native,
     "rake_month_nacional_diagnostics": rake_month_nacional_diagnostics,
@@ -555,6 +579,7 @@ ORACLES = {
     "track_vote_month_wide": track_vote_month_wide,
     "track_vote_month_melt": track_vote_month_melt,
     "intervals_score_month": intervals_score_month,
+    "intervals_score_shifted": intervals_score_shifted,
     "intervals_vote_month": intervals_vote_month,
     "track_events_day": track_events_day,
     "vote_events_week": vote_events_week,

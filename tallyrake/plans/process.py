@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyrake.functions.recode import is_gba_municipality, norm_text
 from tallyrake.operators.clean import add_windows, clean_survey, normalize_survey
-from tallyrake.operators.rake import attach_weights, diagnostics_from_cells, rake_cells, targets_as_dict
+from tallyrake.operators.rake import rake_units, targets_as_dict
 from tallyrake.sources.census import (
     POPULATIONS,
     PROVINCE_REGION,
@@ -77,19 +77,13 @@ class ProcessResult:
 
 def weight_survey(spark: SparkSession, prepared: DataFrame, population: str, flag: bool,
                   units=("day", "week", "month"), **rake_kw) -> ProcessResult:
-    """Census targets for the population, then one rake per unit (one weight column each).
-
-    Every unit's cells are built from the prepared rows, not from the rows already weighted
-    for another unit; the weights are joined at the end."""
+    """Census targets for the population, then all units raked from one count of the rows."""
     variables = calibration_variables(population, flag)
-    targets = targets_as_dict(calibration_targets(spark, population, flag), variables)
-    raked = {u: rake_cells(prepared, UNIT_WINDOW[u], variables, targets, **rake_kw) for u in units}
-    out = prepared
-    for u in units:
-        out = attach_weights(out, raked[u], UNIT_WINDOW[u], f"peso_{UNIT_SUFFIX[u]}")
-    diags = {u: diagnostics_from_cells(r.cells).withColumnRenamed("_win", UNIT_WINDOW[u]) for u, r in raked.items()}
     targets = calibration_targets(spark, population, flag)
-    return ProcessResult(out, variables, targets, diags, flag)
+    raked = rake_units(prepared, {UNIT_WINDOW[u]: f"peso_{UNIT_SUFFIX[u]}" for u in units}, variables,
+                       targets_as_dict(targets, variables), **rake_kw)
+    diags = {u: raked.diagnostics[UNIT_WINDOW[u]] for u in units}
+    return ProcessResult(raked.weighted, variables, targets, diags, flag)
 
 
 def process_survey(spark: SparkSession, raw: DataFrame, population: str,

@@ -137,6 +137,13 @@ def rake_month_native(spark: SparkSession, sf: str) -> DataFrame:
     return r6(res.weighted.select("encuesta", "win_m", "peso"))
 
 
+def rake_units_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """C1 for day, week and month from one count of the rows: three weights per interview."""
+    from tallyrake.plans.process import weight_survey
+    df, flag = _prepared(spark, sf)
+    return r6(weight_survey(spark, df, "pampeana", flag).weighted.select("encuesta", "peso_d", "peso_s", "peso_m"))
+
+
 # ----------------------------------------------------------------------- tracking
 
 def _month_weighted(spark, sf):
@@ -169,6 +176,13 @@ def intervals_score_month(spark: SparkSession, sf: str) -> DataFrame:
     return r6(trk.score_intervals(_month_weighted(spark, sf), "win_m", "peso"))
 
 
+def intervals_score_shifted(spark: SparkSession, sf: str) -> DataFrame:
+    """A4/A5 on scores a thousand million above zero: the spread keeps its digits."""
+    far = _month_weighted(spark, sf).withColumn("imagen_del_candidato", F.col("imagen_del_candidato") + 1e9)
+    got = trk.score_intervals(far, "win_m", "peso")
+    return r6(got.select("win_m", "n", "n_eff", "moe_95", F.round(F.col("imagen_media") - 1e9, 3).alias("over_1e9")))
+
+
 def intervals_vote_month(spark: SparkSession, sf: str) -> DataFrame:
     """Vote share with 95 % MOE and bounds per month and candidate."""
     return r6(trk.vote_intervals(_month_weighted(spark, sf), "win_m", "peso"))
@@ -505,16 +519,18 @@ def ledger_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def process_entry_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Entry 1 as one call: impute, retrain, rake, report and ledger; the stored run with its
-    metrics and the nulls left in the imputed columns."""
+    """Entry 1 as one call: impute, retrain, rake by day, week and month, report and ledger; the
+    stored run with its metrics, the nulls left in the imputed columns, and the windows raked."""
     from tallyrake.plans.process import process_entry
     from tallyrake.session import scratch_path
     from tallyrake.sources import ledger as L
     path = scratch_path(spark, "ledger")
-    res = process_entry(spark, survey_view(spark, sf), "pampeana", "run-1", path, scratch_path(spark, "models"), units=("month",))
+    res = process_entry(spark, survey_view(spark, sf), "pampeana", "run-1", path, scratch_path(spark, "models"))
     nulls = res.null_profile.filter(F.col("column").isin("voto", "voto_anterior", "imagen_del_candidato")).agg(
         F.sum("null_pct").alias("null_pct_left")).first()[0]
-    return r6(L.history_with_metrics(spark, path).drop("run_ts").withColumn("null_pct_left", F.lit(nulls)))
+    windows = {f"{u}s_{k}": F.lit(v) for u, d in res.process.diagnostics.items()
+               for k, v in d.agg(F.count("*").alias("all"), F.count_if(F.col("status") == "ok").alias("raked")).first().asDict().items()}
+    return r6(L.history_with_metrics(spark, path).drop("run_ts").withColumns({"null_pct_left": F.lit(nulls), **windows}))
 
 
 # ----------------------------------------------------------------------- streaming
@@ -550,6 +566,7 @@ QUERIES = {
     "rake_month_diagnostics": rake_month_diagnostics,
     "rake_week_diagnostics": rake_week_diagnostics,
     "rake_day_diagnostics": rake_day_diagnostics,
+    "rake_units_weights": rake_units_weights,
     "rake_month_bsas": rake_month_bsas,
     "rake_month_native": rake_month_native,
     "rake_month_nacional_diagnostics": rake_month_nacional_diagnostics,
@@ -558,6 +575,7 @@ QUERIES = {
     "track_vote_month_wide": track_vote_month_wide,
     "track_vote_month_melt": track_vote_month_melt,
     "intervals_score_month": intervals_score_month,
+    "intervals_score_shifted": intervals_score_shifted,
     "intervals_vote_month": intervals_vote_month,
     "track_events_day": track_events_day,
     "vote_events_week": vote_events_week,

@@ -96,3 +96,20 @@ def test_constant_and_single_windows_have_no_statistics(spark):
     got = {r["w2"]: r for r in test_change(df, "win", "x", "consecutive").collect()}
     assert set(got) == {"b", "c", "d"}
     assert got["b"]["p_value"] is None or got["b"]["p_value"] != got["b"]["p_value"]
+
+
+def test_ranges_do_not_change_u_and_only_chosen_windows_are_read(spark):
+    import random
+
+    from tallyrake.operators import hypothesis as hy
+    r = random.Random(3)
+    rows = [(w, float(r.randrange(40))) for w in range(6) for _ in range(r.randrange(20, 60))] + [(9, None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "w int, x double").repartition(5)
+    pairs = hy.window_pairs(hy._values(df, "w", "x"), "win", "consecutive")
+    one, many = (sorted(map(tuple, hy.mann_whitney_u(df, "w", "x", pairs, n).collect())) for n in (1 << 18, 7))
+    assert one == many and len(one) == 5
+    by = {w: [x for v, x in rows if v == w] for w in range(6)}
+    for w1, w2, u, _ in one:
+        assert u == sum((a > b) + (a == b) / 2 for a in by[w1] for b in by[w2])
+    ends = hy.window_pairs(hy._values(df, "w", "x"), "win")
+    assert {v["win"] for v in hy.chosen_rows(df, "w", "x", ends).collect()} == {0, 5}

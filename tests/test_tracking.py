@@ -46,3 +46,19 @@ def test_no_candidates(spark):
     df = spark.createDataFrame([("w1", 1.0, None, 1.0)], "win string, imagen_del_candidato double, voto string, peso double")
     assert trk.vote_intervals(df, "win", "peso").count() == 0
     assert trk.track_vote(df, "win", "peso").count() == 0
+
+
+def test_spread_keeps_its_digits_far_from_zero(spark):
+    from tallyrake.operators.tracking import score_intervals
+    rows = [(w, far + v, wt) for w, far in (("a", 0.0), ("b", 1e9), ("c", -3e12), ("d", 5e4)) for v, wt in
+            ((0.0, 1.0), (1.0, 2.0), (2.0, 0.5), (3000.0, 0.25))] + [("e", None, 1.0), ("f", 7.0, 0.0)]
+    got = {r["win"]: r for r in score_intervals(spark.createDataFrame(rows, "win string, imagen_del_candidato double, peso double"),
+                                                "win", "peso").collect()}
+    for w, far in (("b", 1e9), ("c", -3e12), ("d", 5e4)):
+        assert abs(got[w]["moe_95"] / got["a"]["moe_95"] - 1) < 1e-12
+        assert abs(got[w]["imagen_media"] - far - got["a"]["imagen_media"]) < 1e-3
+    assert got["e"]["n"] == 0 and got["e"]["moe_95"] is None
+    assert got["f"]["n"] == 1 and got["f"]["imagen_media"] is None
+    near = score_intervals(spark.createDataFrame([("a", 1e9 + i % 3, 1.0) for i in range(300)], "win string, imagen_del_candidato double, peso double"),
+                           "win", "peso").first()
+    assert abs(near["moe_95"] - 1.96 * (2 / 3) ** 0.5 / 300 ** 0.5) < 1e-12
