@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .bittable import bit_table, marked
 from .common import release, staged
 
 LEAST, LONGEST, TOP, INSIDE = 10, 3, 2000, 50
@@ -153,30 +154,13 @@ def summed(entries):
     return fp[new], check[new], np.minimum.reduceat(ptr[order], new), np.add.reduceat(count[order], new)
 
 
-def pack(entries) -> bytes:
-    """Byte planes of each column, so that high zero bytes lie together for the shuffle's compression."""
-    return b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in entries)
-
-
-def unpack(block: bytes):
-    n, at, out = len(block) // sum(np.dtype(k).itemsize for k in KINDS), 0, []
-    for k in KINDS:
-        w = np.dtype(k).itemsize
-        planes = np.frombuffer(block, np.uint8, n * w, at).reshape(w, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(k))
-        at += n * w
-    return out
-
-
 def _blocks(parts: list, bits: int):
     """A batch (bucket, block, null, null) of the summed entries, a block per bucket."""
     e = summed([np.concatenate(c) for c in zip(*parts)])
-    bucket = (e[0] >> U(64 - bits)).astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    ends = np.append(cut[1:], len(bucket))
+    buckets, blocks = tv.packed_blocks(e, bits)
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[cut]), pa.array([pack([c[i:j] for c in e]) for i, j in zip(cut, ends)], pa.binary()),
-         pa.nulls(len(cut), pa.string()), pa.nulls(len(cut), pa.int64())], BLOCK)
+        [pa.array(buckets), pa.array(blocks, pa.binary()), pa.nulls(len(blocks), pa.string()),
+         pa.nulls(len(blocks), pa.int64())], BLOCK)
 
 
 BLOCK = ["bucket", "block", "lang", "words"]
@@ -184,11 +168,6 @@ BLOCK_SCHEMA = "bucket long, block binary, lang string, words long"
 FOUND_SCHEMA = "fp long, ck long, ptr long, a long, lang string, words long"
 
 
-def _marked(fp: np.ndarray, table: np.ndarray) -> np.ndarray:
-    cell = (fp >> U(64 - (len(table).bit_length() + 2))).astype(np.int64)
-    return (table[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-
-
 def _count(n: int, sketch, bits: int, fp_bits: int):
     """Entries of all n-grams whose (n-1)-grams are marked; with n = 1 also the words per language."""
     def run(batches):
@@ -205,7 +184,7 @@ def _count(n: int, sketch, bits: int, fp_bits: int):
                         words[names[c]] = words.get(names[c], 0) + int(k)
                 elif len(at):
                     part = np.arange(len(r.starts) - n + 2)
-                    ok = _marked(r.grams(part, n - 1, lang[part], fp_bits)[0], sketch.value)
+                    ok = marked(r.grams(part, n - 1, lang[part], fp_bits)[0], sketch.value)
                     at = at[ok[at] & ok[at + 1]]
                 if not len(at):
                     continue
@@ -236,7 +215,7 @@ def _regroup(bits: int):
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in (
                         (bucket, pa.int64()), (None, pa.binary()), (lang, pa.string()), (words, pa.int64()))], BLOCK)
                     continue
-                parts.append(unpack(block))
+                parts.append(tv.unpack(block, KINDS))
                 held += len(parts[-1][0])
                 if held >= FLUSH:
                     yield _blocks(parts, bits)
@@ -268,7 +247,7 @@ def _merge(least: int):
                     yield found(parts)
                     parts = []
                 now = bucket
-                parts.append(unpack(block))
+                parts.append(tv.unpack(block, KINDS))
         if parts:
             yield found(parts)
         if words:
@@ -292,39 +271,6 @@ def counted(texts: DataFrame, n: int, sketch, bits: int, least: int, fp_bits: in
                   .mapInArrow(_merge(least), FOUND_SCHEMA), f"phrases-{n}")
 
 
-PAGE = 1 << 19                    # cells of a page of the bit table
-
-
-def _pages(shift: int):
-    def run(batches):
-        pages = {}
-        for batch in batches:
-            cells = (np.asarray(batch.column(1)).view(U) >> U(shift)).astype(np.int64)
-            for page in np.unique(cells // PAGE):
-                bits = pages.setdefault(int(page), np.zeros(PAGE, np.uint8))
-                bits[cells[cells // PAGE == page] % PAGE] = 1
-        for page, bits in pages.items():
-            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()),
-                                              pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
-                                             ["page", "bits"])
-    return run
-
-
-def bit_table(found: DataFrame, filter_bits: int) -> np.ndarray:
-    """One bit per cell of the fingerprint space, set where a frequent fingerprint lies: about
-    16 cells a fingerprint, at most filter_bits (so at most filter_bits / 8 bytes reach the driver)."""
-    rows = found.filter("fp is not null")
-    cells = min(filter_bits, max(PAGE, 1 << (16 * rows.count()).bit_length()))
-    shift = 64 - (cells.bit_length() - 1)
-    pages = (rows.select(F.shiftrightunsigned("fp", shift + PAGE.bit_length() - 1).alias("page"), "fp")
-             .repartition("page").mapInArrow(_pages(shift), "page long, bits binary"))
-    table = np.zeros(cells // 8, np.uint8)
-    for row in pages.toLocalIterator():
-        at = row["page"] * (PAGE // 8)
-        table[at:at + PAGE // 8] |= np.frombuffer(row["bits"], np.uint8)
-    return table
-
-
 CUT_SCHEMA = "lang string, fp long, ck long, a long, n int, phrase string, k int, lfp long, lck long, rfp long, rck long"
 CUT = [f.split()[0] for f in CUT_SCHEMA.split(", ")]
 
@@ -397,7 +343,7 @@ def phrase_cuts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     bits = max(6, (words // bucket_words).bit_length())
     for n in range(2, longest + 1):
         release(spark)
-        sketch = spark.sparkContext.broadcast(bit_table(levels[-1], filter_bits))
+        sketch = spark.sparkContext.broadcast(bit_table(levels[-1].filter("fp is not null").select("fp"), filter_bits))
         levels.append(counted(texts, n, sketch, bits, least, fp_bits))
         sketch.unpersist()
     release(spark)

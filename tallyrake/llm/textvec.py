@@ -141,3 +141,25 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def pack(columns) -> bytes:
+    """Byte planes of equally long columns, so that high zero bytes lie together for the shuffle's compression."""
+    return b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in columns)
+
+
+def unpack(block: bytes, kinds) -> list[np.ndarray]:
+    n, at, out = len(block) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for k in kinds:
+        w = np.dtype(k).itemsize
+        planes = np.frombuffer(block, np.uint8, n * w, at).reshape(w, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(k))
+        at += n * w
+    return out
+
+
+def packed_blocks(columns, bits: int) -> tuple[np.ndarray, list[bytes]]:
+    """(buckets, blocks) of columns sorted by the first one, a 64-bit hash whose first bits are the bucket."""
+    bucket = (columns[0] >> U(64 - bits)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return bucket[cut], [pack([c[i:j] for c in columns]) for i, j in zip(cut, np.append(cut[1:], len(bucket)))]

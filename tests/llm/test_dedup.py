@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from tallyrake.llm import window_dedup
 from tallyrake.llm.suffix_dedup import dedup_bytes
 from tallyrake.llm.window_dedup import dedup_windows
 from tests.llm.fixtures import corpus, frame
@@ -66,6 +67,12 @@ def test_windows_survive_a_full_sketch(spark):
     same(dedup_windows(frame(spark, rows), max_cells=1 << 16), brute_windows(rows), WCOLS)
 
 
+def test_windows_in_several_rounds_and_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(window_dedup, "FAN_BITS", 2)
+    rows = corpus(7) + [(200, corpus(7)[2][1]), (200, "short"), (16, corpus(7)[1][1] + " more words"), (16, None)]
+    same(dedup_windows(frame(spark, rows)), brute_windows(rows), WCOLS)
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_bytes_equal_brute_force(spark, seed):
     rows = [x for x in corpus(seed) if x[0] != 206] + [(None, corpus(seed)[2][1])]

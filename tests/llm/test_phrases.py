@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from tallyrake.llm import phrases
+from tallyrake.llm import phrases, textvec
 from tests.llm.fixtures import corpus, frame
 
 
@@ -88,4 +88,4 @@ def test_blocks_survive_packing():
     import numpy as np
     r = np.random.default_rng(3)
     e = [r.integers(0, 1 << 30, 1000).astype(k) for k in phrases.KINDS]
-    assert all((a == b).all() for a, b in zip(e, phrases.unpack(phrases.pack(e))))
+    assert all((a == b).all() for a, b in zip(e, textvec.unpack(textvec.pack(e), phrases.KINDS)))
