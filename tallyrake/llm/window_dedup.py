@@ -46,7 +46,7 @@ BLOCK = 1 << 16
 MAX_CELLS = 1 << 28
 ROWS = 4
 ID_BITS = 1 << 24
-FLUSH = 1 << 20                   # windows a task collects before it sorts and sends them
+FLUSH = 1 << 19                   # windows a task collects before it sorts and sends them
 BUCKET_BYTES = 1 << 22            # text per bucket of the hash space
 FAN_BITS = 12
 U = np.uint64
