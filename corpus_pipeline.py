@@ -3,6 +3,11 @@
 A stage takes (spark, docs, sf_dir), where docs is all that the stage before kept, and returns
 a frame; all but the last keep the columns of ``documents``.  ``run`` writes each stage's rows
 as Parquet into the shared scratch folder and reads them back for the next.
+
+Defined cases, in every stage: null and empty texts have no language and go with the first stage
+(later stages, given them, keep them); rows without an id take part under a number made from their
+text; rows of one id are one document; ties go to the smaller id; very long texts are worked off
+whole; extra columns of any name pass through; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrake.llm import bpe, decontam, language, near_dedup, window_dedup
-from tallyrake.llm.common import staged, table
+from tallyrake.llm.common import keyed, staged, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,21 +30,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies (5 words, similarity 0.8 or more).
 
-    Documents without words are no copies of each other and stay."""
+    Documents without words are no copies of each other and stay; of rows with one id one stays."""
     return near_dedup.keep_one(docs, percent=80)
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts words under 13-word windows of earlier documents; documents left without a word go,
     untouched texts stay as they are."""
-    cut = window_dedup.dedup_windows(docs).filter("n_removed > 0").select(
-        F.col("id").alias("_id"), F.col("n_words").alias("_words"), F.col("n_removed").alias("_gone"),
-        F.col("kept").cast("string").alias("_kept")).dropDuplicates(["_id"])
-    joined = docs.join(cut, docs["doc_id"] == F.col("_id"), "left").filter("_id is null or _gone < _words")
-    changed = F.col("_id").isNotNull()
-    new = {"text": F.when(changed, F.col("_kept")).otherwise(F.col("text")),
-           "n_chars": F.when(changed, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    rows = keyed(docs, "doc_id", "text")
+    cut = (window_dedup.dedup_windows(rows, "id", "text", only_hits=True)
+           .select("id", "text_hash", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+           .dropDuplicates(["id", "text_hash"]))
+    joined = (rows.select("row", "id", F.xxhash64(F.col("text").cast("binary")).alias("text_hash"))
+              .join(cut, ["id", "text_hash"], "left").filter("n_removed is null or n_removed < n_words"))
+    new = {"text": F.coalesce("kept", F.col("row.text")),
+           "n_chars": F.coalesce(F.length("kept").cast("long"), F.col("row.n_chars"))}
+    return joined.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids given to rows without one begin here; ids of a corpus should lie below.
+NAMELESS = 1 << 62
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(row, id, text)``: every row as one struct column, so its columns' names meet no others; a
+    row without an id gets a large one from its text's hash, the same for equal texts."""
+    text = F.col(f"`{text_col}`").cast("string")
+    own = F.xxhash64(text).bitwiseAND(NAMELESS - 1).bitwiseOR(NAMELESS)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.coalesce(F.col(f"`{id_col}`").cast("long"), own).alias("id"), text.alias("text"))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id per vertex of undirected ``edges(a, b)``: ``(v, comp)``.
 

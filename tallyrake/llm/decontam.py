@@ -15,9 +15,13 @@ lets two texts agree although some tokens between them were replaced.
    least 13 equal ones (an item under 16 tokens: all of it, with at least 80 % and 6 equal; an
    item under 6 tokens: all of it, with all equal).
 
-Defined cases: null or empty texts and items match nothing, as do items without a token; repeated items and rows give the same results once per id; a null
-document id is kept as its own row.  The result has one row per contaminated (document,
-item), with the best overlap.
+Items under ``least_tokens`` tokens (a parameter) are left out and told by ``too_short``.
+
+Defined cases: null or empty texts and items match nothing; repeated items and rows give the same
+results once per id, rows of one id count together; ``contaminated`` tells documents without an id
+as one null id, ``drop_contaminated`` tells them apart by their texts; very long texts are hashed
+whole in one task; of tied overlaps the counts are told once; empty tables give no rows.  The result
+has one row per contaminated (document, item), with the best overlap.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import keyed
 
 #: Used token positions of the masks (spans 6 to 13), and of those for items under LONG tokens:
 #: some mask fits at whatever tokens the tolerance lets differ (the tests try all ways).
@@ -43,7 +48,9 @@ MASKS = LONG_MASKS + SHORT_MASKS + EXACT_MASKS
 EXACT_AT = len(LONG_MASKS) + len(SHORT_MASKS)
 LONG = 12
 WINDOW, EQUAL = 16, 13
-SHORT, SHORT_SHARE = 1, 0.8                      # items under SHORT tokens are left out
+SHORT_SHARE = 0.8
+#: Items under this many tokens are left out (``too_short`` tells them): a one-word answer is in every text.
+LEAST_TOKENS = 5
 FILTER_BITS = 1 << 27
 U = np.uint64
 _TOKEN = re.compile(r"[^\W_]+")
@@ -118,16 +125,25 @@ def overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int] |
     return (int(run.max()), WINDOW) if run.max() >= EQUAL else None
 
 
-def _item_rows(batches):
-    for batch in batches:
-        rows = []
-        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            t = tokens(text)
-            if len(t) >= SHORT:
-                for k, h in seeds(t, item_masks(len(t))):
-                    rows += [(int(x), item, p, k) for p, x in enumerate(tv.signed(h))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "item", "at", "mask"])
+def _item_rows(least: int):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = tokens(text)
+                if len(t) >= max(1, least):
+                    for k, h in seeds(t, item_masks(len(t))):
+                        rows += [(int(x), item, p, k) for p, x in enumerate(tv.signed(h))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "item", "at", "mask"])
+    return run
+
+
+def too_short(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """``(item, tokens)`` of the items that are left out for having too few tokens."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    return items.mapInArrow(_item_tokens, "item long, tokens array<long>").select(
+        "item", F.size("tokens").alias("tokens")).filter(F.col("tokens") < least_tokens)
 
 
 def _item_tokens(batches):
@@ -193,14 +209,14 @@ def _verify(batches):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                 item_col: str = "item_id", item_text_col: str = "text", least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """``(id, item, n_equal, n_compared)``: one row per document and item that overlap.
 
     The 16 tokens before a hit and the 16 from it on are compared: every window that begins at
     most 16 tokens before a hit and holds its first token."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    rows = items.mapInArrow(_item_rows, "h long, item long, at int, mask int")
+    rows = items.mapInArrow(_item_rows(least_tokens), "h long, item long, at int, mask int")
     masks = sorted(rows.select("mask").distinct().toArrow()["mask"].to_pylist())
     sent = spark.sparkContext.broadcast(seed_filter(rows))
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -213,7 +229,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.groupBy("doc", "item").agg(best.alias("b")).select(F.col("doc").alias("id"), "item", "b.n_equal", "b.n_compared")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == F.col("_bad"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """The rows of ``docs`` that overlap no benchmark item; of rows with one id, all go if one does."""
+    rows = keyed(docs, id_col, text_col)
+    bad = contaminated(rows, benchmark, "id", "text", least_tokens=least_tokens).select("id").distinct()
+    return rows.select("row", "id").join(bad, "id", "left_anti").select("row.*")

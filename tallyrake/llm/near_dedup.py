@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import components, staged
+from .common import components, keyed, staged
 
 SHINGLE = 5
 BINS, ROWS = 640, 8
@@ -238,11 +238,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not extra.isEmpty():
         comp = components(edges.union(extra))
     out = member.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select(
-        "id", "n_shingles", F.coalesce("comp", "rep", "id").alias("component_id")).distinct()
+        "id", "n_shingles", F.coalesce("comp", "rep", "id").alias("component_id"))
     nameless = src.filter("id is null").mapInArrow(_sizes, "n_shingles long").select(
         F.lit(None).cast("long").alias("id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    rows = known.select("id").join(out, "id").unionByName(nameless)
-    return rows.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
 def _sizes(batches):
@@ -254,6 +253,13 @@ def _sizes(batches):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their near-duplicate group."""
-    gone = near_duplicates(docs, id_col, text_col, percent).filter("not kept").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that are the smallest id of their near-duplicate group.
+
+    Rows of one id are one document, of which one row stays; rows without an id take part like
+    others, but a row with an id stays before them."""
+    rows = keyed(docs, id_col, text_col)
+    gone = near_duplicates(rows, "id", "text", percent).filter("not kept").select("id").distinct()
+    kept = rows.select("row", "id").join(gone, "id", "left_anti")
+    if not rows.groupBy("id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["id"])
+    return kept.select("row.*")

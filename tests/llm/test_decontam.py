@@ -1,18 +1,18 @@
 import itertools
 import random
 
-from tallyrake.llm.decontam import EQUAL, MASKS, SHORT, WINDOW, contaminated, drop_contaminated, overlap, seeds, tokens
+from tallyrake.llm.decontam import EQUAL, LEAST_TOKENS, MASKS, WINDOW, contaminated, drop_contaminated, overlap, seeds, tokens, too_short
 from tests.llm.fixtures import frame
 
 
-def brute(rows, items):
+def brute(rows, items, least=LEAST_TOKENS):
     """All alignments of all pairs that share a seed and verify around it."""
     out = {}
     for d, text in rows:
         t = tokens(text)
         for i, item in items:
             x = tokens(item)
-            if len(x) < SHORT:
+            if len(x) < least:
                 continue
             best = None
             theirs = [dict() for _ in MASKS]
@@ -115,7 +115,7 @@ def test_items_under_six_tokens_are_found_as_they_are(spark):
     rows = [(10 * n + k, t) for n, item in items for k, t in enumerate((
         f"before {item.upper()}, after {item}", item, f"before{item}after", "other " + " ".join(item.split()[1:])))]
     bench = spark.createDataFrame(items + [(8, "..."), (9, "")], "item_id long, text string")
-    got = sorted(map(tuple, contaminated(frame(spark, rows), bench).collect()))
+    got = sorted(map(tuple, contaminated(frame(spark, rows), bench, least_tokens=1).collect()))
     assert got == [(10 * n + k, n, n, n) for n in range(1, 6) for k in (0, 1)] == every_alignment(rows, items)
 
 
@@ -126,5 +126,14 @@ def test_scripts_without_spaces_have_a_token_for_every_character(spark):
     thai = "เมืองหลวงของประเทศไทยคือ"
     rows = [(1, "题目：" + item + "。谢谢"), (2, "题目：" + near.replace("居民", "人口") + "。谢谢"), (3, "完全不同的一句话，没有任何关系，也不重复任何内容"), (4, "x" + thai + "y"), (5, "東京はどこ")]
     bench = spark.createDataFrame([(1, item), (2, thai), (3, "東京")], "item_id long, text string")
-    got = {(r["id"], r["item"]) for r in contaminated(frame(spark, rows), bench).collect()}
+    got = {(r["id"], r["item"]) for r in contaminated(frame(spark, rows), bench, least_tokens=2).collect()}
     assert got == {(1, 1), (2, 1), (4, 2), (5, 3)}
+
+
+def test_items_of_few_tokens_are_told_not_matched(spark):
+    rows = [(1, "yes, the answer is no"), (2, "one two three four five six")]
+    bench = spark.createDataFrame([(1, "yes"), (2, "The"), (3, "two three four five"), (4, "one two three four five"), (5, None)],
+                                  "item_id long, text string")
+    assert [(r["id"], r["item"]) for r in contaminated(frame(spark, rows), bench).collect()] == [(2, 4)]
+    assert sorted(map(tuple, too_short(bench).collect())) == [(1, 1), (2, 1), (3, 4), (5, 0)]
+    assert drop_contaminated(frame(spark, rows), bench).count() == 1

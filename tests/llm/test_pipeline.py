@@ -60,3 +60,26 @@ def test_nulls_and_empty_tables(spark, tmp_dir):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, SF)
             out.collect()
+
+
+def test_clashing_columns_repeated_rows_and_null_ids(spark):
+    """Every filtering stage, alone, on rows that used to crash it or slip through."""
+    item = table(spark, SF, "benchmark").first()["text"]
+    base = " ".join(f"word{i} thing{i % 7}" for i in range(60))
+    long = " ".join(f"w{i * 7919 % 100003}" for i in range(40_000))
+    texts = [(1, base), (1, base), (2, base + " end"), (None, base), (None, "before " + item + " after"), (None, "before " + item + " after"),
+             (3, item), (4, ""), (5, None), (6, long), (7, "tie one two three four five"), (8, "tie one two three four five"),
+             (9, "the same id"), (9, "other text of this id")]
+    names = ["_gone", "_bad", "_id", "_words", "_kept", "id", "row", "key", "text_hash", "kept", "n_removed", "places", "mark", "a.b", "Id2"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["x"] * len(names)) for i, t in texts], schema).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)
+    got = {n: stage[n](spark, docs, SF) for n in ("language_id", "near_duplicates", "repeated_windows", "benchmark_overlaps")}
+    assert all(df.columns == docs.columns for df in got.values())
+    rows = {n: sorted(rows_of(df), key=str) for n, df in got.items()}
+    single = rows["near_duplicates"]
+    assert [i for i, _ in single] == [1, 3, 4, 5, 6, 7, 9]
+    clean = rows["benchmark_overlaps"]
+    assert all(item not in (t or "") for _, t in clean) and sum(t == base for _, t in clean) == 3
+    assert sum(t == base for _, t in rows["repeated_windows"]) == 2 and (6, long) in rows["repeated_windows"]
+    assert stage["token_counts"](spark, docs, SF).count() == len(texts)
