@@ -16,6 +16,7 @@ level lists (bounded by the category cardinality) and the metrics.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -224,6 +225,25 @@ def fit_classifier(train: DataFrame, predictors: list[str], target: str,
     return PipelineModel(stages=[*enc, model, back])
 
 
+def coefficient_table(spark, model: PipelineModel) -> DataFrame:
+    """``(cls, predictor, level, coefficient)`` of a classifier or regressor (``cls`` null), with the
+    intercepts; a binary classifier is told as its two classes with opposite halves."""
+    statement, assembler, fitted = model.stages[0].getStatement(), model.stages[1], model.stages[2]
+    levels = {m[2]: (m[0], m[1].replace("\\'", "'").replace("\\\\", "\\")) for m in re.findall(
+        r"CAST\(`([^`]*)` AS STRING\) = '((?:[^'\\]|\\.)*)', false\) AS DOUBLE\) AS `([^`]*)`", statement)}
+    names = [levels.get(c, (c, "")) for c in assembler.getInputCols()]
+    if hasattr(fitted, "coefficientMatrix"):
+        classes, matrix = model.stages[3].getLabels(), fitted.coefficientMatrix.toArray()
+        intercepts = list(fitted.interceptVector.toArray())
+        if len(matrix) == 1:
+            matrix, intercepts = [-matrix[0] / 2, matrix[0] / 2], [-intercepts[0] / 2, intercepts[0] / 2]
+    else:
+        classes, matrix, intercepts = [None], [fitted.coefficients.toArray()], [fitted.intercept]
+    rows = [(k, *name, float(v)) for k, line in zip(classes, matrix) for name, v in zip(names, line)]
+    rows += [(k, "intercept", "", float(v)) for k, v in zip(classes, intercepts)]
+    return spark.createDataFrame(rows, "cls string, predictor string, level string, coefficient double")
+
+
 def fit_regressor(train: DataFrame, predictors: list[str], target: str,
                   levels: dict[str, list[str]] | None = None) -> PipelineModel:
     """Ordinary least squares (normal equations, no penalty) on predictor profiles."""

@@ -419,6 +419,15 @@ CASE k % 5 WHEN 0 THEN 'la' || chr(10) || estrato WHEN 1 THEN '"' || estrato ||
 {level} AS nivel_educativo, lower(trim({level}, ' ' || chr(9) || chr(10))) AS nivel, edad, voto_anterior FROM keyed""")
 
 
+def survey_sorted_output() -> str:
+    return S.with_query(_prepared(), "SELECT encuesta, fecha, row_number() OVER (ORDER BY fecha, encuesta) AS place FROM windowed")
+
+
+def ledger_newest_first() -> str:
+    return S.with_query(_prepared(), """SELECT strftime(win_m, '%Y%m') AS run_id, count(*) AS n_rows,
+row_number() OVER (ORDER BY win_m DESC) AS place FROM windowed GROUP BY win_m""")
+
+
 def calibration_targets_bsas() -> str:
     tgt = targets_dict("buenos_aires", True)
     rows = " UNION ALL ".join(f"SELECT {S.q(v)} AS variable, {S.q(lvl)} AS level, {S.dbl(p)} AS proportion"
@@ -520,6 +529,16 @@ def logit_class_shares() -> str:
                         "round(count(*) / (SELECT count(*) FROM cases), 3) AS mean_prob FROM cases GROUP BY voto")
 
 
+def logit_optimality_vote() -> str:
+    """At the optimum the fitted totals, penalty included, are those of the cases."""
+    dummies = " UNION ALL ".join(
+        f"SELECT voto AS cls, '{c}' AS predictor, {c} AS level, count(*) AS total FROM cases "
+        f"WHERE {c} > (SELECT min({c}) FROM cases) GROUP BY voto, {c}" for c in ("sexo", "estrato", "nivel_educativo", "voto_anterior"))
+    return S.with_query(_prepared() + [_CASES], f"""{dummies}
+UNION ALL SELECT voto, 'edad', '', CAST(round(sum(edad)) AS BIGINT) FROM cases GROUP BY voto
+UNION ALL SELECT voto, 'intercept', '', count(*) FROM cases GROUP BY voto""")
+
+
 def ledger_checks() -> str:
     from tallyrake.sources.census import POPULATIONS
     ctes = _prepared() + [("r", "SELECT estrato AS population, count(*) AS n_rows FROM windowed GROUP BY estrato"),
@@ -593,6 +612,8 @@ ORACLES = {
     "calibration_value_shares": calibration_value_shares,
     "survey_csv_load": survey_csv_load,
     "survey_csv_quoted": survey_csv_quoted,
+    "survey_sorted_output": survey_sorted_output,
+    "ledger_newest_first": ledger_newest_first,
     "calibration_targets_bsas": calibration_targets_bsas,
     "ledger_history": ledger_history,
     "history_monthly_batches": history_monthly_batches,
@@ -606,6 +627,7 @@ ORACLES = {
     "survey_null_profile_imputed": survey_null_profile_imputed,
     "ols_level_means": ols_level_means,
     "logit_class_shares": logit_class_shares,
+    "logit_optimality_vote": logit_optimality_vote,
     "ledger_checks": ledger_checks,
     "process_entry_ledger": process_entry_ledger,
     "impute_score_regression": impute_score_regression,

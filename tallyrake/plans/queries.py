@@ -317,6 +317,34 @@ def survey_csv_quoted(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("encuesta", "estrato", "nivel_educativo", norm_text("nivel_educativo").alias("nivel"), "edad", "voto_anterior")
 
 
+def survey_sorted_output(spark: SparkSession, sf: str) -> DataFrame:
+    """O1: the cleaned survey written in the order of its dates; the place of every interview over
+    all files, as read back."""
+    from tallyrake.session import scratch_path
+    from tallyrake.sources.ordered import places, write_sorted
+    path = scratch_path(spark, "survey-sorted")
+    df, _ = _prepared(spark, sf)
+    write_sorted(df.select("fecha", "encuesta", "voto"), path, "fecha", "encuesta")
+    return places(spark, path).select("encuesta", "fecha", "place")
+
+
+def ledger_newest_first(spark: SparkSession, sf: str) -> DataFrame:
+    """O3: a run per month, listed newest first; the place of every run in the written list."""
+    from tallyrake.session import scratch_path
+    from tallyrake.sources import ledger as L
+    from tallyrake.sources.ordered import places, write_sorted
+    df, _ = _prepared(spark, sf)
+    runs = df.groupBy("win_m").agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.date_format("win_m", "yyyyMM").alias("run_id"), F.current_timestamp().alias("run_ts"), F.lit("pampeana").alias("population"),
+        "n_rows", F.array(F.lit("sexo")).alias("calib_vars"))
+    path = scratch_path(spark, "ledger")
+    L.append_runs(runs, path)
+    listed, _ = L.list_runs(spark, path)
+    out = scratch_path(spark, "runs-listed")
+    write_sorted(listed, out, "run_id", descending=True)
+    return places(spark, out).select("run_id", "n_rows", "place")
+
+
 def calibration_targets_bsas(spark: SparkSession, sf: str) -> DataFrame:
     """Margins for the Buenos Aires survey; ``estrato_bsas`` is added because
     the survey names a GBA municipality (checked on the data)."""
@@ -500,6 +528,36 @@ def logit_class_shares(spark: SparkSession, sf: str) -> DataFrame:
         F.sum("w").cast("long").alias("n"), F.round(F.sum(F.col("z.p") * F.col("w")) / F.sum("w"), 3).alias("mean_prob"))
 
 
+def _optimality(spark, sf, target):
+    """Per class and dummy, sum of w p x + coefficient / C: at the optimum of the penalised
+    likelihood, and nowhere else, it is the sum of w x over the cases of that class."""
+    from pyspark.ml.functions import vector_to_array
+
+    from tallyrake.operators import impute as I
+    df, _ = _prepared(spark, sf, persist=True)
+    preds = I.PREDICTORS[target]
+    cases = I.aggregate_cases(df, preds, target)
+    model = I.fit_classifier(df, preds, target)
+    table = I.coefficient_table(spark, model)
+    cats = [c for c in preds if c not in I.NUMERIC_PREDICTORS]
+    x = F.array(F.struct(F.lit("intercept").alias("predictor"), F.lit("").alias("level"), F.lit(1.0).alias("x")),
+                *[F.struct(F.lit(c).alias("predictor"), F.col(c).alias("level"), F.lit(1.0).alias("x")) for c in cats],
+                *[F.struct(F.lit(c).alias("predictor"), F.lit("").alias("level"), F.col(c).cast("double").alias("x"))
+                  for c in preds if c in I.NUMERIC_PREDICTORS])
+    probs = F.arrays_zip(F.array(*[F.lit(v) for v in model.stages[-1].getLabels()]).alias("cls"), vector_to_array("probability").alias("p"))
+    sums = (model.transform(cases).select(F.col(I.WEIGHT).alias("w"), F.explode(probs).alias("z"), x.alias("xs"))
+            .select("w", "z", F.explode("xs").alias("x"))
+            .groupBy(F.col("z.cls").alias("cls"), "x.predictor", "x.level").agg(F.sum(F.col("w") * F.col("z.p") * F.col("x.x")).alias("s")))
+    penalty = F.when(F.col("predictor") == "intercept", 0.0).otherwise(F.col("coefficient") / I.C_INVERSE_REG)
+    return sums.join(F.broadcast(table), ["cls", "predictor", "level"]).select(
+        "cls", "predictor", "level", F.round(F.col("s") + penalty, 0).cast("long").alias("total"))
+
+
+def logit_optimality_vote(spark: SparkSession, sf: str) -> DataFrame:
+    """M2, M7: the vote classifier against the equations of its optimum."""
+    return _optimality(spark, sf, "voto")
+
+
 def ledger_checks(spark: SparkSession, sf: str) -> DataFrame:
     """A run per territory name; names outside the population catalogue are
     rejected, the others are stored and listed newest first with the total."""
@@ -591,6 +649,8 @@ QUERIES = {
     "calibration_value_shares": calibration_value_shares,
     "survey_csv_load": survey_csv_load,
     "survey_csv_quoted": survey_csv_quoted,
+    "survey_sorted_output": survey_sorted_output,
+    "ledger_newest_first": ledger_newest_first,
     "calibration_targets_bsas": calibration_targets_bsas,
     "ledger_history": ledger_history,
     "history_monthly_batches": history_monthly_batches,
@@ -605,6 +665,7 @@ QUERIES = {
     "survey_null_profile_imputed": survey_null_profile_imputed,
     "ols_level_means": ols_level_means,
     "logit_class_shares": logit_class_shares,
+    "logit_optimality_vote": logit_optimality_vote,
     "ledger_checks": ledger_checks,
     "process_entry_ledger": process_entry_ledger,
     "stream_week_weights": stream_week_weights,
