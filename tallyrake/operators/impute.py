@@ -271,6 +271,7 @@ def _drop_model_cols(df: DataFrame) -> DataFrame:
 class Evaluation:
     r2_score: float
     metrics: dict[str, DataFrame] = field(default_factory=dict)
+    skipped: dict[str, str] = field(default_factory=dict)      # targets without a report, and why
 
 
 def classifier_report(pred: DataFrame, target: str) -> DataFrame:
@@ -329,6 +330,7 @@ def evaluate_models(df: DataFrame) -> Evaluation:
     Classifiers need >= 10 cases and >= 2 classes; the regression needs >= 10 cases,
     else its R2 is -inf (which sends the score to the median branch)."""
     metrics: dict[str, DataFrame] = {}
+    skipped: dict[str, str] = {}
     for target in CATEGORICAL_TARGETS:
         preds = PREDICTORS[target]
         data = with_id(df, [*preds, target])
@@ -339,8 +341,10 @@ def evaluate_models(df: DataFrame) -> Evaluation:
                 out = m.transform(aggregate_cases(te, preds, target))
                 metrics[f"{target}_report"] = classifier_report(out, target)
                 metrics[f"{target}_confusion"] = confusion(out, target)
-            except ImputationError:
-                pass
+            except ImputationError as e:
+                skipped[target] = str(e)
+        else:
+            skipped[target] = f"fewer than {MIN_CASES} complete cases or a single class"
     preds = PREDICTORS[NUMERIC_TARGET]
     data = with_id(df, [*preds, NUMERIC_TARGET])
     r2 = float("-inf")
@@ -351,7 +355,7 @@ def evaluate_models(df: DataFrame) -> Evaluation:
         metrics[f"{NUMERIC_TARGET}_report"] = rep
         val = rep.first()["r2"]
         r2 = float(val) if val is not None else float("-inf")
-    return Evaluation(r2, metrics)
+    return Evaluation(r2, metrics, skipped)
 
 
 # ----------------------------------------------------------------------- imputation (M7-M9)
@@ -471,7 +475,7 @@ def update_model(df_observed: DataFrame, target: str, model_dir: str, survey_id:
     """Append this survey's complete cases (observed values only) to the
     target's history unless the survey is already there, refit on the whole history
     and store the model.  Returns (model or None, rows appended)."""
-    from tallyrake.sources.history import SURVEY_ID, append_history, fingerprint, survey_columns
+    from tallyrake.sources.history import SURVEY_ID, append_history, fingerprint, read_history, survey_columns
     spark = df_observed.sparkSession
     preds = PREDICTORS[target]
     data = df_observed.select(*preds, target).dropna()
@@ -480,7 +484,7 @@ def update_model(df_observed: DataFrame, target: str, model_dir: str, survey_id:
     if survey_id is None:
         survey_id = fingerprint(df_observed, survey_columns(df_observed)).first()[SURVEY_ID]
     appended = append_history(spark, _history_path(model_dir, target), data.withColumn(SURVEY_ID, F.lit(survey_id)))
-    hist = spark.read.parquet(_history_path(model_dir, target)).drop(SURVEY_ID)
+    hist = read_history(spark, _history_path(model_dir, target)).drop(SURVEY_ID)
     try:
         if target == NUMERIC_TARGET:
             model = fit_regressor(hist, preds, target)

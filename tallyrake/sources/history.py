@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrake.session import cut_lineage
+
 SURVEY_ID = "survey_id"
 # Columns of a survey that identify it: not the file order, nor buckets and recodes added later.
 SURVEY_FIELDS = ["fecha", "encuesta", "estrato", "sexo", "edad", "nivel_educativo", "integrantes_hogar",
@@ -47,28 +49,46 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None, by: list[str] |
                                             F.col("_x").cast("string")), 256).alias(SURVEY_ID))
 
 
+def manifest_path(path: str) -> str:
+    return path.rstrip("/") + "_manifest"
+
+
+def stored_surveys(spark: SparkSession, path: str) -> DataFrame:
+    """``(survey_id, n_rows)`` of the surveys whose rows are stored whole; the history is not read."""
+    from tallyrake.session import path_exists
+    if path_exists(spark, manifest_path(path)):
+        return spark.read.parquet(manifest_path(path))
+    return spark.createDataFrame([], f"{SURVEY_ID} string, n_rows long")
+
+
+def _commit(sizes: DataFrame, path: str) -> None:
+    sizes.coalesce(1).write.mode("append").parquet(manifest_path(path))
+
+
 def append_history(spark: SparkSession, path: str, batch: DataFrame) -> int:
     """S16 + U1 + J3: idempotent append of complete cases tagged with ``survey_id``.
 
-    The table is partitioned by survey and each survey is written by dynamic partition
-    overwrite, so a survey whose write died half way is completed by the next try: stored
-    means "holds as many rows as the upload", not "has some rows".  Returns the rows
-    appended (0 when every survey of the batch was already stored whole)."""
-    from tallyrake.session import path_exists
-    batch = batch.cache()
-    sizes = batch.groupBy(SURVEY_ID).agg(F.count(F.lit(1)).alias("n_new"))
-    if path_exists(spark, path):
-        stored = spark.read.parquet(path).groupBy(SURVEY_ID).agg(F.count(F.lit(1)).alias("n_old"))
-        sizes = sizes.join(stored, SURVEY_ID, "left").filter("n_old is null or n_old < n_new")
-    fresh = batch.join(sizes.select(SURVEY_ID), SURVEY_ID, "left_semi")
-    n = fresh.count()
-    if n:
-        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy(SURVEY_ID).parquet(path))
-    batch.unpersist()
-    return n
+    A survey counts as stored once its row is in the manifest, which is written after its data.
+    The data are partitioned by survey and written by dynamic partition overwrite, so a job that
+    died before the manifest is done over by the next one, with the same files' content.  Only
+    the manifest is read, never the history.  Returns the rows appended (0 when every survey of
+    the batch was already stored)."""
+    batch = batch.persist()
+    try:
+        sizes = cut_lineage(batch.groupBy(SURVEY_ID).agg(F.count(F.lit(1)).alias("n_rows"))
+                            .join(stored_surveys(spark, path).select(SURVEY_ID), SURVEY_ID, "left_anti"))
+        n = sizes.agg(F.sum("n_rows")).first()[0] or 0
+        if n:
+            fresh = batch.join(sizes.select(SURVEY_ID), SURVEY_ID, "left_semi")
+            (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                  .partitionBy(SURVEY_ID).parquet(path))
+            _commit(sizes.select(SURVEY_ID, "n_rows"), path)
+        return n
+    finally:
+        batch.unpersist()
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
+    """The rows of the surveys that are stored whole."""
+    rows = spark.read.parquet(path)
+    return rows.join(stored_surveys(spark, path).select(SURVEY_ID).distinct(), SURVEY_ID, "left_semi").select(*rows.columns)

@@ -131,6 +131,25 @@ def test_a_half_written_survey_is_completed(spark, tmp_dir):
     assert append_history(spark, path, whole) == 3 and read_history(spark, path).count() == 3
 
 
+def test_a_job_killed_before_the_manifest_is_done_over(spark, tmp_dir, monkeypatch):
+    from tallyrake.sources import history
+    path = os.path.join(tmp_dir, "hist")
+    one, two = (spark.createDataFrame([(float(i), s) for i in range(5)], f"edad double, {SURVEY_ID} string") for s in ("s1", "s2"))
+    assert append_history(spark, path, one) == 5
+    real = history._commit
+
+    def killed(*_):
+        raise KeyboardInterrupt
+    monkeypatch.setattr(history, "_commit", killed)
+    with pytest.raises(KeyboardInterrupt):
+        append_history(spark, path, two)
+    assert read_history(spark, path).count() == 5                   # what is not committed does not show
+    monkeypatch.setattr(history, "_commit", real)
+    assert append_history(spark, path, two.union(one)) == 5 and append_history(spark, path, two) == 0
+    assert read_history(spark, path).groupBy(SURVEY_ID).count().filter("count = 5").count() == 2
+    assert all("_manifest" in f for f in history.stored_surveys(spark, path).inputFiles())
+
+
 def test_text_is_stripped_of_all_white_space(spark):
     from tallyrake.functions.recode import norm_text
     df = spark.createDataFrame([("\tSecundario \n",), ("\u00a0A b\u3000",), (None,)], "x string")
