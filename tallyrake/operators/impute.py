@@ -7,8 +7,8 @@ score uses OLS unless its R2 on a 70/30 split is <= 0.15, in which case the exac
 median fills it.
 
 Encoding (M1, J6): drop-first one-hot of the sorted training levels, numbers pass
-through, unseen or null levels give all zeros.  The indicators are a ``SQLTransformer``
-stage *inside* the saved ``PipelineModel``, so the encoding used at training is the
+through, unseen or null levels give all zeros.  The dictionary of levels
+and the sparse indicators are stages *inside* the saved ``PipelineModel``, so the encoding used at training is the
 one used at imputation and scoring (fixes D1 / D2 of the survey).  Every fit is a
 distributed ``pyspark.ml`` fit over the complete cases; nothing is collected but the
 level lists (bounded by the category cardinality) and the metrics.
@@ -16,12 +16,11 @@ level lists (bounded by the category cardinality) and the metrics.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,7 +44,6 @@ SPLIT_SEED = 42
 MAX_ITER = 2000
 C_INVERSE_REG = 1.0
 SCORE_RANGE = (0.0, 100.0)
-MAX_LEVELS = 100_000
 
 FEATURES = "features"
 LABEL = "_label"
@@ -59,19 +57,15 @@ class ImputationError(ValueError):
 # ----------------------------------------------------------------------- encoding (M1)
 
 def level_sets(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null values of several columns in **one** aggregation
-    (``collect_set`` per column with map-side combine; bounded by the cardinality)."""
+    """Sorted distinct non-null values of several columns in **one** pass, distributed by (column,
+    value); the driver gets the lists, which are part of the model it keeps."""
     if not columns:
         return {}
-    row = df.agg(*[F.slice(F.collect_set(F.col(c).cast("string")), 1, MAX_LEVELS + 1).alias(c)
-                   for c in columns]).first()
-    out = {}
-    for c in columns:
-        vals = row[c] or []
-        if len(vals) > MAX_LEVELS:
-            raise ImputationError(f"too many levels in {c}")
-        out[c] = sorted(vals)
-    return out
+    named = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    for c, v in df.select(F.explode(named).alias("x")).select("x.*").filter("v is not null").distinct().toLocalIterator():
+        out[c].append(v)
+    return {c: sorted(v) for c, v in out.items()}
 
 
 def dummy_levels(df: DataFrame, predictors: list[str]) -> dict[str, list[str]]:
@@ -80,25 +74,23 @@ def dummy_levels(df: DataFrame, predictors: list[str]) -> dict[str, list[str]]:
     return {c: v[1:] for c, v in level_sets(df, cats).items()}
 
 
-def _sql_lit(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def encoding_stages(predictors: list[str], levels: dict[str, list[str]]) -> list:
-    """SQLTransformer (indicators) + VectorAssembler; the indicator list is the stored
-    training level list, so a row's encoding never depends on its own batch."""
-    exprs, names = [], []
-    for c in predictors:
-        if c in NUMERIC_PREDICTORS:
-            names.append(c)
-            continue
-        for i, lvl in enumerate(levels[c]):
-            name = f"_d_{c}_{i}"
-            exprs.append(f"CAST(coalesce(CAST(`{c}` AS STRING) = {_sql_lit(lvl)}, false) AS DOUBLE) AS `{name}`")
-            names.append(name)
-    stmt = "SELECT *" + "".join(f", {e}" for e in exprs) + " FROM __THIS__"
-    return [SQLTransformer(statement=stmt),
-            VectorAssembler(inputCols=names, outputCol=FEATURES, handleInvalid="keep")]
+    """Dictionary lookup, sparse indicators and assembler; the stored training levels decide, so a
+    row's encoding never depends on its own batch.
+
+    The first level is left out of the dictionary: it, unseen levels and null share the index after
+    the last one, which the encoder drops, so all three give zeros."""
+    cats = [c for c in predictors if c not in NUMERIC_PREDICTORS and levels[c]]
+    names = [c if c in NUMERIC_PREDICTORS else f"_d_{c}" for c in predictors if c in NUMERIC_PREDICTORS or c in cats]
+    stages: list = []
+    if cats:
+        stages = [StringIndexerModel.from_labels(levels[c], inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep") for c in cats]
+        none = SparkSession.active().createDataFrame([], ", ".join(f"`{c}` string" for c in cats))
+        for st in stages:
+            none = st.transform(none)
+        stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in cats], outputCols=[f"_d_{c}" for c in cats],
+                                    dropLast=True).fit(none))             # sizes are in the columns' metadata
+    return [*stages, VectorAssembler(inputCols=names, outputCol=FEATURES, handleInvalid="keep")]
 
 
 TEXT_COLUMNS = ["sexo", "estrato", "nivel_educativo", "voto", "voto_anterior"]
@@ -111,6 +103,9 @@ def normalize_text_columns(df: DataFrame, columns: list[str] = TEXT_COLUMNS) ->
     return df.withColumns({c: norm_text(c) for c in columns if c in df.columns})
 
 
+#: Most features that Spark's normal equations take (it holds a triangle of their products).
+NORMAL_FEATURES = 4000
+
 # ----------------------------------------------------------------------- split (M4)
 
 SPLIT_ID = "encuesta"
@@ -177,28 +172,23 @@ def aggregate_profiles(df: DataFrame, predictors: list[str], target: str) -> Dat
                                         F.count(F.lit(1)).cast("double").alias(WEIGHT)))
 
 
-def _fit_input(agg: DataFrame, predictors: list[str], extra_sets: list[str],
-               levels: dict[str, list[str]] | None, label_stages: list, label_col: str):
-    """One job for (rows, total weight, level sets); then the feature table, sized to
+def _fit_input(agg: DataFrame, predictors: list[str], levels: dict[str, list[str]] | None, label_stages: list, label_col: str):
+    """Rows, total weight and level lists; then the feature table of sparse vectors, sized to
     ~CASES_PER_PARTITION rows per partition and persisted for the optimiser passes."""
     from pyspark import StorageLevel
     cats = [c for c in predictors if c not in NUMERIC_PREDICTORS]
-    cols = cats + extra_sets
-    row = agg.agg(F.count(F.lit(1)).alias("_rows"), F.sum(WEIGHT).alias("_n"),
-                  *[F.slice(F.collect_set(F.col(c).cast("string")), 1, MAX_LEVELS + 1).alias(c)
-                    for c in cols]).first()
-    sets = {c: sorted(row[c] or []) for c in cols}
-    if any(len(v) > MAX_LEVELS for v in sets.values()):
-        raise ImputationError("too many levels")
-    levels = levels or {c: sets[c][1:] for c in cats}
+    row = agg.agg(F.count(F.lit(1)).alias("_rows"), F.sum(WEIGHT).alias("_n")).first()
+    levels = levels or {c: v[1:] for c, v in level_sets(agg, cats).items()}
     enc = encoding_stages(predictors, levels)
     x = agg
     for st in label_stages:
         x = st.transform(x)
-    feats = enc[1].transform(enc[0].transform(x)).select(FEATURES, label_col, WEIGHT)
+    for st in enc:
+        x = st.transform(x)
+    feats = x.select(FEATURES, label_col, WEIGHT)
     parts = max(1, -(-(row["_rows"] or 0) // CASES_PER_PARTITION))
     feats = feats.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    return feats, enc, sets, (row["_n"] or 0.0)
+    return feats, enc, (row["_n"] or 0.0)
 
 
 def fit_classifier(train: DataFrame, predictors: list[str], target: str,
@@ -213,7 +203,7 @@ def fit_classifier(train: DataFrame, predictors: list[str], target: str,
     if len(labels) < 2:
         raise ImputationError(f"{target} has a single class; cannot train")
     indexer = StringIndexerModel.from_labels(labels, inputCol=target, outputCol=LABEL)
-    feats, enc, _, n = _fit_input(agg, predictors, [], levels, [indexer], LABEL)
+    feats, enc, n = _fit_input(agg, predictors, levels, [indexer], LABEL)
     try:
         lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PRED_INDEX,
                                 weightCol=WEIGHT, family="auto", regParam=1.0 / (C_INVERSE_REG * n),
@@ -228,12 +218,13 @@ def fit_classifier(train: DataFrame, predictors: list[str], target: str,
 def coefficient_table(spark, model: PipelineModel) -> DataFrame:
     """``(cls, predictor, level, coefficient)`` of a classifier or regressor (``cls`` null), with the
     intercepts; a binary classifier is told as its two classes with opposite halves."""
-    statement, assembler, fitted = model.stages[0].getStatement(), model.stages[1], model.stages[2]
-    levels = {m[2]: (m[0], m[1].replace("\\'", "'").replace("\\\\", "\\")) for m in re.findall(
-        r"CAST\(`([^`]*)` AS STRING\) = '((?:[^'\\]|\\.)*)', false\) AS DOUBLE\) AS `([^`]*)`", statement)}
-    names = [levels.get(c, (c, "")) for c in assembler.getInputCols()]
+    at = next(i for i, st in enumerate(model.stages) if isinstance(st, VectorAssembler))
+    fitted, names = model.stages[at + 1], []
+    levels = {st.getInputCol(): st.labels for st in model.stages[:max(0, at - 1)]}
+    for c in model.stages[at].getInputCols():
+        names += [(c[3:], v) for v in levels[c[3:]]] if c.startswith("_d_") else [(c, "")]
     if hasattr(fitted, "coefficientMatrix"):
-        classes, matrix = model.stages[3].getLabels(), fitted.coefficientMatrix.toArray()
+        classes, matrix = model.stages[at + 2].getLabels(), fitted.coefficientMatrix.toArray()
         intercepts = list(fitted.interceptVector.toArray())
         if len(matrix) == 1:
             matrix, intercepts = [-matrix[0] / 2, matrix[0] / 2], [-intercepts[0] / 2, intercepts[0] / 2]
@@ -246,21 +237,23 @@ def coefficient_table(spark, model: PipelineModel) -> DataFrame:
 
 def fit_regressor(train: DataFrame, predictors: list[str], target: str,
                   levels: dict[str, list[str]] | None = None) -> PipelineModel:
-    """Ordinary least squares (normal equations, no penalty) on predictor profiles."""
+    """Ordinary least squares (no penalty) on predictor profiles: normal equations up to
+    ``NORMAL_FEATURES`` indicators, beyond that by gradients to the same optimum."""
     agg = aggregate_profiles(train, predictors, target)
-    feats, enc, _, n = _fit_input(agg, predictors, [], levels, [], target)
+    feats, enc, n = _fit_input(agg, predictors, levels, [], target)
     try:
         if n == 0:
             raise ImputationError(f"no complete cases to train {target}")
+        width = sum(len(st.labels) for st in enc[:-2])
         model = LinearRegression(featuresCol=FEATURES, labelCol=target, predictionCol=f"{target}_pred",
-                                 weightCol=WEIGHT, regParam=0.0, solver="normal").fit(feats)
+                                 weightCol=WEIGHT, regParam=0.0, solver="normal" if width < NORMAL_FEATURES else "l-bfgs").fit(feats)
     finally:
         feats.unpersist()
     return PipelineModel(stages=[*enc, model])
 
 
 def _drop_model_cols(df: DataFrame) -> DataFrame:
-    junk = [c for c in df.columns if c.startswith("_d_") or c in (FEATURES, "rawPrediction", "probability",
+    junk = [c for c in df.columns if c.startswith(("_d_", "_i_")) or c in (FEATURES, "rawPrediction", "probability",
                                                                    PRED_INDEX)]
     return df.drop(*junk)
 

@@ -28,7 +28,9 @@ def test_encoding_drop_first_and_unseen(spark):
     assert levels == {"sexo": ["b", "c"]}
     st = I.encoding_stages(["sexo", "edad"], levels)
     new = spark.createDataFrame([("zzz", 5.0), (None, 6.0), ("c", 7.0)], "sexo string, edad double")
-    vecs = [list(r["features"]) for r in st[1].transform(st[0].transform(new)).collect()]
+    for stage in st:
+        new = stage.transform(new)
+    vecs = [list(r["features"]) for r in new.collect()]
     assert vecs == [[0.0, 0.0, 5.0], [0.0, 0.0, 6.0], [0.0, 1.0, 7.0]]
 
 
@@ -94,3 +96,14 @@ def test_split_without_ids_divides_equal_rows(spark):
     df = spark.createDataFrame([("a",)] * 10 + [("b",)] * 7, "x string")
     train, test = I.split(df)
     assert train.count() == 12 and test.count() == 5
+
+
+def test_a_predictor_with_200_000_levels_trains(spark):
+    n = 200_000
+    df = spark.range(2 * n).select((F.col("id") % n).cast("string").alias("estrato"), F.lit("f").alias("sexo"),
+                                   F.when(F.col("id") % n % 10 < 7, "a").otherwise("b").alias("voto"), F.lit(30.0).alias("edad"))
+    model = I.fit_classifier(df, ["edad", "sexo", "estrato"], "voto")
+    table = I.coefficient_table(spark, model)
+    assert table.filter("predictor = 'estrato' and cls = 'a'").count() == n - 1 and table.filter("predictor = 'sexo'").isEmpty()
+    got = model.transform(df.filter("cast(estrato as int) < 20").distinct()).select("voto", "voto_pred").collect()
+    assert len(got) == 20 and all(r["voto"] == r["voto_pred"] for r in got if r["voto"] == "a")
