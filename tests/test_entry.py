@@ -46,3 +46,20 @@ def test_process_and_dashboard_end_to_end(spark):
     d = dashboard(w, res.variables, res.targets, unit="m")
     assert d.tracking_score.count() > 0 and d.test.count() == 1
     assert d.report_weights.count() == 22
+
+
+def test_the_library_stands_without_the_corpus_operators(tmp_path):
+    """A copy without the corpus folder still lists its queries, with or without the pipeline's file."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "tallyrake"), tmp_path / "tallyrake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = ("import __spark_entry__ as e; q = e.queries(); "
+            "assert len(q) > 50 and set(e.oracle_sql()) <= set(q) and 'pipeline' not in q and not any(k.startswith('op') for k in q)")
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+        if os.path.exists(os.path.join(root, "corpus_pipeline.py")):
+            shutil.copy(os.path.join(root, "corpus_pipeline.py"), tmp_path)
