@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyrake.session import cut_lineage
+
 # Fixed value: normal quantile of the 95 % intervals.
 Z95 = 1.96
+# Most candidates that get a column of their own in the wide tables.
+MAX_WIDE = 1000
 # Scores are summed around the multiples of this.
 STRETCH = 1024.0
 
@@ -73,14 +77,17 @@ def score_intervals(df: DataFrame, window_col: str, weight_col: str | None,
                       (F.col("imagen_media") + moe).alias("ls_95"))
 
 
-def candidates(df: DataFrame, candidate_col: str = "voto") -> list:
-    """Sorted distinct non-null candidates (the output width of the vote tables).
+def candidates(df: DataFrame, candidate_col: str = "voto", most: int | None = None) -> list:
+    """Sorted distinct non-null candidates, of which there must not be more than ``most``
+    (default ``MAX_WIDE``): they become column names.  The long tables need no such list.
 
     A null vote never matches a candidate but its weight stays in the window total,
     as in the reference's indicator columns.
     """
-    vals = [r[0] for r in df.select(candidate_col).filter(F.col(candidate_col).isNotNull())
-            .distinct().collect()]
+    most = MAX_WIDE if most is None else most
+    vals = [r[0] for r in df.select(candidate_col).filter(F.col(candidate_col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(vals) > most:
+        raise ValueError(f"more than {most} candidates: use the long form")
     return sorted(vals)
 
 
@@ -125,20 +132,32 @@ def vote_intervals(df: DataFrame, window_col: str, weight_col: str | None,
                        ((p - moe) * 100).alias("li"), ((p + moe) * 100).alias("ls"))
 
 
-def vote_wide(df: DataFrame, window_col: str, weight_col: str | None,
-              candidate_col: str = "voto", cands: list | None = None, prefix: str = "vota_") -> DataFrame:
-    """One column per candidate (``vota_<candidate>``), zero-filled."""
-    cands = candidates(df, candidate_col) if cands is None else cands
-    return _vote_wide_direct(df, window_col, _w(weight_col), F.col(candidate_col), cands, prefix)
-
+def vote_wide(df: DataFrame, window_col: str, weight_col: str | None, candidate_col: str = "voto",
+              cands: list | None = None, prefix: str = "vota_", max_columns: int | None = None,
+              others: str = "otros candidatos") -> DataFrame:
+    """One column per candidate (``vota_<candidate>``), zero-filled.
 
-def _vote_wide_direct(df, window_col, w, c, cands, prefix):
-    aggs = [F.sum(w).alias("_sw")] + [
-        F.sum(F.when(c == F.lit(k), w).otherwise(F.lit(0.0))).alias(f"_c{i}")
-        for i, k in enumerate(cands)]
-    g = df.groupBy(window_col).agg(*aggs)
-    return g.select(window_col, *[(F.col(f"_c{i}") / F.col("_sw") * 100).alias(f"{prefix}{k}")
-                                  for i, k in enumerate(cands)])
+    At most ``max_columns`` (default ``MAX_WIDE``) candidates get a column, those with the most
+    weight (ties by name); if there are more, the others share the column ``others``.  The long
+    form (``track_vote``) is the exact way for any number.  The rows are summed once by window
+    and candidate; the columns are laid out from that table, not by an aggregate each."""
+    w, most = _w(weight_col), MAX_WIDE if max_columns is None else max_columns
+    votes = cut_lineage(df.groupBy(window_col, F.col(candidate_col).cast("string").alias("candidate")).agg(F.sum(w).alias("_wc")))
+    names = cands
+    if cands is None:
+        ranked = (votes.filter("candidate is not null").groupBy("candidate").agg(F.sum("_wc").alias("_wc"))
+                  .orderBy(F.desc("_wc"), "candidate").limit(most + 1))
+        got = [r["candidate"] for r in ranked.collect()]
+        names = sorted(got[:most]) + ([others] if len(got) > most else [])
+        if len(got) > most and others in got[:most]:
+            raise ValueError(f"a candidate is called {others!r}: name the column of the others differently")
+    known = F.col("candidate").isin([str(c) for c in names])
+    label = F.when(known, F.col("candidate")).when(F.col("candidate").isNotNull() & F.lit(others in names and cands is None), F.lit(others))
+    laid = (votes.withColumn("_c", label).groupBy(window_col, "_c").agg(F.sum("_wc").alias("_wc"))
+            .groupBy(window_col).agg(F.sum("_wc").alias("_sw"), F.map_from_entries(
+                F.collect_list(F.when(F.col("_c").isNotNull(), F.struct("_c", "_wc")))).alias("_m")))      # max_columns + 1 entries
+    return laid.select(window_col, *[
+        (F.coalesce(F.try_element_at("_m", F.lit(str(k))), F.lit(0.0)) / F.col("_sw") * 100).alias(f"{prefix}{k}") for k in names])
 
 
 def melt_wide(wide: DataFrame, id_col: str, prefix: str = "vota_",

@@ -39,8 +39,7 @@ def dashboard(weighted: DataFrame, variables: list[str], targets, unit: str = "s
     The test defaults to the reference's choice (first vs last weekly window,
     unweighted) whatever the unit; ``test_pairs='consecutive'`` tests every window."""
     win, w = UNIT[unit]
-    cands = trk.candidates(weighted)
-    wide = trk.vote_wide(weighted, win, w, cands=cands)
+    wide = trk.vote_wide(weighted, win, w)
     rep = report_rake(weighted, variables, targets)
     return Dashboard(
         tracking_score=trk.track_score(weighted, win, w),
@@ -51,6 +50,6 @@ def dashboard(weighted: DataFrame, variables: list[str], targets, unit: str = "s
         report_sample_vs_target=sample_vs_population(rep),
         report_weights=weight_summary(rep),
         intervals_score=trk.score_intervals(weighted, win, w),
-        intervals_vote=trk.vote_intervals(weighted, win, w, cands=cands),
+        intervals_vote=trk.vote_intervals(weighted, win, w),
         test=test_change(weighted, test_window, "imagen_del_candidato", test_pairs),
     )

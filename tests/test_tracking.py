@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyrake.operators import tracking as trk
 
 
@@ -62,3 +64,17 @@ def test_spread_keeps_its_digits_far_from_zero(spark):
     near = score_intervals(spark.createDataFrame([("a", 1e9 + i % 3, 1.0) for i in range(300)], "win string, imagen_del_candidato double, peso double"),
                            "win", "peso").first()
     assert abs(near["moe_95"] - 1.96 * (2 / 3) ** 0.5 / 300 ** 0.5) < 1e-12
+
+
+def test_wide_votes_of_very_many_candidates(spark):
+    df = spark.range(120_000).select((F.col("id") % 3).alias("win"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("c"), F.col("id") % 5))
+                                     .when(F.col("id") % 4 < 3, F.concat(F.lit("rare"), F.col("id"))).alias("voto"), F.lit(2.0).alias("peso"))
+    wide = trk.vote_wide(df, "win", "peso", max_columns=5)
+    assert wide.columns == ["win", *[f"vota_c{i}" for i in range(5)], "vota_otros candidatos"]
+    for r in wide.collect():
+        assert abs(r["vota_otros candidatos"] - 50) < 1e-9 and abs(sum(r[1:6]) - 25) < 1e-9
+    with pytest.raises(ValueError, match="long form"):
+        trk.candidates(df)
+    assert trk.candidates(df.filter("id % 4 = 0")) == [f"c{i}" for i in range(5)]
+    few = trk.vote_wide(df.filter("id % 4 = 0 and id < 8"), "win", None, max_columns=5).orderBy("win").collect()
+    assert [tuple(r) for r in few] == [(0, 100.0, 0.0), (1, 0.0, 100.0)]
