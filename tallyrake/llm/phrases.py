@@ -44,7 +44,8 @@ from .common import release, staged
 
 LEAST, LONGEST, TOP, INSIDE = 10, 3, 2000, 50
 FILTER_BITS = 1 << 28
-FLUSH = 1 << 21                   # entries a task collects before it sorts and sends them
+TOP_PARTS = 16
+FLUSH = 1 << 20                   # entries a task collects before it sorts and sends them
 BUCKET_WORDS = 1 << 19            # words per bucket of the fingerprint space
 FAN_BITS = 12                     # buckets dealt in one round: 2^12
 LENGTH_BITS = 3                   # lowest bits of a fingerprint: its number of words
@@ -378,6 +379,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
              .union(cuts.filter("k = n - 1").select("lfp", "lck", "a", "n"))
              .filter("n > 2").groupBy("fp", "ck").agg(F.max("a").alias("longer")))
     left = best.join(inner, ["fp", "ck"], "left").filter(f"longer is null or 100 * longer < {int(inside)} * a")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    by = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    # a language's phrases are ranked in TOP_PARTS parts first, so its last task gets at most that many times top
+    left = left.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(TOP_PARTS))).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*by))).filter(F.col("rank") <= top)
+    first = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).filter(F.col("rank") <= top)
     return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
