@@ -3,8 +3,9 @@
 Byte-level BPE never merges across words, so a text's ids are its words' ids in order.
 
 1. *Word table*: texts are split into words in Spark tasks, words are counted with map-side
-   combining, and the ``TABLE_WORDS`` most frequent ones (a documented bound on what is sent
-   to every task) are encoded once each by the tokenizers library.  Their ids are exploded and
+   combining, and ``TABLE_WORDS`` frequent ones (a documented bound on what is sent to every
+   task; words met once between two flushes of a task are not counted, so not exactly the most
+   frequent ones) are encoded once each by the tokenizers library.  Their ids are exploded and
    joined with the id-to-piece table (a fixed vocabulary of 50,257 rows), which gives each word
    the bytes that its ids decode to.
 2. *Join by position*: every task looks its texts' words up in that table, in order; a word
@@ -20,7 +21,9 @@ is fast; others with the library's pre-tokenizer itself.  The strings of added t
 ``<|endoftext|>``) are cut out of texts first, as the library does by default.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows
-and null ids give a row each; only the id and text columns are read.
+and null ids give a row each; very long texts are encoded whole in one task; which of equally
+frequent words the table holds changes no result; an empty table gives no rows; only the id and
+text columns are read.
 """
 
 from __future__ import annotations
