@@ -377,19 +377,20 @@ def history_monthly_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Each month is an upload with its own fingerprint; complete
     cases of the previous-vote model are appended to the training history twice -
     the second append adds nothing (anti-join on the survey id)."""
-    from tallyrake.session import scratch_path
+    from tallyrake.session import cut_lineage, scratch_path
     from tallyrake.sources.history import SURVEY_ID, append_history, fingerprint, read_history
-    df, _ = _prepared(spark, sf)
+    df, _ = _prepared(spark, sf, persist=True)
     cols = ["edad", "sexo", "estrato", "nivel_educativo", "voto_anterior"]
     obs = df.select("win_m", *SURVEY_COLUMNS)
-    ids = fingerprint(obs, SURVEY_COLUMNS, by=["win_m"])
-    batch = obs.join(ids, "win_m").select(*cols, SURVEY_ID).dropna()
+    ids = cut_lineage(fingerprint(obs, SURVEY_COLUMNS, by=["win_m"]))          # a row per month
+    batch = obs.join(F.broadcast(ids), "win_m").select(*cols, SURVEY_ID).dropna()
     path = scratch_path(spark, "history")
     first = append_history(spark, path, batch)
     second = append_history(spark, path, batch)
-    hist = read_history(spark, path)
-    return (hist.join(ids, SURVEY_ID).groupBy("win_m")
-                .agg(F.count(F.lit(1)).alias("n_cases"), F.countDistinct(SURVEY_ID).alias("n_ids"))
+    # counted per survey before the join: the stored files look small, but their rows are not
+    hist = read_history(spark, path).groupBy(SURVEY_ID).agg(F.count(F.lit(1)).alias("n"))
+    return (hist.join(F.broadcast(ids), SURVEY_ID).groupBy("win_m")
+                .agg(F.sum("n").alias("n_cases"), F.countDistinct(SURVEY_ID).alias("n_ids"))
                 .withColumn("appended_total", F.lit(first + second).cast("long")))
 
 

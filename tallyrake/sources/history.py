@@ -80,7 +80,8 @@ def append_history(spark: SparkSession, path: str, batch: DataFrame) -> int:
         n = sizes.agg(F.sum("n_rows")).first()[0] or 0
         if n:
             fresh = batch.join(sizes.select(SURVEY_ID), SURVEY_ID, "left_semi")
-            (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            # a few tasks per survey, not every task a file of every survey; big surveys are divided
+            (fresh.hint("rebalance", SURVEY_ID).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                   .partitionBy(SURVEY_ID).parquet(path))
             _commit(sizes.select(SURVEY_ID, "n_rows"), path)
         return n

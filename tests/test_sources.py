@@ -154,3 +154,13 @@ def test_text_is_stripped_of_all_white_space(spark):
     from tallyrake.functions.recode import norm_text
     df = spark.createDataFrame([("\tSecundario \n",), ("\u00a0A b\u3000",), (None,)], "x string")
     assert [r[0] for r in df.select(norm_text("x")).collect()] == ["secundario", "a b", None]
+
+
+def test_history_files_by_survey_not_by_task(spark, tmp_dir):
+    """A survey's rows are brought together before the write: no file of every survey from every task."""
+    import glob
+    rows = [(float(i), f"s{i % 5}") for i in range(400)]
+    batch = spark.createDataFrame(rows, f"edad double, {SURVEY_ID} string").repartition(8)
+    path = f"{tmp_dir}/by-survey"
+    assert append_history(spark, path, batch) == 400
+    assert len(glob.glob(f"{path}/*/*.parquet")) == 5 and read_history(spark, path).count() == 400
