@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexerModel, VectorAssembler
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyrake.functions.recode import norm_text
+from tallyrake.session import cut_lineage
 
 # Predictors per target (chained order), gates and split.
 PREDICTORS = {
@@ -118,22 +120,26 @@ def split(df: DataFrame, target: str | None = None, fraction: float = TRAIN_FRAC
     training side (without an id column: of all columns; equal rows are interchangeable).
 
     The hash depends on the interview alone, so membership is the same under any
-    partitioning and when a stage is run again.  Ranks are taken inside (class, 16-bit
-    hash bucket): bucket counts say how many rows of each bucket train, so no class has
-    to be sorted in one task."""
+    partitioning and when a stage is run again.  Counts by (class, 16-bit hash bucket) give the
+    one bucket of each class where the training side ends; only that bucket's rows are ranked,
+    every other row is told by its own bucket, so the survey is neither shuffled nor sorted."""
     cls = F.coalesce(F.col(target).cast("string"), F.lit("")) if target else F.lit("")
     key = [SPLIT_ID] if SPLIT_ID in df.columns else df.columns
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
     tagged = (df.withColumns({"_cls": cls, "_h": F.md5(text)})
                 .withColumn("_bucket", F.substring("_h", 1, 4)))
     own = Window.partitionBy("_cls")             # at most 65,536 buckets a class
-    before = F.coalesce(F.sum("_n").over(own.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    share = (tagged.groupBy("_cls", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-             .select("_cls", "_bucket", (F.floor(fraction * F.sum("_n").over(own) + 0.5) - before).alias("_left")))
-    rank = F.row_number().over(Window.partitionBy("_cls", "_bucket").orderBy("_h", *key))
-    sides = tagged.join(share, ["_cls", "_bucket"]).withColumn("_train", rank <= F.col("_left"))
-    tidy = ["_cls", "_h", "_bucket", "_left", "_train"]
-    return sides.filter("_train").drop(*tidy), sides.filter("not _train").drop(*tidy)
+    upto = F.sum("_n").over(own.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    left = F.floor(fraction * F.sum("_n").over(own) + 0.5) - (upto - F.col("_n"))
+    cuts = cut_lineage(tagged.groupBy("_cls", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+                       .select("_cls", F.col("_bucket").alias("_cut"), "_n", left.alias("_left"))
+                       .filter("_left >= 0 and _left < _n").drop("_n"))            # a row per class; none if all train
+    sides = tagged.join(F.broadcast(cuts), "_cls", "left")
+    rank = F.row_number().over(own.orderBy("_h", *key))
+    edge = cut_lineage(sides.filter("_bucket = _cut").withColumn("_train", rank <= F.col("_left"))
+                       .select(*df.columns, "_train"))
+    return (sides.filter("_cut is null or _bucket < _cut").select(*df.columns).union(edge.filter("_train").drop("_train")),
+            sides.filter("_bucket > _cut").select(*df.columns).union(edge.filter("not _train").drop("_train")))
 
 
 def with_id(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -174,8 +180,9 @@ def aggregate_profiles(df: DataFrame, predictors: list[str], target: str) -> Dat
 
 def _fit_input(agg: DataFrame, predictors: list[str], levels: dict[str, list[str]] | None, label_stages: list, label_col: str):
     """Rows, total weight and level lists; then the feature table of sparse vectors, sized to
-    ~CASES_PER_PARTITION rows per partition and persisted for the optimiser passes."""
-    from pyspark import StorageLevel
+    ~CASES_PER_PARTITION rows per partition and persisted for the optimiser passes.  ``agg`` is
+    persisted by the caller and filled by the count here, each of its partitions by a task of
+    its own: the few tasks that read it afterwards aggregate nothing."""
     cats = [c for c in predictors if c not in NUMERIC_PREDICTORS]
     row = agg.agg(F.count(F.lit(1)).alias("_rows"), F.sum(WEIGHT).alias("_n")).first()
     levels = levels or {c: v[1:] for c, v in level_sets(agg, cats).items()}
@@ -196,21 +203,24 @@ def fit_classifier(train: DataFrame, predictors: list[str], target: str,
     """Multinomial (or binary) logistic regression with L2, C = 1 in the reference's
     scale (``regParam = 1 / (C n)``), no standardisation, intercept unpenalised;
     fit on the aggregated complete cases with their counts as weights."""
-    agg = aggregate_cases(train, predictors, target)
-    labels = level_sets(agg, [target])[target]
-    if len(labels) == 0:
-        raise ImputationError(f"no complete cases to train {target}")
-    if len(labels) < 2:
-        raise ImputationError(f"{target} has a single class; cannot train")
-    indexer = StringIndexerModel.from_labels(labels, inputCol=target, outputCol=LABEL)
-    feats, enc, n = _fit_input(agg, predictors, levels, [indexer], LABEL)
+    agg = aggregate_cases(train, predictors, target).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = None
     try:
+        labels = level_sets(agg, [target])[target]
+        if len(labels) == 0:
+            raise ImputationError(f"no complete cases to train {target}")
+        if len(labels) < 2:
+            raise ImputationError(f"{target} has a single class; cannot train")
+        indexer = StringIndexerModel.from_labels(labels, inputCol=target, outputCol=LABEL)
+        feats, enc, n = _fit_input(agg, predictors, levels, [indexer], LABEL)
         lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PRED_INDEX,
                                 weightCol=WEIGHT, family="auto", regParam=1.0 / (C_INVERSE_REG * n),
                                 elasticNetParam=0.0, standardization=False, maxIter=MAX_ITER)
         model = lr.fit(feats)
     finally:
-        feats.unpersist()
+        if feats is not None:
+            feats.unpersist()
+        agg.unpersist()
     back = IndexToString(inputCol=PRED_INDEX, outputCol=f"{target}_pred", labels=labels)
     return PipelineModel(stages=[*enc, model, back])
 
@@ -239,16 +249,19 @@ def fit_regressor(train: DataFrame, predictors: list[str], target: str,
                   levels: dict[str, list[str]] | None = None) -> PipelineModel:
     """Ordinary least squares (no penalty) on predictor profiles: normal equations up to
     ``NORMAL_FEATURES`` indicators, beyond that by gradients to the same optimum."""
-    agg = aggregate_profiles(train, predictors, target)
-    feats, enc, n = _fit_input(agg, predictors, levels, [], target)
+    agg = aggregate_profiles(train, predictors, target).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = None
     try:
+        feats, enc, n = _fit_input(agg, predictors, levels, [], target)
         if n == 0:
             raise ImputationError(f"no complete cases to train {target}")
         width = sum(len(st.labels) for st in enc[:-2])
         model = LinearRegression(featuresCol=FEATURES, labelCol=target, predictionCol=f"{target}_pred",
                                  weightCol=WEIGHT, regParam=0.0, solver="normal" if width < NORMAL_FEATURES else "l-bfgs").fit(feats)
     finally:
-        feats.unpersist()
+        if feats is not None:
+            feats.unpersist()
+        agg.unpersist()
     return PipelineModel(stages=[*enc, model])
 
 

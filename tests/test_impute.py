@@ -107,3 +107,43 @@ def test_a_predictor_with_200_000_levels_trains(spark):
     assert table.filter("predictor = 'estrato' and cls = 'a'").count() == n - 1 and table.filter("predictor = 'sexo'").isEmpty()
     got = model.transform(df.filter("cast(estrato as int) < 20").distinct()).select("voto", "voto_pred").collect()
     assert len(got) == 20 and all(r["voto"] == r["voto_pred"] for r in got if r["voto"] == "a")
+
+
+def counted(spark, df):
+    """``df`` and a counter of the rows that are computed from its source."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def count(row):
+        rows.add(1)
+        return row
+    return spark.createDataFrame(df.rdd.map(count), df.schema), rows
+
+
+def test_a_fit_reads_its_input_once(spark):
+    df, rows = counted(spark, survey(spark).cache())
+    rows.value = 0
+    I.fit_classifier(df, I.PREDICTORS["voto"], "voto")
+    assert rows.value == 300
+    rows.value = 0
+    I.fit_regressor(df, I.PREDICTORS[I.NUMERIC_TARGET], I.NUMERIC_TARGET)
+    assert rows.value == 300
+
+
+def test_the_few_tasks_of_a_fit_aggregate_nothing(spark):
+    """Aggregation of every shuffle partition, one after the other, adds up in a coalesced task."""
+    seen, real = [], I._fit_input
+    I._fit_input = lambda a, *rest: (seen.append(a.storageLevel.useMemory), real(a, *rest))[1]
+    try:
+        I.fit_classifier(survey(spark), I.PREDICTORS["voto"], "voto")
+        I.fit_regressor(survey(spark), I.PREDICTORS[I.NUMERIC_TARGET], I.NUMERIC_TARGET)
+    finally:
+        I._fit_input = real
+    assert seen == [True, True]
+
+
+def test_split_does_not_sort_the_survey(spark):
+    train, test = I.split(survey(spark), "voto")
+    for side in (train, test):
+        text = side._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in text and "SortMergeJoin" not in text
+    assert train.union(test).count() == 300
