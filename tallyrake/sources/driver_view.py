@@ -76,10 +76,15 @@ def survey_view(spark: SparkSession, sf_dir: str, order_col: str = "_ord") -> Da
     return out.filter(F.col("estrato").isNotNull())
 
 
+#: Lines per task once they carry their interview's columns (narrow lines make large tasks by size).
+LINES_PER_TASK = 250_000
+
+
 def survey_with_duplicates(spark: SparkSession, sf_dir: str, order_col: str = "_ord") -> DataFrame:
     """Interviews repeated once per order line: ``encuesta = l_orderkey``,
     ``fecha = l_shipdate``, file order ``(l_orderkey, l_linenumber)``."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    li = li.repartition(max(spark.sparkContext.defaultParallelism, -(-li.count() // LINES_PER_TASK)), "l_orderkey")
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")

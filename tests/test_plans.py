@@ -40,3 +40,12 @@ def test_scan_reads_only_needed_columns(spark):
     df = survey_view(spark, SMALL_SF).select("encuesta", "edad")
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "o_orderpriority" not in text and "o_totalprice" not in text
+
+
+def test_lines_per_task_are_bounded(spark, monkeypatch):
+    """Tasks that sort lines with their interview's columns are dealt by lines, not by file size."""
+    from tallyrake.sources import driver_view as V
+    monkeypatch.setattr(V, "LINES_PER_TASK", 100)
+    n = V.read_table(spark, SMALL_SF, "lineitem").count()
+    text = V.survey_with_duplicates(spark, SMALL_SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in text and f", {-(-n // 100)}" in text
