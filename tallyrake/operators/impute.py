@@ -113,10 +113,12 @@ NORMAL_FEATURES = 4000
 SPLIT_ID = "encuesta"
 
 
-def split(df: DataFrame, target: str | None = None, fraction: float = TRAIN_FRACTION, seed: int = SPLIT_SEED,
-          ) -> tuple[DataFrame, DataFrame]:
-    """Deterministic 70/30 split, stratified by ``target``: of each class the first
-    ``floor(fraction * n + 0.5)`` interviews in the order of ``md5(seed|id)`` are the
+TRAIN = "_train"
+
+
+def split_sides(df: DataFrame, target: str | None = None, fraction: float = TRAIN_FRACTION, seed: int = SPLIT_SEED) -> DataFrame:
+    """Deterministic 70/30 split, stratified by ``target``, as the column ``_train``: of each class
+    the first ``floor(fraction * n + 0.5)`` interviews in the order of ``md5(seed|id)`` are the
     training side (without an id column: of all columns; equal rows are interchangeable).
 
     The hash depends on the interview alone, so membership is the same under any
@@ -136,10 +138,24 @@ def split(df: DataFrame, target: str | None = None, fraction: float = TRAIN_FRAC
                        .filter("_left >= 0 and _left < _n").drop("_n"))            # a row per class; none if all train
     sides = tagged.join(F.broadcast(cuts), "_cls", "left")
     rank = F.row_number().over(own.orderBy("_h", *key))
-    edge = cut_lineage(sides.filter("_bucket = _cut").withColumn("_train", rank <= F.col("_left"))
-                       .select(*df.columns, "_train"))
-    return (sides.filter("_cut is null or _bucket < _cut").select(*df.columns).union(edge.filter("_train").drop("_train")),
-            sides.filter("_bucket > _cut").select(*df.columns).union(edge.filter("not _train").drop("_train")))
+    edge = cut_lineage(sides.filter("_bucket = _cut").withColumn(TRAIN, rank <= F.col("_left"))
+                       .select(*df.columns, TRAIN))
+    others = sides.filter("_cut is null or _bucket != _cut").withColumn(TRAIN, F.expr("_cut is null or _bucket < _cut"))
+    return others.select(*df.columns, TRAIN).union(edge)
+
+
+def split(df: DataFrame, target: str | None = None, fraction: float = TRAIN_FRACTION, seed: int = SPLIT_SEED,
+          ) -> tuple[DataFrame, DataFrame]:
+    """The training and the test side of ``split_sides``."""
+    sides = split_sides(df, target, fraction, seed)
+    return sides.filter(TRAIN).drop(TRAIN), sides.filter(~F.col(TRAIN)).drop(TRAIN)
+
+
+def split_cases(data: DataFrame, predictors: list[str], target: str, stratify: str | None = None) -> DataFrame:
+    """Both sides collapsed to distinct (side, predictors, target) rows with a count by one pass over
+    the interviews; persisted, and read by the level lists, the fit and the report."""
+    return (split_sides(data, stratify).groupBy(TRAIN, *predictors, target)
+            .agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)).persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def with_id(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -163,8 +179,9 @@ def aggregate_cases(df: DataFrame, predictors: list[str], target: str) -> DataFr
     optimiser pass reads at most the number of distinct cases instead of every
     interview.  Pre-aggregation has map-side combine, so duplicated profiles cost
     nothing extra."""
-    return (df.select(*predictors, target).dropna()
-              .groupBy(*predictors, target).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)))
+    w = F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1)           # cases counted before
+    return (df.select(*predictors, target, w.alias(WEIGHT)).dropna()
+              .groupBy(*predictors, target).agg(F.sum(WEIGHT).cast("double").alias(WEIGHT)))
 
 
 def aggregate_profiles(df: DataFrame, predictors: list[str], target: str) -> DataFrame:
@@ -173,9 +190,13 @@ def aggregate_profiles(df: DataFrame, predictors: list[str], target: str) -> Dat
     Rows of one profile share the design row, so weighted least squares on
     (profile, mean, count) has the row-level OLS normal equations; the table is
     bounded by the product of the predictor levels, whatever the number of rows."""
-    return (df.select(*predictors, F.col(target).cast("double").alias(target)).dropna()
-              .groupBy(*predictors).agg(F.avg(target).alias(target),
-                                        F.count(F.lit(1)).cast("double").alias(WEIGHT)))
+    if WEIGHT in df.columns:                                          # cases counted before
+        mean, n = F.sum(F.col(target) * F.col(WEIGHT)) / F.sum(WEIGHT), F.sum(WEIGHT)
+    else:
+        mean, n = F.avg(target), F.count(F.lit(1)).cast("double")
+    kept = [WEIGHT] if WEIGHT in df.columns else []
+    return (df.select(*predictors, F.col(target).cast("double").alias(target), *kept).dropna()
+              .groupBy(*predictors).agg(mean.alias(target), n.alias(WEIGHT)))
 
 
 def _fit_input(agg: DataFrame, predictors: list[str], levels: dict[str, list[str]] | None, label_stages: list, label_col: str):
@@ -318,18 +339,29 @@ def regression_report(pred: DataFrame, target: str) -> DataFrame:
                     F.when(sst > 0, 1 - F.col("_sse") / sst).alias("r2"))
 
 
-def score_r2(df: DataFrame) -> float:
-    """Hold-out R2 of the score regression (-inf below 10 complete cases)."""
+def _score_report(df: DataFrame) -> DataFrame | None:
+    """Hold-out report of the score regression (None below 10 complete cases)."""
     preds = PREDICTORS[NUMERIC_TARGET]
-    data = with_id(df, [*preds, NUMERIC_TARGET])
-    if data.count() < MIN_CASES:
-        return float("-inf")
-    tr, te = split(data)
-    m = fit_regressor(tr, preds, NUMERIC_TARGET, dummy_levels(data, preds))
-    val = regression_report(m.transform(aggregate_cases(te, preds, NUMERIC_TARGET)), NUMERIC_TARGET).first()["r2"]
+    cases = split_cases(with_id(df, [*preds, NUMERIC_TARGET]), preds, NUMERIC_TARGET)
+    try:
+        if (cases.agg(F.sum(WEIGHT)).first()[0] or 0) < MIN_CASES:
+            return None
+        m = fit_regressor(cases.filter(TRAIN), preds, NUMERIC_TARGET, dummy_levels(cases, preds))
+        return cut_lineage(regression_report(m.transform(cases.filter(~F.col(TRAIN))), NUMERIC_TARGET))
+    finally:
+        cases.unpersist()
+
+
+def _r2(report: DataFrame | None) -> float:
+    val = report.first()["r2"] if report is not None else None
     return float(val) if val is not None else float("-inf")
 
 
+def score_r2(df: DataFrame) -> float:
+    """Hold-out R2 of the score regression (-inf below 10 complete cases)."""
+    return _r2(_score_report(df))
+
+
 def evaluate_models(df: DataFrame) -> Evaluation:
     """Hold-out evaluation of the three models on complete cases.
 
@@ -351,17 +383,10 @@ def evaluate_models(df: DataFrame) -> Evaluation:
                 skipped[target] = str(e)
         else:
             skipped[target] = f"fewer than {MIN_CASES} complete cases or a single class"
-    preds = PREDICTORS[NUMERIC_TARGET]
-    data = with_id(df, [*preds, NUMERIC_TARGET])
-    r2 = float("-inf")
-    if data.count() >= MIN_CASES:
-        tr, te = split(data)
-        m = fit_regressor(tr, preds, NUMERIC_TARGET, dummy_levels(data, preds))
-        rep = regression_report(m.transform(aggregate_cases(te, preds, NUMERIC_TARGET)), NUMERIC_TARGET)
-        metrics[f"{NUMERIC_TARGET}_report"] = rep
-        val = rep.first()["r2"]
-        r2 = float(val) if val is not None else float("-inf")
-    return Evaluation(r2, metrics, skipped)
+    report = _score_report(df)
+    if report is not None:
+        metrics[f"{NUMERIC_TARGET}_report"] = report
+    return Evaluation(_r2(report), metrics, skipped)
 
 
 # ----------------------------------------------------------------------- imputation (M7-M9)

@@ -101,3 +101,15 @@ def test_sex_normalised_first_option(spark):
     rows = [row(1, sexo="Femenino"), row(2, sexo=" masculino "), row(3, sexo="otro")]
     out = clean_survey(spark.createDataFrame(rows, SCHEMA), normalize_sex_first=True)
     assert sorted(r["sexo"] for r in out.collect()) == ["femenino", "masculino"]
+
+
+def test_strip_is_no_pattern_and_takes_every_white_space(spark):
+    from tallyrake.functions.recode import norm_text, strip_text
+    spaces = [chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                               0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
+    texts = ["", "a", "a b", "ñandú", "é", "​a", "a​", "\x7fa", "x" * 40, None, *spaces,
+             *[f"{s}a {s}é{s}" for s in spaces], *[f"{s}{s}ab" for s in spaces], *[f"ab\n{s}" for s in spaces]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip_text(F.col("t")).alias("s"))
+    assert all(r["s"] == (None if r["t"] is None else r["t"].strip("".join(spaces))) for r in df.collect())
+    plan = df.select(norm_text("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower()          # tried at every position of every text, in every pass

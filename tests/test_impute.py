@@ -147,3 +147,22 @@ def test_split_does_not_sort_the_survey(spark):
         text = side._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in text and "SortMergeJoin" not in text
     assert train.union(test).count() == 300
+
+
+def test_the_score_gate_reads_the_survey_three_times(spark):
+    """Once for the split's counts, once for its edge, once for the cases of both sides."""
+    df, rows = counted(spark, survey(spark).cache())
+    rows.value = 0
+    r2 = I.score_r2(df)
+    assert r2 > I.R2_GATE and rows.value == 3 * 300
+
+
+def test_counted_cases_weigh_as_their_rows(spark):
+    preds = I.PREDICTORS[I.NUMERIC_TARGET]
+    df = survey(spark).withColumn("edad", F.lit(30.0)).withColumn(I.NUMERIC_TARGET, F.floor(F.col(I.NUMERIC_TARGET) / 20))
+    cases = I.aggregate_cases(df, preds, I.NUMERIC_TARGET)
+    assert cases.count() < df.dropna().count()
+    again = I.aggregate_cases(cases, preds, I.NUMERIC_TARGET)
+    assert sorted(again.collect(), key=repr) == sorted(cases.collect(), key=repr)
+    by_row, by_case = ({r[:-2]: r[-2:] for r in I.aggregate_profiles(x, preds, I.NUMERIC_TARGET).collect()} for x in (df, cases))
+    assert by_row.keys() == by_case.keys() and all(by_row[k] == pytest.approx(by_case[k]) for k in by_row)
