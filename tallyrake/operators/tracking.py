@@ -94,12 +94,12 @@ def candidates(df: DataFrame, candidate_col: str = "voto", most: int | None = No
 def _vote_sums(df, window_col, weight_col, candidate_col, cands) -> DataFrame:
     """``(window, candidate, _wc, _sw, _sww)`` for every window and candidate, zero-filled.
 
-    One aggregation of the rows per (window, vote); window totals and the candidate list are
-    taken from it.  The zero-filled table is windows x candidates by definition, built by
+    One aggregation of the rows per (window, vote), computed once; window totals and the candidate
+    list are taken from it.  The zero-filled table is windows x candidates by definition, built by
     Spark from the two lists; nothing is collected."""
     w = _w(weight_col)
-    votes = df.groupBy(window_col, F.col(candidate_col).cast("string").alias("candidate")).agg(
-        F.sum(w).alias("_wc"), F.sum(w * w).alias("_wcc"))
+    votes = cut_lineage(df.groupBy(window_col, F.col(candidate_col).cast("string").alias("candidate")).agg(
+        F.sum(w).alias("_wc"), F.sum(w * w).alias("_wcc")))
     totals = votes.groupBy(window_col).agg(F.sum("_wc").alias("_sw"), F.sum("_wcc").alias("_sww"))
     if cands is None:
         names = votes.agg(F.sort_array(F.collect_set("candidate"))).scalar()       # a subquery: one array

@@ -78,3 +78,14 @@ def test_wide_votes_of_very_many_candidates(spark):
     assert trk.candidates(df.filter("id % 4 = 0")) == [f"c{i}" for i in range(5)]
     few = trk.vote_wide(df.filter("id % 4 = 0 and id < 8"), "win", None, max_columns=5).orderBy("win").collect()
     assert [tuple(r) for r in few] == [(0, 100.0, 0.0), (1, 0.0, 100.0)]
+
+
+def test_vote_shares_read_the_rows_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([("w1", "a", 1.0), ("w1", "b", 3.0), ("w2", None, 2.0)], "win string, voto string, peso double")
+
+    def count(row):
+        rows.add(1)
+        return row
+    got = trk.vote_intervals(spark.createDataFrame(df.rdd.map(count), df.schema), "win", "peso").collect()
+    assert len(got) == 4 and rows.value == 3
