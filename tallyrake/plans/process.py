@@ -110,15 +110,21 @@ def process_entry(spark: SparkSession, raw: DataFrame, population: str, run_id:
                   model_dir: str | None = None, units=("day", "week", "month"), restrict: bool = False,
                   **rake_kw) -> EntryResult:
     """Entry 1 as one call: clean, recode, impute, retrain the stored models on the observed
-    values, rake every unit, report the whole survey, and append run and metrics to the ledger."""
+    values, rake every unit, report the whole survey, and append run and metrics to the ledger.
+
+    The survey is persisted with its votes normalised (``prepare_survey`` does the other texts), so
+    none of the passes over it strips texts again."""
+    from pyspark import StorageLevel
+
     from tallyrake.operators.clean import null_profile
-    from tallyrake.operators.impute import impute_survey, update_all_models
+    from tallyrake.operators.impute import impute_survey, normalize_text_columns, update_all_models
     from tallyrake.operators.report import report_rake, weight_metrics
     from tallyrake.sources import ledger as L
     from tallyrake.sources.history import survey_columns
-    observed, flag = prepare_survey(raw, population, restrict, persist=True)
-    result = impute_survey(observed, model_dir=model_dir)
-    retrained = update_all_models(observed, model_dir) if model_dir else {}
+    prepared, flag = prepare_survey(raw, population, restrict)
+    observed = normalize_text_columns(prepared, ["voto", "voto_anterior"]).persist(StorageLevel.MEMORY_AND_DISK)
+    result = impute_survey(observed, model_dir=model_dir, normalized=True)
+    retrained = update_all_models(observed, model_dir, normalized=True) if model_dir else {}
     weighted = weight_survey(spark, result.imputed, population, flag, units, **rake_kw)
     report = report_rake(result.imputed, weighted.variables, weighted.targets, **rake_kw)
     met = weight_metrics(report).withColumn("run_id", F.lit(run_id)).cache()

@@ -166,3 +166,29 @@ def test_counted_cases_weigh_as_their_rows(spark):
     assert sorted(again.collect(), key=repr) == sorted(cases.collect(), key=repr)
     by_row, by_case = ({r[:-2]: r[-2:] for r in I.aggregate_profiles(x, preds, I.NUMERIC_TARGET).collect()} for x in (df, cases))
     assert by_row.keys() == by_case.keys() and all(by_row[k] == pytest.approx(by_case[k]) for k in by_row)
+
+
+def test_the_votes_are_counted_in_one_pass(spark, monkeypatch):
+    """Both fits and the predictions come from one count of the interviews."""
+    monkeypatch.setattr(I, "impute_numeric", lambda df, *a, **k: (df, "none"))
+    df, rows = counted(spark, survey(spark).cache())
+    rows.value = 0
+    I.impute_survey(df, evaluate="none")
+    assert rows.value == 300
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_votes_by_profile_are_those_of_the_row_by_row_chain(spark, limit):
+    df = survey(spark)
+    df = df.union(df.limit(40)).union(df.limit(5).withColumn("estrato", F.lit(None).cast("string")))
+    chain = df
+    for t in I.CATEGORICAL_TARGETS:
+        chain = I.impute_categorical(chain, t, I.PREDICTORS[t])
+    got = I.impute_votes(df, broadcast_bytes=limit)
+    assert sorted(map(str, got.select(chain.columns).collect())) == sorted(map(str, chain.collect()))
+    assert got.filter("_n_voto != voto or _n_voto_anterior != voto_anterior").isEmpty()
+
+
+def test_a_normalised_survey_is_not_stripped_again(spark):
+    out = I.impute_survey(survey(spark).cache(), evaluate="none", normalized=True).imputed
+    assert "trim(" not in out._jdf.queryExecution().optimizedPlan().toString()
